@@ -5,8 +5,10 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # --- fixed values -------------------------------------------------------------------------------
 TRUE_WORDS = ["1", "true", "t", "yes", "y", "sim", "s", "present", "presente", "both_present", "conforming", "ok"]
@@ -222,18 +224,19 @@ def suspicious_text(c: Column) -> Column:
     )
 
 
+@F.pandas_udf(StringType())
+def _six_digits(v: pd.Series) -> pd.Series:
+    return v.map("{:g}".format, na_action="ignore").astype(object).where(v.notna(), None)
+
+
 def general_number(v: Column) -> Column:
-    """Shortest text with six significant digits (``%g``); whole numbers without decimals."""
-    size = F.abs(v)
-    digits = F.lit(5) - F.floor(F.log10(size))
-    fixed = F.rint(v * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits)
-    plain = F.regexp_replace(F.format_string("%.10f", fixed), r"\.?0+$", "")
-    sci = F.regexp_replace(F.format_string("%.5e", v), r"\.?0+e", "e")
-    return (
-        F.when(F.abs(v - F.rint(v)) < 1e-9, F.rint(v).cast("bigint").cast("string"))
-        .when((size >= 999999.5) | (size < 1e-4), sci)
-        .otherwise(plain)
-    )
+    """Whole numbers without decimals, anything else with six significant digits.
+
+    The JVM formats doubles from their shortest decimal text, which rounds exact ties differently
+    from the binary value, hence the one vectorised Python helper.
+    """
+    whole = F.rint(v).cast("bigint").cast("string")
+    return F.when(F.abs(v - F.rint(v)) < 1e-9, whole).otherwise(_six_digits(v))
 
 
 def pad_condition(c: Column) -> Column:

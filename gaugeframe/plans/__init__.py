@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("rules", "scalars", "joins", "rates", "ordered", "sampling", "sets", "ticks", "decisions", "colors", "similarity", "semantic", "storage")
+MODULES = ("rules", "scalars", "joins")
 
 for _m in MODULES:
     importlib.import_module(f"{__name__}.{_m}")

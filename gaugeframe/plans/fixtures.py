@@ -119,3 +119,22 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("w")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+# ------------------------------------------------------------------------------ derived descriptors
+class Derived:
+    """A descriptor table whose expressions read the same in both SQL dialects."""
+
+    def __init__(self, name: str, source: str, exprs: dict[str, str], where: str | None = None):
+        self.name, self.source, self.exprs, self.where = name, source, exprs, where
+
+    def spark(self, spark: SparkSession, sf: str) -> DataFrame:
+        df = table(spark, sf, self.source)
+        if self.where:
+            df = df.where(self.where)
+        return df.selectExpr(*[f"{e} as {n}" for n, e in self.exprs.items()])
+
+    @property
+    def cte(self) -> str:
+        body = ", ".join(f"{e} as {n}" for n, e in self.exprs.items())
+        return f"{self.name} as (select {body} from {self.source}" + (f" where {self.where}" if self.where else "") + ")"
