@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,8 @@ def percentile(c: Column, q: float) -> Column:
 
 def iqr(c: Column) -> Column:
     return percentile(c, 0.75) - percentile(c, 0.25)
+
+
+def fixed_rows(spark: SparkSession, name: str, values: list) -> DataFrame:
+    """A fixed short list as a one-column table, built in the JVM."""
+    return spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(name))

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.numbers import count_where, percentile, ratio, rint_round
+from gaugeframe.functions.numbers import count_where, fixed_rows, percentile, ratio, rint_round
 from gaugeframe.functions.status import C, NC, U, U_SPEC
 
 
@@ -140,9 +140,8 @@ def evaluable_rates(df: DataFrame, key: str, status: str) -> DataFrame:
 
 def confusion(df: DataFrame, row: str, col: str, classes: list[str]) -> DataFrame:
     """Fixed classes on both sides, zero cells kept, with row totals."""
-    spark = df.sparkSession
     cells = df.groupBy(F.col(row).alias("manual")).agg(*[count_where(F.col(col) == c).alias(c) for c in classes])
-    frame = spark.createDataFrame([(c,) for c in classes], "manual string")
+    frame = fixed_rows(df.sparkSession, "manual", classes)
     full = frame.join(cells, "manual", "left").na.fill(0)
     return full.withColumn("TOTAL", sum((F.col(c) for c in classes), F.lit(0).cast("bigint")))
 

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.functions import text as T
-from gaugeframe.functions.numbers import count_where, ratio, rint_round
+from gaugeframe.functions.numbers import count_where, fixed_rows, ratio, rint_round
 from gaugeframe.operators import multiset
+from gaugeframe.operators.rates import grouped_sets
 
 KINDS = ["categorical", "temporal", "numeric"]
 
@@ -37,7 +38,7 @@ def number_and_unit(part: Column) -> Column:
 
 
 def _parts(c: Column) -> Column:
-    trimmed = F.transform(F.split(F.coalesce(c.cast("string"), F.lit("")), r"\|"), F.trim)
+    trimmed = F.transform(F.split(F.coalesce(c.cast("string"), F.lit("")), r"\|"), lambda p: F.trim(p))
     return F.filter(trimmed, lambda p: p != "")
 
 
@@ -171,7 +172,6 @@ def _status_counts() -> list[Column]:
 
 def summary_by_kind(results: DataFrame) -> DataFrame:
     """Three rows, one per kind, also where a kind has no rows."""
-    spark = results.sparkSession
     scope = F.col("scope")
     agg = results.groupBy("kind").agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -181,7 +181,7 @@ def summary_by_kind(results: DataFrame) -> DataFrame:
         count_where(F.col("bb_detailed_status") == "UNEVALUABLE_SPEC_REVIEW").alias("spec_review"),
         *_status_counts(),
     )
-    kinds = spark.createDataFrame([(k,) for k in KINDS], "kind string")
+    kinds = fixed_rows(results.sparkSession, "kind", KINDS)
     joined = kinds.join(agg, "kind", "left")
     return joined.na.fill(0, [c for c in agg.columns if c not in ("kind", "conformity_rate")])
 
@@ -190,5 +190,17 @@ def summary_by(results: DataFrame, *keys: str) -> DataFrame:
     return results.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *_status_counts())
 
 
+def summaries(results: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """All groupings of the final report in one job.
+
+    Rows are counted per finest combination first; the grouping sets only see those counts.
+    """
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    names = ["n_rows", "eligible", "conforming", "nonconforming", "unevaluable"]
+    fine = results.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *_status_counts()[:-1])
+    out = grouped_sets(fine, sets, [F.sum(n).alias(n) for n in names])
+    return out.withColumn("conformity_rate", ratio(F.col("conforming"), F.col("eligible")))
+
+
 def review_cases(results: DataFrame) -> DataFrame:
     return results.where(F.col("bb_collapsed_status").isin("NONCONFORMING", "UNEVALUABLE"))

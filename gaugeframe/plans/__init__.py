@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("rules", "scalars", "joins", "rates")
+MODULES = ("rules", "scalars", "joins", "rates", "ticks", "ordered")
 
 for _m in MODULES:
     importlib.import_module(f"{__name__}.{_m}")
