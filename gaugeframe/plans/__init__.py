@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("rules", "scalars", "joins", "rates", "ticks", "ordered")
+MODULES = ("rules", "scalars", "joins", "rates", "ticks", "ordered", "sampling", "sets")
 
 for _m in MODULES:
     importlib.import_module(f"{__name__}.{_m}")
