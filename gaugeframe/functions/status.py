@@ -334,11 +334,14 @@ def scale_vote_weight(conf: Column) -> Column:
 
 
 def overall_strict(dimensions: list[Column]) -> Column:
-    """Spec conflict, then any failure, then any open dimension, else conforming."""
+    """Spec conflict, then any failure, then any open dimension, else conforming.
+
+    A dimension the specification does not fix (``NOT_SPECIFIED``) neither fails nor opens an image.
+    """
     vals = F.array(*[F.coalesce(d, F.lit(U)) for d in dimensions])
     return (
         F.when(F.array_contains(vals, U_SPEC), U_SPEC)
         .when(F.array_contains(vals, NC), NC)
-        .when(F.exists(vals, lambda v: v != C), U)
+        .when(F.exists(vals, lambda v: ~v.isin(C, "NOT_SPECIFIED")), U)
         .otherwise(C)
     )
