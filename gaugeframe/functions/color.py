@@ -96,4 +96,5 @@ def with_delta_e(df: DataFrame, p: str, q: str, out: str) -> DataFrame:
         "__rt": -F.sin(2.0 * 30.0 * F.exp(-t("u") * t("u")) * rad) * t("rc"),
     })
     total2 = t("dl") * t("dl") + t("dc") * t("dc") + t("dd") * t("dd") + t("rt") * t("dc") * t("dd")
-    return d.select(*before, F.sqrt(F.greatest(F.lit(0.0), total2)).alias(out))
+    # ``greatest`` skips NULL, which must stay NULL here
+    return d.select(*before, F.when(total2.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), total2))).alias(out))

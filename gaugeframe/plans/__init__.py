@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("rules", "scalars", "joins", "rates", "ticks", "ordered", "sampling", "sets", "decisions")
+MODULES = ("rules", "scalars", "joins", "rates", "ticks", "ordered", "sampling", "sets", "decisions", "colors", "similarity", "semantic")
 
 for _m in MODULES:
     importlib.import_module(f"{__name__}.{_m}")
