@@ -2,7 +2,10 @@
 
 import importlib
 
-MODULES = ("rules", "scalars", "joins", "rates", "ticks", "ordered", "sampling", "sets", "decisions", "colors", "similarity", "semantic")
+MODULES = (
+    "rules", "scalars", "joins", "rates", "ticks", "ordered", "sampling", "sets",
+    "decisions", "colors", "similarity", "semantic", "storage",
+)
 
 for _m in MODULES:
     importlib.import_module(f"{__name__}.{_m}")
