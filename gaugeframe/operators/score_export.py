@@ -9,9 +9,12 @@ from gaugeframe.functions.numbers import rint_round
 
 
 def participant_summary(scores: DataFrame) -> DataFrame:
-    """Rows are rounded first, then averaged (NULL scores are skipped)."""
-    r = scores.withColumns({c: rint_round(F.col(c), 2) for c in ("ocr", "clip")})
-    return r.groupBy("participant", "condition", "task").agg(F.avg("ocr").alias("ocr"), F.avg("clip").alias("clip"))
+    """Rows are rounded to two digits first, then averaged (NULL scores are skipped).
+
+    The mean is taken over whole hundredths, which add up exactly in any order.
+    """
+    means = [(F.avg(F.rint(F.col(c) * 100.0)) / 100.0).alias(c) for c in ("ocr", "clip")]
+    return scores.groupBy("participant", "condition", "task").agg(*means)
 
 
 def score_pivot(summary: DataFrame, score: str, conditions: list[str], tasks: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.color import PALETTE
-from gaugeframe.functions.numbers import rint_round
+from gaugeframe.functions.numbers import mean_of_rounded, rint_round
 from gaugeframe.operators import color_family as CF
 from gaugeframe.operators import color_match as CM
 from gaugeframe.plans.catalog import query
@@ -163,15 +163,15 @@ def g10_family_class(spark, sf):
 
 
 @query(with_(f"mk as ({MARK_SRC.format(hex=hex_sql(MARK_HEX))})", "jx as (select mk.*, case family % 2 when 0 then '#C62828' else '#1F4FD8' end as expected_hex from mk)", "hx as (select distinct observed_hex, expected_hex from jx)",
-             *pair_sql("hx", "observed_hex", "expected_hex", "d", "hd"), f"pt as (select jx.filename, jx.family, {r6('d')} as delta_e from jx join hd using (observed_hex, expected_hex))",
-             select=f"select filename, family, count(*) as n_points, {r6('avg(delta_e)')} as point_mean, {r6('median(delta_e)')} as point_median, {r6('quantile_cont(delta_e, 0.9)')} as point_p90, max(delta_e) as point_max from pt group by 1, 2"))
+             *pair_sql("hx", "observed_hex", "expected_hex", "d", "hd"), f"pt as (select jx.filename, jx.family, {r6('d')} as delta_e, round_even(d * 1000000.0, 0) as micro from jx join hd using (observed_hex, expected_hex))",
+             select=f"select filename, family, count(*) as n_points, round_even(sum(micro) / count(*), 0) / 1000000.0 as point_mean, {r6('median(delta_e)')} as point_median, {r6('quantile_cont(delta_e, 0.9)')} as point_p90, max(delta_e) as point_max from pt group by 1, 2"))
 def g08_scatter_point_distance(spark, sf):
     m = markers(spark, sf)
     matched = m.groupBy("filename", "family").agg(F.max(F.expr("case family % 2 when 0 then '#C62828' else '#1F4FD8' end")).alias("expected_hex"))
     d = CF.point_distance(m, matched, ["filename", "family"]).withColumn("delta_e", rint_round(F.col("delta_e")))
     pct = lambda q: F.percentile(F.col("delta_e"), F.lit(q))
     return d.groupBy("filename", "family").agg(
-        F.count(F.lit(1)).alias("n_points"), rint_round(F.avg("delta_e")).alias("point_mean"), rint_round(pct(0.5)).alias("point_median"), rint_round(pct(0.9)).alias("point_p90"), F.max("delta_e").alias("point_max")
+        F.count(F.lit(1)).alias("n_points"), mean_of_rounded(F.col("delta_e")).alias("point_mean"), rint_round(pct(0.5)).alias("point_median"), rint_round(pct(0.9)).alias("point_p90"), F.max("delta_e").alias("point_max")
     )
 
 

@@ -47,7 +47,7 @@ def units(spark: SparkSession, sf: str) -> DataFrame:
 # ----------------------------------------------------------------------------------------- images
 IMAGE_FLAGS = {
     "mark_present": "case when o_orderkey % 17 <> 0 then 1 else 0 end",
-    "presence_confidence": "(o_orderkey * 7919 % 1001) / 1000.0D",
+    "presence_confidence": "(o_orderkey * 7919 % 1001) / 1024.0D",
     "x_eval": "case when o_orderkey % 19 <> 0 then 1 else 0 end",
     "y_eval": "case when o_orderkey % 23 <> 0 then 1 else 0 end",
     "x_present": "case when o_orderkey % 7 <> 0 then 1 else 0 end",

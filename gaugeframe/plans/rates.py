@@ -188,19 +188,19 @@ def d12_extra_summary(spark, sf):
 
 # ------------------------------------------------------------------------------ scores, pivots
 SCORES = Derived("sc", "orders", {"participant": "o_custkey % 40", "condition": "o_orderstatus", "task": "case when o_orderkey % 2 = 0 then 'B-ID' else 'B-COMP' end", "ocr": "case when o_orderkey % 29 <> 0 then cast(o_orderkey * 7919 % 10007 as double) / 10007 end", "clip": "cast(o_orderkey * 104729 % 10009 as double) / 10009"})
-SCORE_SUM = (SCORES.cte, "ex as (select participant, condition, task, round_even(ocr * 100.0, 0) / 100.0 as ocr, round_even(clip * 100.0, 0) / 100.0 as clip from sc)")
+SCORE_SUM = (SCORES.cte, "ex as (select participant, condition, task, round_even(ocr * 100.0, 0) as ocr, round_even(clip * 100.0, 0) as clip from sc)")
 SC_CONDS = ["F", "O", "P"]
 SC_TASKS = ["B-COMP", "B-ID"]
 
 
-@query(with_(*SCORE_SUM, select=f"select participant, condition, task, {r6('avg(ocr)')} as ocr, {r6('avg(clip)')} as clip from ex group by all"))
+@query(with_(*SCORE_SUM, select=f"select participant, condition, task, {r6('avg(ocr) / 100.0')} as ocr, {r6('avg(clip) / 100.0')} as clip from ex group by all"))
 def d16_participant_summary(spark, sf):
     from gaugeframe.operators.score_export import participant_summary
 
     return participant_summary(SCORES.spark(spark, sf)).select("participant", "condition", "task", rint_round(F.col("ocr")).alias("ocr"), rint_round(F.col("clip")).alias("clip"))
 
 
-@query(with_(*SCORE_SUM, "su as (select participant, condition, task, avg(ocr) as ocr from ex group by all)",
+@query(with_(*SCORE_SUM, "su as (select participant, condition, task, avg(ocr) / 100.0 as ocr from ex group by all)",
              select="select participant, " + ", ".join(f"round_even(avg(ocr) filter (where condition = '{c}' and task = '{t}') * 100.0, 0) / 100.0 as \"{c}_{t}\"" for c in SC_CONDS for t in SC_TASKS) + " from su group by participant"))
 def d17_pivot_scores(spark, sf):
     from gaugeframe.operators.score_export import participant_summary, score_pivot

@@ -107,7 +107,7 @@ def g23_score_long(spark, sf):
     return S.score_long(images, ocr, clip, errors, "vec_id")
 
 
-@query(with_(*SCORE_SUM, "su as (select participant, condition, task, avg(clip) as clip from ex group by all)",
+@query(with_(*SCORE_SUM, "su as (select participant, condition, task, avg(clip) / 100.0 as clip from ex group by all)",
              select="select participant, " + ", ".join(f"round_even(avg(clip) filter (where condition = '{c}' and task = '{t}') * 100.0, 0) / 100.0 as \"{c}_{t}\"" for c in SC_CONDS for t in SC_TASKS) + " from su group by participant"))
 def a11_export_bundle(spark, sf):
     """The four export tables are written and the CLIP pivot is read back."""
