@@ -121,24 +121,24 @@ def pair_presence(x_eval: Column, y_eval: Column, x: Column, y: Column) -> Colum
 
 def evidence_map(c: Column) -> Column:
     """``"K=v;K2=v2"`` to ``MAP<STRING,DOUBLE>``; broken parts are skipped and the last repeat wins."""
-    parts = F.filter(F.split(c, ";"), lambda p: p.contains("="))
-    entries = F.transform(
-        parts,
-        lambda p: F.struct(
-            F.substring_index(p, "=", 1).alias("k"),
-            F.trim(F.substr(p, F.instr(p, "=") + F.lit(1))).try_cast("double").alias("v"),
-        ),
+    parts = F.filter(F.reverse(F.split(c, ";")), lambda p: p.contains("="))
+    entries = F.filter(
+        F.transform(parts, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.regexp_replace(p, "^[^=]*=", "").try_cast("double").alias("v"))),
+        lambda e: e["v"].isNotNull(),
     )
-    good = F.filter(entries, lambda e: e["v"].isNotNull())
-    last = F.filter(
-        F.transform(good, lambda e, i: F.struct(e.alias("e"), i.alias("i"))),
-        lambda x: ~F.exists(F.slice(good, x["i"] + 2, F.greatest(F.size(good), F.lit(1))), lambda o: o["k"] == x["e"]["k"]),
+    # newest first: an entry is kept when no earlier one has its key
+    return F.aggregate(
+        entries,
+        F.create_map().cast("map<string,double>"),
+        lambda m, e: F.when(F.map_contains_key(m, e["k"]), m).otherwise(F.map_concat(m, F.create_map(e["k"], e["v"]))),
     )
-    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["e"]["k"], x["e"]["v"])))
 
 
-def evidence_value(m: Column, key: str) -> Column:
-    return F.coalesce(F.try_element_at(m, F.lit(key)), F.lit(0.0))
+def evidence_value(c: Column, key: str) -> Column:
+    """Last well-formed value of one key, zero when there is none."""
+    found = F.transform(F.regexp_extract_all(c, F.lit(f"(?:^|;){key}=([^;]*)"), F.lit(1)), lambda v: v.try_cast("double"))
+    good = F.array_compact(found)
+    return F.coalesce(F.get(good, F.size(good) - 1), F.lit(0.0))
 
 
 def exclusive_class(height: Column, support: Column, markers: Column, xdisp: Column, ydisp: Column) -> Column:

@@ -47,8 +47,9 @@ def _accent_table() -> tuple[str, str]:
 
 
 def strip_accents(c: Column) -> Column:
+    """Compatibility base characters without combining marks; plain ASCII texts pass untouched."""
     src, dst = _accent_table()
-    return F.regexp_replace(F.translate(c, src, dst), r"\p{M}+", "")
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.regexp_replace(F.translate(c, src, dst), r"\p{M}+", ""))
 
 
 def _words(values: list[str], c: Column) -> Column:

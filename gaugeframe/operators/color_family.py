@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeframe.functions.color import with_delta_e
+from gaugeframe.functions.color import delta_e, hex_channels, lab_of, packed, with_lab
 from gaugeframe.functions.numbers import rint_round
-from gaugeframe.operators.color_match import hex_delta, hex_lab
+from gaugeframe.operators.color_match import hex_delta
 
 # --- fixed values -------------------------------------------------------------------------------
 SOLID_RADIUS, SOLID_SUPPORT, SCALE_RANGE, DOMINANCE = 4.0, 0.85, 7.0, 1.5
@@ -21,38 +21,16 @@ TILE = 512
 
 
 # ---------------------------------------------------------------------------------------- medoid
-def delta_e_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """CIEDE2000 of every row of ``a`` with every row of ``b`` (columns L, a, b)."""
-    l1, a1, b1 = (a[:, k][:, None] for k in range(3))
-    l2, a2, b2 = (b[:, k][None, :] for k in range(3))
-    mean7 = ((np.hypot(a1, b1) + np.hypot(a2, b2)) / 2) ** 7
-    g = 1.5 - 0.5 * np.sqrt(mean7 / (mean7 + 25.0**7))
-    a1, a2 = a1 * g, a2 * g
-    c1, c2 = np.hypot(a1, b1), np.hypot(a2, b2)
-    h1, h2 = np.degrees(np.arctan2(b1, a1)) % 360, np.degrees(np.arctan2(b2, a2)) % 360
-    gray, diff, total = c1 * c2 == 0, h2 - h1, h1 + h2
-    turn = np.where(diff > 180, diff - 360, np.where(diff < -180, diff + 360, diff))
-    dh = 2 * np.sqrt(c1 * c2) * np.sin(np.radians(np.where(gray, 0.0, turn)) / 2)
-    mean_h = np.where(np.abs(diff) <= 180, total / 2, np.where(total < 360, (total + 360) / 2, (total - 360) / 2))
-    mean_h = np.where(gray, total, mean_h)
-    lm, cm = (l1 + l2) / 2, (c1 + c2) / 2
-    t = (
-        1 - 0.17 * np.cos(np.radians(mean_h - 30)) + 0.24 * np.cos(np.radians(2 * mean_h))
-        + 0.32 * np.cos(np.radians(3 * mean_h + 6)) - 0.20 * np.cos(np.radians(4 * mean_h - 63))
-    )
-    dl = (l2 - l1) / (1 + 0.015 * (lm - 50) ** 2 / np.sqrt(20 + (lm - 50) ** 2))
-    dc, dh = (c2 - c1) / (1 + 0.045 * cm), dh / (1 + 0.015 * cm * t)
-    rt = -np.sin(np.radians(60 * np.exp(-(((mean_h - 275) / 25) ** 2)))) * 2 * np.sqrt(cm**7 / (cm**7 + 25.0**7))
-    return np.sqrt(np.maximum(0.0, dl**2 + dc**2 + dh**2 + rt * dc * dh))
-
-
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _tile_sums(l1: pd.Series, a1: pd.Series, b1: pd.Series, l2: pd.Series, a2: pd.Series, b2: pd.Series, n2: pd.Series) -> pd.Series:
-    def one(*c):
-        left, right = np.column_stack(c[:3]), np.column_stack(c[3:6])
-        return delta_e_matrix(left, right) @ np.asarray(c[6], float)
+def _tile_sums(left: pd.Series, right: pd.Series, counts: pd.Series) -> pd.Series:
+    """Per left colour: summed distance to all right colours, weighted by their counts."""
 
-    return pd.Series([one(*row) for row in zip(l1, a1, b1, l2, a2, b2, n2)])
+    def one(a, b, n):
+        p = tuple(x[:, None] for x in lab_of(a))
+        q = tuple(x[None, :] for x in lab_of(b))
+        return delta_e(p, q) @ np.asarray(n, float)
+
+    return pd.Series([one(*row) for row in zip(left, right, counts)])
 
 
 def family_medoid(markers: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
@@ -66,16 +44,15 @@ def family_medoid(markers: DataFrame, keys: list[str], tile: int = TILE) -> Data
     """
     d = markers.groupBy(*keys, "observed_hex").agg(F.count(F.lit(1)).alias("n"), F.min("marker_id").alias("first"))
     size = d.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / tile).alias("blocks"), F.sum("n").alias("n_points"))
-    d = hex_lab(d, "observed_hex", "c").join(size, keys)
-    d = d.withColumn("block", F.pmod(F.xxhash64("observed_hex"), F.col("blocks")))
-    item = F.struct("first", "observed_hex", "n", F.col("c_l").alias("l"), F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    d = d.join(size, keys).withColumn("block", F.pmod(F.xxhash64("observed_hex"), F.col("blocks")))
+    item = F.struct("first", "observed_hex", F.col("n").cast("double").alias("n"), packed(F.col("observed_hex")).alias("c"))
     blocks = d.groupBy(*keys, "block", "n_points").agg(F.array_sort(F.collect_list(item)).alias("it"))
 
     def field(c: str, name: str) -> Column:
         return F.transform(c, lambda s: s[name])
 
     other = blocks.select(*keys, F.col("it").alias("jt"))
-    sums = _tile_sums(*[field("it", n) for n in "lab"], *[field("jt", n) for n in "lab"], F.transform("jt", lambda s: s["n"].cast("double")))
+    sums = _tile_sums(field("it", "c"), field("jt", "c"), field("jt", "n"))
     tiles = blocks.join(other, keys).select(*keys, "n_points", F.explode(F.arrays_zip("it", sums.alias("s"))).alias("z"))
     per = tiles.groupBy(*keys, "n_points", F.col("z.it.first").alias("first"), F.col("z.it.observed_hex").alias("hex")).agg(F.sum("z.s").alias("s"))
     mean = rint_round(F.col("s") / F.col("n_points"), 9)
@@ -84,24 +61,28 @@ def family_medoid(markers: DataFrame, keys: list[str], tile: int = TILE) -> Data
     )
 
 
-def spread(c: str, n: Column) -> Column:
-    """Range of up to three values, else the 10-90% range (state bounded by distinct values)."""
-    x = F.col(c)
-    return F.when(n <= 3, F.max(x) - F.min(x)).otherwise(F.percentile(x, F.lit(0.9)) - F.percentile(x, F.lit(0.1)))
-
-
 def family_class(markers: DataFrame, medoids: DataFrame, keys: list[str]) -> DataFrame:
-    """Solid colour, brightness scale, saturation scale or mixed, from the spread around the medoid."""
-    m = hex_lab(markers.join(medoids.select(*keys, "medoid_hex"), keys), "observed_hex", "c")
-    m = m.withColumn("c_chroma", F.hypot("c_a", "c_b"))
-    m = with_delta_e(hex_lab(m, "medoid_hex", "m"), "m", "c", "d")
-    n = F.count(F.lit(1))
-    g = m.groupBy(*keys, "medoid_hex").agg(
-        n.alias("n_points"),
-        rint_round(F.avg((F.col("d") <= SOLID_RADIUS).cast("int"))).alias("solid_support"),
-        rint_round(spread("c_l", n)).alias("l_range"),
-        rint_round(spread("c_chroma", n)).alias("c_range"),
-        rint_round(F.percentile(F.col("d"), F.lit(0.5))).alias("de_median"),
+    """Solid colour, brightness scale, saturation scale or mixed, from the spread around the medoid.
+
+    Works on distinct colours with their counts; quantiles take the counts as frequencies.
+    """
+    d = markers.groupBy(*keys, "observed_hex").agg(F.count(F.lit(1)).alias("n"))
+    d = hex_delta(d.join(medoids.select(*keys, "medoid_hex"), keys), "observed_hex", "medoid_hex", "d")
+    d = with_lab(d, hex_channels(F.col("observed_hex")), "c").withColumn("c_chroma", F.hypot("c_a", "c_b"))
+    total = F.sum("n")
+
+    def quantile(c: str, q: float) -> Column:
+        return F.percentile(F.col(c), F.lit(q), F.col("n"))
+
+    def spread(c: str) -> Column:
+        return F.when(total <= 3, F.max(c) - F.min(c)).otherwise(quantile(c, 0.9) - quantile(c, 0.1))
+
+    g = d.groupBy(*keys, "medoid_hex").agg(
+        total.alias("n_points"),
+        rint_round(F.sum(F.when(F.col("d") <= SOLID_RADIUS, F.col("n")).otherwise(0)) / total).alias("solid_support"),
+        rint_round(spread("c_l")).alias("l_range"),
+        rint_round(spread("c_chroma")).alias("c_range"),
+        rint_round(quantile("d", 0.5)).alias("de_median"),
         rint_round(F.max("d")).alias("de_max"),
     )
     l, c, tiny = F.col("l_range"), F.col("c_range"), F.lit(1e-6)
@@ -116,42 +97,47 @@ def family_class(markers: DataFrame, medoids: DataFrame, keys: list[str]) -> Dat
 
 
 def point_distance(markers: DataFrame, matched: DataFrame, keys: list[str]) -> DataFrame:
-    """Distance of every marker to the expected colour its family was matched with."""
-    return hex_delta(markers.join(matched.select(*keys, "expected_hex"), keys), "observed_hex", "expected_hex", "delta_e")
+    """Distance of every distinct marker colour to the expected colour of its family, with its count."""
+    d = markers.groupBy(*keys, "observed_hex").agg(F.count(F.lit(1)).alias("n"))
+    return hex_delta(d.join(matched.select(*keys, "expected_hex"), keys), "observed_hex", "expected_hex", "delta_e")
+
+
+def point_stats(distances: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean, median, 90% and largest point distance per family from counted distances."""
+    d = distances.withColumn("e", rint_round(F.col("delta_e")))
+    micro = F.sum(F.rint(F.col("e") * 1e6) * F.col("n"))
+    return d.groupBy(*keys).agg(
+        F.sum("n").alias("n_points"),
+        (F.rint(micro / F.sum("n")) / 1e6).alias("point_mean"),
+        rint_round(F.percentile(F.col("e"), F.lit(0.5), F.col("n"))).alias("point_median"),
+        rint_round(F.percentile(F.col("e"), F.lit(0.9), F.col("n"))).alias("point_p90"),
+        F.max("e").alias("point_max"),
+    )
 
 
 # ------------------------------------------------------------------------------- overlap colours
+@F.pandas_udf(T.DoubleType())
+def _mixture(tr: pd.Series, tg: pd.Series, tb: pd.Series, ar: pd.Series, ag: pd.Series, ab: pd.Series, br: pd.Series, bg: pd.Series, bb: pd.Series) -> pd.Series:
+    t, a, b = (np.column_stack([np.asarray(x, float) for x in c]) - 255.0 for c in ((tr, tg, tb), (ar, ag, ab), (br, bg, bb)))
+    i = np.arange(101)[None, :]
+    rest = t[:, None, :] - (i / 100.0)[:, :, None] * a[:, None, :]
+    bb_ = np.einsum("nk,nk->n", b, b)
+    vertex = 100.0 * np.einsum("nik,nk->ni", rest, b) / np.where(bb_ == 0, 1.0, bb_)[:, None]
+    best = np.full(len(t), np.inf)
+    for j in (np.floor(vertex), np.ceil(vertex)):
+        wb = np.clip(j, 0, 100 - i) / 100.0
+        gap = rest - wb[:, :, None] * b[:, None, :]
+        best = np.minimum(best, np.einsum("nik,nik->ni", gap, gap).min(axis=1))
+    return pd.Series(np.sqrt(best))
+
+
 def mixture_residual(t: tuple[Column, ...], a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """Least RGB distance of ``t`` to ``wa*A + wb*B + (1-wa-wb)*white`` on the 0.01 grid.
 
     For a fixed ``wa`` the squared distance is a parabola in ``wb``, so the best grid value is one of
     the two next to its vertex: 202 points decide what the full grid of 5151 would.
     """
-    u = [x - 255.0 for x in a]
-    v = [x - 255.0 for x in b]
-    d = [x - 255.0 for x in t]
-
-    def dot(p, q):
-        return p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
-
-    vv, vd, uv, uu, ud, dd = dot(v, v), dot(v, d), dot(u, v), dot(u, u), dot(u, d), dot(d, d)
-    parts = F.struct(*[c.alias(n) for n, c in zip(("vv", "vd", "uv", "uu", "ud", "dd"), (vv, vd, uv, uu, ud, dd))])
-
-    def best(s: Column) -> Column:
-        def at(i: Column) -> Column:
-            wa = i / 100.0
-            vertex = F.when(s["vv"] == 0, 0.0).otherwise(100.0 * (s["vd"] - wa * s["uv"]) / s["vv"])
-
-            def dist(j: Column) -> Column:
-                wb = F.greatest(F.lit(0.0), F.least(100.0 - i, j)) / 100.0
-                return s["dd"] + wa * wa * s["uu"] + wb * wb * s["vv"] + 2 * wa * wb * s["uv"] - 2 * wa * s["ud"] - 2 * wb * s["vd"]
-
-            return F.least(dist(F.floor(vertex)), dist(F.ceil(vertex)))
-
-        return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(100)), at))
-
-    squared = F.get(F.transform(F.array(parts), best), F.lit(0))
-    return F.sqrt(F.greatest(F.lit(0.0), squared))
+    return _mixture(*t, *a, *b)
 
 
 def overlap_derived(families: DataFrame, evidence: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.color import hex_channels, with_delta_e, with_lab
+from gaugeframe.functions.color import delta_e_packed, packed
 from gaugeframe.functions.numbers import rint_round
 
 NEAR_DUPLICATE_MAX = 2.0
@@ -24,15 +24,9 @@ def distinct_colors(bars: DataFrame, key: str, hex_col: str) -> DataFrame:
     return g.withColumn("color_rank", rank.cast("bigint"))
 
 
-def hex_lab(df: DataFrame, hex_col: str, prefix: str) -> DataFrame:
-    return with_lab(df, hex_channels(F.col(hex_col)), prefix)
-
-
 def hex_delta(df: DataFrame, first: str, second: str, out: str) -> DataFrame:
-    """CIEDE2000 of two hex columns, row-local."""
-    keep = df.columns
-    d = with_delta_e(hex_lab(hex_lab(df, first, "__p"), second, "__q"), "__p", "__q", out)
-    return d.select(*keep, out)
+    """CIEDE2000 of two hex columns, row-local; NULL where a colour is missing."""
+    return df.withColumn(out, delta_e_packed(packed(F.col(first)), packed(F.col(second))))
 
 
 def costs(observed: DataFrame, expected: DataFrame, key: str) -> DataFrame:

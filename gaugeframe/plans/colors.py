@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.color import PALETTE
-from gaugeframe.functions.numbers import mean_of_rounded, rint_round
+from gaugeframe.functions.numbers import rint_round
 from gaugeframe.operators import color_family as CF
 from gaugeframe.operators import color_match as CM
 from gaugeframe.plans.catalog import query
@@ -168,11 +168,7 @@ def g10_family_class(spark, sf):
 def g08_scatter_point_distance(spark, sf):
     m = markers(spark, sf)
     matched = m.groupBy("filename", "family").agg(F.max(F.expr("case family % 2 when 0 then '#C62828' else '#1F4FD8' end")).alias("expected_hex"))
-    d = CF.point_distance(m, matched, ["filename", "family"]).withColumn("delta_e", rint_round(F.col("delta_e")))
-    pct = lambda q: F.percentile(F.col("delta_e"), F.lit(q))
-    return d.groupBy("filename", "family").agg(
-        F.count(F.lit(1)).alias("n_points"), mean_of_rounded(F.col("delta_e")).alias("point_mean"), rint_round(pct(0.5)).alias("point_median"), rint_round(pct(0.9)).alias("point_p90"), F.max("delta_e").alias("point_max")
-    )
+    return CF.point_stats(CF.point_distance(m, matched, ["filename", "family"]), ["filename", "family"])
 
 
 # ------------------------------------------------------------------------------------- overlap

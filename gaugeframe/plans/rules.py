@@ -194,13 +194,13 @@ EV_KEYS = {"height": "MAX_H_FRAC", "support": "XBIN_SUPPORT", "markers": "N_MARK
 
 
 def evidence_columns(spark, sf):
-    e = EVIDENCE.spark(spark, sf).withColumn("m", S.evidence_map(F.col("evidence")))
-    return e.select("filename", *[S.evidence_value(F.col("m"), k).alias(n) for n, k in EV_KEYS.items()])
+    return EVIDENCE.spark(spark, sf).select("filename", *[S.evidence_value(F.col("evidence"), k).alias(n) for n, k in EV_KEYS.items()])
 
 
 @query(with_(EVIDENCE.cte, EV_SQL, select=f"select filename, {EV_COLS} from ev"))
 def b11_parse_evidence(spark, sf):
-    return evidence_columns(spark, sf)
+    e = EVIDENCE.spark(spark, sf).withColumn("m", S.evidence_map(F.col("evidence")))
+    return e.select("filename", *[F.coalesce(F.try_element_at("m", F.lit(k)), F.lit(0.0)).alias(n) for n, k in EV_KEYS.items()])
 
 
 RULE_SQL = """case when height >= 0.10 then 'BAR' when support >= 0.50 then 'LINE'
