@@ -18,16 +18,6 @@ def safe_float(c: Column) -> Column:
     return F.when(~F.isnan(d), d)
 
 
-def mean_of_rounded(c: Column, digits: int = 6) -> Column:
-    """Rounded mean of values already rounded to ``digits``.
-
-    The sum runs over whole multiples of the last digit, so it is exact in any order and a tie is
-    decided by the data, not by the order of addition.
-    """
-    scale = float(10**digits)
-    return F.rint(F.sum(F.rint(c * scale)) / F.count(c)) / scale
-
-
 def fmt6(c: Column) -> Column:
     return rint_round(safe_float(c), 6)
 

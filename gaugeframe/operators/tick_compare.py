@@ -76,27 +76,34 @@ def _numbers(c: Column) -> Column:
     return F.filter(found, lambda p: p["value"].isNotNull())
 
 
-def observed_numeric(manual: Column, effective: Column, selected: Column, raw: Column) -> Column:
-    """Best available numeric reading as ``STRUCT<source,display,items>``.
+def observed_numeric(df: DataFrame, manual: str, effective: str, selected: str, raw: str) -> DataFrame:
+    """Add the best numeric reading as ``source, display, items``.
 
     A manual reading wins over validated values, those over selected values with the dominant unit.
+    Built in steps, so every intermediate list is computed once.
     """
-    unit = dominant_unit(raw)
-    typed = F.filter(F.transform(_parts(manual), number_and_unit), lambda p: p.isNotNull())
-    unitless = ~F.exists(typed, lambda p: (p["value"] != 0) & (p["unit"] != ""))
-    by_hand = canonical(F.when(unitless & (unit != ""), _with_unit(typed, unit)).otherwise(typed))
-    checked = canonical(_numbers(effective))
-    fallback = canonical(_with_unit(_numbers(selected), unit))
-    has = lambda a: F.size(a) > 0
+    keep = df.columns
+    d = df.withColumns({
+        "__unit": dominant_unit(F.col(raw)),
+        "__typed": F.filter(F.transform(_parts(F.col(manual)), number_and_unit), lambda p: p.isNotNull()),
+        "__checked": _numbers(F.col(effective)),
+        "__picked": _numbers(F.col(selected)),
+    })
+    unitless = ~F.exists("__typed", lambda p: (p["value"] != 0) & (p["unit"] != ""))
+    by_hand, checked, picked = (F.size(c) > 0 for c in ("__typed", "__checked", "__picked"))
+    unit = F.col("__unit")
+    pairs = (
+        F.when(by_hand, F.when(unitless & (unit != ""), _with_unit(F.col("__typed"), unit)).otherwise(F.col("__typed")))
+        .when(checked, F.col("__checked"))
+        .otherwise(_with_unit(F.col("__picked"), unit))
+    )
     blank = F.lit("")
-    return F.struct(
-        F.when(has(by_hand), "MANUAL_ADJUDICATED").when(has(checked), "AUTO_VALIDATED").when(has(fallback), "AUTO_FALLBACK").otherwise("NONE").alias("source"),
-        F.when(has(by_hand), F.trim(manual))
-        .when(has(checked), F.coalesce(selected, blank))
-        .when(has(fallback), F.trim(selected))
-        .otherwise(blank)
-        .alias("display"),
-        F.when(has(by_hand), by_hand).when(has(checked), checked).otherwise(fallback).alias("items"),
+    d = d.withColumn("__pairs", pairs)
+    return d.select(
+        *keep,
+        F.when(by_hand, "MANUAL_ADJUDICATED").when(checked, "AUTO_VALIDATED").when(picked, "AUTO_FALLBACK").otherwise("NONE").alias("source"),
+        F.when(by_hand, F.trim(manual)).when(checked, F.coalesce(selected, blank)).when(picked, F.trim(selected)).otherwise(blank).alias("display"),
+        canonical(F.col("__pairs")).alias("items"),
     )
 
 

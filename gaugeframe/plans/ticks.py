@@ -82,8 +82,8 @@ def bb_results(spark: SparkSession, sf: str) -> DataFrame:
     expected = li.selectExpr("l_orderkey as filename", f"{EXPECTED} as v")
     raw = li.selectExpr("l_orderkey as filename", "l_orderkey % 3 as k", f"{RAW} as raw", f"{COPIES} as copies")
     read = raw.select("filename", "k", "raw", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("__c"))
-    number = TC.number_and_unit(F.col("raw"))
-    value = rint_round(number["value"] * T.unit_multiplier(number["unit"]))
+    read = read.withColumn("number", F.when(F.col("k") == 2, TC.number_and_unit(F.col("raw"))))
+    value = rint_round(F.col("number.value") * T.unit_multiplier(F.col("number.unit")))
     observed = read.select(
         "filename",
         F.when(F.col("k") == 0, T.cat_label(F.col("raw")))
@@ -176,7 +176,6 @@ _F = "case u when 'k' then 1e3::double when 'mil' then 1e3::double when 'm' then
     select="""select b.filename, case pr when 1 then 'MANUAL_ADJUDICATED' when 2 then 'AUTO_VALIDATED' when 3 then 'AUTO_FALLBACK' else 'NONE' end as source,
       case pr when 1 then trim(manual) when 2 then coalesce(selected, '') when 3 then trim(selected) else '' end as display, coalesce(items, '') as items from b left join fi using (filename)"""))
 def g02_observed_numeric(spark, sf):
-    o = TC.observed_numeric(*[F.col(c) for c in ("manual", "effective", "selected", "raw")])
-    n = READINGS.spark(spark, sf).select("filename", o.alias("o"))
-    items = F.array_join(F.transform("o.items", lambda x: F.concat_ws(":", x["typ"], F.rint(x["value"] * 100).cast("bigint").cast("string"))), "|")
-    return n.select("filename", "o.source", "o.display", items.alias("items"))
+    n = TC.observed_numeric(READINGS.spark(spark, sf), "manual", "effective", "selected", "raw")
+    items = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["typ"], F.rint(x["value"] * 100).cast("bigint").cast("string"))), "|")
+    return n.select("filename", "source", "display", items.alias("items"))
