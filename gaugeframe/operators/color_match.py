@@ -30,49 +30,45 @@ def hex_delta(df: DataFrame, first: str, second: str, out: str) -> DataFrame:
 
 
 def costs(observed: DataFrame, expected: DataFrame, key: str) -> DataFrame:
-    """Distance of every observed colour to the (at most two) expected ones of its profile."""
-    return hex_delta(observed.join(F.broadcast(expected), "profile"), "observed_hex", "expected_hex", "cost")
+    """Distance of every observed colour to the (at most two) expected ones of its profile.
+
+    The expected table is a handful of rows, which the optimizer sees and broadcasts by itself.
+    """
+    return hex_delta(observed.join(expected, "profile"), "observed_hex", "expected_hex", "cost")
 
 
 def assign(cost: DataFrame, key: str) -> DataFrame:
     """Cheapest one-to-one assignment for at most two expected colours per image.
 
-    An optimal assignment never needs more than the two nearest observed colours of each expected
-    one: any other choice can be swapped for one of them at no higher cost.  So only the two nearest
-    per expected colour survive (a ranked top-2, cut before the shuffle) and at most four pairs per
-    image are compared; nothing grows with the number of observed colours.
+    Returns key and ``chosen``: one struct per matched expected colour, with the observed colour and
+    the distance.  An optimal assignment never needs more than the two nearest observed colours of
+    each expected one: any other choice can be swapped for one of them at no higher cost.  So only
+    the two nearest per expected colour survive (a ranked top-2, cut before the shuffle) and at most
+    four pairs per image are compared; nothing grows with the number of observed colours.
     """
     w = Window.partitionBy(key, "expected_index").orderBy("cost", "observed_index")
     top = cost.withColumn("__r", F.row_number().over(w)).where("__r <= 2")
-    pick = F.struct("cost", "observed_index")
+    pick = F.struct("cost", "observed_index", "observed_hex", "expected_index", "expected_hex")
 
     def side(j: int) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("expected_index") == j, pick)))
 
-    g = top.groupBy(key).agg(side(1).alias("a"), side(2).alias("b"), F.max("observed_index").alias("__m"))
-    # with one observed colour both lists name it: keep the nearer expected colour, the first on ties
+    g = top.groupBy(key).agg(side(1).alias("a"), side(2).alias("b"))
     pairs = F.filter(
         F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.struct(
             (x["cost"] + y["cost"]).alias("total"),
             F.least(x["observed_index"], y["observed_index"]).alias("lo"),
             F.greatest(x["observed_index"], y["observed_index"]).alias("hi"),
-            x["observed_index"].alias("i1"), y["observed_index"].alias("i2"),
+            x["observed_index"].alias("first"), x.alias("x"), y.alias("y"),
         )))),
-        lambda p: p["i1"] != p["i2"],
+        lambda p: p["x"]["observed_index"] != p["y"]["observed_index"],
     )
-    best = F.array_min(F.transform(pairs, lambda p: F.struct(p["total"], p["lo"], p["hi"], p["i1"], p["i2"])))
-    single_a, single_b = F.get("a", F.lit(0)), F.get("b", F.lit(0))
-    use_a = single_b.isNull() | (single_a["cost"] <= single_b["cost"])
-    chosen = F.when(
-        F.size(pairs) > 0,
-        F.array(
-            F.struct(F.lit(1).alias("expected_index"), best["i1"].alias("observed_index")),
-            F.struct(F.lit(2).alias("expected_index"), best["i2"].alias("observed_index")),
-        ),
-    ).when(
-        use_a, F.array(F.struct(F.lit(1).alias("expected_index"), single_a["observed_index"].alias("observed_index")))
-    ).otherwise(F.array(F.struct(F.lit(2).alias("expected_index"), single_b["observed_index"].alias("observed_index"))))
-    return g.select(key, F.explode(chosen).alias("m")).select(key, "m.*")
+    best = F.array_min("pairs")
+    only_a, only_b = F.get("a", F.lit(0)), F.get("b", F.lit(0))
+    # one observed colour only: it goes to the nearer expected colour, the first on ties
+    single = F.when(only_b.isNull() | (only_a["cost"] <= only_b["cost"]), only_a).otherwise(only_b)
+    g = g.withColumn("pairs", pairs)
+    return g.select(key, F.when(F.size("pairs") > 0, F.array(best["x"], best["y"])).otherwise(F.array(single)).alias("chosen"))
 
 
 def color_pairs(observed: DataFrame, expected: DataFrame, images: DataFrame, key: str) -> DataFrame:
@@ -80,34 +76,40 @@ def color_pairs(observed: DataFrame, expected: DataFrame, images: DataFrame, key
 
     ``observed``: key, profile, observed_index, observed_hex; ``expected``: profile,
     expected_index, expected_hex (fixed, at most two per profile); ``images``: key, profile.
+    The decision of an image (at most two structs) is joined on the image key alone, so a hot image
+    is an ordinary skewed join that the optimizer splits.  Every row carries the decision in
+    ``chosen``.
     """
-    cost = costs(observed, expected, key)
-    chosen = assign(cost, key)
-    wanted = images.join(F.broadcast(expected), "profile").select(key, "profile", "expected_index", "expected_hex")
-    slots = wanted.join(chosen, [key, "expected_index"], "left")
-    seen = observed.select(key, "observed_index", "observed_hex")
-    # one full join on (image, observed colour) gives all three kinds of rows
-    out = slots.join(seen, [key, "observed_index"], "full")
-    status = (
-        F.when(F.col("expected_index").isNull(), "EXTRA").when(F.col("observed_hex").isNull(), "MISSING").otherwise("MATCHED")
-    )
-    return hex_delta(out.withColumn("pair_status", status), "observed_hex", "expected_hex", "delta_e").select(
-        key, "pair_status", "observed_index", "observed_hex", "expected_index", "expected_hex", "delta_e"
+    chosen = assign(costs(observed, expected, key), key)
+    own = F.get(F.filter("chosen", lambda c: c["observed_index"] == F.col("observed_index")), F.lit(0))
+    seen = observed.join(chosen, key, "left").withColumn("m", own)
+    found = seen.select(
+        key, F.when(F.col("m").isNull(), "EXTRA").otherwise("MATCHED").alias("pair_status"), "observed_index", "observed_hex",
+        F.col("m.expected_index").alias("expected_index"), F.col("m.expected_hex").alias("expected_hex"), F.col("m.cost").alias("delta_e"), "chosen",
     )
+    wanted = images.join(expected, "profile").join(chosen, key, "left")
+    met = F.coalesce(F.exists("chosen", lambda c: c["expected_index"] == F.col("expected_index")), F.lit(False))
+    missing = wanted.where(~met).select(key, F.lit("MISSING").alias("pair_status"), "expected_index", "expected_hex", "chosen")
+    return found.unionByName(missing, allowMissingColumns=True)
 
 
 def classify_extras(pairs: DataFrame, key: str, threshold: float = NEAR_DUPLICATE_MAX) -> DataFrame:
-    """Nearest matched observed colour of every extra one.
-
-    An image has at most two matched colours, so the join adds at most two rows per extra colour.
-    """
-    matched = pairs.where("pair_status = 'MATCHED'").select(key, F.col("observed_index").alias("base_index"), F.col("observed_hex").alias("base_hex"))
-    extras = pairs.where("pair_status = 'EXTRA'").select(key, "observed_index", "observed_hex")
-    near = hex_delta(extras.join(matched, key, "left"), "observed_hex", "base_hex", "d")
-    best = near.groupBy(key, "observed_index", "observed_hex").agg(F.min(F.when(F.col("d").isNotNull(), F.struct("d", "base_index", "base_hex"))).alias("b"))
-    return best.select(
+    """Nearest matched observed colour of every extra one, row-local: an image has at most two."""
+    extras = pairs.where("pair_status = 'EXTRA'").select(key, "observed_index", "observed_hex", "chosen")
+    for i in (0, 1):
+        extras = extras.withColumn(f"__h{i}", F.get("chosen", F.lit(i))["observed_hex"])
+    for i in (0, 1):
+        extras = hex_delta(extras, "observed_hex", f"__h{i}", f"__d{i}")
+
+    def base(i: int) -> Column:
+        m = F.get("chosen", F.lit(i))
+        return F.when(F.col(f"__d{i}").isNotNull(), F.struct(F.col(f"__d{i}").alias("d"), m["observed_index"].alias("i"), m["observed_hex"].alias("h")))
+
+    near = F.array_min(F.array_compact(F.array(base(0), base(1))))
+    e = extras.withColumn("b", near)
+    return e.select(
         key, "observed_index", "observed_hex",
-        F.coalesce("b.base_hex", F.lit("")).alias("nearest_hex"),
+        F.coalesce("b.h", F.lit("")).alias("nearest_hex"),
         F.col("b.d").alias("delta_e"),
         F.when(F.col("b.d") <= threshold, "NEAR_DUPLICATE").otherwise("SEMANTIC_EXTRA_CANDIDATE").alias("extra_class"),
     )

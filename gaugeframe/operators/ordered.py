@@ -234,20 +234,23 @@ def running_median_groups(df: DataFrame, key: str, pos: str, area: str, tol: Col
 def line_phrases(words: DataFrame, line: list[str]) -> DataFrame:
     """Words of a text line split into phrases at wide gaps.
 
-    ``words``: line keys, ``x1, x2, y1, y2, h, conf, text``.  The break width follows the small gaps
-    and the word height of the line.
+    ``words``: line keys, ``x1, x2, y1, y2, h, conf, text``, ordered by ``x1, x2, text``.  The break
+    width follows the small gaps and the word height of the line.  Words that start at the same pixel
+    never part, so gaps are found between start pixels (at most one row each) and the phrase number
+    is joined back to the words.
     """
-    w = _ordered(line, "x1", "x2", "text")
-    d = words.withColumn("gap", F.greatest(F.lit(0.0), F.col("x1") - F.lag("x2").over(w)))
-    per = d.groupBy(*line).agg(
-        percentile(F.when(F.col("gap") > 0.5, F.col("gap")), 0.35).alias("small"), percentile(F.col("h"), 0.5).alias("typical")
-    )
+    starts = words.groupBy(*line, "x1").agg(F.max("x2").alias("last"))
+    w = _ordered(line, "x1")
+    starts = starts.withColumn("gap", F.greatest(F.lit(0.0), F.col("x1") - F.lag("last").over(w)))
+    small = starts.groupBy(*line).agg(percentile(F.when(F.col("gap") > 0.5, F.col("gap")), 0.35).alias("small"))
+    typical = words.groupBy(*line).agg(percentile(F.col("h"), 0.5).alias("typical"))
     wide = F.greatest(2.5 * F.col("small"), 1.45 * F.col("typical"))
     limit = F.when(F.col("small").isNotNull(), F.greatest(F.lit(10.0), F.least(F.lit(34.0), wide))).otherwise(
         F.greatest(F.lit(11.0), 1.45 * F.col("typical"))
     )
-    d = d.join(per.select(*line, limit.alias("limit")), line)
-    d = d.withColumn("phrase", F.sum(F.when(F.col("gap") > F.col("limit"), 1).otherwise(0)).over(w))
+    limits = small.join(typical, line).select(*line, limit.alias("limit"))
+    starts = starts.join(limits, line).withColumn("phrase", F.sum(F.when(F.col("gap") > F.col("limit"), 1).otherwise(0)).over(w))
+    d = words.join(starts.select(*line, "x1", "phrase"), [*line, "x1"])
     width = F.greatest(F.lit(1.0), F.col("x2") - F.col("x1"))
     items = F.array_sort(F.collect_list(F.struct("x1", "x2", "text")))
     return d.groupBy(*line, "phrase").agg(

@@ -102,7 +102,7 @@ ASSIGN = (
 
 @query(with_(*ASSIGN, select=f"select filename, pair_status, observed_index, observed_hex, expected_index, expected_hex, {r6('delta_e')} as delta_e from pr"))
 def g04_min_cost_color_match(spark, sf):
-    return pairs_of(spark, sf).withColumn("delta_e", rint_round(F.col("delta_e")))
+    return pairs_of(spark, sf).drop("chosen").withColumn("delta_e", rint_round(F.col("delta_e")))
 
 
 EXTRA_CTES = (

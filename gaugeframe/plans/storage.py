@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.color import EXPECTED_COLORS, PALETTE
-from gaugeframe.functions.status import PROFILES
 from gaugeframe.plans.catalog import query
 from gaugeframe.plans.fixtures import FILE_NAMES, file_names, r6, table, with_
 from gaugeframe.plans.rules import NAME_RX
@@ -74,19 +73,22 @@ def a05_explode_profile_json(spark, sf):
     return J.read_profile_json(spark, f"{folder}/json", one_per_line=True).select("profile", "id", "pergunta", "resposta")
 
 
-_CFG = [(p, i, n, PALETTE[n]) for p, ns in EXPECTED_COLORS.items() for i, n in enumerate(ns)]
+# expected colours of the five unit segments
+SEGMENT_COLORS = {"AUTOMOBILE": EXPECTED_COLORS["BI"], "BUILDING": EXPECTED_COLORS["BC"], "FURNITURE": EXPECTED_COLORS["LI"], "HOUSEHOLD": EXPECTED_COLORS["LC"], "MACHINERY": EXPECTED_COLORS["SC"]}
+_CFG = [(p, i, n, PALETTE[n]) for p, ns in SEGMENT_COLORS.items() for i, n in enumerate(ns)]
 
 
-@query("select profile, idx, color_name, hex, (select count(*) from orders) as n_images from (values " + ", ".join(f"('{p}', {i}, '{n}', '{h}')" for p, i, n, h in _CFG) + ") v(profile, idx, color_name, hex)")
+@query("select c_custkey as unit_id, profile, idx, color_name, hex from customer join (values " + ", ".join(f"('{p}', {i}, '{n}', '{h}')" for p, i, n, h in _CFG) + ") v(profile, idx, color_name, hex) on c_mktsegment = profile")
 def a06_read_color_config(spark, sf):
+    """The configuration file is read, checked and attached to every unit."""
     import json
 
     folder = W.scratch_folder(spark)
-    text = json.dumps({"palette_F": PALETTE, "expected_colors_by_profile": EXPECTED_COLORS})
+    text = json.dumps({"palette_F": PALETTE, "expected_colors_by_profile": SEGMENT_COLORS})
     spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.text(f"{folder}/config")
-    cfg = J.read_color_config(spark, f"{folder}/config", PROFILES)
-    n = table(spark, sf, "orders").agg(F.count(F.lit(1)).alias("n_images"))
-    return cfg.withColumn("__k", F.lit(0)).join(n.withColumn("__k", F.lit(0)), "__k").drop("__k")
+    cfg = J.read_color_config(spark, f"{folder}/config", list(SEGMENT_COLORS))
+    u = table(spark, sf, "customer").select(F.col("c_custkey").alias("unit_id"), F.col("c_mktsegment").alias("profile"))
+    return u.join(cfg, "profile")
 
 
 @query(with_(FILE_NAMES, select=f"""select 'run/' || filename as path, filename, upper(substr(filename,1,2)) as profile, upper(substr(filename,1,1)) as technique, upper(substr(filename,2,1)) as task, cast(substr(filename,4,3) as integer) as unit_number,
@@ -171,14 +173,15 @@ def a16_checkpoint_resume(spark, sf):
 
 @query("""with l as (select user_id, arg_max(event_type, event_id) as last_type, max(event_id) as last_seq from events group by user_id),
   e as (select user_id from events where event_type = 'error' and value > 50 except select user_id from events where event_type = 'purchase')
-  select l.*, (e.user_id is not null) as open_error, (select count(*) from l) as n_done, (select count(distinct user_id) from events) = (select count(*) from l) and (select count(*) from e) = 0 as publish from l left join e using (user_id)""")
+  select l.user_id, last_type, last_seq, e.user_id is not null as open_error, cast(null as bigint) as n_expected, cast(null as bigint) as n_done, cast(null as bigint) as n_failed, cast(null as boolean) as publish from l left join e using (user_id)
+  union all select null, null, null, null, x, d, f, x = d and f = 0 from (select (select count(distinct user_id) from events) as x, (select count(*) from l) as d, (select count(*) from e) as f)""")
 def a17_checkpoint_finalise(spark, sf):
+    """Latest row per key with its open error, and one gate row."""
     log = table(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
     last = INC.last_attempts(log, "user_id", "event_id").selectExpr("user_id", "event_type as last_type", "event_id as last_seq")
     failed = INC.open_errors(log.where("event_type = 'error' and value > 50"), log.where("event_type = 'purchase'"), "user_id")
-    gate = INC.publication_gate(log.select("user_id").distinct(), last, failed, "user_id").select("n_done", "publish")
     flagged = last.join(failed.withColumn("open_error", F.lit(True)), "user_id", "left").na.fill(False, ["open_error"])
-    return flagged.withColumn("__k", F.lit(0)).join(gate.withColumn("__k", F.lit(0)), "__k").drop("__k")
+    return flagged.unionByName(INC.publication_gate(log.select("user_id").distinct(), last, failed), allowMissingColumns=True)
 
 
 STORED = "case when o_totalprice > 400000 then null when o_orderstatus = 'P' then 'BI_001' else upper(substr({f}, 1, 6)) end"

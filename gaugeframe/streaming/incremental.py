@@ -29,13 +29,14 @@ def open_errors(errors: DataFrame, successes: DataFrame, key: str) -> DataFrame:
     return errors.select(key).distinct().join(successes.select(key), key, "left_anti")
 
 
-def publication_gate(universe: DataFrame, done: DataFrame, failed: DataFrame, key: str) -> DataFrame:
-    """Counts that decide whether a result may be published."""
-    n = universe.agg(F.count(F.lit(1)).alias("n_expected"))
-    d = done.agg(F.count_distinct(key).alias("n_done"))
-    f = failed.agg(F.count(F.lit(1)).alias("n_failed"))
-    # three one-row counts side by side
-    row = n.withColumn("__k", F.lit(0)).join(d.withColumn("__k", F.lit(0)), "__k").join(f.withColumn("__k", F.lit(0)), "__k").drop("__k")
+def publication_gate(universe: DataFrame, done: DataFrame, failed: DataFrame) -> DataFrame:
+    """Counts that decide whether a result may be published; ``done`` has one row per key."""
+
+    def side(df: DataFrame, *flags: int) -> DataFrame:
+        return df.select(*[F.lit(f).cast("bigint").alias(n) for f, n in zip(flags, ("n_expected", "n_done", "n_failed"))])
+
+    rows = side(universe, 1, 0, 0).unionByName(side(done, 0, 1, 0)).unionByName(side(failed, 0, 0, 1))
+    row = rows.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in rows.columns])
     return row.withColumn("publish", (F.col("n_expected") == F.col("n_done")) & (F.col("n_failed") == 0))
 
 
