@@ -46,6 +46,11 @@ def _accent_table() -> tuple[str, str]:
     return "".join(src), "".join(dst)
 
 
+def let(c: Column, fn) -> Column:
+    """``fn(c)`` with ``c`` evaluated once, for expressions that use an intermediate many times."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
 def strip_accents(c: Column) -> Column:
     """Compatibility base characters without combining marks; plain ASCII texts pass untouched."""
     src, dst = _accent_table()
@@ -107,10 +112,12 @@ def letters_in(c: Column) -> Column:
 
 def char_share(c: Column, kept: str) -> Column:
     """Share of ``kept`` (a character class body) among A-Z0-9 of the normalised label."""
-    label = upper_label(c)
-    both = F.length(F.regexp_replace(label, r"[^A-Z0-9]", ""))
-    part = F.length(F.regexp_replace(label, f"[^{kept}]", ""))
-    return F.when(both == 0, F.lit(0.0)).otherwise(part / both)
+
+    def share(chars: Column) -> Column:
+        part = F.length(F.regexp_replace(chars, f"[^{kept}]", ""))
+        return F.when(F.length(chars) == 0, F.lit(0.0)).otherwise(part / F.length(chars))
+
+    return let(F.regexp_replace(upper_label(c), r"[^A-Z0-9]", ""), share)
 
 
 def alpha_ratio(c: Column) -> Column:
@@ -137,20 +144,11 @@ def years(c: Column) -> Column:
     return F.regexp_extract_all(upper_basic(c), F.lit(YEAR), F.lit(1))
 
 
-def numeric_token(c: Column) -> Column:
-    """Strict numeric token as ``STRUCT<text,value,suffix,factor,full,currency,percent>`` or NULL."""
-    up = upper_basic(c)
-    bare = F.replace(F.replace(up, F.lit("R$"), F.lit("")), F.lit("$"), F.lit(""))
-    bare = F.regexp_replace(F.regexp_replace(bare, r"^[()\[\]{}:;]+|[()\[\]{}:;]+$", ""), r"\s+", "")
-    foreign = bare.rlike(f"[A-Z&&[^{TOKEN_LETTERS}]]")
-    fixed = F.when(bare.rlike(r"\d"), F.translate(bare, "OIL", "011")).otherwise(bare)
-    number = F.regexp_extract(fixed, NUMERIC_TOKEN, 1)
-    suffix = F.regexp_extract(fixed, NUMERIC_TOKEN, 2)
-    # the token pattern admits a single separator: a comma is decimal with at most two digits after it
-    plain = F.when(number.rlike(r",\d{1,2}$"), F.replace(number, F.lit(","), F.lit("."))).otherwise(
-        F.replace(number, F.lit(","), F.lit(""))
-    )
-    value = plain.try_cast("double")
+def _token_parts(up: Column, fixed: Column, foreign: Column) -> Column:
+    number, suffix = F.regexp_extract(fixed, NUMERIC_TOKEN, 1), F.regexp_extract(fixed, NUMERIC_TOKEN, 2)
+    # the pattern admits a single separator: a comma is decimal with at most two digits after it
+    point = F.when(number.rlike(r",\d{1,2}$"), ".").otherwise("")
+    value = F.replace(number, F.lit(","), point).try_cast("double")
     factor = F.element_at(literal_map(SUFFIX_FACTORS), suffix)
     return F.when(
         (~foreign) & fixed.rlike(NUMERIC_TOKEN),
@@ -166,6 +164,22 @@ def numeric_token(c: Column) -> Column:
     )
 
 
+def numeric_token(c: Column) -> Column:
+    """Strict numeric token as ``STRUCT<text,value,suffix,factor,full,currency,percent>`` or NULL."""
+
+    def from_upper(up: Column) -> Column:
+        money = F.replace(F.replace(up, F.lit("R$"), F.lit("")), F.lit("$"), F.lit(""))
+        trimmed = F.regexp_replace(money, r"^[()\[\]{}:;]+|[()\[\]{}:;]+$", "")
+        return let(F.regexp_replace(trimmed, r"\s+", ""), lambda bare: from_bare(up, bare))
+
+    def from_bare(up: Column, bare: Column) -> Column:
+        foreign = bare.rlike(f"[A-Z&&[^{TOKEN_LETTERS}]]")
+        fixed = F.when(bare.rlike(r"\d"), F.translate(bare, "OIL", "011")).otherwise(bare)
+        return let(fixed, lambda x: _token_parts(up, x, foreign))
+
+    return let(upper_basic(c), from_upper)
+
+
 def _ocr_digits(c: Column) -> Column:
     return F.translate(c, "OB", "08")
 
@@ -174,9 +188,13 @@ def scale_text(c: Column) -> Column:
     """Scientific-notation text after the position-bound reading fixes."""
     s = F.translate(F.upper(strip_accents(F.translate(c, SUPERSCRIPTS, SUPERSCRIPTS_PLAIN))), "×*−–—", "XX---")
     s = F.regexp_replace(F.regexp_replace(s, r"\s+", ""), r"^[IL](?=E)", "1")
-    sci, ten = r"^(1E[+-]?)([0-9OB]{1,3})$", r"^(X?10\^?[+-]?)([0-9OB]{1,3})$"
-    s = F.when(s.rlike(sci), F.concat(F.regexp_extract(s, sci, 1), _ocr_digits(F.regexp_extract(s, sci, 2)))).otherwise(s)
-    return F.when(s.rlike(ten), F.concat(F.regexp_extract(s, ten, 1), _ocr_digits(F.regexp_extract(s, ten, 2)))).otherwise(s)
+
+    def fix(form: str):
+        return lambda x: F.when(
+            x.rlike(form), F.concat(F.regexp_extract(x, form, 1), _ocr_digits(F.regexp_extract(x, form, 2)))
+        ).otherwise(x)
+
+    return let(let(s, fix(r"^(1E[+-]?)([0-9OB]{1,3})$")), fix(r"^(X?10\^?[+-]?)([0-9OB]{1,3})$"))
 
 
 def scale_exponent(c: Column) -> Column:
@@ -196,13 +214,14 @@ def token_usable(c: Column, kind: Column) -> Column:
 
 
 def semantic_score(c: Column, conf: Column, kind: Column) -> Column:
-    label, n_years = upper_categorical(c), F.size(years(c))
+    label = let(
+        upper_categorical(c),
+        lambda x: F.when(letters_in(x) >= 3, 25.0).otherwise(0.0) + F.when(F.length(x) >= 5, 10.0).otherwise(0.0),
+    )
+    dates = let(F.size(years(c)), lambda n: F.when(n > 0, 45.0 + 4.0 * n).otherwise(0.0))
     bonus = (
-        F.when(
-            kind == "categorical",
-            F.when(letters_in(label) >= 3, 25.0).otherwise(0.0) + F.when(F.length(label) >= 5, 10.0).otherwise(0.0),
-        )
-        .when(kind == "temporal", F.when(n_years > 0, 45.0 + 4.0 * n_years).otherwise(0.0))
+        F.when(kind == "categorical", label)
+        .when(kind == "temporal", dates)
         .when(kind == "numeric", F.when(numeric_token(c).isNotNull(), 35.0).otherwise(0.0))
         .otherwise(0.0)
     )
@@ -211,18 +230,20 @@ def semantic_score(c: Column, conf: Column, kind: Column) -> Column:
 
 def suspicious_text(c: Column) -> Column:
     """Reason a selected label looks cut at an edge; blank when it does not."""
-    label, raw = upper_label(c), F.trim(c)
+    raw = F.trim(c)
     raw_letters = F.length(F.regexp_replace(raw, r"[^A-Za-z]", ""))
-    lettered = F.filter(F.split(label, " "), lambda w: w.rlike("[A-Z]"))
-    return (
-        F.when(F.length(label) == 0, "")
-        .when(raw.rlike(r"^[-_/.,;:]") & (raw_letters >= 6), "LEADING_EDGE_PUNCTUATION")
-        .when(
-            (F.size(lettered) >= 2) & (F.length(F.get(lettered, F.size(lettered) - 1)) == 1) & (letters_in(label) >= 8),
-            "TRAILING_SINGLE_LETTER",
+
+    def reason(label: Column) -> Column:
+        words = F.filter(F.split(label, " "), lambda w: w.rlike("[A-Z]"))
+        cut = let(words, lambda ws: (F.size(ws) >= 2) & (F.length(F.get(ws, F.size(ws) - 1)) == 1))
+        return (
+            F.when(F.length(label) == 0, "")
+            .when(raw.rlike(r"^[-_/.,;:]") & (raw_letters >= 6), "LEADING_EDGE_PUNCTUATION")
+            .when(cut & (letters_in(label) >= 8), "TRAILING_SINGLE_LETTER")
+            .otherwise("")
         )
-        .otherwise("")
-    )
+
+    return let(upper_label(c), reason)
 
 
 @F.pandas_udf(StringType())

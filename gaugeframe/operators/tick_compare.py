@@ -26,15 +26,13 @@ def spec_numbers(part: Column) -> Column:
 
 def number_and_unit(part: Column) -> Column:
     """First number with its unit word as ``STRUCT<value,unit>``, NULL when there is none."""
-    plain = T.norm_text(part)
-    number = F.regexp_extract(plain, T.NUMBER_UNIT, 1)
-    return F.when(
-        number != "",
-        F.struct(
-            F.replace(number, F.lit(","), F.lit(".")).cast("double").alias("value"),
-            F.regexp_extract(plain, T.NUMBER_UNIT, 2).alias("unit"),
-        ),
-    )
+
+    def read(plain: Column) -> Column:
+        number = F.regexp_extract(plain, T.NUMBER_UNIT, 1)
+        value = F.replace(number, F.lit(","), F.lit(".")).try_cast("double")
+        return F.when(value.isNotNull(), F.struct(value.alias("value"), F.regexp_extract(plain, T.NUMBER_UNIT, 2).alias("unit")))
+
+    return T.let(T.norm_text(part), read)
 
 
 def _parts(c: Column) -> Column:
