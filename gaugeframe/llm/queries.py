@@ -6,8 +6,10 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gaugeframe.llm.common import shared_folder
+from gaugeframe.llm.decontaminate import find_passages
 from gaugeframe.llm.packing import cut_documents, pack
 from gaugeframe.llm.token_counts import count_tokens
 from gaugeframe.llm.token_files import read_digests, write_token_files
@@ -57,3 +59,31 @@ def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(cut_documents(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=1))
+
+
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT DISTINCT doc_id, grams.n, i, item FROM grams JOIN windows ON grams.n = windows.n AND grams.g = windows.g),
+counted AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN items USING (doc_id)
+""")
+def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"), window=10)
+    names = F.array_join(F.array_sort("items"), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
