@@ -8,11 +8,14 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeframe.llm.chat import digests, format_conversations
 from gaugeframe.llm.common import shared_folder
 from gaugeframe.llm.decontaminate import find_passages
+from gaugeframe.llm.hilbert import shard_documents
 from gaugeframe.llm.packing import cut_documents, pack
 from gaugeframe.llm.token_counts import count_tokens
 from gaugeframe.llm.token_files import read_digests, write_token_files
+from gaugeframe.llm.topk import top_k
 from gaugeframe.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +90,39 @@ def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
+
+
+@query(r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 5
+""")
+def op4_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5, scale=256)
+
+
+@query()
+def op6_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return shard_documents(table(spark, sf, "documents"), shards=24)
+
+
+@query(r"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (SELECT *, length(regexp_replace(regexp_replace(text, '<([/\\])', '<\\\1', 'g'), '\[([I/\\])', '[\\\1', 'g'))
+  + length(regexp_replace(regexp_replace(role, '<([/\\])', '<\\\1', 'g'), '\[([I/\\])', '[\\\1', 'g')) AS n FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n + 19) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+""")
+def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    marked = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", marked), (-1, 1, "assistant", marked)], turns.schema)
+    return digests(format_conversations(turns.unionByName(extra)))
