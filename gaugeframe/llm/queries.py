@@ -13,6 +13,7 @@ from gaugeframe.llm.common import shared_folder
 from gaugeframe.llm.decontaminate import find_passages
 from gaugeframe.llm.hilbert import shard_documents
 from gaugeframe.llm.packing import cut_documents, pack
+from gaugeframe.llm.quality import score_quality, train
 from gaugeframe.llm.token_counts import count_tokens
 from gaugeframe.llm.token_files import read_digests, write_token_files
 from gaugeframe.llm.topk import top_k
@@ -126,3 +127,9 @@ def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     marked = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", marked), (-1, 1, "assistant", marked)], turns.schema)
     return digests(format_conversations(turns.unionByName(extra)))
+
+
+@query()
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return score_quality(docs, train(docs, table(spark, sf, "labels")))
