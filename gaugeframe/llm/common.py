@@ -53,18 +53,21 @@ def file_digest(path: str) -> str:
 
 
 class PieceEncoder:
-    """Whole-text encoding with the ``tokenizers`` library, each distinct piece between spaces once.
-
-    Byte-level BPE never merges over a space that a visible character follows, and the lower-casing
-    word BPE drops white space, so the ids of a text are those of its pieces. A text where that does
-    not hold (white space after a space, an added token's string) goes to the library as a whole.
-    ``__call__`` gives each text's ids as little-endian unsigned 32-bit integers. ``most`` bounds the
-    remembered pieces, which saves memory and never changes a result.
+    """Whole-text encoding with the ``tokenizers`` library, each distinct piece of text once.
+
+    Byte-level BPE never merges over a space or line break that visible characters surround, and the
+    lower-casing word BPE drops white space and never merges a letter with a mark after it, so the ids of
+    a text are those of its pieces. A text where that does not hold (other white space around a space, an
+    added token's string) goes to the library as a whole. ``__call__`` gives each text's ids as
+    little-endian unsigned 32-bit integers. Up to ``most`` pieces are remembered from one call to the
+    next; others are encoded again, so the bound never changes a result.
     """
 
-    SPACES = re.compile(r" \s|\s $")
+    SPACES = re.compile(r"[ \n]\s|\s $")
+    #: letters that neither lower-casing nor NFC turns into a letter and a combining mark
+    MARK = re.compile("([0-9A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f])([,.])(?=\\s|$)")
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         import json
 
         from tokenizers import Tokenizer
@@ -80,63 +83,75 @@ class PieceEncoder:
         steps = [s.get("type") for s in pre.get("pretokenizers", [])]
         self.words = steps == ["Split", "ByteLevel"] and spec["model"].get("end_of_word_suffix") == "</w>"
         self.added = [t["content"][:2].lower() for t in spec.get("added_tokens", [])]
-        size = self.tokenizer.get_vocab_size()
-        self.starts = np.zeros(size, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.starts[i] = token.startswith("Ġ") if self.byte_level else token.endswith("</w>")
+        vocabulary = self.tokenizer.get_vocab()
+        #: ids that begin a piece after a space, or end a word
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.edge[i] = token.startswith("Ġ") if self.byte_level else token.endswith("</w>")
+        self.line = np.zeros_like(self.edge)
+        self.line[vocabulary.get("Ċ", 0)] = True
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _pieces(self, text: str) -> list[str] | None:
-        if not (self.byte_level or self.words) or any(a in text for a in self.added):
+        if any(a in text for a in self.added):
             return None
-        if self.byte_level and self.SPACES.search(text):
+        if self.words:
+            return self.MARK.sub(r"\1 \2", text.replace("\n", " ")).split(" ")
+        if not self.byte_level or self.SPACES.search(text):
             return None
-        return text.split(" ")
+        return text.replace("\n", " \n").split(" ")
+
+    def _spelled(self, piece: str) -> str:
+        return piece if self.words or piece[:1] == "\n" else " " + piece
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces) -> None:
         """Encodes many pieces as one text and cuts the ids where the pieces meet.
 
-        A byte-level token that begins with a space begins a piece; a word's last token ends a piece of
-        letters alone. Other pieces, and blocks where the counts differ, are encoded one by one.
+        A token with a leading space, or a line break, begins a byte-level piece; a word's last token ends
+        a piece of letters. Other pieces, and blocks where the counts differ, are encoded one by one.
         """
-        whole = (lambda p: p[:1].isspace() or p[-1:].isspace() or not p) if self.byte_level else (lambda p: not p.isalpha())
-        plain, odd = [], []
+        groups: tuple[list[str], list[str], list[str]] = ([], [], [])
         for p in pieces:
-            (odd if whole(p) else plain).append(p)
-        blocks = [plain[i : i + 400] for i in range(0, len(plain), 400)]
-        joined = ["".join(" " + p for p in b) if self.byte_level else " ".join(b) for b in blocks]
-        for block, enc in zip(blocks, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            raw = np.array(enc.ids, dtype="<u4")
-            at = np.flatnonzero(self.starts[raw])
-            if len(at) != len(block):
-                odd += block
-                continue
-            cuts = np.append(at, len(raw)) if self.byte_level else np.append(0, at + 1)
-            raw, cuts = raw.tobytes(), (cuts * 4).tolist()
-            for p, a, b in zip(block, cuts, cuts[1:]):
-                self.known[p] = raw[a:b]
-        for p, enc in zip(odd, self.tokenizer.encode_batch_fast([" " + p if self.byte_level else p for p in odd], add_special_tokens=False)):
+            if self.words:
+                groups[0 if p.isalpha() else 2].append(p)
+            elif p[:1] == "\n":
+                groups[1 if len(p) > 1 and not p[1:2].isspace() else 2].append(p)
+            else:
+                groups[2 if not p or p[:1].isspace() or p[-1:].isspace() else 0].append(p)
+        odd = groups[2]
+        for group, edge in zip(groups, (self.edge, self.line)):
+            cut = [group[i : i + 400] for i in range(0, len(group), 400)]
+            joined = [" ".join(b) if self.words else "".join(map(self._spelled, b)) for b in cut]
+            for block, enc in zip(cut, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                raw = np.array(enc.ids, dtype="<u4")
+                at = np.flatnonzero(edge[raw])
+                if len(at) != len(block):
+                    odd += block
+                    continue
+                ends = np.append(0, at + 1) if self.words else np.append(at, len(raw))
+                raw, ends = raw.tobytes(), (ends * 4).tolist()
+                for p, a, b in zip(block, ends, ends[1:]):
+                    self.known[p] = raw[a:b]
+        for p, enc in zip(odd, self.tokenizer.encode_batch_fast(list(map(self._spelled, odd)), add_special_tokens=False)):
             self.known[p] = np.array(enc.ids, dtype="<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [self._pieces(t) for t in texts]
-        bodies = [p if p is None or not self.byte_level else p[1:] for p in split]
-        new = set().union(*(p for p in bodies if p)).difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = set().union(*(p for p in bodies if p))
-        if new:
-            self._learn(sorted(new))
-        get, out = self.known.__getitem__, []
-        for text, parts, body in zip(texts, split, bodies):
-            if parts is None:
-                out.append(self._ids(text).tobytes())
-            elif self.byte_level:
-                out.append((self._ids(parts[0]).tobytes() if parts[0] else b"") + b"".join(map(get, body)))
-            else:
-                out.append(b"".join(map(get, body)))
+        firsts = []
+        if self.byte_level:  # a text's first piece has no space before it
+            firsts = [self._ids(p[0]).tobytes() if p and p[0] else b"" for p in split]
+            split = [p and p[1:] for p in split]
+        new = set().union(*filter(None, split)).difference(self.known)
+        self._learn(new)
+        get = self.known.__getitem__
+        out = [self._ids(t).tobytes() if p is None else b"".join(map(get, p)) for t, p in zip(texts, split)]
+        if firsts:
+            out = [a + b for a, b in zip(firsts, out)]
+        if len(self.known) > self.most:
+            for p in new:
+                del self.known[p]
         return out
 
 
