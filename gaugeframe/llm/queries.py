@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.llm.chat import digests, format_conversations
+from gaugeframe.llm.chosen_path import near_duplicates
 from gaugeframe.llm.common import shared_folder
 from gaugeframe.llm.decontaminate import find_passages
 from gaugeframe.llm.hilbert import shard_documents
@@ -133,3 +134,21 @@ def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return score_quality(docs, train(docs, table(spark, sf, "labels")))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+near AS (SELECT x, y, c, p.n AS nx, q.n AS ny FROM links JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE c * 10 >= 8 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, n.y FROM reach r JOIN near n ON n.x = r.y),
+classes AS (SELECT x, min(y) AS class_id FROM reach GROUP BY x)
+SELECT doc_id, class_id, (SELECT count(*) FROM near WHERE x = doc_id) AS n_links,
+  (SELECT least(doc_id, coalesce(min(y), doc_id)) FROM near WHERE x = doc_id AND c = nx AND c = ny) AS set_id,
+  1 + (SELECT count(*) FROM near WHERE x = doc_id AND c = nx AND c = ny) AS n_copies
+FROM documents JOIN classes ON x = doc_id
+""".replace("WITH d", "WITH RECURSIVE d"))
+def op8_chosen_path_join(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"), size=5, threshold=0.8).select("doc_id", "class_id", "n_links", "set_id", "n_copies")
