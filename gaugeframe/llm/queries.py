@@ -15,6 +15,7 @@ from gaugeframe.llm.decontaminate import find_passages
 from gaugeframe.llm.hilbert import shard_documents
 from gaugeframe.llm.packing import cut_documents, pack
 from gaugeframe.llm.quality import score_quality, train
+from gaugeframe.llm.suffix_dedup import remove_repeats
 from gaugeframe.llm.token_counts import count_tokens
 from gaugeframe.llm.token_files import read_digests, write_token_files
 from gaugeframe.llm.topk import top_k
@@ -152,3 +153,8 @@ FROM documents JOIN classes ON x = doc_id
 """.replace("WITH d", "WITH RECURSIVE d"))
 def op8_chosen_path_join(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"), size=5, threshold=0.8).select("doc_id", "class_id", "n_links", "set_id", "n_copies")
+
+
+@query()
+def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(table(spark, sf, "documents"), length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
