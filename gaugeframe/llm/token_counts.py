@@ -76,7 +76,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int, doc_id
         wanted = wanted.join(stored.select("digest"), "digest", "left_anti")
     texts = docs.select(*row_key(doc_id, text), body.alias("text"))
     misses = wanted.select("digest", "k.k1", "k.k2").join(texts, ["k1", "k2"]).select("digest", "text")
-    misses.mapInArrow(_encode(tokenizer, version), SCHEMA).write.mode("append").option("compression", "zstd").parquet(cache)
+    # rows that agree in id and text bring a digest twice
+    misses.mapInArrow(_encode(tokenizer, version), SCHEMA).dropDuplicates(["digest"]).write.mode("append").option("compression", "zstd").parquet(cache)
     stored = spark.read.schema(SCHEMA).parquet(cache).where(F.col("version") == version)
     # written first: the join below then sees a plain table, so that a content with many copies is split
     counts = written(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")

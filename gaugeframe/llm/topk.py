@@ -72,7 +72,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     hold a null or non-finite component, and rows without an id, take no part on either side. A query
     meets vectors of its own length only. Rows that repeat both id and vector count once; of one vector
     under many ids the ``k + 1`` smallest ids can matter and are kept. Fewer than k partners give fewer
-    rows, an empty table gives none; other columns are ignored. Every query block meets every file block
+    rows, an empty table gives none; other columns are ignored; a score beyond 64 bits is an error. Every query block meets every file block
     once, under a key of its own.
     """
 
