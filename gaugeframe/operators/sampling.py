@@ -49,13 +49,14 @@ def whole_units(images: DataFrame, unit: str, repeat: str, first: int, repeats:
 
 
 def blind_cases(df: DataFrame, stratum: str, key: str, k: int, seed: int) -> DataFrame:
-    """``k`` rows per stratum, shuffled together and numbered ``CASE_001`` onwards.
+    """``k`` rows per stratum, shuffled together and numbered ``CASE_001`` onwards, wider from 1000.
 
     The numbering orders the drawn sample only, ``k`` rows per stratum.
     """
     s = first_per_group(df, [stratum], [draw(seed, key)], k)
-    n = F.row_number().over(Window.orderBy(draw(seed + 1, key)))
-    return s.withColumn("case_id", F.concat(F.lit("CASE_"), F.lpad(n.cast("string"), 3, "0")))
+    n = F.row_number().over(Window.orderBy(draw(seed + 1, key))).cast("string")
+    # lpad alone would cut numbers above 999
+    return s.withColumn("case_id", F.concat(F.lit("CASE_"), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n)))
 
 
 def quota_sample(df: DataFrame, stratum: str, key: str, ok: str, stress: Column, n: int, seed: int) -> DataFrame:

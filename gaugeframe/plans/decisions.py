@@ -86,7 +86,7 @@ def g14_select_axis_values(spark, sf):
     c = AXIS_CANDS.spark(spark, sf)
     w = Window.partitionBy("filename", "position", F.col("value").isNull()).orderBy(F.desc("score"), "part", "value", "confidence")
     c = c.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
-    a = K.select_axis_values(c, "filename")
+    a = K.select_axis_values(c, "filename", anchors_each=5)
     total = F.aggregate(F.array_compact("values"), F.lit(0.0), lambda x, y: x + y)
     return a.select("filename", "n_positions", "n_with_candidates", "status", "n_inliers", rint_round(F.col("anchor_span")).alias("anchor_span"), rint_round(F.col("slope")).alias("slope"), "n_selected", "n_unreadable", F.rint(total).cast("bigint").alias("value_sum"))
 

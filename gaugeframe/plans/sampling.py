@@ -48,7 +48,7 @@ def e04_row_sample_per_profile(spark, sf):
 
 
 @query(with_(*IMAGES, f"s as (select profile, filename from image where mark_present = 1 qualify row_number() over (partition by profile order by {h('filename')}, filename) <= 20)",
-             select=f"select profile, filename, 'CASE_' || lpad(cast(row_number() over (order by {h('filename', SEED + 1)}, filename) as varchar), 3, '0') as case_id from s"))
+             select=f"select profile, filename, 'CASE_' || repeat('0', greatest(0, 3 - length(cast(n as varchar)))) || cast(n as varchar) as case_id from (select *, row_number() over (order by {h('filename', SEED + 1)}, filename) as n from s)"))
 def e05_blind_control_sample(spark, sf):
     ok = images(spark, sf).where("mark_present = 1").select("profile", "filename")
     return P.blind_cases(ok, "profile", "filename", 20, SEED)
