@@ -2,10 +2,11 @@
 
 Every set starts at the root of each run and follows a few of its tokens, picked by a hash of the path
 so far and the token: sets with much in common pick common tokens and meet again below. Buckets of one
-set end; small ones are compared by brute force; large ones are split by further tokens, unless the parts
-would cost as much as the bucket, which is then compared in blocks. Runs are repeated until the chance
-that a pair at the threshold meets nowhere falls below ``1 - recall``. A pair that meets several times is
-counted in the first of its buckets only. Equal sets are joined beforehand by a digest.
+set end; small ones are compared by brute force, first by one-bit minwise sketches and then exactly; large
+ones are split by further tokens, unless the parts would cost as much as the bucket, which is then
+compared in blocks. Runs are repeated until the chance that a pair at the threshold meets nowhere falls
+below ``1 - recall``. A pair that meets several times is counted in the first of its buckets only. Equal
+sets are joined beforehand by a digest.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ SHARED = 4.0
 #: buckets up to this size are compared at once, larger ones in blocks of it
 LEAF = 256
 DEPTH = 6
+#: equal bits, of 128, that the sketches of a pair need: at the threshold 115 are expected, 64 by chance;
+#: fewer than this at the threshold have a probability of about 1e-9
+AGREE = 90
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,8 +77,19 @@ def children(path: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, threshold:
     return picked, mix(x + path * GOLD)
 
 
+def sketches(code: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One-bit minwise sketches, two words each: a bit of the least token in each of 128 ranges."""
+    owner, place = np.repeat(np.arange(len(at) - 1), np.diff(at)), (code >> np.uint64(57)).astype(np.int64)
+    first = np.ones(len(code), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])
+    out = np.zeros((len(at) - 1, 2), np.uint64)
+    bit = (mix(code[first]) & np.uint64(1)) << (place[first] % 64).astype(np.uint64)
+    np.bitwise_or.at(out, (owner[first], place[first] // 64), bit)
+    return out
+
+
 def _sets(size: int, runs: int, threshold: float):
-    """Digest, size and first buckets of each text's set."""
+    """Digest, size, sketch and first buckets of each text's set."""
 
     def run(batches):
         for b in blocks(batches, 2 << 20):
@@ -93,9 +108,47 @@ def _sets(size: int, runs: int, threshold: float):
             offsets = np.searchsorted(whose[order], np.arange(len(n) + 1))
             paths = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found[order].view(np.int64)))
             digests = [pa.array((x[at[1:]] - x[at[:-1]]).view(np.int64)) for x in (a, c)]
-            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), *digests, pa.array(n, pa.int64()), paths], ["k1", "k2", "s1", "s2", "n", "paths"])
+            bits = [pa.array(x.copy().view(np.int64)) for x in sketches(code, at).T]
+            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), *digests, pa.array(n, pa.int64()), *bits, paths], ["k1", "k2", "s1", "s2", "n", "g1", "g2", "paths"])
+
+    return run, "k1 long, k2 long, s1 long, s2 long, n long, g1 long, g2 long, paths array<long>"
+
+
+def _promising(threshold: float):
+    """Rows, sorted by bucket, that have a partner in it of fitting size and sketch."""
+    share = round(threshold * 10**6)
+
+    def keep(rows: pa.RecordBatch) -> pa.RecordBatch:
+        bucket, n = (rows.column(c).to_numpy() for c in ("bucket", "n"))
+        g1, g2 = (rows.column(c).to_numpy().view(np.uint64) for c in ("g1", "g2"))
+        good = np.zeros(len(bucket), bool)
+        for o in range(1, LEAF):
+            i = np.flatnonzero(bucket[o:] == bucket[:-o])
+            if not len(i):
+                break
+            equal = 128 - np.bitwise_count(g1[i] ^ g1[i + o]).astype(int) - np.bitwise_count(g2[i] ^ g2[i + o])
+            fits = np.minimum(n[i], n[i + o]) * 10**6 >= np.maximum(n[i], n[i + o]) * share
+            i = i[(equal >= AGREE) & fits]
+            good[i] = good[i + o] = True
+        return rows.filter(pa.array(good)).select(["bucket", "m", "k1", "k2"])
+
+    def run(batches):
+        held = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bucket = b.column("bucket").to_numpy()
+            cut = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if bucket[0] != bucket[-1] else 0
+            if cut == 0 and held and held[0].column("bucket")[0].as_py() == bucket[0]:
+                held.append(b)
+                continue
+            if held or cut:
+                yield keep(pa.concat_batches([*held, b.slice(0, cut)]))
+            held = [b.slice(cut)]
+        if held:
+            yield keep(pa.concat_batches(held))
 
-    return run, "k1 long, k2 long, s1 long, s2 long, n long, paths array<long>"
+    return run
 
 
 def compare(tokens, counts, copies, seen, bucket: int, left: int, threshold: float):
@@ -186,23 +239,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
     keyed = docs.select(*row_key(doc_id, text), F.col(text).alias("text"))
     sets = written(keyed.mapInArrow(scan, schema), "sets")
     # equal sets first: k is the smallest key that has the set
-    one = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("k1", "k2")).alias("k"), F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths"))
+    one = sets.where("n > 0").groupBy("s1", "s2", "n", "g1", "g2").agg(F.min(F.struct("k1", "k2")).alias("k"), F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths"))
     distinct = written(one, "distinct-sets")
 
     level = distinct.select(F.explode("paths").alias("bucket"), "k")
-    leaves, tokens, parents = [], None, None
+    leaves, tokens = [], None
     for depth in range(DEPTH):
         sizes = written(level.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "bucket-sizes")
         level = written(level.join(sizes, "bucket"), "buckets")
+        small = level.where(F.col("m") <= LEAF).join(distinct.select("k", "n", "g1", "g2"), "k").select("bucket", "m", "k.k1", "k.k2", "n", "g1", "g2")
+        near = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_promising(threshold), "bucket long, m long, k1 long, k2 long")
+        leaves.append(written(near.select("bucket", "m", F.struct("k1", "k2").alias("k")), "leaves"))
+        large = level.where(F.col("m") > LEAF)
         if tokens is None:
-            tokens = _tokens(docs, level, distinct, size, doc_id, text)
-        if depth + 1 == DEPTH:
-            leaves.append(level)
-            break
-        leaves.append(level.where(F.col("m") <= LEAF).drop("parent"))
-        large = level.where(F.col("m") > LEAF).drop("parent")
+            active = leaves[0].select("k").unionByName(large.select("k")).distinct()
+            tokens = _tokens(docs, active.join(distinct.select("k", "copies"), "k"), size, doc_id, text)
         if not large.head(1):
             break
+        if depth + 1 == DEPTH:
+            leaves.append(large)
+            break
         below = written(large.groupBy("k").agg(F.collect_list("bucket").alias("buckets")).join(tokens, "k").mapInArrow(_descend(threshold), "k1 long, k2 long, parent long, bucket long"), "children")
         # pairs to compare if every child were a leaf, against the pairs of the bucket itself
         cost = below.groupBy("parent", "bucket").agg(F.count(F.lit(1)).alias("c")).groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("cost"))
@@ -225,19 +281,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
     return with_set.unionByName(without).select(F.when(F.col("k1") != NO_ID, F.col("k1")).alias("doc_id"), "class_id", "n_links", "set_id", "n_copies", "k1", "k2", "root")
 
 
-def _tokens(docs: DataFrame, level: DataFrame, distinct: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
-    """Tokens of the sets that met another at the first step: no other set is ever compared."""
+def _tokens(docs: DataFrame, active: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
+    """``k, copies, tokens`` of the sets that are split further or compared: no other is looked at again."""
 
     def scan(batches):
         for b in blocks(batches, 2 << 20):
             code, at = token_sets(b.column("text"), size)
             values = pa.array([code[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), values], ["k1", "k2", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), b.column("copies"), values], ["k1", "k2", "copies", "tokens"])
 
-    active = level.select("k").distinct().select("k.k1", "k.k2")
     texts = docs.select(*row_key(doc_id, text), F.col(text).alias("text"))
-    found = texts.join(active, ["k1", "k2"], "left_semi").mapInArrow(scan, "k1 long, k2 long, tokens binary").dropDuplicates(["k1", "k2"])
-    return written(found.select(F.struct("k1", "k2").alias("k"), "tokens").join(distinct.select("k", "copies"), "k"), "tokens")
+    # equal rows share a key; one of them is read
+    found = texts.join(active.select("k.k1", "k.k2", "copies"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    found = found.mapInArrow(scan, "k1 long, k2 long, copies long, tokens binary")
+    return written(found.select(F.struct("k1", "k2").alias("k"), "copies", "tokens"), "tokens")
 
 
 def _descend(threshold: float):
@@ -268,9 +325,9 @@ def _compared(leaves: list[DataFrame], tokens: DataFrame, threshold: float) -> D
     every = leaves[0]
     for more in leaves[1:]:
         every = every.unionByName(more)
-    every = written(every.select("bucket", "m", "k"), "leaves")
-    members = every.groupBy("bucket", "m").agg(F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("k", F.lit(1)).cast("decimal(38,0)")).alias("y"))
-    first = written(members.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "first-buckets")
+    every = written(every.select("bucket", "k"), "leaves")
+    members = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("k", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+    first = written(members.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket")).where("m > 1").select("bucket", "m"), "first-buckets")
     rows = written(every.join(first, "bucket"), "leaf-rows")
     seen = rows.groupBy("k").agg(F.array_sort(F.collect_set("bucket")).alias("seen"))
     known = written(seen.join(tokens, "k"), "leaf-tokens")
