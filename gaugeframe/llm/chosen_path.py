@@ -23,8 +23,10 @@ from gaugeframe.llm.words import mix, words_of
 
 #: children that two sets at the threshold share on average, at every step of a path
 SHARED = 4.0
-#: buckets up to this size are compared at once, larger ones in blocks of it
+#: buckets up to this size are compared at once, larger ones in blocks of it; blocks hold fewer sets if
+#: together they would have more tokens than this
 LEAF = 256
+BLOCK_TOKENS = 400_000
 DEPTH = 6
 #: equal bits, of 128, that the sketches of a pair need: at the threshold 115 are expected, 64 by chance;
 #: fewer than this at the threshold have a probability of about 1e-9
@@ -92,7 +94,7 @@ def _sets(size: int, runs: int, threshold: float):
     """Digest, size, sketch and first buckets of each text's set."""
 
     def run(batches):
-        for b in blocks(batches, 2 << 20):
+        for b in blocks(batches, 1 << 20):
             code, at = token_sets(b.column("text"), size)
             n = np.diff(at)
             a, c = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x), dtype=np.uint64)]) for x in (code + np.uint64(1), code ^ GOLD))
@@ -285,7 +287,7 @@ def _tokens(docs: DataFrame, active: DataFrame, size: int, doc_id: str, text: st
     """``k, copies, tokens`` of the sets that are split further or compared: no other is looked at again."""
 
     def scan(batches):
-        for b in blocks(batches, 2 << 20):
+        for b in blocks(batches, 1 << 20):
             code, at = token_sets(b.column("text"), size)
             values = pa.array([code[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), b.column("copies"), values], ["k1", "k2", "copies", "tokens"])
@@ -331,7 +333,9 @@ def _compared(leaves: list[DataFrame], tokens: DataFrame, threshold: float) -> D
     rows = written(every.join(first, "bucket"), "leaf-rows")
     seen = rows.groupBy("k").agg(F.array_sort(F.collect_set("bucket")).alias("seen"))
     known = written(seen.join(tokens, "k"), "leaf-tokens")
-    parts = F.ceil(F.col("m") / LEAF).cast("int")
+    volume = rows.join(tokens.select("k", (F.octet_length("tokens") / 8).alias("n")), "k").groupBy("bucket").agg(F.sum("n").alias("volume"))
+    parts = F.ceil(F.greatest(F.col("m") / LEAF, F.col("volume") / BLOCK_TOKENS)).cast("int")
+    rows = rows.join(written(volume, "bucket-volumes"), "bucket")
     dealt = rows.withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("k", "bucket"), F.col("parts")).cast("int"))
     # a part meets itself and every other: (p, p), (p, later) and (earlier, p)
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, "p").alias("lo"), F.greatest(q, "p").alias("hi")))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,3 +173,4 @@ def blocks(batches, most: int = 8 << 20):
         step = max(1, rows * most // max(b.nbytes, 1)) if rows else 1
         for i in range(0, rows, step):
             yield b.slice(i, step)
+        pa.default_memory_pool().release_unused()
