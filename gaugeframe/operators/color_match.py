@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeframe.functions.color import delta_e_packed, packed
 from gaugeframe.functions.numbers import rint_round
@@ -30,53 +32,72 @@ def hex_delta(df: DataFrame, first: str, second: str, out: str) -> DataFrame:
 
 
 def costs(observed: DataFrame, expected: DataFrame, key: str) -> DataFrame:
-    """Distance of every observed colour to the (at most two) expected ones of its profile.
+    """Distance of every observed colour to the expected ones of its profile, with their number.
 
     The expected table is a handful of rows, which the optimizer sees and broadcasts by itself.
     """
-    return hex_delta(observed.join(expected, "profile"), "observed_hex", "expected_hex", "cost")
+    sized = expected.withColumn("n_expected", F.count(F.lit(1)).over(Window.partitionBy("profile")))
+    return hex_delta(observed.join(sized, "profile"), "observed_hex", "expected_hex", "cost")
+
+
+_CHOSEN = T.ArrayType(T.StructType([
+    T.StructField("cost", T.DoubleType()), T.StructField("observed_index", T.LongType()), T.StructField("observed_hex", T.StringType()),
+    T.StructField("expected_index", T.LongType()), T.StructField("expected_hex", T.StringType()),
+]))
+
+
+def cheapest_matching(candidates: list[dict]) -> list[dict]:
+    """One-to-one pairs of the most expected colours at least total cost, by expected colour.
+
+    Observed colours are taken in turn; for every set of expected colours served so far the best way is
+    kept. Ties go to the smaller observed colours, then to the smaller partner of the first expected one.
+    """
+    expected = sorted({c["expected_index"] for c in candidates})
+    bit = {e: 1 << k for k, e in enumerate(expected)}
+    best: dict[int, tuple] = {0: (0.0, (), (), ())}
+    for o in sorted({c["observed_index"] for c in candidates}):
+        mine = [c for c in candidates if c["observed_index"] == o]
+        grown = dict(best)
+        for served, (cost, used, pairs, chosen) in best.items():
+            for c in mine:
+                mask = served | bit[c["expected_index"]]
+                if mask != served:
+                    way = cost + c["cost"], (*used, o), tuple(sorted((*pairs, (c["expected_index"], o)))), (*chosen, c)
+                    if mask not in grown or way[:3] < grown[mask][:3]:
+                        grown[mask] = way
+        best = grown
+    most = max(m.bit_count() for m in best)
+    way = min((w for m, w in best.items() if m.bit_count() == most), key=lambda w: w[:3])
+    return sorted(way[3], key=lambda c: c["expected_index"])
+
+
+@F.pandas_udf(_CHOSEN)
+def _matching(candidates: pd.Series) -> pd.Series:
+    return pd.Series([cheapest_matching(list(c)) for c in candidates])
 
 
 def assign(cost: DataFrame, key: str) -> DataFrame:
-    """Cheapest one-to-one assignment for at most two expected colours per image.
+    """Cheapest one-to-one assignment of observed to expected colours per image.
 
     Returns key and ``chosen``: one struct per matched expected colour, with the observed colour and
-    the distance.  An optimal assignment never needs more than the two nearest observed colours of
-    each expected one: any other choice can be swapped for one of them at no higher cost.  So only
-    the two nearest per expected colour survive (a ranked top-2, cut before the shuffle) and at most
-    four pairs per image are compared; nothing grows with the number of observed colours.
+    the distance.  For n expected colours an optimal assignment never needs more than the n nearest
+    observed colours of each: any other choice can be swapped for a free one of them at no higher cost.
+    So only those survive (a ranked top-n, cut before the shuffle), and an image brings at most n * n
+    candidates together, however many colours were observed; n is the size of a profile's palette.
     """
     w = Window.partitionBy(key, "expected_index").orderBy("cost", "observed_index")
-    top = cost.withColumn("__r", F.row_number().over(w)).where("__r <= 2")
-    pick = F.struct("cost", "observed_index", "observed_hex", "expected_index", "expected_hex")
-
-    def side(j: int) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("expected_index") == j, pick)))
-
-    g = top.groupBy(key).agg(side(1).alias("a"), side(2).alias("b"))
-    pairs = F.filter(
-        F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.struct(
-            (x["cost"] + y["cost"]).alias("total"),
-            F.least(x["observed_index"], y["observed_index"]).alias("lo"),
-            F.greatest(x["observed_index"], y["observed_index"]).alias("hi"),
-            x["observed_index"].alias("first"), x.alias("x"), y.alias("y"),
-        )))),
-        lambda p: p["x"]["observed_index"] != p["y"]["observed_index"],
-    )
-    best = F.array_min("pairs")
-    only_a, only_b = F.get("a", F.lit(0)), F.get("b", F.lit(0))
-    # one observed colour only: it goes to the nearer expected colour, the first on ties
-    single = F.when(only_b.isNull() | (only_a["cost"] <= only_b["cost"]), only_a).otherwise(only_b)
-    g = g.withColumn("pairs", pairs)
-    return g.select(key, F.when(F.size("pairs") > 0, F.array(best["x"], best["y"])).otherwise(F.array(single)).alias("chosen"))
+    top = cost.withColumn("__r", F.row_number().over(w)).where("__r <= n_expected")
+    pick = F.struct("cost", F.col("observed_index").cast("bigint").alias("observed_index"), "observed_hex", F.col("expected_index").cast("bigint").alias("expected_index"), "expected_hex")
+    g = top.groupBy(key).agg(F.array_sort(F.collect_list(pick)).alias("candidates"))
+    return g.select(key, _matching("candidates").alias("chosen"))
 
 
 def color_pairs(observed: DataFrame, expected: DataFrame, images: DataFrame, key: str) -> DataFrame:
     """``MATCHED``, ``EXTRA`` and ``MISSING`` rows of every image.
 
     ``observed``: key, profile, observed_index, observed_hex; ``expected``: profile,
-    expected_index, expected_hex (fixed, at most two per profile); ``images``: key, profile.
-    The decision of an image (at most two structs) is joined on the image key alone, so a hot image
+    expected_index, expected_hex (a fixed palette); ``images``: key, profile.
+    The decision of an image (one struct per matched colour) is joined on the image key alone, so a hot image
     is an ordinary skewed join that the optimizer splits.  Every row carries the decision in
     ``chosen``.
     """
@@ -94,19 +115,11 @@ def color_pairs(observed: DataFrame, expected: DataFrame, images: DataFrame, key
 
 
 def classify_extras(pairs: DataFrame, key: str, threshold: float = NEAR_DUPLICATE_MAX) -> DataFrame:
-    """Nearest matched observed colour of every extra one, row-local: an image has at most two."""
-    extras = pairs.where("pair_status = 'EXTRA'").select(key, "observed_index", "observed_hex", "chosen")
-    for i in (0, 1):
-        extras = extras.withColumn(f"__h{i}", F.get("chosen", F.lit(i))["observed_hex"])
-    for i in (0, 1):
-        extras = hex_delta(extras, "observed_hex", f"__h{i}", f"__d{i}")
-
-    def base(i: int) -> Column:
-        m = F.get("chosen", F.lit(i))
-        return F.when(F.col(f"__d{i}").isNotNull(), F.struct(F.col(f"__d{i}").alias("d"), m["observed_index"].alias("i"), m["observed_hex"].alias("h")))
-
-    near = F.array_min(F.array_compact(F.array(base(0), base(1))))
-    e = extras.withColumn("b", near)
+    """Nearest matched observed colour of every extra one, out of all matched ones of its image."""
+    extras = pairs.where("pair_status = 'EXTRA'").select(key, "observed_index", "observed_hex", F.explode_outer("chosen").alias("m"))
+    near = hex_delta(extras.withColumn("__h", F.col("m.observed_hex")), "observed_hex", "__h", "__d")
+    base = F.when(F.col("__d").isNotNull(), F.struct(F.col("__d").alias("d"), F.col("m.observed_index").alias("i"), F.col("__h").alias("h")))
+    e = near.groupBy(key, "observed_index", "observed_hex").agg(F.min(base).alias("b"))
     return e.select(
         key, "observed_index", "observed_hex",
         F.coalesce("b.h", F.lit("")).alias("nearest_hex"),

@@ -37,10 +37,11 @@ def test_assignment_is_the_cheapest(spark):
     hexes = [f"#{rng.randrange(1 << 24):06X}" for _ in range(9)] + ["#1F4FD8"] * 2
     obs, imgs = [], []
     for k in range(60):
-        prof = "ONE" if k % 3 == 0 else "TWO"
+        prof = ("ONE", "TWO", "FIVE")[k % 3]
         imgs.append((k, prof))
         obs += [(k, prof, i, rng.choice(hexes)) for i in range(rng.randrange(0, 6))]
     exp = [("ONE", 1, "#C62828"), ("TWO", 1, "#EF6C00"), ("TWO", 2, "#1F4FD8")]
+    exp += [("FIVE", i + 1, h) for i, h in enumerate(["#C62828", "#EF6C00", "#1F4FD8", "#2E7D32", "#6A1B9A"])]
     pairs = CM.color_pairs(
         spark.createDataFrame(obs, "k int, profile string, observed_index int, observed_hex string"),
         spark.createDataFrame(exp, "profile string, expected_index int, expected_hex string"),

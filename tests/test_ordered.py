@@ -42,27 +42,14 @@ def test_hue_ring(spark, rng):
         assert sorted(got[k]) == sorted(sizes), k
 
 
-def test_lane_groups_follow_the_one_gap_scan(spark, rng):
+def test_lane_groups_end_where_two_empty_bins_follow(spark, rng):
     rows = sorted({(k, rng.randrange(40)) for k in range(60) for _ in range(rng.randrange(1, 16))})
+    rows += [(100, b) for b in (3, 4, 6, 8)] + [(101, b) for b in (3, 6, 7, 39)] + [(102, 0)]
     got = {r.k: r.n_groups for r in O.lane_groups(spark.createDataFrame(rows, "k int, b int"), "k", "b", 40, 20, 790).collect()}
-    for k, bs in per_key(rows).items():
-        occ = [any(b == (i,) for b in bs) for i in range(40)]
-        i = n = 0
-        while i < 40:
-            if not occ[i]:
-                i += 1
-                continue
-            n, end, used = n + 1, i, False
-            i += 1
-            while i < 40:
-                if occ[i]:
-                    end, used, i = i, False, i + 1
-                elif not used and i + 1 < 40 and occ[i + 1]:
-                    used, i = True, i + 1
-                else:
-                    break
-            i = max(i, end + 1)
-        assert got[k] == n
+    assert (got[100], got[101], got[102]) == (1, 3, 1)
+    for k in got:
+        bins = sorted(b for kk, b in rows if kk == k)
+        assert got[k] == 1 + sum(b - a > 2 for a, b in zip(bins, bins[1:]))
 
 
 def test_interval_union(spark, rng):
