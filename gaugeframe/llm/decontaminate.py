@@ -236,7 +236,7 @@ def find_passages(
     def scan(items):
         def run(batches):
             matcher = Matcher(items, window)
-            for b in blocks(batches, 2 << 20):
+            for b in blocks(batches, 1 << 20):
                 counts, hits = matcher.find(b.column("text"))
                 spans, names = [], []
                 for (s, n), old, had in zip(hits, b.column("spans").to_pylist(), b.column("items").to_pylist()):
@@ -260,17 +260,9 @@ def remove_passages(found: DataFrame, max_coverage: float = 0.5) -> DataFrame:
     From the others each span is cut, from the first byte of its first word to the last of its last.
     """
 
-    def run(batches):
-        for b in batches:
-            texts = []
-            for t, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
-                if spans:
-                    raw, kept, at = t.encode(), [], 0
-                    for s in spans:
-                        kept.append(raw[at : s["start_byte"]])
-                        at = s["end_byte"]
-                    t = b"".join([*kept, raw[at:]]).decode()
-                texts.append(t)
-            yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-
-    return found.where(F.col("n_hit") <= F.col("n_words") * max_coverage).mapInArrow(run, found.schema)
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s.end_byte))
+    starts = F.concat(F.transform("spans", lambda s: s.start_byte), F.array(F.octet_length(raw).cast("long")))
+    parts = F.zip_with(ends, starts, lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")))
+    kept = F.decode(F.aggregate(parts, F.encode(F.lit(""), "UTF-8"), lambda x, y: F.concat(x, y)), "UTF-8")
+    return found.where(F.col("n_hit") <= F.col("n_words") * max_coverage).withColumn("text", F.when(F.size("spans") > 0, kept).otherwise(F.col("text")))

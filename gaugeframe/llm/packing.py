@@ -35,7 +35,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for b in blocks(batches):
+        for b in blocks(batches, 4 << 20):
             owner, start, length, crc, total, body = [], [], [], [], [], []
             texts = ["" if t is None else t for t in b.column("text").to_pylist()]
             for i, (d, raw) in enumerate(zip(b.column("doc_id").to_pylist(), encode(texts))):
@@ -177,7 +177,8 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 2048, unit:
             columns = [pa.array(np.full(len(n), part)), pa.array(size), pa.array(ranks)]
             yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, "_part", "_size", "_rank"])
 
-    ranked = written(pieces.select(*schema.names).mapInArrow(rank, T.StructType(schema.fields + extra.fields)), "pieces")
+    # written first: cutting and ranking in one stage would keep two Python workers busy for each task
+    ranked = written(written(pieces.select(*schema.names), "cut-pieces").mapInArrow(rank, T.StructType(schema.fields + extra.fields)), "pieces")
     counts = ranked.groupBy("_part", "_size").agg(F.count(F.lit(1)).alias("_n"))
     # at most capacity / unit rows
     histogram = sorted((r["_size"], r["n"]) for r in counts.groupBy("_size").agg(F.sum("_n").alias("n")).collect())
