@@ -29,21 +29,32 @@ SUPERSCRIPTS_PLAIN = "0123456789+-"
 DASHES = "–—−"
 # ------------------------------------------------------------------------------------------------
 
-_ACCENT_BLOCKS = ((0x00A0, 0x0250), (0x1E00, 0x1F00), (0x2070, 0x20A0), (0xFF01, 0xFF5F))
+HANGUL = (0xAC00, 0xD7A4)
+
+
+def _base(ch: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
 
 
 @lru_cache(maxsize=1)
-def _accent_table() -> tuple[str, str]:
-    """Characters whose compatibility decomposition is one base character, with that base."""
-    src, dst = [], []
-    for lo, hi in _ACCENT_BLOCKS:
-        for cp in range(lo, hi):
-            ch = chr(cp)
-            base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-            if len(base) == 1 and base != ch:
-                src.append(ch)
-                dst.append(base)
-    return "".join(src), "".join(dst)
+def _accent_tables() -> tuple[str, str, str, str]:
+    """Characters whose compatibility decomposition has one base character, with that base; and those
+    with several, as a ``str_to_map`` text and as a character class.
+
+    Made by rule from every character that has a decomposition; Hangul syllables stay whole.
+    """
+    one, many = [], []
+    for cp in range(0xA0, 0x110000):
+        ch = chr(cp)
+        if HANGUL[0] <= cp < HANGUL[1] or not unicodedata.decomposition(ch):
+            continue
+        base = _base(ch)
+        if len(base) == 1:
+            one.append((ch, base))
+        elif len(base) > 1:
+            many.append((ch, base))
+    pairs = "\x01".join(f"{c}\x02{b}" for c, b in many)
+    return "".join(c for c, _ in one), "".join(b for _, b in one), pairs, "[" + "".join(c for c, _ in many) + "]"
 
 
 def let(c: Column, fn) -> Column:
@@ -52,9 +63,16 @@ def let(c: Column, fn) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    """Compatibility base characters without combining marks; plain ASCII texts pass untouched."""
-    src, dst = _accent_table()
-    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.regexp_replace(F.translate(c, src, dst), r"\p{M}+", ""))
+    """Compatibility decomposition without combining marks; plain ASCII texts pass untouched.
+
+    Single characters are translated. Texts with a ligature, fraction, unit or the like are taken apart,
+    and each such character is looked up.
+    """
+    src, dst, pairs, several = _accent_tables()
+    known = F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02"))
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(known, ch), ch)), "")
+    whole = F.when(c.rlike(several), spelled).otherwise(c)
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.regexp_replace(F.translate(whole, src, dst), r"\p{M}+", ""))
 
 
 def _words(values: list[str], c: Column) -> Column:

@@ -20,14 +20,22 @@ def _cap(c: Column, top: float = 1.0) -> Column:
     return F.least(F.lit(top), c)
 
 
-def bar_presence(rects: DataFrame, key: str, roi_height: float, roi_area: float) -> DataFrame:
-    """``rects``: key, h, area; images without rectangles are added by the caller as absent."""
+def with_absent(found: DataFrame, images: DataFrame | None, key: str, values: dict[str, object]) -> DataFrame:
+    """``found`` with a row of ``values`` for every image that has none."""
+    if images is None:
+        return found
+    return images.select(key).distinct().join(found, key, "left").na.fill(values)
+
+
+def bar_presence(rects: DataFrame, key: str, roi_height: float, roi_area: float, images: DataFrame | None = None) -> DataFrame:
+    """``rects``: key, h, area; ``images`` without rectangles are absent with confidence 0."""
     n, area, tall = F.count(F.lit(1)), F.sum("area"), F.max(F.col("h") / roi_height)
     g = rects.groupBy(key).agg(n.alias("n"), area.alias("area"), tall.alias("tall"))
     single = (F.col("n") == 1) & (F.col("area") >= BAR_AREA_MIN * roi_area) & (F.col("tall") >= BAR_HEIGHT_MIN)
     present = (F.col("n") >= 2) | single
     conf = 0.35 + 0.17 * _cap(F.col("n"), 4) + 0.30 * _cap(F.col("area") / (0.020 * roi_area)) + 0.18 * _cap(F.col("tall") / 0.25)
-    return g.select(key, present.cast("int").alias("present"), rint_round(F.when(present, _cap(conf)).otherwise(0.20)).alias("confidence"), F.col("n").alias("n_candidates"), rint_round(F.col("tall")).alias("max_h_frac"))
+    out = g.select(key, present.cast("int").alias("present"), rint_round(F.when(present, _cap(conf)).otherwise(0.20)).alias("confidence"), F.col("n").alias("n_candidates"), rint_round(F.col("tall")).alias("max_h_frac"))
+    return with_absent(out, images, key, {"present": 0, "confidence": 0.0, "n_candidates": 0, "max_h_frac": 0.0})
 
 
 def line_presence(evidence: DataFrame, span: str, support: str) -> DataFrame:
@@ -37,8 +45,8 @@ def line_presence(evidence: DataFrame, span: str, support: str) -> DataFrame:
     return evidence.withColumns({"present": present.cast("int"), "confidence": rint_round(F.when(present, _cap(conf)).otherwise(0.15))})
 
 
-def scatter_presence(markers: DataFrame, key: str, width: float, height: float) -> DataFrame:
-    """``markers``: key, cx, cy."""
+def scatter_presence(markers: DataFrame, key: str, width: float, height: float, images: DataFrame | None = None) -> DataFrame:
+    """``markers``: key, cx, cy; ``images`` without markers are absent with the least confidence."""
     many = F.count(F.lit(1)) >= 2
     g = markers.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"),
@@ -48,7 +56,8 @@ def scatter_presence(markers: DataFrame, key: str, width: float, height: float)
     present = (F.col("n") >= 2) & ((F.col("xd") >= MARKER_DISPERSION_MIN) | (F.col("yd") >= MARKER_DISPERSION_MIN))
     conf = 0.25 + 0.12 * _cap(F.col("n"), 5) + 0.40 * _cap(F.col("xd") + F.col("yd"))
     weak = F.when(F.col("n") == 1, 0.30).otherwise(0.10)
-    return g.select(key, present.cast("int").alias("present"), rint_round(F.when(present, _cap(conf)).otherwise(weak)).alias("confidence"), F.col("n").alias("n_markers"), rint_round(F.col("xd")).alias("x_dispersion"), rint_round(F.col("yd")).alias("y_dispersion"))
+    out = g.select(key, present.cast("int").alias("present"), rint_round(F.when(present, _cap(conf)).otherwise(weak)).alias("confidence"), F.col("n").alias("n_markers"), rint_round(F.col("xd")).alias("x_dispersion"), rint_round(F.col("yd")).alias("y_dispersion"))
+    return with_absent(out, images, key, {"present": 0, "confidence": 0.10, "n_markers": 0, "x_dispersion": 0.0, "y_dispersion": 0.0})
 
 
 def plot_frame(groups: DataFrame, key: str, width: float, height: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.text import pad_condition
@@ -57,8 +57,30 @@ def crosswalk(dim: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     return out.groupBy("unit_id").agg(F.min(F.struct(*rest)).alias("r")).select("unit_id", "r.*")
 
 
-def integrate(universe: DataFrame, sources: dict[str, DataFrame], review: DataFrame, key: str) -> DataFrame:
-    """Universe inner-joined 1:1 with every source and left-joined with the review table."""
+def integration_faults(universe: DataFrame, sources: dict[str, DataFrame], review: DataFrame, key: str) -> DataFrame:
+    """Keys that would be lost or multiplied: not exactly once in the universe and in every source, or
+    more than once reviewed. One counting pass over the keys of all tables."""
+    frames = {"universe": universe, **sources, "review": review}
+    rows = None
+    for name, df in frames.items():
+        own = df.select(key, *[F.lit(int(n == name)).alias(f"n_{n}") for n in frames])
+        rows = own if rows is None else rows.unionByName(own)
+    counts = rows.groupBy(key).agg(*[F.sum(f"n_{n}").alias(f"n_{n}") for n in frames])
+    bad = F.col("n_review") > 1
+    for name in ("universe", *sources):
+        bad = bad | (F.col(f"n_{name}") != 1)
+    # a review of something outside the universe changes no result
+    return counts.where(bad & (sum((F.col(f"n_{n}") for n in ("universe", *sources)), F.lit(0)) > 0))
+
+
+def integrate(universe: DataFrame, sources: dict[str, DataFrame], review: DataFrame, key: str, guard: bool = True) -> DataFrame:
+    """Universe joined 1:1 with every source and left-joined with the review table.
+
+    With ``guard`` a key that is doubled or missing anywhere is an error; without it, such keys are
+    multiplied or dropped by the joins.
+    """
+    if guard:
+        require_empty(integration_faults(universe, sources, review, key), "keys doubled or missing")
     out = universe
     for src in sources.values():
         out = out.join(src, key)
@@ -69,7 +91,3 @@ def golden_checks(counts: DataFrame, expected: DataFrame, keys: list[str], value
     """Expected counts next to the found ones with a pass flag; a missing count is zero."""
     j = expected.join(counts, keys, "left").withColumn(value, F.coalesce(F.col(value), F.lit(0).cast("bigint")))
     return j.withColumn("ok", F.col(value) == F.col(f"expected_{value}"))
-
-
-def null_rows(df: DataFrame, col: Column) -> DataFrame:
-    return df.where(col.isNull())

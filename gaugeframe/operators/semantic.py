@@ -35,12 +35,17 @@ def point(key: str, measure: str) -> Column:
     return money(at(key, measure))
 
 
+def first_of(value: Column, order: Column) -> Column:
+    """``value`` of the row with the least ``order``, the smallest value on ties; rows without order are passed over."""
+    return F.min(F.when(order.isNotNull(), F.struct(order.alias("o"), value.alias("v"))))["v"]
+
+
 def arg_max(measure: str) -> Column:
-    return F.max_by("k", measure)
+    return first_of(F.col("k"), -F.col(measure))
 
 
 def arg_min(measure: str) -> Column:
-    return F.min_by("k", measure)
+    return first_of(F.col("k"), F.col(measure))
 
 
 def is_greater(first: str, second: str, measure: str) -> Column:
@@ -57,7 +62,7 @@ def op_above(key: str) -> Column:
 
 def largest_rise(measure: str) -> Column:
     """Interval of the largest consecutive rise; needs :func:`with_steps`."""
-    return F.max_by(F.concat("prev_k", F.lit("–"), "k"), f"rise_{measure}")
+    return first_of(F.concat("prev_k", F.lit("–"), "k"), -F.col(f"rise_{measure}"))
 
 
 def maxima() -> Column:
@@ -66,7 +71,7 @@ def maxima() -> Column:
 
 def arg_max_gap(signed: bool = False) -> Column:
     gap = F.col("op") - F.col("disb")
-    return F.max_by("k", gap if signed else F.abs(gap))
+    return first_of(F.col("k"), -(gap if signed else F.abs(gap)))
 
 
 def same_direction(first: str, second: str) -> Column:
@@ -94,7 +99,7 @@ def above(measure: str, limit: float) -> Column:
 
 
 def best_among(measure: str, cond: str) -> Column:
-    return F.max_by(F.when(F.expr(cond), F.col("k")), F.when(F.expr(cond), F.col(measure)))
+    return first_of(F.col("k"), F.when(F.expr(cond), -F.col(measure)))
 
 
 def largest_key() -> Column:

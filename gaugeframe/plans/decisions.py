@@ -17,34 +17,42 @@ from gaugeframe.plans.ticks import BB, bb_results
 
 RW, RH = 1000.0, 700.0
 AREA = RW * RH
+# every image is judged, also those without a candidate
+EVERY = "every as (select o_orderkey as filename from orders)"
+
+
+def every(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("filename"))
+
+
 RECTS = Derived("rc", "lineitem", {"filename": "l_orderkey", "h": "l_quantity * 2", "area": "l_quantity * l_linenumber * 12", "cx": "cast(l_partkey % 1000 as double)", "cy": "cast(l_suppkey * 7 % 700 as double)", "span": "l_quantity / 120", "b1": "l_partkey % 40", "b2": "least(39, l_partkey % 40 + l_linenumber)"})
 
 
-@query(with_(RECTS.cte, f"g as (select filename, count(*) as n, sum(area) as area, max(h / {RH}::double) as tall from rc group by filename)",
+@query(with_(RECTS.cte, EVERY, f"g as (select filename, count(*) as n, sum(area) as area, max(h / {RH}::double) as tall from rc group by filename)",
              f"p as (select *, n >= 2 or (n = 1 and area >= {0.0015 * AREA} and tall >= 0.055) as ok from g)",
-             select=f"""select filename, case when ok then 1 else 0 end as present, {r6(f"case when ok then least(1.0::double, 0.35::double + 0.17::double * least(n, 4) + 0.30::double * least(1.0::double, area / {0.020 * AREA}::double) + 0.18::double * least(1.0::double, tall / 0.25::double)) else 0.20::double end")} as confidence, n as n_candidates, {r6('tall')} as max_h_frac from p"""))
+             select=f"""select every.filename, case when ok then 1 else 0 end as present, {r6(f"case when n is null then 0.0::double when ok then least(1.0::double, 0.35::double + 0.17::double * least(n, 4) + 0.30::double * least(1.0::double, area / {0.020 * AREA}::double) + 0.18::double * least(1.0::double, tall / 0.25::double)) else 0.20::double end")} as confidence, coalesce(n, 0) as n_candidates, {r6('coalesce(tall, 0.0)')} as max_h_frac from every left join p on p.filename = every.filename"""))
 def g11_bar_presence(spark, sf):
-    return G.bar_presence(RECTS.spark(spark, sf).select("filename", "h", "area"), "filename", RH, AREA)
+    return G.bar_presence(RECTS.spark(spark, sf).select("filename", "h", "area"), "filename", RH, AREA, every(spark, sf))
 
 
-@query(with_(RECTS.cte, "b as (select filename, count(distinct bin) / 40 as support from (select filename, unnest(range(b1, b2 + 1)) as bin from rc) group by filename)",
+@query(with_(RECTS.cte, EVERY, "b as (select filename, count(distinct bin) / 40 as support from (select filename, unnest(range(b1, b2 + 1)) as bin from rc) group by filename)",
              "s as (select filename, max(span) as span from rc group by filename)",
-             f"e as (select filename, {r6('span')} as span, {r6('support')} as support from s join b using (filename))",
+             f"e as (select filename, {r6('coalesce(span, 0.0)')} as span, {r6('coalesce(support, 0.0)')} as support from every left join s using (filename) left join b using (filename))",
              select=f"""select filename, span, support, case when span >= 0.24 or support >= 0.20 then 1 else 0 end as present,
    {r6("case when span >= 0.24 or support >= 0.20 then least(1.0::double, 0.25::double + 0.80::double * least(1.0::double, span) + 0.55::double * least(1.0::double, support / 0.50::double)) else 0.15::double end")} as confidence from e"""))
 def g12_line_presence(spark, sf):
     r = RECTS.spark(spark, sf)
     span = r.groupBy("filename").agg(rint_round(F.max("span")).alias("span"))
-    e = span.join(O.bin_union_support(r, "filename", "b1", "b2", 40), "filename")
+    e = G.with_absent(span.join(O.bin_union_support(r, "filename", "b1", "b2", 40), "filename"), every(spark, sf), "filename", {"span": 0.0, "support": 0.0})
     return G.line_presence(e, "span", "support")
 
 
-@query(with_(RECTS.cte, f"g as (select filename, count(*) as n, case when count(*) >= 2 then (max(cx) - min(cx)) / {RW} else 0 end as xd, case when count(*) >= 2 then (max(cy) - min(cy)) / {RH} else 0 end as yd from rc group by filename)",
+@query(with_(RECTS.cte, EVERY, f"g as (select filename, count(*) as n, case when count(*) >= 2 then (max(cx) - min(cx)) / {RW} else 0 end as xd, case when count(*) >= 2 then (max(cy) - min(cy)) / {RH} else 0 end as yd from rc group by filename)",
              "p as (select *, n >= 2 and (xd >= 0.03 or yd >= 0.03) as ok from g)",
-             select=f"""select filename, case when ok then 1 else 0 end as present, {r6("case when ok then least(1.0::double, 0.25::double + 0.12::double * least(n, 5) + 0.40::double * least(1.0::double, xd + yd)) when n = 1 then 0.30::double else 0.10::double end")} as confidence,
-   n as n_markers, {r6('xd')} as x_dispersion, {r6('yd')} as y_dispersion from p"""))
+             select=f"""select every.filename, case when ok then 1 else 0 end as present, {r6("case when ok then least(1.0::double, 0.25::double + 0.12::double * least(n, 5) + 0.40::double * least(1.0::double, xd + yd)) when n = 1 then 0.30::double else 0.10::double end")} as confidence,
+   coalesce(n, 0) as n_markers, {r6('coalesce(xd, 0.0)')} as x_dispersion, {r6('coalesce(yd, 0.0)')} as y_dispersion from every left join p on p.filename = every.filename"""))
 def g13_scatter_presence(spark, sf):
-    return G.scatter_presence(RECTS.spark(spark, sf).select("filename", "cx", "cy"), "filename", RW, RH)
+    return G.scatter_presence(RECTS.spark(spark, sf).select("filename", "cx", "cy"), "filename", RW, RH, every(spark, sf))
 
 
 # ------------------------------------------------------------------------------------- axis values
@@ -121,10 +129,10 @@ def g16_slot_consensus(spark, sf):
 SLOTS = Derived("sl", "lineitem", {"filename": "l_orderkey", "status": "case when l_discount < 0.02 then 'UNREADABLE' when l_discount < 0.03 then 'AMBIGUOUS' when l_tax < 0.04 then 'SINGLE_HIGH_CONF' else 'CONSENSUS' end"})
 
 
-@query(with_(SLOTS.cte, select="""select filename, case when bool_and(status in ('CONSENSUS','SINGLE_HIGH_CONF')) then 'CATEGORICAL_COMPLETE' when bool_or(status = 'AMBIGUOUS') then 'CATEGORICAL_AMBIGUOUS'
-   when bool_or(status = 'UNREADABLE') and bool_or(status in ('CONSENSUS','SINGLE_HIGH_CONF')) then 'CATEGORICAL_PARTIAL' else 'CATEGORICAL_FAILED' end as axis_status from sl group by filename"""))
+@query(with_(SLOTS.cte, EVERY, select="""select every.filename, case when bool_and(status in ('CONSENSUS','SINGLE_HIGH_CONF')) then 'CATEGORICAL_COMPLETE' when bool_or(status = 'AMBIGUOUS') then 'CATEGORICAL_AMBIGUOUS'
+   when bool_or(status = 'UNREADABLE') and bool_or(status in ('CONSENSUS','SINGLE_HIGH_CONF')) then 'CATEGORICAL_PARTIAL' else 'CATEGORICAL_FAILED' end as axis_status from every left join sl on sl.filename = every.filename group by every.filename"""))
 def g17_axis_slot_status(spark, sf):
-    return K.axis_slot_status(SLOTS.spark(spark, sf), "filename", "status")
+    return K.axis_slot_status(SLOTS.spark(spark, sf), "filename", "status", every(spark, sf))
 
 
 # ------------------------------------------------------------------------------------------ overall

@@ -61,32 +61,32 @@ def arrow(c, a, b):
 A, B, C_ = "1996", "1998", "2000"
 S1, S2, S3 = "BUILDING", "MACHINERY", "FURNITURE"
 R1, R2, R3 = "0.01", "0.05", "0.08"
-BOTH_MAX = "'Operação=' || arg_max(k, op) || '; Desembolso=' || arg_max(k, disb)"
+BOTH_MAX = "'Operação=' || first(k order by op desc nulls last, k) || '; Desembolso=' || first(k order by disb desc nulls last, k)"
 # id -> (column builder, twin)
 YEARLY = {
     "LI-01": (lambda: Q.point(A, "disb"), m(v(A, "disb"))), "LI-02": (lambda: Q.point(B, "disb"), m(v(B, "disb"))), "LI-03": (lambda: Q.point(C_, "disb"), m(v(C_, "disb"))),
-    "LI-04": (lambda: Q.arg_max("disb"), "arg_max(k, disb)"), "LI-05": (lambda: Q.arg_min("disb"), "arg_min(k, disb)"),
+    "LI-04": (lambda: Q.arg_max("disb"), "first(k order by disb desc nulls last, k)"), "LI-05": (lambda: Q.arg_min("disb"), "first(k order by disb nulls last, k)"),
     "LI-06": (lambda: Q.is_greater(C_, B, "disb"), yn(f"{v(C_, 'disb')} > {v(B, 'disb')}")), "LI-07": (lambda: Q.is_greater(A, B, "disb"), yn(f"{v(A, 'disb')} > {v(B, 'disb')}")),
-    "LI-08": (lambda: Q.largest_rise("disb"), "arg_max(prev_k || '–' || k, rise_disb)"),
+    "LI-08": (lambda: Q.largest_rise("disb"), "first(prev_k || '–' || k order by rise_disb desc nulls last, k)"),
     "LC-01": (lambda: Q.point(A, "op"), m(v(A, "op"))), "LC-02": (lambda: Q.point(C_, "disb"), m(v(C_, "disb"))), "LC-03": (lambda: Q.point(C_, "op"), m(v(C_, "op"))),
-    "LC-04": (lambda: Q.larger_series(B), gt(B)), "LC-05": (lambda: Q.larger_series(C_), gt(C_)), "LC-06": (lambda: Q.maxima(), BOTH_MAX), "LC-07": (lambda: Q.arg_max_gap(), "arg_max(k, abs(op - disb))"),
+    "LC-04": (lambda: Q.larger_series(B), gt(B)), "LC-05": (lambda: Q.larger_series(C_), gt(C_)), "LC-06": (lambda: Q.maxima(), BOTH_MAX), "LC-07": (lambda: Q.arg_max_gap(), "first(k order by abs(op - disb) desc nulls last, k)"),
     "LC-08": (lambda: Q.same_direction(B, C_), f"case when {arrow('op', B, C_)} = {arrow('disb', B, C_)} then 'verdadeiro' else 'não; Operação ' || {arrow('op', B, C_)} || '; Desembolso ' || {arrow('disb', B, C_)} end"),
 }
 SECTOR = {
     "BI-01": (lambda: Q.point(S1, "op"), m(v(S1, "op"))), "BI-02": (lambda: Q.point(S2, "op"), m(v(S2, "op"))), "BI-03": (lambda: Q.point(S3, "op"), m(v(S3, "op"))),
-    "BI-04": (lambda: Q.arg_max("op"), "arg_max(k, op)"), "BI-05": (lambda: Q.arg_min("op"), "arg_min(k, op)"), "BI-06": (lambda: Q.is_greater(S2, S3, "op"), yn(f"{v(S2, 'op')} > {v(S3, 'op')}")),
+    "BI-04": (lambda: Q.arg_max("op"), "first(k order by op desc nulls last, k)"), "BI-05": (lambda: Q.arg_min("op"), "first(k order by op nulls last, k)"), "BI-06": (lambda: Q.is_greater(S2, S3, "op"), yn(f"{v(S2, 'op')} > {v(S3, 'op')}")),
     "BI-07": (lambda: Q.ranking("op"), rank_sql("op")), "BI-08": (lambda: Q.above("op", 250_000_000.0), "coalesce(string_agg(k, ', ' order by op desc, k) filter (where op > 250000000), '')"),
     "BC-01": (lambda: Q.point(S2, "op"), m(v(S2, "op"))), "BC-02": (lambda: Q.point(S2, "disb"), m(v(S2, "disb"))), "BC-03": (lambda: Q.point(S3, "op"), m(v(S3, "op"))),
-    "BC-04": (lambda: Q.larger_series(S1), gt(S1)), "BC-05": (lambda: Q.larger_series(S3), gt(S3)), "BC-06": (lambda: Q.arg_max("op"), "arg_max(k, op)"), "BC-07": (lambda: Q.ranking("disb"), rank_sql("disb")),
+    "BC-04": (lambda: Q.larger_series(S1), gt(S1)), "BC-05": (lambda: Q.larger_series(S3), gt(S3)), "BC-06": (lambda: Q.arg_max("op"), "first(k order by op desc nulls last, k)"), "BC-07": (lambda: Q.ranking("disb"), rank_sql("disb")),
     "BC-08": (lambda: Q.for_all(), yn("bool_and(op > disb)")),
 }
 RATE = {
     "SI-01": (lambda: Q.point(R1, "op"), m(v(R1, "op"))), "SI-02": (lambda: Q.point(R2, "op"), m(v(R2, "op"))), "SI-03": (lambda: Q.point(R3, "op"), m(v(R3, "op"))),
-    "SI-04": (lambda: Q.arg_max("op"), "arg_max(k, op)"), "SI-05": (lambda: Q.largest_key(), "arg_max(k, ord)"), "SI-06": (lambda: Q.is_greater(R2, R3, "op"), yn(f"{v(R2, 'op')} > {v(R3, 'op')}")),
-    "SI-07": (lambda: Q.ranking("op", [R1, R2, R3]), rank_sql("op", [R1, R2, R3])), "SI-08": (lambda: Q.best_among("op", "ord > 0.06D"), "arg_max(k, op) filter (where ord > 0.06)"),
+    "SI-04": (lambda: Q.arg_max("op"), "first(k order by op desc nulls last, k)"), "SI-05": (lambda: Q.largest_key(), "arg_max(k, ord)"), "SI-06": (lambda: Q.is_greater(R2, R3, "op"), yn(f"{v(R2, 'op')} > {v(R3, 'op')}")),
+    "SI-07": (lambda: Q.ranking("op", [R1, R2, R3]), rank_sql("op", [R1, R2, R3])), "SI-08": (lambda: Q.best_among("op", "ord > 0.06D"), "first(k order by op desc nulls last, k) filter (where ord > 0.06)"),
     "SC-01": (lambda: Q.point(R1, "op"), m(v(R1, "op"))), "SC-02": (lambda: Q.point(R2, "disb"), m(v(R2, "disb"))), "SC-03": (lambda: Q.point(R1, "disb"), m(v(R1, "disb"))),
     "SC-04": (lambda: Q.larger_series(R1), gt(R1)), "SC-05": (lambda: Q.op_above(R3), yn(f"{v(R3, 'op')} > {v(R3, 'disb')}")), "SC-06": (lambda: Q.maxima(), BOTH_MAX),
-    "SC-07": (lambda: Q.exists(), yn("bool_or(op > disb)")), "SC-08": (lambda: Q.arg_max_gap(True), "arg_max(k, op - disb)"),
+    "SC-07": (lambda: Q.exists(), yn("bool_or(op > disb)")), "SC-08": (lambda: Q.arg_max_gap(True), "first(k order by op - disb desc nulls last, k)"),
 }
 BANK = {"yearly": YEARLY, "sector": SECTOR, "rate": RATE}
 ANSWERS_SQL = "ans as (" + " union all ".join(

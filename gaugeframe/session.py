@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -44,20 +44,3 @@ def local_session(cores: str = "8", app: str = "gaugeframe") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder so that lost executors only re-read it.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a local one is made only
-    where none is named and the session runs in one JVM.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(named)
-    return df.checkpoint()

@@ -13,10 +13,14 @@ def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key), key, "left_anti")
 
 
-def append_batch(children: DataFrame, parents: DataFrame, folder: str) -> None:
-    """Children first, parents last: a parent row means its children are complete."""
-    children.write.mode("append").parquet(f"{folder}/children")
-    parents.write.mode("append").parquet(f"{folder}/parents")
+def append_batch(children: DataFrame, parents: DataFrame, folder: str, batch: str) -> None:
+    """Children first, parents last: a parent row means its children are complete.
+
+    Both are written below the batch's own name and replace what an earlier, broken attempt left there,
+    so a batch may be written again at any time. Readers find the name in the column ``batch``.
+    """
+    children.write.mode("overwrite").parquet(f"{folder}/children/batch={batch}")
+    parents.write.mode("overwrite").parquet(f"{folder}/parents/batch={batch}")
 
 
 def last_attempts(log: DataFrame, key: str, seq: str) -> DataFrame:
@@ -51,15 +55,19 @@ def merge_repaired(current: DataFrame, repaired: DataFrame, key: str) -> DataFra
     return best_per_key(both, [key], F.col("__p")).drop("__p")
 
 
-def stream_new_files(spark: SparkSession, source: str, schema, checkpoint: str, key: str, sink):
-    """File source that hands every new, not yet processed key to ``sink(batch, batch_id)``.
+def stream_new_files(spark: SparkSession, source: str, schema, checkpoint: str, key: str, sink, processed=None, files: int = 1000):
+    """File source that hands every new, not yet processed key to ``sink(batch, batch_id)`` once.
 
     ``source`` is a folder that receives parquet files; offsets live in ``checkpoint``, so a lost
-    executor or driver resumes where it stopped.
+    executor or driver resumes where it stopped. ``processed(batch_id)`` gives the keys that other
+    batches have handed over (None before the first); keys that return later are dropped. A batch takes
+    at most ``files`` files; the rest follow in further batches.
     """
 
     def once(batch: DataFrame, batch_id: int) -> None:
-        sink(batch.dropDuplicates([key]), batch_id)
+        new = batch.dropDuplicates([key])
+        done = processed(batch_id) if processed else None
+        sink(new if done is None else new.join(done.select(key), key, "left_anti"), batch_id)
 
-    stream = spark.readStream.schema(schema).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     return stream.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

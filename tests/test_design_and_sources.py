@@ -93,7 +93,11 @@ def test_question_file_and_color_config(spark, tmp_path):
 def test_resume_and_repair(spark, tmp_path):
     todo = spark.range(10).withColumnRenamed("id", "k")
     first = todo.where("k < 4")
-    INC.append_batch(first.withColumn("child", F.lit(1)), first, str(tmp_path / "run"))
+    run = str(tmp_path / "run")
+    first.withColumn("child", F.lit(1)).write.parquet(f"{run}/children/batch=a")  # an attempt that broke before its parents
+    for _ in range(2):
+        INC.append_batch(first.withColumn("child", F.lit(1)), first, run, "a")
+    assert spark.read.parquet(f"{run}/children").count() == 4
     assert INC.remaining(todo, spark.read.parquet(str(tmp_path / "run" / "parents")), "k").count() == 6
     log = spark.createDataFrame([(1, 1, "ERR"), (1, 2, "OK"), (2, 1, "ERR")], "k int, seq int, s string")
     assert {(r.k, r.s) for r in INC.last_attempts(log, "k", "seq").collect()} == {(1, "OK"), (2, "ERR")}
@@ -120,6 +124,35 @@ def test_stream_hands_over_each_file_once(spark, tmp_path):
     assert [s for s in seen if s] == [[1, 2], [3]]
 
 
+def test_stream_drops_keys_that_return(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    sink = lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}")
+    done = lambda i: spark.read.parquet(out).where(F.col("batch") < i) if i else None
+    for rows in ([(1, "a"), (2, "b")], [(2, "again"), (3, "c")], [(1, "again")]):
+        df = spark.createDataFrame(rows, "k int, v string")
+        df.coalesce(1).write.mode("append").parquet(src)
+        INC.stream_new_files(spark, src, df.schema, str(tmp_path / "cp"), "k", sink, done, files=1).awaitTermination()
+    assert sorted((r.k, r.v) for r in spark.read.parquet(out).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_integration_refuses_doubled_and_missing_keys(spark):
+    frame = lambda *ks: spark.createDataFrame([(k, k * 10) for k in ks], "k int, v int")
+    universe, review = frame(1, 2).select("k"), frame(1).withColumnRenamed("v", "r")
+    good = frame(1, 2).withColumnRenamed("v", "a")
+    assert I.integrate(universe, {"a": good}, review, "k").count() == 2
+    for bad in (frame(1), frame(1, 2, 2), frame(1, 2, 3)):
+        with pytest.raises(ValueError, match="doubled or missing"):
+            I.integrate(universe, {"a": bad.withColumnRenamed("v", "a")}, review, "k")
+    with pytest.raises(ValueError):
+        I.integrate(universe, {"a": good}, review.union(review), "k")
+
+
+def test_case_numbers_widen(spark):
+    df = spark.range(1200).selectExpr("id as k", "id % 2 as s")
+    ids = [r.case_id for r in P.blind_cases(df, "s", "k", 600, 1).collect()]
+    assert len(set(ids)) == 1200 and "CASE_001" in ids and "CASE_1200" in ids
+
+
 def test_hash_actions(spark):
     new = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "k string, t string")
     old = spark.createDataFrame([("b", "2"), ("c", "x")], "k string, t string")
