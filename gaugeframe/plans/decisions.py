@@ -8,9 +8,11 @@ from gaugeframe.functions import status as S
 from gaugeframe.functions.numbers import rint_round
 from gaugeframe.operators import consensus as K
 from gaugeframe.operators import geometry as G
+from gaugeframe.operators import integrate as I
 from gaugeframe.operators import ordered as O
+from gaugeframe.operators import rates as R
 from gaugeframe.plans.catalog import query
-from gaugeframe.plans.fixtures import Derived, r6, table, with_
+from gaugeframe.plans.fixtures import UNIT, Derived, image_facts, r6, table, units, with_
 from gaugeframe.plans.joins import INTEGRATED, integrated
 from gaugeframe.plans.rates import VALID, validated
 from gaugeframe.plans.ticks import BB, bb_results
@@ -140,10 +142,16 @@ TECH_STATUS = "case when o_orderpriority = '1-URGENT' and o_totalprice > 480000
 DIMS = ["mark_status", "axis_status", "color_status", "tick_status", "technique_status", "content_status"]
 
 
-@query(with_(*INTEGRATED, *BB, f"tq as (select o_orderkey as filename, {TECH_STATUS} as technique_status from orders)",
-             "j as (select i.filename, mark_status, axis_status, color_status, tick_status, technique_status, res.bb_collapsed_status as content_status from integrated i join tq using (filename) join res using (filename))",
-             select=f"""select filename, case when 'UNEVALUABLE_SPEC_CONFLICT' in ({', '.join(DIMS)}) then 'UNEVALUABLE_SPEC_CONFLICT' when 'NONCONFORMING' in ({', '.join(DIMS)}) then 'NONCONFORMING'
-   when {' and '.join(f"{d} in ('CONFORMING','NOT_SPECIFIED')" for d in DIMS)} then 'CONFORMING' else 'UNEVALUABLE' end as overall from j"""))
+RATE_SQL = "count(*) filter (where s = 'CONFORMING') / nullif(count(*) filter (where s in ('CONFORMING','NONCONFORMING')), 0)"
+OVERALL = (
+    *INTEGRATED, *BB, f"tq as (select o_orderkey as filename, {TECH_STATUS} as technique_status from orders)",
+    "j as (select i.filename, mark_status, axis_status, color_status, tick_status, technique_status, res.bb_collapsed_status as content_status from integrated i join tq using (filename) join res using (filename))",
+    f"""overall as (select filename, case when 'UNEVALUABLE_SPEC_CONFLICT' in ({', '.join(DIMS)}) then 'UNEVALUABLE_SPEC_CONFLICT' when 'NONCONFORMING' in ({', '.join(DIMS)}) then 'NONCONFORMING'
+   when {' and '.join(f"{d} in ('CONFORMING','NOT_SPECIFIED')" for d in DIMS)} then 'CONFORMING' else 'UNEVALUABLE' end as overall from j)""",
+)
+
+
+@query(with_(*OVERALL, select="select filename, overall from overall"))
 def g18_overall_strict(spark, sf):
     tech = table(spark, sf, "orders").selectExpr("o_orderkey as filename", f"{TECH_STATUS} as technique_status")
     content = bb_results(spark, sf).select("filename", F.col("bb_collapsed_status").alias("content_status"))
@@ -151,6 +159,15 @@ def g18_overall_strict(spark, sf):
     return j.select("filename", S.overall_strict([F.col(d) for d in DIMS]).alias("overall"))
 
 
+@query(with_(*OVERALL, UNIT, select=f"""select profile, count(*) filter (where s = 'CONFORMING') as n_conforming, count(*) filter (where s = 'NONCONFORMING') as n_nonconforming, count(*) filter (where s = 'UNEVALUABLE') as n_unevaluable,
+   count(*) filter (where s = 'UNEVALUABLE_SPEC_CONFLICT') as n_spec_conflict, {r6(RATE_SQL)} as rate_evaluable
+   from (select u.profile, i.overall as s from overall i join orders o on o.o_orderkey = i.filename left join unit u on u.unit_id = o.o_custkey) group by profile"""))
+def d22_rate_among_evaluable(spark, sf):
+    facts = image_facts(spark, sf).select("filename", "unit_id")
+    j = g18_overall_strict(spark, sf).join(facts, "filename")
+    return R.evaluable_rates(I.attach(j, units(spark, sf), "unit_id", ["profile"]), "profile", "overall")
+
+
 @query(with_(*VALID, select="select filename, manual4, observed, match from vd"))
 def g24_validation_match(spark, sf):
     return validated(spark, sf).select("filename", "manual4", "observed", "match")
