@@ -23,10 +23,10 @@ from gaugeframe.llm.words import mix, words_of
 
 #: children that two sets at the threshold share on average, at every step of a path
 SHARED = 4.0
-#: buckets up to this size are compared at once, larger ones in blocks of it; blocks hold fewer sets if
-#: together they would have more tokens than this
+#: larger buckets are split further, if that pays
 LEAF = 256
-BLOCK_TOKENS = 400_000
+#: sets of a bucket that are compared at once; fewer if together they have more tokens
+BLOCK, BLOCK_TOKENS = 1024, 1_000_000
 DEPTH = 6
 #: equal bits, of 128, that the sketches of a pair need: at the threshold 115 are expected, 64 by chance;
 #: fewer than this at the threshold have a probability of about 1e-9
@@ -321,7 +321,7 @@ def _descend(threshold: float):
 def _compared(leaves: list[DataFrame], tokens: DataFrame, threshold: float) -> DataFrame:
     """Rows of every leaf bucket that have links: their number, and an edge to a root.
 
-    Buckets with the same members are one. A bucket of more than ``LEAF`` is dealt into parts by a hash
+    Buckets with the same members are one. A bucket of more than a block is dealt into parts by a hash
     of the key, and every two parts meet under a key of their own.
     """
     every = leaves[0]
@@ -332,9 +332,8 @@ def _compared(leaves: list[DataFrame], tokens: DataFrame, threshold: float) -> D
     first = written(members.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket")).where("m > 1").select("bucket", "m"), "first-buckets")
     rows = written(every.join(first, "bucket"), "leaf-rows")
     seen = rows.groupBy("k").agg(F.array_sort(F.collect_set("bucket")).alias("seen"))
-    known = written(seen.join(tokens, "k"), "leaf-tokens")
     volume = rows.join(tokens.select("k", (F.octet_length("tokens") / 8).alias("n")), "k").groupBy("bucket").agg(F.sum("n").alias("volume"))
-    parts = F.ceil(F.greatest(F.col("m") / LEAF, F.col("volume") / BLOCK_TOKENS)).cast("int")
+    parts = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("volume") / BLOCK_TOKENS)).cast("int")
     rows = rows.join(written(volume, "bucket-volumes"), "bucket")
     dealt = rows.withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("k", "bucket"), F.col("parts")).cast("int"))
     # a part meets itself and every other: (p, p), (p, later) and (earlier, p)
@@ -358,5 +357,5 @@ def _compared(leaves: list[DataFrame], tokens: DataFrame, threshold: float) -> D
                     c.append(x)
         return pa.table([pa.array(c, pa.int64()) for c in out], ["k1", "k2", "n_links", "r1", "r2"])
 
-    met = dealt.join(known, "k").select("bucket", "lo", "hi", "p", F.col("k.k1"), F.col("k.k2"), "seen", "tokens", "copies")
+    met = dealt.join(seen, "k").join(tokens, "k").select("bucket", "lo", "hi", "p", F.col("k.k1"), F.col("k.k2"), "seen", "tokens", "copies")
     return met.groupBy("bucket", "lo", "hi").applyInArrow(scan, "k1 long, k2 long, n_links long, r1 long, r2 long")

@@ -272,6 +272,7 @@ def test_links_against_all_pairs(spark, seed, monkeypatch):
 
     if seed:  # so that buckets are split, found dense and compared in parts
         monkeypatch.setattr(c, "LEAF", 8)
+        monkeypatch.setattr(c, "BLOCK", 8)
     r = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(300)]
     hot = " ".join(r.choice(vocabulary) for _ in range(30))
