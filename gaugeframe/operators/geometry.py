@@ -60,11 +60,12 @@ def scatter_presence(markers: DataFrame, key: str, width: float, height: float,
     return with_absent(out, images, key, {"present": 0, "confidence": 0.10, "n_markers": 0, "x_dispersion": 0.0, "y_dispersion": 0.0})
 
 
-def plot_frame(groups: DataFrame, key: str, width: float, height: float) -> DataFrame:
+def plot_frame(groups: DataFrame, key: str, width: float, height: float, images: DataFrame | None = None) -> DataFrame:
     """Plot edges by consensus of horizontal (``x1, x2`` at ``y``) and vertical groups.
 
     ``groups``: key, orient (H/V), a, b (extent along its direction) and c (its coordinate).
     Medians need two groups of a direction; otherwise the outermost crossing groups stand in.
+    ``images`` without groups are ``INCOMPLETE``.
     """
     x_ok = lambda c: c.between(X_PLAUSIBLE[0] * width, X_PLAUSIBLE[1] * width)
     y_ok = lambda c: c.between(Y_PLAUSIBLE[0] * height, Y_PLAUSIBLE[1] * height)
@@ -99,12 +100,13 @@ def plot_frame(groups: DataFrame, key: str, width: float, height: float) -> Data
     small = ((F.col("right") - F.col("left")) / width < FRAME_MIN_SIZE) | ((F.col("bottom") - F.col("top")) / height < FRAME_MIN_SIZE)
     spreads = F.array_compact(F.array("s1", "s2", "s3", "s4"))
     spread = F.when(F.size(spreads) > 0, F.aggregate(spreads, F.lit(0.0), lambda x, y: x + y) / F.size(spreads))
-    return g.select(
+    out = g.select(
         key, "n_h", "n_v", "left", "right", "top", "bottom",
         F.when(~found, "INCOMPLETE").when(reversed_, "INVALID_GEOMETRY").when(small, "LOW_CONFIDENCE").otherwise("OK").alias("status"),
         rint_round(spread).alias("spread_norm"),
         F.coalesce(rint_round(F.greatest(F.lit(0.0), 1.0 - 4.0 * spread)), F.lit(0.0)).alias("confidence"),
     )
+    return with_absent(out, images, key, {"n_h": 0, "n_v": 0, "status": "INCOMPLETE", "confidence": 0.0})
 
 
 def tick_lane(boxes: DataFrame, frames: DataFrame, key: str) -> DataFrame:

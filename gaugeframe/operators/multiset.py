@@ -1,7 +1,8 @@
 """Multiset comparison of expected and observed values as weighted counts.
 
 Both sides are unioned and counted per (key, value) in one shuffle with map-side combine, so no
-side is joined, exploded or collected and a key with very many rows only ships its distinct values.
+side is joined or exploded and a key with very many rows only ships its distinct values. ``diff`` gives the
+differing values as rows; the text columns of ``compare`` bring those of a key together.
 """
 
 from __future__ import annotations
@@ -10,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def value_counts(expected: DataFrame, observed: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``keys, value, n_expected, n_observed``; NULL values count like any other value."""
+def value_counts(expected: DataFrame, observed: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """``keys, value, n_expected, n_observed``; NULL values count like any other value.
+
+    ``weight`` names a column of ``observed`` that says how often a row was read.
+    """
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     e = expected.select(*keys, value, one.alias("e"), zero.alias("o"))
-    o = observed.select(*keys, value, zero.alias("e"), one.alias("o"))
+    o = observed.select(*keys, value, zero.alias("e"), (F.col(weight).cast("bigint") if weight else one).alias("o"))
     return e.unionByName(o).groupBy(*keys, value).agg(F.sum("e").alias("n_expected"), F.sum("o").alias("n_observed"))
 
 

@@ -15,6 +15,20 @@ from gaugeframe.operators.rates import grouped_sets
 
 KINDS = ["categorical", "temporal", "numeric"]
 
+# --- fixed values -------------------------------------------------------------------------------
+NORMALIZATION = "B_B_NORMALIZATION_V1"
+BATCHES = {"categorical": "BA_CAT_PRODUCTION", "other": "BA_V7_PRODUCTION"}
+REASONS = {
+    "categorical": {
+        "scope": "F não define lista categórica exaustiva.", "review": "F requer adjudicação.", "unread": "B-A não fornece conteúdo completo adjudicável.",
+        "same": "Conteúdo categórico coincide após normalização congelada.", "different": "Diferença lexical/conteúdo não autorizada pela normalização.",
+    },
+    "temporal": {"unread": "B-A temporal sem lista utilizável.", "same": "Sequência temporal corresponde à F.", "different": "Ano(s) ausente(s)/adicional(is) em relação à lista exaustiva."},
+    "numeric": {"unread": "B-A numérica sem conteúdo completo utilizável.", "same": "Conteúdo numérico coincide após normalização determinística.", "different": "Conteúdo numérico difere de F; nenhuma tolerância fuzzy foi aplicada."},
+    "other": {"examples": "F fornece apenas exemplos; completude não é pontuada.", "scope": "F não define lista exaustiva.", "review": "A própria F requer adjudicação antes da B-B.", "not_ready": "Combinação ainda não operacionalizada."},
+}
+# ------------------------------------------------------------------------------------------------
+
 
 def spec_numbers(part: Column) -> Column:
     """One specification item as ``STRUCT<typ,value>``."""
@@ -129,6 +143,25 @@ def gate(kind: Column, scope: Column, status: Column, eligible: Column, has_obse
     return F.when(kind == "categorical", cat).otherwise(rest)
 
 
+def reason(kind: Column, scope: Column, detailed: Column, compared: Column) -> Column:
+    """Why a row has its status, in the words of the reports."""
+    cat, rest = REASONS["categorical"], REASONS["other"]
+
+    def content(word: str) -> Column:
+        return F.when(kind == "categorical", cat[word]).when(kind == "temporal", REASONS["temporal"][word]).otherwise(REASONS["numeric"][word])
+
+    unscored = (
+        F.when(kind == "categorical", cat["scope"]).when(scope == "EXAMPLES_ONLY", rest["examples"])
+        .when(scope == "NOT_SPECIFIED", rest["scope"]).otherwise(rest["not_ready"])
+    )
+    return (
+        F.when(compared, F.when(detailed == "NORMALIZED_EQUIVALENT", content("same")).otherwise(content("different")))
+        .when(detailed == "NOT_EVALUATED", unscored)
+        .when(detailed == "UNEVALUABLE_SPEC_REVIEW", F.when(kind == "categorical", cat["review"]).otherwise(rest["review"]))
+        .otherwise(content("unread"))
+    )
+
+
 def collapse(detailed: Column) -> Column:
     return (
         F.when(detailed == "NORMALIZED_EQUIVALENT", "CONFORMING")
@@ -138,14 +171,14 @@ def collapse(detailed: Column) -> Column:
     )
 
 
-def compare_axes(axes: DataFrame, expected: DataFrame, observed: DataFrame, key: str, value: str, text=None) -> DataFrame:
-    """Per axis row: detailed and collapsed status, differing items and denominator membership.
+def compare_axes(axes: DataFrame, expected: DataFrame, observed: DataFrame, key: str, value: str, text=None, weight: str | None = None) -> DataFrame:
+    """Per axis row: statuses with their reason, differing items, source and denominator membership.
 
     ``axes`` holds one row per key with ``kind, scope, status, eligible``; ``expected`` and
-    ``observed`` are long ``key, value`` tables.  Everything is keyed by ``key``, so the counts, the
+    ``observed`` are long ``key, value`` tables, the latter with an optional ``weight``.  Everything is keyed by ``key``, so the counts, the
     roll-up and the final join share one hash partitioning.
     """
-    counts = multiset.value_counts(expected, observed, [key], value)
+    counts = multiset.value_counts(expected, observed, [key], value, weight)
     per_key = multiset.compare(counts, [key], value, text)
     joined = axes.join(per_key.drop("collapsed"), key, "left")
     nothing = F.lit(0)
@@ -158,7 +191,13 @@ def compare_axes(axes: DataFrame, expected: DataFrame, observed: DataFrame, key:
         "missing_items": F.when(closed.isNull(), F.coalesce("missing_items", F.lit(""))).otherwise(""),
         "extra_items": F.when(closed.isNull(), F.coalesce("extra_items", F.lit(""))).otherwise(""),
     })
-    return out.withColumn("bb_collapsed_status", collapse(F.col("bb_detailed_status"))).drop(
+    out = out.withColumns({
+        "bb_collapsed_status": collapse(F.col("bb_detailed_status")),
+        "bb_reason": reason(F.col("kind"), F.col("scope"), F.col("bb_detailed_status"), F.col("denominator_eligible") == "YES"),
+        "source_batch": F.when(F.col("kind") == "categorical", BATCHES["categorical"]).otherwise(BATCHES["other"]),
+        "normalization_version": F.lit(NORMALIZATION),
+    })
+    return out.drop(
         "detailed", "n_expected", "n_observed", "n_missing", "n_extra"
     )
 

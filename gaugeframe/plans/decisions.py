@@ -182,7 +182,7 @@ FRAME_GROUPS = Derived("fg", "lineitem", {
 
 
 @query(with_(
-    FRAME_GROUPS.cte,
+    FRAME_GROUPS.cte, EVERY,
     "k as (select *, case when orient = 'H' then a between 18.0 and 1194.0 and b between 18.0 and 1194.0 and c between 12.0 and 788.0 else c between 18.0 and 1194.0 and a between 12.0 and 788.0 and b between 12.0 and 788.0 end as good from fg)",
     """g as (select filename, count(*) filter (where good and orient = 'H') as n_h, count(*) filter (where good and orient = 'V') as n_v,
       round_even(median(a) filter (where good and orient = 'H'), 0) as hl, round_even(median(b) filter (where good and orient = 'H'), 0) as hr, round_even(median(a) filter (where good and orient = 'V'), 0) as vt, round_even(median(b) filter (where good and orient = 'V'), 0) as vb,
@@ -191,10 +191,10 @@ FRAME_GROUPS = Derived("fg", "lineitem", {
     """e as (select *, cast(case when n_h >= 2 then hl when n_v >= 2 then vmin end as double) as "left", cast(case when n_h >= 2 then hr when n_v >= 2 then vmax end as double) as "right",
       cast(case when n_v >= 2 then vt when n_h >= 2 then hmin end as double) as top, cast(case when n_v >= 2 then vb when n_h >= 2 then hmax end as double) as bottom,
       list_avg(list_filter([s1, s2, s3, s4], lambda x: x is not null)) as spread from g)""",
-    select=f"""select filename, n_h, n_v, "left", "right", top, bottom, case when "left" is null or top is null then 'INCOMPLETE' when "right" <= "left" or bottom <= top then 'INVALID_GEOMETRY'
-      when ("right" - "left") / 1200 < 0.35 or (bottom - top) / 800 < 0.35 then 'LOW_CONFIDENCE' else 'OK' end as status, {r6('spread')} as spread_norm, coalesce({r6('greatest(0.0::double, 1.0 - 4.0 * spread)')}, 0.0) as confidence from e"""))
+    select=f"""select every.filename, coalesce(n_h, 0) as n_h, coalesce(n_v, 0) as n_v, "left", "right", top, bottom, case when "left" is null or top is null then 'INCOMPLETE' when "right" <= "left" or bottom <= top then 'INVALID_GEOMETRY'
+      when ("right" - "left") / 1200 < 0.35 or (bottom - top) / 800 < 0.35 then 'LOW_CONFIDENCE' else 'OK' end as status, {r6('spread')} as spread_norm, coalesce({r6('greatest(0.0::double, 1.0 - 4.0 * spread)')}, 0.0) as confidence from every left join e on e.filename = every.filename"""))
 def g28_plot_frame_consensus(spark, sf):
-    return G.plot_frame(FRAME_GROUPS.spark(spark, sf), "filename", 1200.0, 800.0)
+    return G.plot_frame(FRAME_GROUPS.spark(spark, sf), "filename", 1200.0, 800.0, every(spark, sf))
 
 
 BASES = Derived("c", "lineitem", {"filename": "l_orderkey", "pos": "cast(600 + l_partkey % 60 as double)", "area": "l_quantity"})

@@ -28,8 +28,7 @@ F05_COUNTS = (
 
 def line_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     ln = table(spark, sf, "lineitem").selectExpr("l_orderkey as filename", "l_linenumber as v", f"{COPIES} as copies")
-    observed = ln.select("filename", "v", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("__c")).drop("__c")
-    return ln.select("filename", "v"), observed
+    return ln.select("filename", "v"), ln
 
 
 @query(with_(*F05_COUNTS, select="""select filename, n_expected, n_observed, n_missing, n_extra, coalesce(mi.items, '') as missing_items, coalesce(xi.items, '') as extra_items,
@@ -37,7 +36,7 @@ def line_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
    case when n_missing = 0 and n_extra = 0 then 'CONFORMING' else 'NONCONFORMING' end as collapsed from per left join mi using (filename) left join xi using (filename)"""))
 def f05_multiset_compare(spark, sf):
     expected, observed = line_lists(spark, sf)
-    return M.compare(M.value_counts(expected, observed, ["filename"], "v"), ["filename"], "v")
+    return M.compare(M.value_counts(expected, observed, ["filename"], "v", weight="copies"), ["filename"], "v")
 
 
 # --------------------------------------------------------------------------------------- flagship
@@ -53,6 +52,20 @@ EXPECTED = "case l_orderkey % 3 when 0 then concat('infraestrutura e ', cast(l_l
 RAW = "case l_orderkey % 3 when 0 then concat(' Infra-Estrutura /  ', cast(l_linenumber as string)) when 1 then concat(' ', cast(2000 + l_linenumber as string)) else concat('R$ ', cast(l_linenumber as string), ' Mil') end"
 OBSERVED_SQL = r"""case k when 0 then trim(regexp_replace(regexp_replace(replace(trim(lower(strip_accents(raw))), 'infra-estrutura', 'infraestrutura'), '\s*/\s*', ' e ', 'g'), '\s+', ' ', 'g'))
    when 1 then trim(raw) else 'NUM:' || cast(cast(regexp_extract(raw, '(\d+)', 1) as double) * 1000 as varchar) end"""
+# every (kind, outcome) with its words, stated row by row
+_WORDS = TC.REASONS
+REASON_SQL = "case " + " ".join(
+    f"when {cond} then '{words}'" for cond, words in [
+        *[(f"denominator_eligible = 'YES' and kind = '{k}' and bb_detailed_status {op} 'NORMALIZED_EQUIVALENT'", _WORDS[k][w]) for k in TC.KINDS for op, w in (("=", "same"), ("<>", "different"))],
+        ("bb_detailed_status = 'NOT_EVALUATED' and kind = 'categorical'", _WORDS["categorical"]["scope"]),
+        ("bb_detailed_status = 'NOT_EVALUATED' and scope = 'EXAMPLES_ONLY'", _WORDS["other"]["examples"]),
+        ("bb_detailed_status = 'NOT_EVALUATED' and scope = 'NOT_SPECIFIED'", _WORDS["other"]["scope"]),
+        ("bb_detailed_status = 'NOT_EVALUATED'", _WORDS["other"]["not_ready"]),
+        ("bb_detailed_status = 'UNEVALUABLE_SPEC_REVIEW' and kind = 'categorical'", _WORDS["categorical"]["review"]),
+        ("bb_detailed_status = 'UNEVALUABLE_SPEC_REVIEW'", _WORDS["other"]["review"]),
+        *[(f"bb_detailed_status = 'UNEVALUABLE' and kind = '{k}'", _WORDS[k]["unread"]) for k in TC.KINDS],
+    ]
+) + " end"
 BB = (
     AXIS_ROWS.cte,
     f"raw as (select l_orderkey as filename, l_orderkey % 3 as k, {EXPECTED} as expected, {RAW} as raw, {COPIES} as copies from lineitem)",
@@ -71,7 +84,8 @@ BB = (
     """bb as (select filename, unit_id, axis, kind, scope, status, eligible,
       coalesce(closed, case when nm = 0 and nx = 0 then 'NORMALIZED_EQUIVALENT' when nx = 0 then 'NONCONFORMING_MISSING' when nm = 0 then 'NONCONFORMING_EXTRA' else 'NONCONFORMING_VALUE' end) as bb_detailed_status,
       case when closed is null then 'YES' else 'NO' end as denominator_eligible, case when closed is null then m_items else '' end as missing_items, case when closed is null then x_items else '' end as extra_items from gated)""",
-    """res as (select *, case when bb_detailed_status = 'NORMALIZED_EQUIVALENT' then 'CONFORMING' when bb_detailed_status like 'NONCONFORMING%' then 'NONCONFORMING'
+    f"""res as (select *, case when kind = 'categorical' then 'BA_CAT_PRODUCTION' else 'BA_V7_PRODUCTION' end as source_batch, 'B_B_NORMALIZATION_V1' as normalization_version, {REASON_SQL} as bb_reason,
+      case when bb_detailed_status = 'NORMALIZED_EQUIVALENT' then 'CONFORMING' when bb_detailed_status like 'NONCONFORMING%' then 'NONCONFORMING'
       when bb_detailed_status = 'NOT_EVALUATED' then 'NOT_SPECIFIED' else 'UNEVALUABLE' end as bb_collapsed_status from bb)""",
 )
 
@@ -81,22 +95,21 @@ def bb_results(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     expected = li.selectExpr("l_orderkey as filename", f"{EXPECTED} as v")
     raw = li.selectExpr("l_orderkey as filename", "l_orderkey % 3 as k", f"{RAW} as raw", f"{COPIES} as copies")
-    read = raw.select("filename", "k", "raw", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("__c"))
-    read = read.withColumn("number", F.when(F.col("k") == 2, TC.number_and_unit(F.col("raw"))))
+    read = raw.withColumn("number", F.when(F.col("k") == 2, TC.number_and_unit(F.col("raw"))))
     value = rint_round(F.col("number.value") * T.unit_multiplier(F.col("number.unit")))
     observed = read.select(
-        "filename",
+        "filename", "copies",
         F.when(F.col("k") == 0, T.cat_label(F.col("raw")))
         .when(F.col("k") == 1, F.trim("raw"))
         .otherwise(F.concat(F.lit("NUM:"), value.cast("string")))
         .alias("v"),
     )
-    return TC.compare_axes(AXIS_ROWS.spark(spark, sf), expected, observed, "filename", "v")
+    return TC.compare_axes(AXIS_ROWS.spark(spark, sf), expected, observed, "filename", "v", weight="copies")
 
 
-@query(with_(*BB, select="select * from res"))
+@query(with_(*BB, UNIT, select="select res.*, profile, condition_code as condition from res left join unit using (unit_id)"))
 def g01_bb_compare(spark, sf):
-    return bb_results(spark, sf)
+    return with_profile(spark, sf, bb_results(spark, sf)).withColumnRenamed("condition_code", "condition")
 
 
 def rate_sql() -> str:
