@@ -113,10 +113,14 @@ VOTES = Derived("vt", "events", {"axis_id": "user_id * 24 + hour(ts)", "region":
     "b as (select *, row_number() over (partition by axis_id order by weight desc, eligible desc, conf desc, exponent) as rn, sum(weight) over (partition by axis_id) as total, sum(n) over (partition by axis_id) as nv, sum(eligible) over (partition by axis_id) as ne from p)",
     "r as (select b.*, coalesce((select max(conf) from p where p.axis_id = b.axis_id and p.exponent <> b.exponent), -1) as rival, case when total > 0 then weight / total else 0 end as share from b where rn = 1)",
     "d as (select *, eligible >= 2 and share >= 0.65 and conf >= 45 as agreed, conf >= 82 and rival < 45 as single from r)",
-    select=f"""select axis_id, case when agreed or single then 'CONFIDENT' else 'AMBIGUOUS' end as scale_status, case when agreed then 'CONSENSUS' when single then 'SINGLE_HIGH_CONF' else '' end as route, exponent as scale_exponent,
-   case when agreed or single then pow(10.0::double, exponent) else 1.0::double end as scale_factor, conf as confidence, cast(nv as bigint) as n_votes, cast(ne as bigint) as n_eligible, n as winning_votes, eligible as winning_eligible, {r6('share')} as weight_share, cast(rival as double) as rival_confidence from d"""))
+    "axes as (select user_id * 24 + unnest(range(24)) as axis_id from (select distinct user_id from events))",
+    select=f"""select axes.axis_id, case when d.axis_id is null then 'NONE' when agreed or single then 'CONFIDENT' else 'AMBIGUOUS' end as scale_status, case when agreed then 'CONSENSUS' when single then 'SINGLE_HIGH_CONF' else '' end as route, exponent as scale_exponent,
+   case when agreed or single then pow(10.0::double, exponent) else 1.0::double end as scale_factor, coalesce(conf, -1.0) as confidence, cast(coalesce(nv, 0) as bigint) as n_votes, cast(coalesce(ne, 0) as bigint) as n_eligible, coalesce(n, 0) as winning_votes, coalesce(eligible, 0) as winning_eligible,
+   {r6('coalesce(share, 0.0)')} as weight_share, cast(coalesce(rival, -1) as double) as rival_confidence from axes left join d on d.axis_id = axes.axis_id"""))
 def g15_scale_vote(spark, sf):
-    return K.scale_vote(VOTES.spark(spark, sf), "axis_id")
+    hours = F.explode(F.sequence(F.lit(0), F.lit(23)))
+    axes = table(spark, sf, "events").select("user_id").distinct().select("user_id", hours.alias("h")).select((F.col("user_id") * 24 + F.col("h")).alias("axis_id"))
+    return K.scale_vote(VOTES.spark(spark, sf), "axis_id", axes)
 
 
 @query()
