@@ -23,8 +23,9 @@ from gaugeframe.llm.words import mix, words_of
 
 #: children that two sets at the threshold share on average, at every step of a path
 SHARED = 4.0
-#: larger buckets are split further, if that pays
-LEAF = 2048
+#: larger buckets are split further, if that pays; up to here a set meets the sketches of its bucket in less
+#: time than its tokens take to be shipped for a split
+LEAF = 4096
 #: sets of a bucket that are compared at once; fewer if together they have more tokens
 BLOCK, BLOCK_TOKENS = 1024, 1_000_000
 DEPTH = 6
