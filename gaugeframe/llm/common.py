@@ -68,7 +68,7 @@ class PieceEncoder:
     #: letters that neither lower-casing nor NFC turns into a letter and a combining mark
     MARK = re.compile("([0-9A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f])([,.])(?=\\s|$)")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         import json
 
         from tokenizers import Tokenizer
