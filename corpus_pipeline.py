@@ -34,9 +34,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that stand elsewhere too; texts of nothing else go."""
+    """Texts without the strings of 400 bytes and the passages of 51 words that stand elsewhere too; texts of nothing else go."""
     ship_package(spark)
-    cut = remove_repeats(docs, length=400, carry=("lang", "source"))
+    cut = remove_repeats(docs, length=400, words=51, carry=("lang", "source"))
     left = cut.where((F.col("n_removed") == 0) | (F.length(F.trim("kept")) > 0))
     return left.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 

@@ -18,12 +18,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm.common import blocks, row_key, written
-from gaugeframe.llm.words import INVERSE, mix, powers, prefix_sums, range_hash, raw_bytes
+from gaugeframe.llm.words import INVERSE, mix, powers, prefix_sums, range_hash, raw_bytes, words_of
 
 #: eight-byte words that the quicksort compares before tries take over
 SHALLOW = 4
 TOP = np.uint64(2**64 - 1)
 SPAN = "array<struct<first: long, last: long>>"
+#: bytes of a word's code
+CODE = 6
+
+
+def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As ``raw_bytes``, of texts in which every word is ``CODE`` bytes of its hash and nothing else stands.
+
+    Strings of ``n * CODE`` bytes are equal where ``n`` words are: a string that begins inside a word needs
+    ``CODE`` further bytes of other words to agree by chance.
+    """
+    w = words_of(column)
+    return np.ascontiguousarray(w.hashes().view(np.uint8).reshape(-1, 8)[:, :CODE]).ravel(), w.first * CODE
 
 
 # anchors -------------------------------------------------------------------------------------------
@@ -64,13 +76,13 @@ def anchors(data: np.ndarray, begins: np.ndarray, sums: np.ndarray, length: int,
     return at, x[at]
 
 
-def _anchor_rows(length: int, gram: int):
+def _anchor_rows(length: int, gram: int, view):
     """Anchor rows of documents: gram hash, hash of the surroundings, place, bytes there on each side."""
     room = length - gram
 
     def run(batches):
         for b in blocks(batches, 1 << 20):
-            data, begins = raw_bytes(b.column("text"))
+            data, begins = view(b.column("text"))
             sums = prefix_sums(data)
             at, core = anchors(data, begins, sums, length, gram)
             text = np.searchsorted(begins, at, side="right") - 1
@@ -256,13 +268,13 @@ def _compared(room: int, most: int = 16_384):
 # jobs ----------------------------------------------------------------------------------------------
 
 
-def _surroundings(length: int, gram: int):
+def _surroundings(length: int, gram: int, view):
     """Bytes before (outward) and after the gram of each wanted anchor; of hot grams, hashes of strings."""
     room = length - gram
 
     def run(batches):
         for b in blocks(batches, 1 << 20):
-            data, begins = raw_bytes(b.column("text"))
+            data, begins = view(b.column("text"))
             sums, out = None, [[] for _ in range(6)]
             for i, wanted in enumerate(b.column("wanted").to_pylist()):
                 text = data[begins[i] : begins[i + 1]]
@@ -285,16 +297,17 @@ def _surroundings(length: int, gram: int):
     return run, "core long, around long, before binary, after binary, first long, hashes array<long>"
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, doc_id: str = "doc_id", text: str = "text", hot: int = 20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, doc_id: str = "doc_id", text: str = "text", hot: int = 20_000, view=raw_bytes) -> DataFrame:
     """``k1, k2, spans``: places in each document that a string of ``length`` bytes covers which also
     starts elsewhere; spans may overlap, and documents without any are left out.
 
     A gram with more than ``hot`` different surroundings is not compared in one task: hashes of all
-    strings around it are counted instead, which gives the same spans.
+    strings around it are counted instead, which gives the same spans. ``view`` gives the bytes of texts
+    that lengths and places refer to.
     """
     room = length - gram
     rows = docs.select(*row_key(doc_id, text), F.col(text).alias("text"))
-    found = written(rows.mapInArrow(_anchor_rows(length, gram), "core long, around long, k1 long, k2 long, at long, left int, right int"), "anchors")
+    found = written(rows.mapInArrow(_anchor_rows(length, gram, view), "core long, around long, k1 long, k2 long, at long, left int, right int"), "anchors")
     twice = written(found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "repeated-grams")
     met = written(found.join(twice, "core"), "repeated-anchors")
     kinds = written(met.groupBy("core", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at", "left", "right")).alias("one")), "surroundings")
@@ -302,7 +315,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, doc_id:
     whole = kinds.where("n > 1").select("core", "around", F.col("one.left").cast("long").alias("lo"), F.col("one.right").cast("long").alias("hi"))
     mixed = written(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("core", (F.col("m") > hot).alias("hot")), "mixed-grams")
     wanted = kinds.join(mixed, "core").select("one.k1", "one.k2", F.struct("core", "around", "one.at", "one.left", "one.right", "hot").alias("w"))
-    scan, schema = _surroundings(length, gram)
+    scan, schema = _surroundings(length, gram, view)
     asked = wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))
     sides = written(rows.join(asked, ["k1", "k2"]).select("text", "wanted").mapInArrow(scan, schema), "sides")
     # of equal rows each brings the surroundings that stand for both
@@ -330,17 +343,31 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), hot: int = 20_000) -> DataFrame:
+def _places(text: str, passages: list[dict]) -> list[tuple[int, int]]:
+    """Bytes of the whole words in spans of coded text."""
+    w = words_of(pa.array([text]))
+    found = [(-(-s["first"] // CODE), s["last"] // CODE) for s in passages]
+    return [(int(w.start[a]), int(w.end[b - 1])) for a, b in found]
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), hot: int = 20_000, words: int = 0) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept`` and the columns in ``carry``.
 
     Every byte is removed that a string of ``length`` bytes covers which also starts anywhere else, in
-    the same or another row; strings never cross rows and are judged on the input. ``kept`` is the text
+    the same or another row; strings never cross rows and are judged on the input. With ``words``, so are
+    passages of that many words (those of ``words_of``: case and what stands between words do not count)
+    that also start anywhere else, however few bytes they have. ``kept`` is the text
     without the spans, from which characters that a span cuts are left in whole. A null text is empty.
     Rows with null or repeated ids are judged one by one; of rows with equal id and text each is the
     other's copy. Other columns are ignored; an empty table gives no rows. ``docs`` is read three times
-    and must give the same rows each time.
+    (five with ``words``) and must give the same rows each time.
     """
     found = repeated_spans(docs, length, gram, doc_id, text, hot)
+    if words:
+        passages = repeated_spans(docs, words * CODE, max(1, words // 3) * CODE, doc_id, text, hot, word_codes)
+        found = found.join(passages.withColumnRenamed("spans", "passages"), ["k1", "k2"], "full")
+    else:
+        found = found.withColumn("passages", F.lit(None).cast(SPAN))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *row_key(doc_id, text), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(c).alias(f"_carry_{c}") for c in carry))
     names = ["doc_id", *(f"_carry_{c}" for c in carry)]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
@@ -348,9 +375,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200, doc_id:
     def run(batches):
         for b in blocks(batches):
             out = [[] for _ in range(6)]
-            for t, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
+            for t, spans, passages in zip(*(b.column(c).to_pylist() for c in ("text", "spans", "passages"))):
                 raw = t.encode()
-                runs = merged([(s["first"], s["last"]) for s in spans or ()])
+                runs = merged([(s["first"], s["last"]) for s in spans or ()] + (_places(t, passages) if passages else []))
                 rest, safe, at, safe_at = [], [], 0, 0
                 for x, y in runs:
                     rest.append(raw[at:x])
@@ -372,5 +399,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200, doc_id:
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *columns], [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
     schema = f"{kept}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {SPAN}, kept string"
-    done = rows.join(found, ["k1", "k2"], "left").select(*names, "text", "spans").mapInArrow(run, schema)
+    done = rows.join(found, ["k1", "k2"], "left").select(*names, "text", "spans", "passages").mapInArrow(run, schema)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", *(F.col(f"_carry_{c}").alias(c) for c in carry))

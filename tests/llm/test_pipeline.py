@@ -89,3 +89,17 @@ def test_sketches_pass_every_pair_at_the_threshold():
             a, b = np.sort(some[: len(some) - n // 9]), np.sort(some[n // 9 :])
             bits = sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
             assert 128 - int(np.bitwise_count(bits[0] ^ bits[1]).sum()) >= AGREE
+
+
+def test_repeated_passages_of_few_bytes_are_cut(spark):
+    r = random.Random(5)
+    one = [f"{a}{b}" for a in "klmnopqrst" for b in "uvwxyz"]
+    # three bytes a word: 51 words go, 50 stay, however far both are from 400 bytes
+    short, under = r.sample(one, 51), r.sample(one, 50)
+    passage, fewer = " ".join(short), " ".join(under)
+    texts = [prose(r, 60) + " " + passage + " " + prose(r, 60), prose(r, 50) + "\n" + passage.upper().replace(" ", ", ") + "\n" + prose(r, 70)]
+    texts += [prose(r, 60) + " " + fewer + " " + prose(r, 60) for _ in range(2)] + [prose(r, 80), passage + " é" + prose(r, 30), None]
+    assert len(passage) < 160
+    want = [t and t.replace(passage, "").replace(passage.upper().replace(" ", ", "), "") for t in texts]
+    got = {x.doc_id: x.text for x in P.without_repeats(spark, written(documents(spark, texts), "short"), "").collect()}
+    assert got == {i: t or "" for i, t in enumerate(want)} and sum(a != b for a, b in zip(texts, want)) == 3
