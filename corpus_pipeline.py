@@ -49,9 +49,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
+    """Pieces of the documents, with their ids, in sequences of 2048 tokens."""
     ship_package(spark)
-    return pack(cut_documents(docs, tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=1))
+    return pack(cut_documents(docs, tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=1, keep_ids=True))
 
 
 STAGES = [

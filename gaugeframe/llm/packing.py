@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gaugeframe.llm.common import blocks, encoder, written
 
@@ -160,13 +159,14 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 2048, unit:
     ``unit - 1`` a piece beyond what the plan wastes. Ranks are taken per task and then shifted, so that
     no task sees all pieces of a length.
     """
-    schema = T.StructType([f for f in pieces.drop("sequence_id", "offset").schema])
-    extra = T.StructType([T.StructField(n, T.LongType()) for n in ("_part", "_size", "_rank")])
+    # written first: ranks and sequences are found from lengths alone, and rows are moved once, at the end
+    named = written(pieces.drop("sequence_id", "offset").withColumn("_row", F.monotonically_increasing_id()), "cut-pieces")
+    narrow = "_row long, _length long, _part long, _size long, _rank long"
 
     def rank(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(-(-capacity // unit) + 1, np.int64)
         for b in batches:
-            n = b.column(length).to_numpy(zero_copy_only=False).astype(np.int64)
+            n = b.column("_length").to_numpy(zero_copy_only=False)
             size = -(-n // unit)
             order = np.argsort(size, kind="stable")
             ordered = size[order]
@@ -175,10 +175,9 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 2048, unit:
             ranks[order] = np.arange(len(n)) - begin + seen[ordered]
             seen += np.bincount(size, minlength=len(seen))
             columns = [pa.array(np.full(len(n), part)), pa.array(size), pa.array(ranks)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, "_part", "_size", "_rank"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], ["_row", "_length", "_part", "_size", "_rank"])
 
-    # written first: cutting and ranking in one stage would keep two Python workers busy for each task
-    ranked = written(written(pieces.select(*schema.names), "cut-pieces").mapInArrow(rank, T.StructType(schema.fields + extra.fields)), "pieces")
+    ranked = written(named.select("_row", F.col(length).cast("long").alias("_length")).mapInArrow(rank, narrow), "pieces")
     counts = ranked.groupBy("_part", "_size").agg(F.count(F.lit(1)).alias("_n"))
     # at most capacity / unit rows
     histogram = sorted((r["_size"], r["n"]) for r in counts.groupBy("_size").agg(F.sum("_n").alias("n")).collect())
@@ -196,10 +195,9 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 2048, unit:
                 start, first, times = table[int(s)]
                 k = np.searchsorted(start, r[at], side="right") - 1
                 sequence[at] = first[k] + (r[at] - start[k]) // times[k]
-            keep = [b.column(n) for n in schema.names]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(size), pa.array(r), pa.array(sequence)], [*schema.names, "_size", "_rank", "sequence_id"])
+            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("_length"), pa.array(size), pa.array(r), pa.array(sequence)], ["_row", "_length", "_size", "_rank", "sequence_id"])
 
-    kept = T.StructType(schema.fields + [T.StructField(n, T.LongType()) for n in ("_size", "_rank", "sequence_id")])
-    placed = ranked.join(before, ["_part", "_size"]).mapInArrow(assign, kept)
+    placed = ranked.join(before, ["_part", "_size"]).mapInArrow(assign, "_row long, _length long, _size long, _rank long, sequence_id long")
     w = Window.partitionBy("sequence_id").orderBy(F.desc("_size"), "_rank")
-    return placed.withColumn("offset", F.sum(length).over(w) - F.col(length)).drop("_size", "_rank")
+    placed = placed.select("_row", "sequence_id", (F.sum("_length").over(w) - F.col("_length")).alias("offset"))
+    return named.join(placed, "_row").drop("_row")

@@ -64,7 +64,9 @@ def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return pack(cut_documents(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=1))
+    """The ids are packed; their digest is taken from the packed rows."""
+    pieces = cut_documents(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=1, keep_ids=True)
+    return pack(pieces.drop("ids_crc32")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

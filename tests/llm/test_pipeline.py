@@ -103,3 +103,33 @@ def test_repeated_passages_of_few_bytes_are_cut(spark):
     want = [t and t.replace(passage, "").replace(passage.upper().replace(" ", ", "), "") for t in texts]
     got = {x.doc_id: x.text for x in P.without_repeats(spark, written(documents(spark, texts), "short"), "").collect()}
     assert got == {i: t or "" for i, t in enumerate(want)} and sum(a != b for a, b in zip(texts, want)) == 3
+
+
+def test_packed_sequences_hold_the_ids_of_the_documents(spark):
+    import numpy as np
+
+    r = random.Random(7)
+    texts = [prose(r, r.choice([1, 40, 1500])) for _ in range(20)] + ["", None]
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sequences, pieces = {}, {}
+    for x in sorted(P.packed(spark, documents(spark, texts), "").collect(), key=lambda x: (x.sequence_id, x.offset)):
+        ids = np.frombuffer(x.ids, "<u4").tolist()
+        assert len(sequences.setdefault(x.sequence_id, [])) == x.offset and len(ids) == x.length
+        sequences[x.sequence_id] += ids
+        pieces.setdefault(x.doc_id, {})[x.start] = ids
+    assert max(map(len, sequences.values())) <= 2048
+    for i, text in enumerate(texts):
+        assert sum((v for _, v in sorted(pieces[i].items())), []) == t.encode(text or "", add_special_tokens=False).ids + [1]
+
+
+def test_packing_query_takes_digests_from_packed_ids(spark, monkeypatch):
+    import gaugeframe.llm.queries as q
+
+    seen = []
+    monkeypatch.setattr(q, "pack", lambda pieces: seen.append(pieces.columns) or P.pack(pieces))
+    got = q.QUERIES["op7_packing"](spark, "/root/testdata/sf0.001")
+    assert "ids" in seen[0] and got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    cut = P.cut_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 1)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, cut.select(*columns).collect()))
