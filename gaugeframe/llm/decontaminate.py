@@ -5,10 +5,15 @@ at each word its state holds the longest run ending there that some item contain
 ``window`` consecutive words of an item, or the whole of a shorter item; the words of every occurring
 window are hit. Before streaming, runs of words whose short n-grams all stand in items are picked out
 with numpy: no window can lie elsewhere.
+
+A benchmark of one part is sent to every task. A larger one stays in Spark: its items are dealt into parts,
+a document meets the parts with which it shares an anchor of a window, and the task that holds a part
+builds its automaton.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.common import blocks
-from gaugeframe.llm.words import words_of
+from gaugeframe.llm.common import blocks, row_key, written
+from gaugeframe.llm.words import mix, words_of
 
 SPANS = "array<struct<first_word: long, last_word: long, start_byte: long, end_byte: long>>"
 ARROW_SPAN = pa.struct([(n, pa.int64()) for n in ("first_word", "last_word", "start_byte", "end_byte")])
@@ -199,24 +204,88 @@ def _merged(spans):
     return out
 
 
-def benchmark_parts(benchmark: DataFrame, item_id: str, text: str, part_words: int, most_words: int) -> list[list[tuple[str, str]]]:
-    """Items in parts of about ``part_words`` words; more than ``most_words`` in all are refused."""
-    parts, held, total = [[]], 0, 0
-    for name, body in benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).toLocalIterator():
-        n = len(body.split()) + 1
-        held, total = held + n, total + n
-        if total > most_words:
-            raise ValueError(f"the benchmark has more than {most_words} words; split it into several calls")
-        if held > part_words and parts[-1]:
-            parts.append([])
-            held = n
-        parts[-1].append((name, body))
-    return parts
+def _anchors(parts: bool, window: int, sizes: list[int]):
+    """Distinct ``(size, gram)`` of each text: the least-hashed gram of every run of ``size`` words.
+
+    Equal runs have equal ones. Of an item only the size of its own windows counts, which is ``window`` or
+    the length of a shorter item; of a document all ``sizes`` do.
+    """
+
+    def run(batches):
+        for b in blocks(batches, 1 << 20):
+            w = words_of(b.column("text"))
+            h, out, rows = w.hashes(), [], []
+            for i, (x, y) in enumerate(zip(w.first, w.first[1:])):
+                n = int(y - x)
+                for size in ([min(window, n)] if n else []) if parts else sizes:
+                    if size > n:
+                        continue
+                    g = (size + 1) // 2
+                    code = np.zeros(n - g + 1, np.uint64)
+                    for k in range(g):
+                        code = mix(code * np.uint64(0x9E3779B97F4A7C15) + h[x + k : y - g + 1 + k])
+                    least = np.unique(np.lib.stride_tricks.sliding_window_view(code, size - g + 1).min(1))
+                    out += [(size, v) for v in least.view(np.int64).tolist()]
+                    rows += [i] * len(least)
+            keep = [c for c in b.schema.names if c != "text"]
+            own = [b.column(c).take(pa.array(rows, pa.int64())) for c in keep]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([s for s, _ in out], pa.int32()), pa.array([v for _, v in out], pa.int64())], [*keep, "size", "gram"])
+
+    return run
+
+
+def _scan_parts(window: int):
+    """Items (without ``k1``) and then documents of each part and slice in; spans and items of documents out."""
+
+    def run(batches):
+        part, items, matcher = None, [], None
+        for b in blocks(batches, 1 << 20):
+            key = list(zip(b.column("part").to_pylist(), b.column("slice").to_pylist()))
+            known = b.column("k1").is_valid().to_pylist()
+            at = 0
+            while at < len(key):
+                end = at
+                while end < len(key) and key[end] == key[at] and known[end] == known[at]:
+                    end += 1
+                piece = b.slice(at, end - at)
+                if key[at] != part:
+                    part, items, matcher = key[at], [], None
+                at = end
+                if piece.column("k1")[0].as_py() is None:
+                    items += zip(piece.column("name").to_pylist(), piece.column("text").to_pylist())
+                    continue
+                if matcher is None:
+                    matcher, items = Matcher(items, window), []
+                _, hits = matcher.find(piece.column("text"))
+                some = [i for i, (spans, _) in enumerate(hits) if spans]
+                spans = [[dict(zip(("first_word", "last_word", "start_byte", "end_byte"), x)) for x in hits[i][0]] for i in some]
+                own = [piece.column(c).take(pa.array(some, pa.int64())) for c in ("k1", "k2")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(spans, pa.list_(ARROW_SPAN)), pa.array([sorted(hits[i][1]) for i in some], pa.list_(pa.string()))], ["k1", "k2", "spans", "items"])
+
+    return run
+
+
+def _found_in_parts(rows: DataFrame, listed: DataFrame, parts: int, window: int, slice_bytes: int) -> DataFrame:
+    """``k1, k2, spans, items`` of the keyed ``rows`` that hold windows; lists of one entry for each part."""
+    dealt = written(listed.select(F.pmod(F.xxhash64("name", "text"), F.lit(parts)).cast("int").alias("part"), "name", "text"), "benchmark")
+    asked = written(dealt.select("part", "text").mapInArrow(_anchors(True, window, []), "part int, size int, gram long").distinct(), "item-anchors")
+    sizes = sorted(r["size"] for r in asked.select("size").distinct().collect())  # at most ``window``
+    texts = rows.select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
+    offered = rows.select("k1", "k2", "text").mapInArrow(_anchors(False, window, sizes), "k1 long, k2 long, size int, gram long")
+    met = written(offered.join(asked, ["size", "gram"]).select("k1", "k2", "part").distinct(), "candidates")
+    sized = written(met.join(texts.select("k1", "k2", F.octet_length("text").cast("long").alias("_n")), ["k1", "k2"]), "sized-candidates")
+    slices = sized.groupBy("part").agg(F.ceil((F.sum("_n") + 1) / slice_bytes).cast("int").alias("slices"))
+    items = dealt.join(slices, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(None).cast("long").alias("k1"), F.lit(None).cast("long").alias("k2"), "name", "text")
+    docs = sized.join(slices, "part").select("part", F.pmod(F.xxhash64("k1", "k2"), F.col("slices")).cast("int").alias("slice"), "k1", "k2")
+    docs = docs.join(texts, ["k1", "k2"]).select("part", "slice", "k1", "k2", F.lit(None).cast("string").alias("name"), "text")
+    both = items.unionByName(docs).repartition("part", "slice").sortWithinPartitions("part", "slice", F.col("k1").asc_nulls_first())
+    found = written(both.mapInArrow(_scan_parts(window), f"k1 long, k2 long, spans {SPANS}, items array<string>"), "part-hits")
+    return found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
 
 def find_passages(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    carry: tuple[str, ...] = (), part_words: int = 1_000_000, most_words: int = 20_000_000,
+    carry: tuple[str, ...] = (), part_words: int = 1_000_000, most_words: int | None = None, slice_bytes: int = 64 << 20,
 ) -> DataFrame:
     """``doc_id, text, n_words, n_hit, spans, items`` and the columns named in ``carry``, for every row.
 
@@ -224,14 +293,35 @@ def find_passages(
     the text); ``items`` are the ids, as distinct strings, of the items with an occurring window. A null
     text or item has no words, a null item id is the empty string, items with equal ids count once,
     rows with a null or repeated document id are treated one by one, and an empty benchmark hits nothing.
-    An empty table gives no rows. The benchmark passes through the driver and is refused above
-    ``most_words``; each part of ``part_words`` has an automaton and a pass of its own.
+    An empty table gives no rows. A benchmark of up to ``part_words`` words goes to every task in one
+    automaton. A larger one is dealt into parts of about that size by a hash of its items; each task
+    holds one part at a time and about ``slice_bytes`` of the documents that may hold its windows, and
+    ``docs`` is read several times and must give the same rows each time. No size is refused unless
+    ``most_words`` names one.
     """
     own = [f for f in docs.select(*carry).schema] if carry else []
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in own)
     schema = f"doc_id long, text string, n_words long, spans {SPANS}, items array<string>{extra}"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c) for c in carry))
-    found = rows.selectExpr("doc_id", "text", "0L AS n_words", f"cast(array() AS {SPANS}) AS spans", "cast(array() AS array<string>) AS items", *(f"`{f.name}`" for f in own))
+    listed = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    n_words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    # long words weigh more, so that a part is bounded in bytes too
+    weight, total = listed.select(F.sum(F.greatest(n_words + 1, F.octet_length("text") / 16)), F.sum(n_words + 1)).first()
+    if most_words is not None and (total or 0) > most_words:
+        raise ValueError(f"the benchmark has more than {most_words} words; split it into several calls")
+    parts = max(1, math.ceil((weight or 0) / part_words))
+    none = f"cast(array() AS {SPANS}) AS spans", "cast(array() AS array<string>) AS items"
+    names = [f"`{f.name}`" for f in own]
+    if parts == 1:
+        items = [tuple(r) for r in listed.collect()]  # at most ``part_words`` words
+        found = rows.selectExpr("doc_id", "text", "0L AS n_words", *none, *names)
+    else:
+        keyed = docs.select(*row_key(doc_id, text), F.col(text).cast("string").alias("text"))
+        hits = _found_in_parts(keyed, listed, parts, window, slice_bytes)
+        whole = docs.select(F.struct(*row_key(doc_id, text)).alias("_key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c) for c in carry))
+        hits = hits.select(F.struct("k1", "k2").alias("_key"), F.col("spans").alias("_spans"), F.col("items").alias("_items"))
+        items = []
+        found = whole.join(hits, "_key", "left").selectExpr("doc_id", "text", "0L AS n_words", none[0].replace("cast(", "coalesce(_spans, cast(", 1).replace(" AS spans", ") AS spans"), none[1].replace("cast(", "coalesce(_items, cast(", 1).replace(" AS items", ") AS items"), *names)
 
     def scan(items):
         def run(batches):
@@ -248,8 +338,7 @@ def find_passages(
 
         return run
 
-    for items in benchmark_parts(benchmark, item_id, item_text, part_words, most_words):
-        found = found.mapInArrow(scan(items), schema)
+    found = found.mapInArrow(scan(items), schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.last_word - s.first_word + 1)
     return found.select("doc_id", "text", "n_words", hit.alias("n_hit"), "spans", "items", *(F.col(f"`{f.name}`") for f in own))
 

@@ -347,3 +347,25 @@ def test_passages_in_parts_and_removed(spark, edge, none):
     assert find_passages(none, benchmark).count() == 0 and find_passages(edge, benchmark.where("false")).where("n_hit > 0").count() == 0
     with pytest.raises(ValueError):
         find_passages(docs, benchmark, most_words=5)
+
+
+def test_large_benchmarks_stay_in_spark(spark, edge):
+    import inspect
+
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(40)]
+    make = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(i % 25, make(r.choice([1, 2, 3, 5, 9, 10, 11, 30]) if i < 30 else 20)) for i in range(60)] + [(None, make(15)), (99, None)]
+    full = [t for _, t in items if t]
+    texts = [make(20) + " " + r.choice(full) + " " + make(20) if i % 3 else make(60) for i in range(60)]
+    docs = documents(spark, texts).select("doc_id", "text", "lang").unionByName(edge.select("doc_id", "text", "lang"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    listed = [("" if n is None else str(n), t or "") for n, t in items]
+    for window in (4, 10):
+        want = brute_hits([x.text for x in docs.collect()], listed, window)
+        # many parts, and slices of a few documents each
+        got = find_passages(docs, benchmark, window, carry=("lang",), part_words=50, slice_bytes=2000)
+        assert sorted((x.n_words, x.n_hit, x.items) for x in got.collect()) == sorted(want)
+        one = find_passages(docs, benchmark, window, carry=("lang",))
+        assert rows(got, "doc_id", "text", "lang", "spans", "items") == rows(one, "doc_id", "text", "lang", "spans", "items")
+    assert inspect.signature(find_passages).parameters["most_words"].default is None
