@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,14 +16,21 @@ BOM = "﻿"
 
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder under the cluster's shared checkpoint folder; local only in a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: later jobs and lost executors read it again."""
+    path = f"{scratch_folder(df.sparkSession)}/table"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv_bom(spark: SparkSession, path: str) -> DataFrame:
     """All-string CSV with a header; a byte-order mark before the first name is dropped."""
     df = spark.read.csv(path, header=True, inferSchema=False, multiLine=False, quote='"', escape='"')
