@@ -12,13 +12,16 @@ from gaugeframe.llm.chat import digests, format_conversations
 from gaugeframe.llm.chosen_path import near_duplicates
 from gaugeframe.llm.common import shared_folder
 from gaugeframe.llm.decontaminate import find_passages
+from gaugeframe.llm.hard_negatives import mine_negatives
 from gaugeframe.llm.hilbert import shard_documents
 from gaugeframe.llm.packing import cut_documents, pack
+from gaugeframe.llm.prefix_trie import KEY, digest_turns, graft, list_digests, prefix_trie
 from gaugeframe.llm.quality import score_quality, train
 from gaugeframe.llm.suffix_dedup import remove_repeats
 from gaugeframe.llm.token_counts import count_tokens
 from gaugeframe.llm.token_files import read_digests, write_token_files
 from gaugeframe.llm.topk import top_k
+from gaugeframe.llm.warc import read_records, write_archives
 from gaugeframe.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +163,61 @@ def op8_chosen_path_join(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeats(table(spark, sf, "documents"), length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("""
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+top AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes < 1000 OR page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN best END AS refers_to
+FROM top
+""")
+def op11_warc(spark: SparkSession, sf: str) -> DataFrame:
+    index = write_archives(table(spark, sf, "pages"), shared_folder(spark, "archives"), least=1000)
+    return read_records(index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: CRC-32 of a text of ASCII characters, bit by bit
+CRC32 = """xor(list_reduce(list_transform(range(1, length(c) + 1), lambda i: CAST(ascii(c[i:i]) AS BIGINT)), lambda crc, byte:
+  list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, byte)), 4294967295), 4294967295)"""
+
+
+@query(f"""
+WITH ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT conv_id, {CRC32} % 6 AS h FROM (SELECT conv_id, CAST(conv_id AS VARCHAR) AS c FROM ids)),
+own AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS t FROM conversations GROUP BY conv_id),
+rebuilt AS (SELECT h.conv_id, coalesce(b.t[1:h.h], []) || coalesce(own.t[h.h + 1:], []) AS t
+            FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 100 LEFT JOIN own ON own.conv_id = h.conv_id),
+prefixes AS (SELECT conv_id, d, t[1:d] AS p, len(t) = d AS ends FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS names
+          FROM prefixes GROUP BY d, p),
+counted AS (SELECT n.*, (SELECT count(*) FROM nodes c WHERE c.d = n.d + 1 AND c.p[1:n.d] = n.p) AS n_children, CASE WHEN d = 0 THEN 0 ELSE length(p[d].text) END AS size FROM nodes n),
+sums AS (SELECT n.d, n.p, count(*) FILTER (m.n_children = 0) AS n_leaves, CAST(sum((m.n_convs - 1) * m.size) AS BIGINT) AS saved
+         FROM counted n JOIN counted m ON m.d >= n.d AND m.p[1:n.d] = n.p GROUP BY n.d, n.p)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved AS saved_tokens, sha256(n.names) AS ends_sha256
+FROM counted n JOIN sums s ON s.d = n.d AND s.p = n.p LEFT JOIN counted u ON u.d = n.d - 1 AND u.p = n.p[1:n.d - 1] AND n.d > 0
+""")
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, ends = prefix_trie(*graft(digest_turns(table(spark, sf, "conversations"))))
+    digests_of = list_digests(ends, KEY, "conv_id", "ends_sha256")
+    ended = nodes.join(digests_of, KEY, "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)))
+    return ended.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@query(r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS alike, c.vec_id, CAST(list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+           FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+""")
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """One label in seven is first replaced by the next, as mislabelled rows would be."""
+    vectors = table(spark, sf, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(vectors.withColumn("label", noisy), every=100, k_positives=5, k_negatives=5)
