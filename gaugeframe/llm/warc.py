@@ -168,8 +168,8 @@ def ranges(paths: list[str], offsets: np.ndarray, lengths: np.ndarray, gap: int,
     return out
 
 
-def read_records(index: DataFrame, payload: bool = True, gap: int = 64 << 10, most: int = 8 << 20) -> DataFrame:
-    """The records that ``index`` (``path, offset, length``) selects, from the archives.
+def read_records(index: DataFrame, payload: bool = True, gap: int = 64 << 10, most: int = 8 << 20, task: int = 8 << 20) -> DataFrame:
+    """The records that ``index`` (``path, offset, length``) selects, from the archives, about ``task`` bytes of them in a task.
 
     Columns as in ``RECORDS``, and ``payload`` (null for revisits) unless it is declined. Size and digest
     are those of the full payload: a response's are computed from what was read and must equal its
@@ -207,4 +207,6 @@ def read_records(index: DataFrame, payload: bool = True, gap: int = 64 << 10, mo
     schema = RECORDS + ", payload binary" * payload
     names = [c.split()[0] for c in schema.split(", ")]
     wanted = index.select("path", "offset", "length")
-    return wanted.repartitionByRange("path", "offset").sortWithinPartitions("path", "offset").mapInArrow(run, schema)
+    # index rows are small: the number of tasks follows the bytes that they point to
+    parts = max(1, -(-(wanted.agg(F.sum("length")).first()[0] or 0) // task))
+    return wanted.repartitionByRange(parts, "path", "offset").sortWithinPartitions("path", "offset").mapInArrow(run, schema)
