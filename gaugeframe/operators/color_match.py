@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import types as T
 
 from gaugeframe.functions.color import delta_e_packed, packed
 from gaugeframe.functions.numbers import rint_round
+from gaugeframe.operators.assignment import cheapest
 
 NEAR_DUPLICATE_MAX = 2.0
 
@@ -40,40 +42,15 @@ def costs(observed: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     return hex_delta(observed.join(sized, "profile"), "observed_hex", "expected_hex", "cost")
 
 
-_CHOSEN = T.ArrayType(T.StructType([
-    T.StructField("cost", T.DoubleType()), T.StructField("observed_index", T.LongType()), T.StructField("observed_hex", T.StringType()),
-    T.StructField("expected_index", T.LongType()), T.StructField("expected_hex", T.StringType()),
-]))
-
-
-def cheapest_matching(candidates: list[dict]) -> list[dict]:
-    """One-to-one pairs of the most expected colours at least total cost, by expected colour.
-
-    Observed colours are taken in turn; for every set of expected colours served so far the best way is
-    kept. Ties go to the smaller observed colours, then to the smaller partner of the first expected one.
-    """
-    expected = sorted({c["expected_index"] for c in candidates})
-    bit = {e: 1 << k for k, e in enumerate(expected)}
-    best: dict[int, tuple] = {0: (0.0, (), (), ())}
-    for o in sorted({c["observed_index"] for c in candidates}):
-        mine = [c for c in candidates if c["observed_index"] == o]
-        grown = dict(best)
-        for served, (cost, used, pairs, chosen) in best.items():
-            for c in mine:
-                mask = served | bit[c["expected_index"]]
-                if mask != served:
-                    way = cost + c["cost"], (*used, o), tuple(sorted((*pairs, (c["expected_index"], o)))), (*chosen, c)
-                    if mask not in grown or way[:3] < grown[mask][:3]:
-                        grown[mask] = way
-        best = grown
-    most = max(m.bit_count() for m in best)
-    way = min((w for m, w in best.items() if m.bit_count() == most), key=lambda w: w[:3])
-    return sorted(way[3], key=lambda c: c["expected_index"])
-
-
-@F.pandas_udf(_CHOSEN)
-def _matching(candidates: pd.Series) -> pd.Series:
-    return pd.Series([cheapest_matching(list(c)) for c in candidates])
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _matching(expected: pd.Series, observed: pd.Series, cost: pd.Series) -> pd.Series:
+    """Places of the chosen candidates of every image, solved for a whole batch of images at once."""
+    counts = expected.map(len).to_numpy()
+    image = np.repeat(np.arange(len(counts)), counts)
+    flat = [np.concatenate([np.asarray(x, t) for x in s] or [np.zeros(0, t)]) for s, t in ((expected, np.int64), (observed, np.int64), (cost, float))]
+    chosen = cheapest(image, *flat)
+    begins = np.cumsum(counts) - counts
+    return pd.Series([np.flatnonzero(chosen[a : a + n]).astype(np.int32) for a, n in zip(begins, counts)])
 
 
 def assign(cost: DataFrame, key: str) -> DataFrame:
@@ -86,10 +63,12 @@ def assign(cost: DataFrame, key: str) -> DataFrame:
     candidates together, however many colours were observed; n is the size of a profile's palette.
     """
     w = Window.partitionBy(key, "expected_index").orderBy("cost", "observed_index")
-    top = cost.withColumn("__r", F.row_number().over(w)).where("__r <= n_expected")
-    pick = F.struct("cost", F.col("observed_index").cast("bigint").alias("observed_index"), "observed_hex", F.col("expected_index").cast("bigint").alias("expected_index"), "expected_hex")
+    top = cost.where("cost is not null").withColumn("__r", F.row_number().over(w)).where("__r <= n_expected")
+    pick = F.struct(F.col("expected_index").cast("bigint").alias("expected_index"), "cost", F.col("observed_index").cast("bigint").alias("observed_index"), "observed_hex", "expected_hex")
     g = top.groupBy(key).agg(F.array_sort(F.collect_list(pick)).alias("candidates"))
-    return g.select(key, _matching("candidates").alias("chosen"))
+    field = lambda n: F.transform("candidates", lambda c: c[n])
+    found = _matching(field("expected_index"), field("observed_index"), field("cost"))
+    return g.withColumn("found", found).select(key, F.transform("found", lambda i: F.get("candidates", i)).alias("chosen"))
 
 
 def color_pairs(observed: DataFrame, expected: DataFrame, images: DataFrame, key: str) -> DataFrame:

@@ -69,11 +69,51 @@ def g20_text_similarity(spark, sf):
     return p.select("p_partkey", rint_round(text_similarity(F.col("ref"), F.col("gen"))).alias("scalar"), rint_round(list_similarity(words("ta"), words("tb"))).alias("list"))
 
 
-@query()
+# ------------------------------------------------------------- LCS of texts of any length, as SQL
+def long_lcs_sql(pairs: str, out: str, bits: int = 60) -> tuple[str, ...]:
+    """The bit-vector recurrence over lists of ``bits``-bit words, for distinct pairs ``a, b`` of any length.
+
+    A sum of two lists needs the carry into each word: there is one if the words before it end in one that
+    overflows (G) and any number that are full (P).
+    """
+    full = f"((cast(1 as bigint) << {bits}) - 1)"
+    return (
+        f"ch as (select b, c, [cast(coalesce(list_sum(list_transform(list_filter(js, lambda j: (j - 1) // {bits} = w), lambda j: cast(1 as bigint) << cast((j - 1) % {bits} as integer))), 0) as bigint) for w in range(0, cast(ceil(length(b) / {bits}.0) as bigint))] as m "
+        f"from (select b, c, list(j) as js from (select b, j, substr(b, cast(j as integer), 1) as c from (select b, unnest(range(1, length(b) + 1)) as j from (select distinct b from {pairs}))) group by b, c))",
+        # characters of a that b lacks change nothing
+        f"ss as (select a, b, list(m order by i) as ms from (select a, b, substr(a, cast(i as integer), 1) as c, i from (select a, b, unnest(range(1, length(a) + 1)) as i from {pairs} where a <> b)) join ch using (b, c) group by a, b)",
+        f"st as (select a, b, list_reduce(ms, lambda v, m: list_transform([[v[k] + (v[k] & m[k]) for k in range(1, length(v) + 1)]], lambda s: "
+        f"list_transform([list_aggregate([case when x > {full} then 'G' when x = {full} then 'P' else 'K' end for x in s], 'string_agg', '')], lambda g: "
+        f"[((s[k] + case when regexp_matches(g[1:k - 1], 'GP*$') then 1 else 0 end) & {full}) | (v[k] & ~m[k]) for k in range(1, length(v) + 1)])[1])[1], [{full} for x in ms[1]]) as v from ss)",
+        # set bits of the last state are characters of b outside the subsequence, apart from the unused ones
+        f"{out} as (select p.a, p.b, case when p.a = p.b then 1.0::double when p.a = '' or p.b = '' then 0.0::double else 2.0::double * (case when e.v is null then 0 else {bits} * length(e.v) - cast(list_sum([bit_count(x) for x in e.v]) as bigint) end) / (length(p.a) + length(p.b)) end as sim "
+        f"from {pairs} p left join st e on e.a = p.a and e.b = p.b)",
+    )
+
+
+_SCALARS, _LISTS = ("title", "x_axis"), tuple(S.LISTS)
+_PART_LISTS = "li0 as (select doc_id, " + ", ".join(f"coalesce(list(text order by {o}) filter (where {c}), []) as \"{f}\"" for f, o, c in (("legend", "pos", "is_l"), ("categories", "x, pos", "is_c"), ("values", "pos", "is_v"))) + " from fl group by doc_id)"
+
+
+@query("with " + ",\n".join([
+    *TOK_SQL, _PART_LISTS, "fs as (select lang, min(doc_id) as ref_id from documents group by lang)",
+    "tx as (select d.doc_id, d.lang, d.lang <> 'es' as cv, " + ", ".join([f"r.{f} as r_{f}, g.{f} as g_{f}" for f in _SCALARS] + [f"rl.\"{f}\" as r_{f}, gl.\"{f}\" as g_{f}" for f in _LISTS])
+    + " from documents d join fs using (lang) join cp g on g.doc_id = d.doc_id join cp r on r.doc_id = fs.ref_id join li0 gl on gl.doc_id = d.doc_id join li0 rl on rl.doc_id = fs.ref_id)",
+    "it as (" + " union all ".join(f"select doc_id, '{f}' as f, unnest(list_zip(r_{f}[1:least(len(r_{f}), len(g_{f}))], g_{f}[1:least(len(r_{f}), len(g_{f}))])) as x from tx" for f in _LISTS) + ")",
+    "prs as (" + " union ".join([f"select g_{f} as a, r_{f} as b from tx" for f in _SCALARS] + ["select x[2], x[1] from it"]) + ")",
+    *long_lcs_sql("prs", "sm"),
+    "li as (select doc_id, f, sum(sim) as s from it join sm on sm.a = x[2] and sm.b = x[1] group by doc_id, f)",
+    "sc as (select tx.doc_id, lang, cv, " + ", ".join([f"{f}_sm.sim as s_{f}" for f in _SCALARS] + [f"case when len(r_{f}) = 0 and len(g_{f}) = 0 then 1.0 when len(r_{f}) = 0 or len(g_{f}) = 0 then 0.0 else {f}_li.s / greatest(len(r_{f}), len(g_{f})) end as s_{f}" for f in _LISTS])
+    + " from tx " + " ".join([f"join sm {f}_sm on {f}_sm.a = g_{f} and {f}_sm.b = r_{f}" for f in _SCALARS] + [f"left join li {f}_li on {f}_li.doc_id = tx.doc_id and {f}_li.f = '{f}'" for f in _LISTS]) + ")",
+]) + f""" select doc_id, lang, {', '.join(f"{r6(f's_{f}')} as s_{f}" for f in (*_SCALARS, 'legend', 'categories'))}, case when cv then {r6('s_values')} end as s_values,
+   {r6('case when cv then (s_title + s_x_axis + s_legend + s_categories + s_values) / 5 else (s_title + s_x_axis + s_legend + s_categories) / 4 end')} as ocr from sc""")
 def g21_text_score(spark, sf):
     """Every document against the first document of its language, over whole texts."""
+    from gaugeframe.sources.tables import written
+
     docs = table(spark, sf, "documents").select("doc_id", "lang")
-    c = S.components(ocr_tokens(spark, sf), "doc_id").join(docs, "doc_id")
+    # written, so that texts are tokenised once for documents and references
+    c = written(S.components(ocr_tokens(spark, sf), "doc_id")).join(docs, "doc_id")
     first = docs.groupBy("lang").agg(F.min("doc_id").alias("doc_id"))
     ref = c.join(first, ["doc_id", "lang"]).withColumn("compare_values", F.col("lang") != "es")
     s = S.text_scores(c, ref, "lang")

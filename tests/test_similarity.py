@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.similarity import cosine, indel_similarity, lcs_length
+from gaugeframe.functions.similarity import cosine, indel_similarities, indel_similarity, lcs_length, lcs_lengths
 from gaugeframe.operators import score_export as X
 from gaugeframe.operators import similarity as S
 
@@ -25,6 +25,19 @@ def test_lcs_of_whole_texts():
     assert indel_similarity("", "") == 1.0 and indel_similarity("a", "") == 0.0 and indel_similarity("Abc", "abc") == 4 / 6
 
 
+def test_lcs_of_many_pairs_at_once():
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("abcé𝔸 ") for _ in range(n))
+    sizes = [0, 1, 2, 7, 63, 64, 65, 66, 130, 200]
+    pairs = [(text(rng.choice(sizes)), text(rng.choice(sizes))) for _ in range(400)] + [("a" * 64, "a" * 300), ("a" * 64, "b" * 64)]
+    assert lcs_lengths(pairs).tolist() == [dp(a, b) for a, b in pairs]
+    assert len(lcs_lengths([])) == 0
+    mixed = [*pairs, *pairs[:5], ("", ""), (None, "a"), ("x", None), (None, None)]
+    got = indel_similarities(mixed)
+    want = [indel_similarity(a, b) for a, b in mixed]
+    assert all((g != g) if w is None else g == w for g, w in zip(got, want))
+
+
 def test_components_and_scores(spark):
     toks = [(1, 0, "Total", 5, 0.1, 0.01), (1, 1, "by", 50, 0.2, 0.02), (1, 2, "Nomes das Medidas", 1100, 0.9, 0.5), (1, 3, "Operação", 1100, 0.92, 0.55), (1, 4, "Industria", 300, 0.3, 0.95),
             (1, 5, "Agropecuaria", 100, 0.1, 0.95), (1, 6, "Setor BNDES", 500, 0.5, 0.97), (1, 7, "R$ 1,5", 500, 0.5, 0.5), (2, 0, "nothing", 500, 0.5, 0.5)]
