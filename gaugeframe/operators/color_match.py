@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,15 +43,15 @@ def costs(observed: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     return hex_delta(observed.join(sized, "profile"), "observed_hex", "expected_hex", "cost")
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _matching(expected: pd.Series, observed: pd.Series, cost: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _matching(expected: pa.Array, observed: pa.Array, cost: pa.Array) -> pa.Array:
     """Places of the chosen candidates of every image, solved for a whole batch of images at once."""
-    counts = expected.map(len).to_numpy()
-    image = np.repeat(np.arange(len(counts)), counts)
-    flat = [np.concatenate([np.asarray(x, t) for x in s] or [np.zeros(0, t)]) for s, t in ((expected, np.int64), (observed, np.int64), (cost, float))]
-    chosen = cheapest(image, *flat)
-    begins = np.cumsum(counts) - counts
-    return pd.Series([np.flatnonzero(chosen[a : a + n]).astype(np.int32) for a, n in zip(begins, counts)])
+    counts = pc.fill_null(pc.list_value_length(expected), 0).to_numpy(zero_copy_only=False)
+    image, begins = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
+    flat = [x.flatten().to_numpy(zero_copy_only=False) for x in (expected, observed, cost)]
+    at = np.flatnonzero(cheapest(image, *flat))
+    ends = np.concatenate([[0], np.bincount(image[at], minlength=len(counts)).cumsum()]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array((at - begins[image[at]]).astype(np.int32)))
 
 
 def assign(cost: DataFrame, key: str) -> DataFrame:

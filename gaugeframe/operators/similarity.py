@@ -15,12 +15,12 @@ COMPARE_VALUES = {"B-COMP": True, "B-ID": True, "L-COMP": False, "L-ID": True, "
 LISTS = ["legend", "categories", "values"]
 
 
-def components(tokens: DataFrame, key: str) -> DataFrame:
+def components(tokens: DataFrame, key: str, images: DataFrame | None = None) -> DataFrame:
     """Title, legend, categories, values and axis title of every image in one aggregation.
 
-    ``tokens``: key, pos (reading order), text, x, x_norm, y_norm.  Each task lists the tokens that
-    belong to a component before the shuffle, so only those move; an image whose tokens match
-    nothing still has (empty) components.
+    ``tokens``: key, pos (reading order), text, x, x_norm, y_norm.  Tokens that belong to no
+    component are dropped before the shuffle.  ``images`` names the images, so that those whose tokens
+    match nothing have (empty) components; without it they are found by reading the tokens again.
     """
     text, low = F.col("text"), F.lower("text")
     is_title = F.col("y_norm") < TITLE_MAX_Y
@@ -28,18 +28,21 @@ def components(tokens: DataFrame, key: str) -> DataFrame:
     has_axis = low.contains(AXIS_WORD)
     is_category = (F.col("y_norm") >= CATEGORY_MIN_Y) & ~has_axis & ~text.contains("R$") & ~text.rlike(r"\d") & (F.length(text) >= CATEGORY_MIN_LENGTH)
     is_value = text.rlike(MONEY)
+    kept = tokens.where(is_title | is_legend | has_axis | is_category | is_value)
 
     def listing(cond: Column, *order: str) -> Column:
         row = F.when(cond, F.struct(*[F.col(o) for o in order], text.alias("__t")))
         return F.transform(F.array_sort(F.collect_list(row)), lambda s: s["__t"])
 
-    out = tokens.groupBy(key).agg(
+    parts = kept.groupBy(key).agg(
         F.trim(F.array_join(listing(is_title, "x", "pos"), " ")).alias("title"),
         listing(is_legend, "pos").alias("legend"),
         listing(is_category, "x", "pos").alias("categories"),
         listing(is_value, "pos").alias("values"),
         F.coalesce(F.min_by(F.when(has_axis, text), F.when(has_axis, F.col("pos"))), F.lit("")).alias("x_axis"),
     )
+    out = (tokens if images is None else images).select(key).distinct().join(parts, key, "left")
+    out = out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in LISTS})
     return out.na.fill("", ["title", "x_axis"])
 
 

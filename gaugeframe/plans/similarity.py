@@ -16,8 +16,8 @@ from gaugeframe.plans.rates import SC_CONDS, SC_TASKS, SCORE_SUM, SCORES
 WORD = "case when pos % 97 = 5 then concat('Setor ', w) when pos % 41 = 7 then concat('R$ ', cast(pos as string), ',50') when pos % 211 = 3 then 'Nomes das medidas' else w end"
 
 
-def ocr_tokens(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"[ \n\t\r]+")).alias("pos", "w"))
+def ocr_tokens(documents):
+    t = documents.select("doc_id", F.posexplode(F.split("text", r"[ \n\t\r]+")).alias("pos", "w"))
     return t.selectExpr("doc_id", "pos", f"{WORD} as text", "pos * 13 % 1200 as x", "pos * 13 % 1200 / 1200 as x_norm", "pos * 7 % 100 / 100 as y_norm")
 
 
@@ -33,7 +33,8 @@ TOK_SQL = (
 
 @query(with_(*TOK_SQL, select="select * from cp"))
 def g19_ocr_components(spark, sf):
-    c = S.components(ocr_tokens(spark, sf), "doc_id")
+    docs = table(spark, sf, "documents")
+    c = S.components(ocr_tokens(docs), "doc_id", docs)
     return c.select("doc_id", "title", "x_axis", *[F.array_join(n, "|").alias(n) for n in S.LISTS])
 
 
@@ -109,13 +110,12 @@ _PART_LISTS = "li0 as (select doc_id, " + ", ".join(f"coalesce(list(text order b
    {r6('case when cv then (s_title + s_x_axis + s_legend + s_categories + s_values) / 5 else (s_title + s_x_axis + s_legend + s_categories) / 4 end')} as ocr from sc""")
 def g21_text_score(spark, sf):
     """Every document against the first document of its language, over whole texts."""
-    from gaugeframe.sources.tables import written
-
-    docs = table(spark, sf, "documents").select("doc_id", "lang")
-    # written, so that texts are tokenised once for documents and references
-    c = written(S.components(ocr_tokens(spark, sf), "doc_id")).join(docs, "doc_id")
+    docs = table(spark, sf, "documents")
+    # references are chosen first, so only their texts are taken apart a second time
     first = docs.groupBy("lang").agg(F.min("doc_id").alias("doc_id"))
-    ref = c.join(first, ["doc_id", "lang"]).withColumn("compare_values", F.col("lang") != "es")
+    chosen = docs.join(first, ["doc_id", "lang"])
+    parts = lambda d: S.components(ocr_tokens(d), "doc_id", d).join(d.select("doc_id", "lang"), "doc_id")
+    c, ref = parts(docs), parts(chosen).withColumn("compare_values", F.col("lang") != "es")
     s = S.text_scores(c, ref, "lang")
     return s.select("doc_id", "lang", *[rint_round(F.col(f"s_{f}")).alias(f"s_{f}") for f in ("title", "x_axis", *S.LISTS)], rint_round(F.col("ocr")).alias("ocr"))
 
