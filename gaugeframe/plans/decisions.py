@@ -123,7 +123,39 @@ def g15_scale_vote(spark, sf):
     return K.scale_vote(VOTES.spark(spark, sf), "axis_id", axes)
 
 
-@query()
+_LABEL = r"trim(regexp_replace(regexp_replace(upper(strip_accents(coalesce(p_name, ''))), '[^A-Z0-9/%+\-.,() ]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_PHRASE = lambda t: rf"least(8.0::double, 0.12::double * length(regexp_replace({t}, '[^A-Z]', '', 'g')) + 0.9::double * greatest(0, len(list_filter(regexp_split_to_array({t}, '\s+'), lambda w: regexp_matches(w, '[A-Z]'))) - 1))"
+SLOT_SQL = (
+    f"rd as (select p_brand as filename, p_size as slot, p_type as source, case p_partkey % 3 when 0 then 'gray' when 1 then 'otsu' else 'adaptive' end || '|' || (p_partkey % 7) || '|' || (p_partkey % 4) as variant, {_LABEL} as text, p_retailprice / 10 as b, cast(p_partkey * 13 % 101 as double) as c from part)",
+    "ds as (select filename, slot, source, variant, text, max(struct_pack(b := b, c := c)) as m from rd where length(regexp_replace(text, '[^A-Z]', '', 'g')) >= 2 group by all)",
+    f"rs as (select filename, slot, source, variant, text, m.b as b, m.c as c, m.b + {_PHRASE('text')} as rank, row_number() over (partition by filename, slot order by -m.b, text, variant, source, m.c) as i from ds)",
+    # longest matching blocks, the earliest in the text and then in the face, and what lies before and after them
+    "tp as (select distinct x.text as a, y.text as b from rs x join rs y on x.filename = y.filename and x.slot = y.slot and x.text <> y.text)",
+    "ce as (select a, b, i, j from (select a, b, i, unnest(range(1, length(b) + 1)) as j from (select a, b, unnest(range(1, length(a) + 1)) as i from tp)) where substr(a, cast(i as integer), 1) = substr(b, cast(j as integer), 1))",
+    "ru as (select a, b, i, j, max(i) over (partition by a, b, i - j, isl) - i + 1 as run from (select *, i - row_number() over (partition by a, b, i - j order by i) as isl from ce))",
+    """rg as (select a, b, cast(1 as bigint) as al, cast(length(a) + 1 as bigint) as ah, cast(1 as bigint) as bl, cast(length(b) + 1 as bigint) as bh, cast(0 as bigint) as k from tp union all
+       select a, b, x.al, x.ah, x.bl, x.bh, x.k from (select a, b, unnest([struct_pack(al := al, ah := m.i, bl := bl, bh := m.j, k := m.k), struct_pack(al := m.i + m.k, ah := ah, bl := m.j + m.k, bh := bh, k := cast(0 as bigint))]) as x
+         from (select rg.a, rg.b, al, ah, bl, bh, arg_min(struct_pack(i := i, j := j, k := least(run, ah - i, bh - j)), struct_pack(nk := -least(run, ah - i, bh - j), i := i, j := j)) as m
+               from rg join ru on ru.a = rg.a and ru.b = rg.b and i >= al and i < ah and j >= bl and j < bh group by rg.a, rg.b, al, ah, bl, bh)))""",
+    "al as (select a, b from rg group by a, b having 2.0::double * sum(k) / (length(a) + length(b)) >= 0.72)",
+    "sl0 as (select filename, slot, list(text order by i) as ts, list(rank order by i) as rk from rs group by all)",
+    "si as (select filename, slot, list(distinct a || '|' || b) as alike from (select x.filename, x.slot, al.a, al.b from rs x join al on al.a = x.text) group by all)",
+    # readings join the first group whose face they resemble
+    """fo as (select filename, slot, ts, rk, coalesce(alike, []) as alike, cast(0 as bigint) as n, cast([] as struct(r double, t varchar)[]) as faces, cast([] as bigint[]) as gs from sl0 left join si using (filename, slot) union all
+       select filename, slot, ts, rk, alike, n + 1, case when g is null then faces || [struct_pack(r := rk[n + 1], t := ts[n + 1])] when rk[n + 1] > faces[g].r then faces[1:g - 1] || [struct_pack(r := rk[n + 1], t := ts[n + 1])] || faces[g + 1:] else faces end, gs || [coalesce(g, len(faces) + 1)]
+       from (select *, nullif(list_position(list_transform(faces, lambda f: f.t = ts[n + 1] or list_contains(alike, ts[n + 1] || '|' || f.t)), true), 0) as g from fo where n < len(ts)))""",
+    "nu as (select filename, slot, unnest(gs) as g, generate_subscripts(gs, 1) as i from fo where n = len(ts))",
+    "gp as (select filename, slot, g, arg_max(text, struct_pack(rank := rank, e := -rs.i)) as face, max(b) as base, max(c) as conf, count(distinct variant) as variants, count(distinct source) as sources from nu join rs using (filename, slot, i) group by all)",
+    f"sc as (select *, base + least(34.0::double, 2.0::double * variants + 4.0::double * sources) + {_PHRASE('face')} as score from gp)",
+    "tw as (select *, row_number() over (partition by filename, slot order by score desc, g) as rn, lead(score) over (partition by filename, slot order by score desc, g) as score2, lead(variants) over (partition by filename, slot order by score desc, g) as variants2 from sc)",
+    """dc as (select *, case when chars > 0 then letters / chars else 0 end as alpha, coalesce(score - score2 < 5, false) as close, coalesce(variants >= 8 and conf >= 90 and (score2 is null or variants >= 1.5 * greatest(1, variants2)), false) as strong
+       from (select *, length(regexp_replace(face, '[^A-Za-z0-9]', '', 'g')) as chars, length(regexp_replace(face, '[^A-Z]', '', 'g')) as letters from tw where rn = 1))""",
+    """st as (select *, case when variants >= 2 and alpha >= 0.55 then case when close and not strong then 'AMBIGUOUS' else 'CONSENSUS' end when conf >= 88 and alpha >= 0.65 then case when close then 'AMBIGUOUS' else 'SINGLE_HIGH_CONF' end else 'UNREADABLE' end as status from dc)""",
+)
+
+
+@query("with recursive " + ",\n".join(SLOT_SQL) + f""" select e.filename, e.slot as slot_index, coalesce(status, 'UNREADABLE') as status, case when status in ('CONSENSUS', 'SINGLE_HIGH_CONF') then face else '' end as selected_text,
+   {r6('coalesce(score, 0.0)')} as score, coalesce(variants, 0) as support, coalesce(conf, -1.0) as confidence from (select distinct filename, slot from rd) e left join st using (filename, slot)""")
 def g16_slot_consensus(spark, sf):
     p = table(spark, sf, "part").selectExpr(
         "p_brand as filename", "p_size as slot_index", "p_type as source", "case p_partkey % 3 when 0 then 'gray' when 1 then 'otsu' else 'adaptive' end as preprocess",
