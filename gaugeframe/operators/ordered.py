@@ -1,16 +1,20 @@
 """Ordered operators: runs, gaps, islands, covers and groups around a moving centre.
 
 Skew: an image can hold any number of rows, so every operator first reduces rows per (image,
-position) with a map-side combine.  Positions live on a pixel, degree or bin grid, which bounds what
-one window group or one array can hold whatever the number of rows.
+position) with a map-side combine.  Where positions live on a pixel, degree or bin grid, that bounds what
+one window group can hold whatever the number of rows; groups around a centre have no such bound and
+are folded over parts of an image.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.numbers import percentile, rint_round
+from gaugeframe.operators.fold import fold_groups
 
 
 def _ordered(key: str | list[str], *order) -> Window:
@@ -153,6 +157,63 @@ def gap_scale_groups(df: DataFrame, key: str, pos: str, ratio_min: float = 2.2)
 
 
 # --------------------------------------------------------------------------- groups around a centre
+class CenterGroups:
+    """The open group around a running weighted mean: what to add, and when it is too far."""
+
+    def __init__(self, tol: float):
+        self.facts, self.tol, self.n = (tol,), tol, 0
+
+    def add(self, p: float, w: float, m: int, labels: list[str]):
+        if self.n and self.w and abs(p - self.wx / self.w) <= self.tol:
+            self.wx, self.w, self.n, self.labels = self.wx + p * w, self.w + w, self.n + m, self.labels.union(labels)
+            return None
+        closed = self.close()
+        self.wx, self.w, self.n, self.labels = p * w, float(w), m, set(labels)
+        return closed
+
+    def close(self):
+        return (self.wx / self.w if self.w else None, self.w, self.n, "+".join(sorted(self.labels))) if self.n else None
+
+    def __getstate__(self):
+        return self.__dict__ | ({"labels": tuple(sorted(self.labels))} if self.n else {})
+
+    def __setstate__(self, state):
+        self.__dict__ = state | ({"labels": set(state["labels"])} if state["n"] else {})
+
+
+class MedianGroups:
+    """The open group around the median of its members.
+
+    Positions ascend, so the median only moves up: of each group the positions from the median on are
+    kept, with their multiplicities.
+    """
+
+    def __init__(self, tol: float):
+        self.facts, self.tol, self.n = (tol,), tol, 0
+
+    def _median(self) -> float:
+        """Mean of the middle members; positions below the lower one are let go."""
+        low, high = (self.n - 1) // 2, self.n // 2
+        while self.passed + self.kept[0][1] <= low:
+            self.passed += self.kept.popleft()[1]
+        upper = self.kept[0] if self.passed + self.kept[0][1] > high else self.kept[1]
+        return (self.kept[0][0] + upper[0]) / 2
+
+    def add(self, p: float, a: float, m: int):
+        # equal positions enter one by one in the scan; the first decides for all, since joining only
+        # moves the median towards them
+        if self.n and abs(p - self._median()) <= self.tol:
+            self.kept.append((p, m))
+            self.n, self.area = self.n + m, self.area + a
+            return None
+        closed = self.close()
+        self.kept, self.passed, self.n, self.area = deque([(p, m)]), 0, m, float(a)
+        return closed
+
+    def close(self):
+        return (self._median(), self.n, self.area * (1 + 0.1 * (self.n - 1))) if self.n else None
+
+
 def running_center_groups(
     df: DataFrame, key, pos: str, weight: Column, tol: Column, label: str | None = None, stats: list[Column] | None = None
 ) -> DataFrame:
@@ -160,74 +221,31 @@ def running_center_groups(
 
     ``tol`` may use ``span`` (largest minus smallest position of the key) and any of ``stats``, which
     are aggregates of the rows of a key.
-    The scan is order-dependent; it runs as one native array fold over the distinct positions of an
-    image, at most one per pixel of the canvas.
+    The scan is order-dependent. It runs over the distinct positions of an image in order, and an image
+    of any size is cut over several tasks that hand the open group on (:mod:`gaugeframe.operators.fold`).
+    Rows without a position are left out, and a missing weight is 0.
     """
     keys = [key] if isinstance(key, str) else key
-    aggs = [F.sum(weight).alias("w"), F.count(F.lit(1)).alias("m")]
-    if label:
-        aggs.append(F.collect_set(label).alias("labels"))
-    d = df.groupBy(*keys, F.col(pos).cast("double").alias("p")).agg(*aggs)
-    fields = ["p", "w", "m"] + (["labels"] if label else [])
-    g = d.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("items"),
-        (F.max("p") - F.min("p")).alias("span"),
-    )
-    if stats:
-        g = g.join(df.groupBy(*keys).agg(*stats), keys)
-    g = g.withColumn("tol", tol)
-    # open group: running sums; closed groups are appended when the next item is too far
-    item_type = "array<struct<wx:double,w:double,m:bigint" + (",labels:array<string>" if label else "") + ">>"
-    empty = F.array().cast(item_type)
-
-    def start(x):
-        cols = [(x["p"] * x["w"]).alias("wx"), x["w"].cast("double").alias("w"), x["m"].alias("m")]
-        return F.struct(*cols, *([x["labels"].alias("labels")] if label else []))
-
-    def grow(last, x):
-        cols = [(last["wx"] + x["p"] * x["w"]).alias("wx"), (last["w"] + x["w"]).alias("w"), (last["m"] + x["m"]).alias("m")]
-        return F.struct(*cols, *([F.array_union(last["labels"], x["labels"]).alias("labels")] if label else []))
-
-    def step(acc, x):
-        last = F.get(acc, F.size(acc) - 1)
-        near = (F.size(acc) > 0) & (F.abs(x["p"] - last["wx"] / last["w"]) <= F.col("tol"))
-        return F.when(near, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grow(last, x)))).otherwise(
-            F.concat(acc, F.array(start(x)))
-        )
-
-    folded = g.select(*keys, F.posexplode(F.aggregate("items", empty, step)).alias("group", "g"))
-    out = [F.col("group").cast("bigint").alias("group"), (F.col("g.wx") / F.col("g.w")).alias("center"), F.col("g.w").alias("strength"), F.col("g.m").alias("n_members")]
-    if label:
-        out.append(F.array_join(F.array_sort("g.labels"), "+").alias("sources"))
-    return folded.select(*keys, *out)
+    labels = F.collect_set(label) if label else F.array().cast("array<string>")
+    p = F.col(pos).cast("double")
+    df = df.where(p.isNotNull())
+    d = df.groupBy(*keys, p.alias("p")).agg(F.coalesce(F.sum(weight), F.lit(0)).cast("double").alias("w"), F.count(F.lit(1)).alias("m"), labels.alias("labels"))
+    whole = df.groupBy(*keys).agg((F.max(p) - F.min(p)).alias("span"), *stats) if stats else d.groupBy(*keys).agg((F.max("p") - F.min("p")).alias("span"))
+    facts = whole.select(*keys, tol.cast("double").alias("tol"))
+    out = fold_groups(d, facts, keys, ["p"], CenterGroups, "center double, strength double, n_members long, sources string")
+    return out if label else out.drop("sources")
 
 
 def running_median_groups(df: DataFrame, key: str, pos: str, area: str, tol: Column) -> DataFrame:
     """Best base line: positions within ``tol`` of a group's median join it; the group with the
-    largest ``area * (1 + 0.1 * (members - 1))`` gives its median."""
-    d = df.groupBy(key, F.col(pos).cast("double").alias("p")).agg(F.sum(area).cast("double").alias("a"), F.count(F.lit(1)).alias("m"))
-    g = d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("p", "a", "m"))).alias("items"), F.max("p").alias("top")).withColumn("tol", tol)
-    empty = F.array().cast("array<struct<ps:array<double>,a:double>>")
-
-    def median(ps):
-        n = F.size(ps)
-        return (F.get(ps, F.floor((n - 1) / 2).cast("int")) + F.get(ps, F.floor(n / 2).cast("int"))) / 2
-
-    def step(acc, x):
-        last = F.get(acc, F.size(acc) - 1)
-        copies = F.array_repeat(x["p"], x["m"].cast("int"))
-        # equal positions enter one by one in the scan; the first decides for all, since joining only
-        # moves the median towards them
-        near = (F.size(acc) > 0) & (F.abs(x["p"] - median(last["ps"])) <= F.col("tol"))
-        joined = F.struct(F.concat(last["ps"], copies).alias("ps"), (last["a"] + x["a"]).alias("a"))
-        return F.when(near, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(
-            F.concat(acc, F.array(F.struct(copies.alias("ps"), x["a"].alias("a"))))
-        )
-
-    c = g.select(key, F.posexplode(F.aggregate("items", empty, step)).alias("i", "g"))
-    score = F.col("g.a") * (1 + 0.1 * (F.size("g.ps") - 1))
-    best = c.groupBy(key).agg(F.max_by(F.struct(F.col("g.ps"), score.alias("score")), F.struct(score, -F.col("i"))).alias("b"), F.count(F.lit(1)).alias("n_clusters"))
-    return best.select(key, F.rint(median(F.col("b.ps"))).cast("bigint").alias("baseline"), F.size("b.ps").cast("bigint").alias("n_bars"), rint_round(F.col("b.score")).alias("score"), "n_clusters")
+    largest ``area * (1 + 0.1 * (members - 1))`` gives its median. ``tol`` may use ``top``, the largest position."""
+    p = F.col(pos).cast("double")
+    df = df.where(p.isNotNull())
+    d = df.groupBy(key, p.alias("p")).agg(F.coalesce(F.sum(area), F.lit(0)).cast("double").alias("a"), F.count(F.lit(1)).alias("m"))
+    facts = d.groupBy(key).agg(F.max("p").alias("top")).select(key, tol.cast("double").alias("tol"))
+    c = fold_groups(d, facts, [key], ["p"], MedianGroups, "median double, n long, score double", number="i")
+    best = c.groupBy(key).agg(F.max(F.struct("score", (-F.col("i")).alias("e"), "median", "n")).alias("b"), F.count(F.lit(1)).alias("n_clusters"))
+    return best.select(key, F.rint("b.median").cast("bigint").alias("baseline"), F.col("b.n").alias("n_bars"), rint_round(F.col("b.score")).alias("score"), "n_clusters")
 
 
 # ------------------------------------------------------------------------------------ line phrases
