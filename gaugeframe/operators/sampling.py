@@ -28,14 +28,34 @@ def best_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(F.struct(order.alias("__o"), F.struct(*rest).alias("r"))).alias("b")).select(*keys, "b.r.*")
 
 
-def shortfall(df: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Strata with fewer than ``k`` rows: must be empty before a sample is accepted."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_available")).where(F.col("n_available") < k)
+def refuse_short(sample: DataFrame, keys: list[str], k: int, strata: DataFrame | None = None) -> DataFrame:
+    """The sample, or an error in the same job if a stratum gave fewer than ``k`` rows.
 
-
-def unit_sample(units: DataFrame, images: DataFrame, strata: list[str], unit: str, image: str, k: int, seed: int) -> DataFrame:
-    """``k`` units per stratum, then one image of each drawn unit."""
-    chosen = first_per_group(units, strata, [draw(seed, unit)], k).select(*strata, unit)
+    Counts the drawn rows only, at most ``k`` a stratum. ``strata`` names the strata of a design, so that one
+    without any row is refused too.
+    """
+    said = F.concat(F.lit("short stratum: "), F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in keys]))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*(keys or [F.lit(1)])))
+    full = F.when(F.col("__n") >= k, True).otherwise(F.raise_error(F.concat(said, F.lit(" has "), F.col("__n").cast("string"), F.lit(f" of {k}"))).cast("boolean"))
+    out = sample.withColumn("__n", n).where(full).drop("__n")
+    if strata is not None:
+        same = sample.select(*[F.col(c).alias(f"__{c}") for c in keys]).distinct()
+        on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+        # asked of the joined row: a bare raise_error would be pushed below the join
+        met = strata.select(*keys).distinct().join(same.withColumn("__met", F.lit(True)), on, "left")
+        never = met.where(F.when(F.col("__met"), False).otherwise(F.raise_error(F.concat(said, F.lit(f" has 0 of {k}"))).cast("boolean"))).select(*keys)
+        out = out.unionByName(never, allowMissingColumns=True)
+    return out
+
+
+def stratified(df: DataFrame, keys: list[str], order: list[Column], k: int, strata: DataFrame | None = None) -> DataFrame:
+    """Exactly ``k`` rows a stratum; too few are an error."""
+    return refuse_short(first_per_group(df, keys, order, k), keys, k, strata)
+
+
+def unit_sample(units: DataFrame, images: DataFrame, strata: list[str], unit: str, image: str, k: int, seed: int, design: DataFrame | None = None) -> DataFrame:
+    """``k`` units per stratum, then one image of each drawn unit; a stratum with fewer units is an error."""
+    chosen = stratified(units, strata, [draw(seed, unit)], k, design).select(*strata, unit)
     own = images.select(unit, image).join(chosen, unit)
     return own.groupBy(*strata, unit).agg(F.min_by(image, draw(seed + 1, image)).alias(image))
 
@@ -48,12 +68,19 @@ def whole_units(images: DataFrame, unit: str, repeat: str, first: int, repeats:
     return g.where((F.col("n") == repeats) & (F.col("d") == repeats) & (F.col("lo") == first) & (F.col("hi") == first + repeats - 1)).select(unit)
 
 
+def whole_unit_sample(images: DataFrame, unit: str, repeat: str, first: int, repeats: int, k: int, seed: int) -> DataFrame:
+    """``k`` of the units that own all repeats; fewer such units are an error."""
+    chosen = whole_units(images, unit, repeat, first, repeats).orderBy(draw(seed, unit)).limit(k)
+    none = images.sparkSession.range(1).select(F.lit("units").alias("__design"))
+    return refuse_short(chosen.withColumn("__design", F.lit("units")), ["__design"], k, none).drop("__design")
+
+
 def blind_cases(df: DataFrame, stratum: str, key: str, k: int, seed: int) -> DataFrame:
-    """``k`` rows per stratum, shuffled together and numbered ``CASE_001`` onwards, wider from 1000.
+    """``k`` rows per stratum, shuffled together and numbered ``CASE_001`` onwards, wider from 1000; too few are an error.
 
     The numbering orders the drawn sample only, ``k`` rows per stratum.
     """
-    s = first_per_group(df, [stratum], [draw(seed, key)], k)
+    s = stratified(df, [stratum], [draw(seed, key)], k)
     n = F.row_number().over(Window.orderBy(draw(seed + 1, key))).cast("string")
     # lpad alone would cut numbers above 999
     return s.withColumn("case_id", F.concat(F.lit("CASE_"), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n)))

@@ -14,18 +14,23 @@ from gaugeframe.plans.rules import MANUALS
 SEED = 20260
 
 
+def full(k: int, *by: str) -> str:
+    """Condition that fails the statement where a stratum has fewer than ``k`` rows."""
+    return f"case when count(*) over ({'partition by ' + ', '.join(by) if by else ''}) < {k} then error('short stratum') else true end"
+
+
 def h(key: str, seed: int = SEED) -> str:
     return f"md5(concat_ws('|', '{seed}', cast({key} as varchar)))"
 
 
-@query(with_(*IMAGES, f"u as (select profile, condition_code, unit_id from unit qualify row_number() over (partition by profile, condition_code order by {h('unit_id')}, unit_id) <= 2)",
+@query(with_(*IMAGES, f"u as (select profile, condition_code, unit_id from unit qualify row_number() over (partition by profile, condition_code order by {h('unit_id')}, unit_id) <= 2 and {full(2, 'profile', 'condition_code')})",
              select=f"select u.profile, u.condition_code, u.unit_id, i.filename from u join image i using (unit_id) qualify row_number() over (partition by u.unit_id order by {h('i.filename', SEED + 1)}, i.filename) = 1"))
 def e01_stratified_unit_sample(spark, sf):
     o = table(spark, sf, "orders").selectExpr("o_custkey as unit_id", "o_orderkey as filename")
     return P.unit_sample(units(spark, sf), o, ["profile", "condition_code"], "unit_id", "filename", 2, SEED)
 
 
-@query(with_(*IMAGES, USED, f"u as (select profile, unit_id from unit where unit_id not in (select unit_id from used) qualify row_number() over (partition by profile order by {h('unit_id')}, unit_id) <= 3)",
+@query(with_(*IMAGES, USED, f"u as (select profile, unit_id from unit where unit_id not in (select unit_id from used) qualify row_number() over (partition by profile order by {h('unit_id')}, unit_id) <= 3 and {full(3, 'profile')})",
              select=f"select u.profile, u.unit_id, i.filename from u join image i using (unit_id) qualify row_number() over (partition by u.unit_id order by {h('i.filename', SEED + 1)}, i.filename) = 1"))
 def e02_stratified_profile_sample(spark, sf):
     calibration, holdout = used_units(spark, sf)
@@ -35,19 +40,19 @@ def e02_stratified_profile_sample(spark, sf):
 
 
 @query(f"""with w as (select conv_id from conversations group by conv_id having count(*) = 4 and count(distinct turn) = 4 and min(turn) = 0 and max(turn) = 3),
-  s as (select conv_id from w order by {h('conv_id')}, conv_id limit 5) select conv_id, turn, role from conversations where conv_id in (select conv_id from s)""")
+  s as (select conv_id from w qualify row_number() over (order by {h('conv_id')}, conv_id) <= 5 and {full(5)}) select conv_id, turn, role from conversations where conv_id in (select conv_id from s)""")
 def e03_whole_unit_sample(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role")
-    chosen = P.whole_units(c, "conv_id", "turn", 0, 4).orderBy(P.draw(SEED, "conv_id")).limit(5)
+    chosen = P.whole_unit_sample(c, "conv_id", "turn", 0, 4, 5, SEED)
     return c.join(chosen, "conv_id", "left_semi")
 
 
-@query(with_(*IMAGES, select=f"select profile, filename from image qualify row_number() over (partition by profile order by {h('filename')}, filename) <= 5"))
+@query(with_(*IMAGES, select=f"select profile, filename from image qualify row_number() over (partition by profile order by {h('filename')}, filename) <= 5 and {full(5, 'profile')}"))
 def e04_row_sample_per_profile(spark, sf):
-    return P.first_per_group(images(spark, sf).select("profile", "filename"), ["profile"], [P.draw(SEED, "filename")], 5)
+    return P.stratified(images(spark, sf).select("profile", "filename"), ["profile"], [P.draw(SEED, "filename")], 5)
 
 
-@query(with_(*IMAGES, f"s as (select profile, filename from image where mark_present = 1 qualify row_number() over (partition by profile order by {h('filename')}, filename) <= 20)",
+@query(with_(*IMAGES, f"s as (select profile, filename from image where mark_present = 1 qualify row_number() over (partition by profile order by {h('filename')}, filename) <= 20 and {full(20, 'profile')})",
              select=f"select profile, filename, 'CASE_' || repeat('0', greatest(0, 3 - length(cast(n as varchar)))) || cast(n as varchar) as case_id from (select *, row_number() over (order by {h('filename', SEED + 1)}, filename) as n from s)"))
 def e05_blind_control_sample(spark, sf):
     ok = images(spark, sf).where("mark_present = 1").select("profile", "filename")
@@ -115,8 +120,8 @@ def e11_argbest_with_ties(spark, sf):
 
 
 @query(with_(*IMAGES, f"d as (select profile, filename, case when height >= 0.1 then 1 else 0 end as canvas_ok from image where filename not in (select event_id from events where event_type = 'click'))",
-             select=f"select profile, canvas_ok, filename from d qualify row_number() over (partition by profile, canvas_ok order by {h('filename')}, filename) <= 4"))
+             select=f"select profile, canvas_ok, filename from d qualify row_number() over (partition by profile, canvas_ok order by {h('filename')}, filename) <= 4 and {full(4, 'profile', 'canvas_ok')}"))
 def e24_canvas_stratified_sample(spark, sf):
     calibration = table(spark, sf, "events").where("event_type = 'click'").select(F.col("event_id").alias("filename"))
     fresh = images(spark, sf).selectExpr("profile", "filename", "cast(height >= 0.1D as int) as canvas_ok").join(calibration, "filename", "left_anti")
-    return P.first_per_group(fresh, ["profile", "canvas_ok"], [P.draw(SEED, "filename")], 4).select("profile", "canvas_ok", "filename")
+    return P.stratified(fresh, ["profile", "canvas_ok"], [P.draw(SEED, "filename")], 4).select("profile", "canvas_ok", "filename")

@@ -18,7 +18,28 @@ def test_draws_do_not_depend_on_partitioning(spark):
     a = P.first_per_group(frame(spark, 500).repartition(7), ["profile"], [P.draw(1, "filename")], 5).collect()
     b = P.first_per_group(frame(spark, 500).repartition(2, "filename"), ["profile"], [P.draw(1, "filename")], 5).collect()
     assert sorted(a) == sorted(b) and len(a) == 15
-    assert P.shortfall(frame(spark, 10), ["profile"], 4).count() == 2
+
+
+def test_short_strata_fail_the_same_job(spark):
+    """Ten rows: profile 0 has four, the others three."""
+    rows = frame(spark, 10).withColumn("unit", F.col("filename"))
+    design = spark.createDataFrame([(i,) for i in range(4)], "profile long")
+    draws = [P.draw(1, "filename")]
+    turns = rows.select("unit", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    short = {
+        "profile=1 has 3 of 4": lambda: P.stratified(rows, ["profile"], draws, 4).where("profile = 1"),
+        "profile=3 has 0 of 3": lambda: P.stratified(rows, ["profile"], draws, 3, design),
+        "profile=[12] has 3 of 4": lambda: P.unit_sample(rows, rows, ["profile"], "unit", "filename", 4, 1),
+        "has 10 of 11": lambda: P.whole_unit_sample(turns, "unit", "turn", 0, 2, 11, 1),
+        "has 0 of 1": lambda: P.whole_unit_sample(turns, "unit", "turn", 0, 3, 1, 1),
+        "has 3 of 5": lambda: P.blind_cases(rows.where("profile = 1"), "profile", "filename", 5, 1),
+    }
+    for said, sample in short.items():
+        with pytest.raises(Exception, match=said):
+            sample().collect()
+    assert P.stratified(rows, ["profile"], draws, 3, design.where("profile < 3")).count() == 9
+    assert P.unit_sample(rows, rows, ["profile"], "unit", "filename", 3, 1).count() == 9
+    assert P.whole_unit_sample(turns, "unit", "turn", 0, 2, 10, 1).count() == 10
 
 
 def test_rank_is_cut_before_the_shuffle(spark):
