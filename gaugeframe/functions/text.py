@@ -6,6 +6,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -279,6 +280,22 @@ def general_number(v: Column) -> Column:
     return F.when(F.abs(v - F.rint(v)) < 1e-9, whole).otherwise(_six_digits(v))
 
 
+@F.arrow_udf(StringType())
+def _typed_numbers(typ: pa.Array, value: pa.Array) -> pa.Array:
+    def shown(t: str, v: float) -> str:
+        if t != "PCT" and abs(v - round(v)) < 1e-9:
+            return str(round(v))
+        return f"{v:g}" + "%" * (t == "PCT")
+
+    cells = [[shown(t, v) for t, v in zip(*row)] if row[0] is not None else None for row in zip(typ.to_pylist(), value.to_pylist())]
+    return pa.array([None if c is None else " | ".join(c) for c in cells], pa.string())
+
+
+def typed_numbers(items: Column) -> Column:
+    """A list of ``STRUCT<typ,value>`` as text: whole numbers without decimals, others and percentages with six digits."""
+    return _typed_numbers(F.transform(items, lambda i: i["typ"]), F.transform(items, lambda i: i["value"]))
+
+
 def pad_condition(c: Column) -> Column:
     """Condition code with a trailing ``.0`` dropped and padded to two digits."""
     code = F.regexp_replace(c.cast("string"), r"\.0$", "")

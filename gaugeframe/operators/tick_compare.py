@@ -119,11 +119,6 @@ def observed_numeric(df: DataFrame, manual: str, effective: str, selected: str,
     )
 
 
-def number_text(item: Column) -> Column:
-    pct = F.concat(T.general_number(item["value"]), F.lit("%"))
-    return F.when(item["typ"] == "PCT", pct).otherwise(T.general_number(item["value"]))
-
-
 # ---------------------------------------------------------------------------------- decision table
 def gate(kind: Column, scope: Column, status: Column, eligible: Column, has_observed: Column) -> Column:
     """Why a row is not compared, NULL when it is (first match wins)."""
@@ -202,6 +197,61 @@ def compare_axes(axes: DataFrame, expected: DataFrame, observed: DataFrame, key:
     )
 
 
+def _beyond(a: Column, b: Column) -> Column:
+    """Items of one list beyond their number in another, in ascending order."""
+    times = lambda c, v: F.size(F.filter(c, lambda x: x == v))
+    return F.flatten(F.transform(F.array_sort(F.array_distinct(a)), lambda v: F.array_repeat(v, F.greatest(times(a, v) - times(b, v), F.lit(0)))))
+
+
+def tick_report(spec: DataFrame, categorical: DataFrame, final: DataFrame, axes: DataFrame) -> DataFrame:
+    """The full report, one row per categorical image and per temporal or numeric axis, with both lists as text.
+
+    Inputs are separate tables. ``spec``: unit_id, axis, scope, status, display, canonical, x_order.
+    ``categorical``: filename, profile, unit_id, condition, extraction_source, ba_final_status, content,
+    eligible. ``final``: filename, axis, kind, profile, unit_id, condition, manual, manual_result, years,
+    selected; kinds other than temporal and numeric are left out. ``axes``: filename, axis, raw, effective,
+    one row per axis. Rows of units without a specification are left out. A list is the text of one cell,
+    so lists are compared within their row and only the joins shuffle.
+    """
+    blank = F.lit("")
+    ids = ["filename", "profile", "unit_id", "condition"]
+    cat = categorical.select(*ids, F.lit("X").alias("axis"), F.lit("categorical").alias("kind"), "extraction_source", "ba_final_status", "content", "eligible")
+    rest = final.where(F.col("kind").isin("temporal", "numeric")).select(*ids, F.upper("axis").alias("axis"), "kind", "manual", "manual_result", "years", "selected")
+    rest = rest.join(axes.select("filename", "axis", "raw", "effective"), ["filename", "axis"], "left")
+    rows = cat.unionByName(rest, allowMissingColumns=True).join(spec.select("unit_id", "axis", "scope", "status", "display", "canonical", "x_order").withColumnRenamed("display", "wanted"), ["unit_id", "axis"])
+    rows = observed_numeric(rows, "manual", "effective", "selected", "raw")
+    kind = F.col("kind")
+    is_cat, is_num = kind == "categorical", kind == "numeric"
+    rows = rows.withColumns({
+        "e_text": F.when(~is_num, _parts(F.col("canonical"))),
+        "o_text": F.when(is_cat, F.transform(_parts(F.col("content")), T.cat_label)).when(~is_num, _parts(F.col("years"))),
+        "e_num": F.when(is_num, F.transform(_parts(F.col("canonical")), spec_numbers)),
+        "o_num": F.when(is_num, F.col("items")),
+    })
+    n_observed = F.size(F.coalesce("o_text", F.array().cast("array<string>"))) + F.when(is_num, F.size("o_num")).otherwise(0)
+    rows = rows.withColumn("closed", gate(kind, F.col("scope"), F.col("status"), F.coalesce("eligible", blank), n_observed > 0))
+    compared = F.col("closed").isNull()
+    reached = compared | (F.col("closed") == "UNEVALUABLE")  # past what the specification leaves open
+    rows = rows.withColumns({f"{side}_{of}": F.when(compared, _beyond(F.col(f"{a}_{of}"), F.col(f"{b}_{of}"))) for of in ("text", "num") for side, a, b in (("missing", "e", "o"), ("extra", "o", "e"))})
+    number = lambda side: F.when(is_num, F.size(f"{side}_num")).otherwise(F.size(f"{side}_text"))
+    detailed = F.coalesce("closed", multiset.detailed_status(number("missing"), number("extra")))
+    joined = lambda of: F.coalesce(F.when(is_num, T.typed_numbers(F.col(f"{of}_num"))).otherwise(F.array_join(f"{of}_text", " | ")), blank)
+    rows = rows.withColumns({"bb_detailed_status": detailed, "missing_items": joined("missing"), "extra_items": joined("extra"), "read": joined("o")})
+    years = F.array_join("o_text", " | ")
+    return rows.select(
+        *ids, "axis", "kind", F.when(is_cat, BATCHES["categorical"]).otherwise(BATCHES["other"]).alias("source_batch"),
+        F.col("scope").alias("f_tick_list_scope"), F.col("status").alias("f_target_status"), F.col("wanted").alias("f_expected_display"), F.col("canonical").alias("f_expected_canonical"),
+        F.when(F.col("axis") == "X", F.col("x_order")).otherwise("NOT_SPECIFIED").alias("f_order_required"),
+        F.coalesce(F.when(is_cat, F.col("extraction_source")).when(reached & is_num, F.col("source")).when(reached, "AUTO_OR_MANUAL"), blank).alias("ba_source"),
+        F.coalesce(F.when(is_cat, F.col("ba_final_status")).when(reached & is_num, F.when(F.col("source") == "NONE", "UNEVALUABLE").otherwise("OBSERVED_COMPLETE")).when(reached, F.col("manual_result")), blank).alias("ba_final_status"),
+        F.coalesce(F.when(is_cat, F.col("content")).when(reached & is_num, F.col("display")).when(reached, years), blank).alias("observed_display"),
+        F.when(F.when(is_cat, compared).otherwise(reached), F.col("read")).otherwise(blank).alias("observed_canonical"),
+        "bb_detailed_status", collapse(F.col("bb_detailed_status")).alias("bb_collapsed_status"), "missing_items", "extra_items",
+        reason(kind, F.col("scope"), F.col("bb_detailed_status"), compared).alias("bb_reason"),
+        F.when(compared, "YES").otherwise("NO").alias("denominator_eligible"), F.lit(NORMALIZATION).alias("normalization_version"),
+    )
+
+
 def _status_counts() -> list[Column]:
     col = F.col("bb_collapsed_status")
     eligible, good = count_where(F.col("denominator_eligible") == "YES"), count_where(col == "CONFORMING")

@@ -67,10 +67,17 @@ def h06_canonicalize_pairs(spark, sf):
 G_ROWS = Derived("g", "orders", {"o_orderkey": "o_orderkey", "v": "case o_orderkey % 6 when 0 then o_totalprice when 1 then o_totalprice * 100 when 2 then o_totalprice / 1000 when 3 then o_totalprice / 10000000000 when 4 then cast(o_orderkey % 1000 as double) else -o_totalprice / 7 end"})
 
 
-@query(with_(G_ROWS.cte, select=r"""select o_orderkey, case when abs(v - round_even(v, 0)) < 1e-9 then cast(cast(round_even(v, 0) as bigint) as varchar)
-   else printf('%g', v) end as text from g"""))
+_G = lambda v: f"case when abs({v} - round_even({v}, 0)) < 1e-9 then cast(cast(round_even({v}, 0) as bigint) as varchar) else printf('%g', {v}) end"
+
+
+@query(with_(G_ROWS.cte, select=f"""select o_orderkey, {_G('v')} as text, case when o_orderkey % 8 = 0 then '' else {_G('v')} || ' | ' || printf('%g', v / 1000) || '% | ' || {_G('cast(o_orderkey as double)')} || ' | ' || printf('%g', cast(o_orderkey * 1000000 as double)) || '%' end as joined from g"""))
 def h07_canonical_numeric_text(spark, sf):
-    return G_ROWS.spark(spark, sf).select("o_orderkey", T.general_number(F.col("v")).alias("text"))
+    """A single number, and a typed list with percentages."""
+    item = lambda t, v: F.struct(F.lit(t).alias("typ"), v.cast("double").alias("value"))
+    v, key = F.col("v"), F.col("o_orderkey")
+    items = F.array(item("NUM", v), item("PCT", v / 1000), item("NUM", key), item("PCT", key * 1000000))
+    some = F.filter(items, lambda i: key % 8 != 0)
+    return G_ROWS.spark(spark, sf).select("o_orderkey", T.general_number(v).alias("text"), T.typed_numbers(some).alias("joined"))
 
 
 SPEC_TEXT = Derived("s", "orders", {

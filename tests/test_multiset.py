@@ -57,3 +57,30 @@ def test_hot_key_is_counted_not_collected(spark):
     e = spark.range(20000).select(F.lit(1).alias("k"), (F.col("id") % 5).cast("string").alias("v"))
     got = M.compare(M.value_counts(e, e, ["k"], "v"), ["k"], "v").first()
     assert (got.n_expected, got.n_missing, got.detailed) == (20000, 0, "NORMALIZED_EQUIVALENT")
+
+
+def test_report_by_hand(spark):
+    """One row of each input; columns as the report names them."""
+    from gaugeframe.operators import tick_compare as TC
+
+    spec = spark.createDataFrame([
+        (1, "X", "EXHAUSTIVE", "READY_LIST", "A e B", "infraestrutura e 1 | sul", "ASCENDING"), (1, "Y", "EXHAUSTIVE", "READY_LIST", "F", "1000 | 2.5% | 2.5%", "ASCENDING"),
+        (2, "X", "EXHAUSTIVE", "READY_TEMPORAL", "T", "2001 | 2002", None), (2, "Y", "EXAMPLES_ONLY", "READY_LIST", "E", "1", None),
+    ], "unit_id int, axis string, scope string, status string, display string, canonical string, x_order string")
+    cat = spark.createDataFrame([("c1", "P", 1, "Z", "AUTO", "COMPLETE", "Infra-Estrutura / 1 | Norte | SUL", "YES"), ("c2", "P", 1, "Z", "AUTO", "PARTIAL", "x", "NO"), ("c3", "P", 9, "Z", "AUTO", "COMPLETE", "no specification", "YES")],
+                                "filename string, profile string, unit_id int, condition string, extraction_source string, ba_final_status string, content string, eligible string")
+    final = spark.createDataFrame([("n1", "y", "numeric", "P", 1, "Z", "1 mil | 2,5%", "OK", None, None), ("n2", "Y", "numeric", "P", 1, "Z", "", None, None, None), ("t1", "x", "temporal", "P", 2, "Z", None, "OK", "2002 |  | 2001", None),
+                                   ("t2", "X", "temporal", "P", 2, "Z", None, None, None, None), ("e1", "Y", "numeric", "P", 2, "Z", "1", None, None, None), ("k1", "X", "categorical", "P", 1, "Z", None, None, None, None)],
+                                  "filename string, axis string, kind string, profile string, unit_id int, condition string, manual string, manual_result string, years string, selected string")
+    axes = spark.createDataFrame([("n2", "Y", "5 mil", "1000 | x | 7.25")], "filename string, axis string, raw string, effective string")
+    got = {r.filename: r for r in TC.tick_report(spec, cat, final, axes).collect()}
+    show = lambda f: (got[f].ba_source, got[f].ba_final_status, got[f].observed_display, got[f].observed_canonical, got[f].bb_detailed_status, got[f].missing_items, got[f].extra_items)
+    assert set(got) == {"c1", "c2", "n1", "n2", "t1", "t2", "e1"}
+    assert show("c1") == ("AUTO", "COMPLETE", "Infra-Estrutura / 1 | Norte | SUL", "infraestrutura e 1 | norte | sul", "NONCONFORMING_EXTRA", "", "norte")
+    assert show("c2") == ("AUTO", "PARTIAL", "x", "", "UNEVALUABLE", "", "")
+    assert show("n1") == ("MANUAL_ADJUDICATED", "OBSERVED_COMPLETE", "1 mil | 2,5%", "1000 | 2.5%", "NONCONFORMING_MISSING", "2.5%", "")
+    assert show("n2") == ("AUTO_VALIDATED", "OBSERVED_COMPLETE", "", "1000 | 7.25", "NONCONFORMING_VALUE", "2.5% | 2.5%", "7.25")
+    assert show("t1") == ("AUTO_OR_MANUAL", "OK", "2002 | 2001", "2002 | 2001", "NORMALIZED_EQUIVALENT", "", "")
+    assert show("t2") == ("AUTO_OR_MANUAL", "", "", "", "UNEVALUABLE", "", "")
+    assert show("e1") == ("", "", "", "", "NOT_EVALUATED", "", "")
+    assert (got["c1"].f_order_required, got["n1"].f_order_required, got["n1"].f_expected_display, got["n1"].f_expected_canonical) == ("ASCENDING", "NOT_SPECIFIED", "F", "1000 | 2.5% | 2.5%")
