@@ -143,22 +143,24 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8000, doc_id: str = "d
     the id; None if there are no positives or no documents.
 
     An id is positive if it has labels and all of them are 1; ids and labels that are null are passed
-    over. The labels of held-out ids are never read.
+    over. Of rows that share an id the text with the smallest hash counts, so the model does not depend on
+    the order of rows. The labels of held-out ids are never read.
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(doc_id))
     good = known.groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.min(label).alias("l")).where("l = 1").select("id", F.lit(1).alias("kind"))
     every = docs.select(F.col(doc_id).cast("long").alias("id"), F.lit(0).alias("kind")).where("id IS NOT NULL")
     chosen = [x.orderBy(F.xxhash64("id"), "id").limit(most) for x in (good, every)]
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
 
     def measure(batches):
         for b in blocks(batches):
             x = measures(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("kind").cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["kind", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("kind").cast(pa.int32()), b.column("h"), pa.array(list(x), pa.list_(pa.float64()))], ["id", "kind", "h", "x"])
 
     # at most 2 * most ids, whatever the number of documents
     wanted = F.broadcast(chosen[0].unionByName(chosen[1]))
-    sample = rows.join(wanted, "id").select("kind", "text").mapInArrow(measure, "kind int, x array<double>").limit(4 * most).collect()
+    measured = rows.join(wanted, "id").select("id", "kind", "text", "h").mapInArrow(measure, "id long, kind int, h long, x array<double>")
+    sample = sorted(measured.groupBy("id", "kind").agg(F.min(F.struct("h", "x")).alias("m")).select("id", "kind", "m.x").collect(), key=lambda r: r["id"])
     sides = [np.array([r["x"] for r in sample if r["kind"] == k]) for k in (1, 0)]
     return fit(*sides) if len(sides[0]) and len(sides[1]) else None
 
