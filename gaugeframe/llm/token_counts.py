@@ -57,6 +57,12 @@ def _exists(spark, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def misses(wanted: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``digest, text`` of one row for each wanted ``digest, k``; rows that agree in id and text are one."""
+    texts = docs.select(*row_key(doc_id, text), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["k1", "k2"])
+    return wanted.select("digest", "k.k1", "k.k2").join(texts, ["k1", "k2"]).select("digest", "text")
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs``.
 
@@ -74,10 +80,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int, doc_id
     if _exists(spark, cache):
         stored = spark.read.schema(SCHEMA).parquet(cache).where(F.col("version") == version)
         wanted = wanted.join(stored.select("digest"), "digest", "left_anti")
-    texts = docs.select(*row_key(doc_id, text), body.alias("text"))
-    misses = wanted.select("digest", "k.k1", "k.k2").join(texts, ["k1", "k2"]).select("digest", "text")
-    # rows that agree in id and text bring a digest twice
-    misses.mapInArrow(_encode(tokenizer, version), SCHEMA).dropDuplicates(["digest"]).write.mode("append").option("compression", "zstd").parquet(cache)
+    misses(wanted, docs, doc_id, text).mapInArrow(_encode(tokenizer, version), SCHEMA).write.mode("append").option("compression", "zstd").parquet(cache)
     stored = spark.read.schema(SCHEMA).parquet(cache).where(F.col("version") == version)
     # written first: the join below then sees a plain table, so that a content with many copies is split
     counts = written(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")

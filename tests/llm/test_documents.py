@@ -369,3 +369,24 @@ def test_large_benchmarks_stay_in_spark(spark, edge):
         one = find_passages(docs, benchmark, window, carry=("lang",))
         assert rows(got, "doc_id", "text", "lang", "spans", "items") == rows(one, "doc_id", "text", "lang", "spans", "items")
     assert inspect.signature(find_passages).parameters["most_words"].default is None
+
+
+def test_the_model_does_not_depend_on_the_order_of_rows(spark):
+    """One id in 400 rows with different texts, first or last, and a bound on the sample."""
+    from gaugeframe.llm.quality import train
+
+    rows = [(i, f"Plain sentence number {i} reads well. " * 5 if i % 2 else "CLICK!!! $$$ 0 0 0 " * 9) for i in range(200)]
+    many = [(7, f"text {k} of one id " * (k % 9 + 1)) for k in range(400)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 200, 2)], "doc_id long, quality int, toxic int")
+    models = [train(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels, most=60) for r, n in ((rows + many, 1), (many + rows, 5))]
+    assert models[0] is not None and models[0].prior == models[1].prior and (models[0].weights == models[1].weights).all()
+
+
+def test_equal_rows_are_encoded_once(spark):
+    from gaugeframe.llm.common import row_key
+    from gaugeframe.llm.token_counts import misses
+
+    docs = spark.createDataFrame([(1, "one text")] * 3000 + [(2, "one text"), (3, None), (None, None)], "doc_id long, text string")
+    keyed = docs.select(*row_key("doc_id", "text"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
+    wanted = keyed.groupBy("digest").agg(F.min(F.struct("k1", "k2")).alias("k"))
+    assert sorted(r.text for r in misses(wanted, docs, "doc_id", "text").collect()) == ["", "one text"]
