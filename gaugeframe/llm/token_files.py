@@ -107,12 +107,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, length: int
 
     Columns: ``part, path, doc_id, first`` (ids before it in its file), ``start`` (ids before it in the
     whole stream), ``n_tokens`` (with the end id). A null text is empty and gives the end id alone. Rows
-    with a null id come first; rows that share an id follow one another in the order of their texts;
-    other columns are ignored; an empty table gives no file and no rows. The files are written when this
+    with a null id come first; rows that share an id follow one another in the order of a hash of their
+    texts; other columns are ignored; an empty table gives no file and no rows. The files are written when this
     is called; a task that is repeated writes a file of its own and leaves the other unread.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    placed = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.crc32("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    placed = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.crc32("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("text"), "text")
     index = written(placed.mapInArrow(_write(tokenizer, folder, length, end_id), INDEX), "token-index")
     files = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = files.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
@@ -164,4 +164,6 @@ def read_digests(index: DataFrame) -> DataFrame:
                 crcs.append(zlib.crc32(file.ids(first, n).astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return index.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # index rows are small: one task for each file, whatever their size
+    files = max(1, index.select("path").distinct().count())
+    return index.repartition(files, "path").sortWithinPartitions("path", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
