@@ -102,19 +102,20 @@ def g14_select_axis_values(spark, sf):
 
 
 # ------------------------------------------------------------------------------------------ votes
-VOTES = Derived("vt", "events", {"axis_id": "user_id * 24 + hour(ts)", "region": "event_id % 5", "preprocess": "event_type", "psm": "event_id % 7", "exponent": "case when value < 20 then 3 when value < 60 then 6 else 9 end", "confidence": "cast(event_id * 37 % 101 as double)"})
+VOTES = Derived("vt", "events", {"axis_id": "user_id * 24 + hour(ts)", "region": "event_id % 5", "preprocess": "event_type", "psm": "event_id % 7", "exponent": "case when value < 20 then 3 when value < 60 then 6 else 9 end", "confidence": "cast(event_id * 37 % 101 as double)",
+                               "raw": "concat(case when value < 20 then ' mil ' when value < 60 then 'Milhões' else 'BI.' end, event_type)", "normalized": "case when value < 20 then 'mil' when value < 60 then 'milhoes' else 'bi' end"})
 
 
 @query(with_(
     VOTES.cte,
-    "o as (select axis_id, region, preprocess, psm, exponent, max(confidence) as c from vt group by all)",
+    "o as (select axis_id, region, preprocess, psm, exponent, max(confidence) as c, min(struct_pack(c := -confidence, raw := raw, normalized := normalized)) as t from vt group by all)",
     "w as (select *, case when c <= 20 then 0.0::double else least(1.0::double, (c - 20) / 70) end as wt from o)",
-    "p as (select axis_id, exponent, round_even(sum(wt) * 1e9, 0) / 1e9 as weight, count(*) filter (where wt > 0) as eligible, max(c) as conf, count(*) as n from w group by all)",
+    "p as (select axis_id, exponent, round_even(sum(wt) * 1e9, 0) / 1e9 as weight, count(*) filter (where wt > 0) as eligible, max(c) as conf, count(*) as n, min(t) as t from w group by all)",
     "b as (select *, row_number() over (partition by axis_id order by weight desc, eligible desc, conf desc, exponent) as rn, sum(weight) over (partition by axis_id) as total, sum(n) over (partition by axis_id) as nv, sum(eligible) over (partition by axis_id) as ne from p)",
     "r as (select b.*, coalesce((select max(conf) from p where p.axis_id = b.axis_id and p.exponent <> b.exponent), -1) as rival, case when total > 0 then weight / total else 0 end as share from b where rn = 1)",
     "d as (select *, eligible >= 2 and share >= 0.65 and conf >= 45 as agreed, conf >= 82 and rival < 45 as single from r)",
     "axes as (select user_id * 24 + unnest(range(24)) as axis_id from (select distinct user_id from events))",
-    select=f"""select axes.axis_id, case when d.axis_id is null then 'NONE' when agreed or single then 'CONFIDENT' else 'AMBIGUOUS' end as scale_status, case when agreed then 'CONSENSUS' when single then 'SINGLE_HIGH_CONF' else '' end as route, exponent as scale_exponent,
+    select=f"""select axes.axis_id, case when d.axis_id is null then 'NONE' when agreed or single then 'CONFIDENT' else 'AMBIGUOUS' end as scale_status, case when agreed then 'CONSENSUS' when single then 'SINGLE_HIGH_CONF' else '' end as route, coalesce(t.raw, '') as scale_text_raw, coalesce(t.normalized, '') as scale_text_normalized, exponent as scale_exponent,
    case when agreed or single then pow(10.0::double, exponent) else 1.0::double end as scale_factor, coalesce(conf, -1.0) as confidence, cast(coalesce(nv, 0) as bigint) as n_votes, cast(coalesce(ne, 0) as bigint) as n_eligible, coalesce(n, 0) as winning_votes, coalesce(eligible, 0) as winning_eligible,
    {r6('coalesce(share, 0.0)')} as weight_share, cast(coalesce(rival, -1) as double) as rival_confidence from axes left join d on d.axis_id = axes.axis_id"""))
 def g15_scale_vote(spark, sf):
