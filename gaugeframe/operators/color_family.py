@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeframe.functions.color import delta_e, hex_channels, lab_of, packed, with_lab
 from gaugeframe.functions.numbers import rint_round
 from gaugeframe.operators.color_match import hex_delta
+from gaugeframe.operators.scan import changes
 
 # --- fixed values -------------------------------------------------------------------------------
 SOLID_RADIUS, SOLID_SUPPORT, SCALE_RANGE, DOMINANCE = 4.0, 0.85, 7.0, 1.5
@@ -21,42 +23,89 @@ TILE = 512
 
 
 # ---------------------------------------------------------------------------------------- medoid
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _tile_sums(left: pd.Series, right: pd.Series, counts: pd.Series) -> pd.Series:
-    """Per left colour: summed distance to all right colours, weighted by their counts."""
+def marker_colors(markers: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct colours of every family with the number of their markers and the first of them."""
+    return markers.groupBy(*keys, "observed_hex").agg(F.count(F.lit(1)).alias("n"), F.min("marker_id").alias("first"))
 
-    def one(a, b, n):
-        p = tuple(x[:, None] for x in lab_of(a))
-        q = tuple(x[None, :] for x in lab_of(b))
-        return delta_e(p, q) @ np.asarray(n, float)
 
-    return pd.Series([one(*row) for row in zip(left, right, counts)])
+def _tile_sums(keys: list[str], names: list[str], most: int = 1 << 18):
+    """Rows, sorted by family and tile, with their part of the summed distance in place of the colour.
+
+    A tile holds one block of colours or two. Each pair of colours is measured once and adds to the sums of
+    both; pairs of many small tiles are measured together, at most about ``most`` at a time.
+    """
+    within: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def sums_of(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        column = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("c", "n", "block", "lo", "hi")}
+        lab, n, total = lab_of(column["c"]), column["n"].astype(float), np.zeros(rows.num_rows)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def measure() -> None:
+            a, b = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            d = delta_e(tuple(x[a] for x in lab), tuple(x[b] for x in lab))
+            total[:] += np.bincount(a, d * n[b], len(total)) + np.bincount(b, d * n[a], len(total))
+            held.clear()
+
+        waiting = 0
+        for first, end in zip(starts, [*starts[1:], rows.num_rows]):
+            if column["lo"][first] == column["hi"][first]:
+                m = end - first
+                if m not in within:
+                    within[m] = np.triu_indices(m, 1)
+                a, b = within[m]
+            else:  # every colour of one block with every one of the other
+                left = int(np.count_nonzero(column["block"][first:end] == column["lo"][first]))
+                a, b = (x.ravel() for x in np.meshgrid(np.arange(left), np.arange(left, end - first), indexing="ij"))
+            held.append((a + first, b + first))
+            waiting += len(a)
+            if waiting >= most:
+                measure()
+                waiting = 0
+        if held:
+            measure()
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(total)], [*names, "s"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held = b if held is None else pa.concat_batches([held, b])
+            begins = changes([held.column(c) for c in (*keys, "lo", "hi")])
+            begins[0] = True
+            starts = np.flatnonzero(begins)
+            if len(starts) > 1:
+                cut = int(starts[-1])
+                yield sums_of(held.slice(0, cut), starts[:-1])
+                held = held.slice(cut)
+        if held is not None:
+            yield sums_of(held, np.zeros(1, int))
+
+    return run
 
 
 def family_medoid(markers: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
     """Marker colour with the least mean distance to all markers of its family.
 
-    Markers are first counted per distinct colour.  The distinct colours of a family are cut into
-    blocks of about ``tile`` and every pair of blocks is one unit of work that returns one partial
-    sum per colour; a family of any size is spread over many tasks and no colour pair becomes a row.
+    Markers are first counted per distinct colour. The distinct colours of a family (2^24 at most) are cut
+    into blocks of about ``tile``, and every two blocks meet once, under a key of their own: a family of any
+    size is spread over many tasks, a block is sent once for each partner, and no pair becomes a row.
 
-    ``markers``: keys, marker_id, observed_hex.
+    ``markers``: keys, marker_id, observed_hex. Markers without a colour of six hex digits are left out.
     """
-    d = markers.groupBy(*keys, "observed_hex").agg(F.count(F.lit(1)).alias("n"), F.min("marker_id").alias("first"))
-    size = d.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / tile).alias("blocks"), F.sum("n").alias("n_points"))
-    d = d.join(size, keys).withColumn("block", F.pmod(F.xxhash64("observed_hex"), F.col("blocks")))
-    item = F.struct("first", "observed_hex", F.col("n").cast("double").alias("n"), packed(F.col("observed_hex")).alias("c"))
-    blocks = d.groupBy(*keys, "block", "n_points").agg(F.array_sort(F.collect_list(item)).alias("it"))
-
-    def field(c: str, name: str) -> Column:
-        return F.transform(c, lambda s: s[name])
-
-    other = blocks.select(*keys, F.col("it").alias("jt"))
-    sums = _tile_sums(field("it", "c"), field("jt", "c"), field("jt", "n"))
-    tiles = blocks.join(other, keys).select(*keys, "n_points", F.explode(F.arrays_zip("it", sums.alias("s"))).alias("z"))
-    per = tiles.groupBy(*keys, "n_points", F.col("z.it.first").alias("first"), F.col("z.it.observed_hex").alias("hex")).agg(F.sum("z.s").alias("s"))
+    d = marker_colors(markers, keys).withColumn("c", packed(F.col("observed_hex"))).where("c is not null")
+    family = Window.partitionBy(*keys)
+    d = d.withColumns({"blocks": F.ceil(F.count(F.lit(1)).over(family) / tile), "n_points": F.sum("n").over(family)})
+    d = d.withColumn("block", F.pmod(F.xxhash64("observed_hex"), F.col("blocks")))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda q: F.struct(F.least(q, "block").alias("lo"), F.greatest(q, "block").alias("hi")))
+    dealt = d.withColumn("meet", F.explode(meets)).select(*keys, "n_points", "first", "observed_hex", "n", "c", "block", "meet.lo", "meet.hi")
+    tiles = dealt.repartition(*keys, "lo", "hi").sortWithinPartitions(*keys, "lo", "hi", "block")
+    names = [*keys, "n_points", "first", "observed_hex"]
+    schema = T.StructType([*(dealt.schema[c] for c in names), T.StructField("s", T.DoubleType())])
+    sums = tiles.mapInArrow(_tile_sums(keys, names), schema).groupBy(*names).agg(F.sum("s").alias("s"))
     mean = rint_round(F.col("s") / F.col("n_points"), 9)
-    return per.groupBy(*keys, "n_points").agg(F.min(F.struct(mean.alias("mean"), "first", "hex")).alias("b")).select(
+    return sums.groupBy(*keys, "n_points").agg(F.min(F.struct(mean.alias("mean"), "first", F.col("observed_hex").alias("hex"))).alias("b")).select(
         *keys, "n_points", F.col("b.hex").alias("medoid_hex"), F.col("b.first").alias("medoid_id"), rint_round(F.col("b.mean")).alias("mean_delta_e")
     )
 
@@ -66,8 +115,7 @@ def family_class(markers: DataFrame, medoids: DataFrame, keys: list[str]) -> Dat
 
     Works on distinct colours with their counts; quantiles take the counts as frequencies.
     """
-    d = markers.groupBy(*keys, "observed_hex").agg(F.count(F.lit(1)).alias("n"))
-    d = hex_delta(d.join(medoids.select(*keys, "medoid_hex"), keys), "observed_hex", "medoid_hex", "d")
+    d = hex_delta(marker_colors(markers, keys).join(medoids.select(*keys, "medoid_hex"), keys), "observed_hex", "medoid_hex", "d")
     d = with_lab(d, hex_channels(F.col("observed_hex")), "c").withColumn("c_chroma", F.hypot("c_a", "c_b"))
     total = F.sum("n")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeframe.functions.numbers import count_where, flag, iqr, percentile, rint_round
 from gaugeframe.functions.status import color_labels
+from gaugeframe.operators.quantiles import exact_quantiles
 
 MATCH_THRESHOLD = 2.0
 
@@ -62,10 +63,10 @@ def unit_rollup(flags: DataFrame, key: str) -> DataFrame:
 
 
 def profile_rollup(flags: DataFrame, key: str = "profile") -> DataFrame:
-    """Both denominators (all images and evaluable ones) per profile."""
+    """Both denominators (all images and evaluable ones) per profile; the median is selected from ranged counts."""
     ev = F.col("color_evaluable") == 1
     dist = F.when(ev, F.col("dmax"))
-    return flags.groupBy(key).agg(
+    stats = flags.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_images"),
         count_where(ev).alias("n_evaluable"),
         F.sum("strict_match").alias("n_strict_match"),
@@ -73,9 +74,10 @@ def profile_rollup(flags: DataFrame, key: str = "profile") -> DataFrame:
         rint_round(F.avg(F.when(ev, F.col("strict_match")))).alias("p_strict_match_evaluable"),
         *[F.sum(c).alias(f"n_{c}") for c in ("color_deviation", "missing_color", "semantic_extra", "near_duplicate", "no_mark", "internal_variation", "overlap_derived")],
         rint_round(F.avg(dist)).alias("dmax_mean_evaluable"),
-        rint_round(percentile(dist, 0.5)).alias("dmax_median_evaluable"),
         rint_round(F.max(dist)).alias("dmax_max_evaluable"),
     )
+    middle = exact_quantiles(flags, [key], {"_q": (dist, [0.5])}).select(F.col(key).alias("_key"), rint_round(F.col("_q")[0]).alias("dmax_median_evaluable"))
+    return stats.join(middle, stats[key].eqNullSafe(middle["_key"]), "left").drop("_key")
 
 
 def extra_summary(extras: DataFrame, key: str = "filename") -> DataFrame:

@@ -75,6 +75,14 @@ def test_medoid_is_the_same_over_tiles(spark):
         assert abs(big[f].mean_delta_e - means[best[3]]) < 1e-6
 
 
+def test_medoid_leaves_out_what_is_no_colour_and_takes_the_first_of_ties(spark):
+    rows = [(1, 9, "#102030"), (1, 3, "#405060"), (1, 5, None), (1, 1, "red"), (2, 4, None), (3, 7, "#FFFFFF"), (3, 7, "#FFFFFF")]
+    df = spark.createDataFrame(rows, "family int, marker_id int, observed_hex string")
+    got = {r.family: (r.n_points, r.medoid_hex, r.medoid_id) for r in CF.family_medoid(df, ["family"], tile=1).collect()}
+    assert got == {1: (2, "#405060", 3), 3: (2, "#FFFFFF", 7)}
+    assert CF.family_medoid(df.where("false"), ["family"]).count() == 0
+
+
 def test_mixture_equals_full_grid(spark):
     rng = np.random.default_rng(1)
     rows = [tuple(float(x) for x in rng.integers(0, 256, 9)) for _ in range(30)] + [(10.0, 20.0, 30.0) + (255.0,) * 6]
