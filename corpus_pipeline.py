@@ -27,7 +27,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates the document with the smallest id; of equal rows one."""
     ship_package(spark)
-    classes = near_duplicates(docs, size=5, threshold=0.8)
+    classes = near_duplicates(docs, size=5, threshold=0.8, count_links=False)
     first = classes.where(F.struct("k1", "k2") == F.col("root")).select("k1", "k2").distinct()
     keyed = docs.select(*COLUMNS, *row_key("doc_id", "text"))
     return keyed.join(first, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*COLUMNS)
