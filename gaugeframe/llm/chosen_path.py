@@ -15,7 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm.common import NO_ID, blocks, row_key, written
@@ -117,14 +117,13 @@ def _sets(size: int, runs: int, threshold: float):
     return run, "k1 long, k2 long, s1 long, s2 long, n long, g1 long, g2 long, paths array<long>"
 
 
-def _promising(threshold: float, apart: bool = False):
-    """Rows, sorted by bucket, that have a partner in it of fitting size and sketch; ``apart``: and of another class."""
+def _promising(threshold: float):
+    """Rows, sorted by bucket, that have a partner in it of fitting size and sketch."""
     share = round(threshold * 10**6)
 
     def keep(rows: pa.RecordBatch) -> pa.RecordBatch:
         bucket, n = (rows.column(c).to_numpy() for c in ("bucket", "n"))
         g1, g2 = (rows.column(c).to_numpy().view(np.uint64) for c in ("g1", "g2"))
-        r1, r2 = (rows.column(c).to_numpy() for c in ("r1", "r2")) if apart else (None, None)
         good = np.zeros(len(bucket), bool)
         for o in range(1, LEAF):
             i = np.flatnonzero(bucket[o:] == bucket[:-o])
@@ -133,26 +132,69 @@ def _promising(threshold: float, apart: bool = False):
             equal = 128 - np.bitwise_count(g1[i] ^ g1[i + o]).astype(int) - np.bitwise_count(g2[i] ^ g2[i + o])
             fits = np.minimum(n[i], n[i + o]) * 10**6 >= np.maximum(n[i], n[i + o]) * share
             i = i[(equal >= AGREE) & fits]
-            if apart:
-                i = i[(r1[i] != r1[i + o]) | (r2[i] != r2[i + o])]
             good[i] = good[i + o] = True
         return rows.filter(pa.array(good)).select(["bucket", "m", "k1", "k2"])
 
     def run(batches):
-        held = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bucket = b.column("bucket").to_numpy()
-            cut = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if bucket[0] != bucket[-1] else 0
-            if cut == 0 and held and held[0].column("bucket")[0].as_py() == bucket[0]:
-                held.append(b)
-                continue
-            if held or cut:
-                yield keep(pa.concat_batches([*held, b.slice(0, cut)]))
-            held = [b.slice(cut)]
-        if held:
-            yield keep(pa.concat_batches(held))
+        yield from map(keep, _groups(batches))
+
+    return run
+
+
+def _groups(batches):
+    """Batches of whole buckets from rows that are sorted by bucket."""
+    held = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        bucket = b.column("bucket").to_numpy()
+        cut = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if bucket[0] != bucket[-1] else 0
+        if cut == 0 and held and held[0].column("bucket")[0].as_py() == bucket[0]:
+            held.append(b)
+            continue
+        if held or cut:
+            yield pa.concat_batches([*held, b.slice(0, cut)])
+        held = [b.slice(cut)]
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _first_met(threshold: float):
+    """Rows, sorted by bucket, with a promising partner that they meet in no earlier bucket.
+
+    ``seen`` holds the sorted buckets of each row. A pair stays in the first of its buckets at least, which is
+    where it is counted; sets that meet in many buckets are compared in few.
+    """
+    share, most = round(threshold * 10**6), 1024
+
+    def keep(bucket: int, rows: pa.RecordBatch) -> np.ndarray:
+        m, n = rows.num_rows, rows.column("n").to_numpy()
+        g = [rows.column(c).to_numpy().view(np.uint64) for c in ("g1", "g2")]
+        lists = [x[: np.searchsorted(x, bucket)] for x in (x.values.to_numpy() for x in rows.column("seen"))]
+        owner = np.repeat(np.arange(m), [len(x) for x in lists])
+        number = np.unique(np.concatenate(lists), return_inverse=True)[1]
+        order = np.argsort(number, kind="stable")
+        number, owner = number[order], owner[order]
+        width, good = 4096, np.zeros(m, bool)
+        for first in range(0, m, most):
+            i = slice(first, min(m, first + most))
+            equal = 128 - sum(np.bitwise_count(x[i, None] ^ x[None, :]).astype(np.int16) for x in g)
+            wanted = (equal >= AGREE) & (np.minimum(n[i, None], n[None, :]) * 10**6 >= np.maximum(n[i, None], n[None, :]) * share)
+            wanted[np.arange(i.stop - first), np.arange(first, i.stop)] = False
+            for low in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+                a, b = np.searchsorted(number, [low, low + width])
+                grid = np.zeros((m, width), np.float32)
+                grid[owner[a:b], number[a:b] - low] = 1
+                wanted &= (grid[i] @ grid.T) == 0
+            good[i] |= wanted.any(1)
+        return good
+
+    def run(batches):
+        for rows in _groups(batches):
+            bucket = rows.column("bucket").to_numpy()
+            at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            good = [keep(int(bucket[a]), rows.slice(a, b - a)) for a, b in zip(at, [*at[1:], len(bucket)])]
+            yield rows.filter(pa.array(np.concatenate(good))).select(["bucket", "k1", "k2"])
 
     return run
 
@@ -229,12 +271,9 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float = 1 - 1e-8, doc_id: str = "doc_id", text: str = "text", count_links: bool = True) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float = 1 - 1e-8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: ``doc_id, class_id, n_links, set_id, n_copies`` and its key ``k1, k2``.
 
-    Without ``count_links`` there is no ``n_links``: the same classes are found by connecting instead of
-    measuring all pairs of a bucket, so that a group of near copies costs what it has rows (``_connected``).
-
     Two documents are linked if the Jaccard similarity of their sets of ``size``-word n-grams is at least
     ``threshold``; ``n_links`` counts the others a document is linked to, ``class_id`` is the smallest id
     of its connected part, ``set_id`` of the documents with its very set, ``n_copies`` their number.
@@ -258,7 +297,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
         level = written(level.join(sizes, "bucket"), "buckets")
         small = level.where(F.col("m") <= LEAF).join(distinct.select("k", "n", "g1", "g2"), "k").select("bucket", "m", "k.k1", "k.k2", "n", "g1", "g2")
         near = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_promising(threshold), "bucket long, m long, k1 long, k2 long")
-        leaves.append(written(near.select("bucket", "m", F.struct("k1", "k2").alias("k")), "leaves"))
+        near = written(near.select("bucket", "m", F.struct("k1", "k2").alias("k")), "promising")
+        seen = near.groupBy("k").agg(F.array_sort(F.collect_set("bucket")).alias("seen"))
+        told = near.join(seen, "k").join(distinct.select("k", "n", "g1", "g2"), "k").select("bucket", "k.k1", "k.k2", "n", "g1", "g2", "seen")
+        met = told.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_first_met(threshold), "bucket long, k1 long, k2 long")
+        leaves.append(written(met.select("bucket", F.struct("k1", "k2").alias("k")), "leaves"))
         large = level.where(F.col("m") > LEAF)
         if tokens is None:
             active = leaves[0].select("k").unionByName(large.select("k")).distinct()
@@ -266,28 +309,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
         if not large.head(1):
             break
         if depth + 1 == DEPTH:
-            leaves.append(large)
+            leaves.append(large.select("bucket", "k"))
             break
         below = written(large.groupBy("k").agg(F.collect_list("bucket").alias("buckets")).join(tokens, "k").mapInArrow(_descend(threshold), "k1 long, k2 long, parent long, bucket long"), "children")
         # pairs to compare if every child were a leaf, against the pairs of the bucket itself
         cost = below.groupBy("parent", "bucket").agg(F.count(F.lit(1)).alias("c")).groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("cost"))
         verdict = large.select(F.col("bucket").alias("parent"), "m").distinct().join(cost, "parent", "left")
         stay = written(verdict.where(F.coalesce("cost", F.lit(0)) >= F.col("m") * F.col("m")).select("parent"), "dense-buckets")
-        leaves.append(large.join(stay.select(F.col("parent").alias("bucket")), "bucket", "left_semi"))
+        leaves.append(large.select("bucket", "k").join(stay.select(F.col("parent").alias("bucket")), "bucket", "left_semi"))
         level = below.join(stay, "parent", "left_anti").select("bucket", F.struct("k1", "k2").alias("k"))
-    every = leaves[0]
-    for more in leaves[1:]:
-        every = every.unionByName(more, allowMissingColumns=True)
-    rows = _different(every)
-    if count_links:
-        found = written(_compared(rows, tokens, threshold), "links")
-        links, edges = found.groupBy("k1", "k2").agg(F.sum("n_links").alias("n_links")), _edges(found)
-    else:
-        links, edges = None, _connected(rows, distinct, tokens, threshold)
-
-    roots = components(edges)
-    named = distinct.select("s1", "s2", "n", "k", "copies", F.col("k.k1"), F.col("k.k2"))
-    named = named.join(links, ["k1", "k2"], "left") if count_links else named.withColumn("n_links", F.lit(0).cast("long"))
+    found = written(_compared(leaves, tokens, threshold), "links")
+
+    links = found.groupBy("k1", "k2").agg(F.sum("n_links").alias("n_links"))
+    roots = components(found.select(F.struct("k1", "k2").alias("a"), F.struct(F.col("r1").alias("k1"), F.col("r2").alias("k2")).alias("b")))
+    named = distinct.select("s1", "s2", "n", "k", "copies", F.col("k.k1"), F.col("k.k2")).join(links, ["k1", "k2"], "left")
     named = named.join(roots.select(F.col("node.k1"), F.col("node.k2"), "root"), ["k1", "k2"], "left")
     table = written(named.select("s1", "s2", "n", "k", "copies", F.coalesce("n_links", F.lit(0)).alias("others"), F.coalesce("root", "k").alias("root")), "set-classes")
     ident = lambda c: F.when(F.col(f"{c}.k1") != NO_ID, F.col(f"{c}.k1"))
@@ -295,8 +330,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
     with_set = with_set.select("k1", "k2", ident("root").alias("class_id"), (F.col("others") + F.col("copies") - 1).alias("n_links"), ident("k").alias("set_id"), F.col("copies").alias("n_copies"), F.col("root"))
     own = F.struct("k1", "k2")
     without = sets.where("n = 0").select("k1", "k2", F.when(F.col("k1") != NO_ID, F.col("k1")).alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.when(F.col("k1") != NO_ID, F.col("k1")).alias("set_id"), F.lit(1).cast("long").alias("n_copies"), own.alias("root"))
-    out = with_set.unionByName(without).select(F.when(F.col("k1") != NO_ID, F.col("k1")).alias("doc_id"), "class_id", "n_links", "set_id", "n_copies", "k1", "k2", "root")
-    return out if count_links else out.drop("n_links")
+    return with_set.unionByName(without).select(F.when(F.col("k1") != NO_ID, F.col("k1")).alias("doc_id"), "class_id", "n_links", "set_id", "n_copies", "k1", "k2", "root")
 
 
 def _tokens(docs: DataFrame, active: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
@@ -334,87 +368,22 @@ def _descend(threshold: float):
     return run
 
 
-def _different(every: DataFrame) -> DataFrame:
-    """``bucket, m, k`` of the leaf buckets with two members or more; of buckets with the same members one."""
-    every = written(every.select("bucket", "k"), "leaves")
-    members = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("k", F.lit(1)).cast("decimal(38,0)")).alias("y"))
-    first = written(members.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket")).where("m > 1").select("bucket", "m"), "first-buckets")
-    return written(every.join(first, "bucket"), "leaf-rows")
-
-
-def _edges(found: DataFrame) -> DataFrame:
-    return found.select(F.struct("k1", "k2").alias("a"), F.struct(F.col("r1").alias("k1"), F.col("r2").alias("k2")).alias("b"))
-
-
-def _parts_of(sets: Column, volume: Column) -> Column:
-    """Parts into which so many sets, of so many tokens together, are dealt."""
-    return F.ceil(F.greatest(sets / BLOCK, volume / BLOCK_TOKENS))
-
-
-def _connected(rows: DataFrame, distinct: DataFrame, tokens: DataFrame, threshold: float, leaders: tuple[int, ...] = (1, 4)) -> DataFrame:
-    """Edges ``a, b`` that connect what the links within buckets connect.
-
-    In each round the members of a bucket meet its leaders only, as many as ``leaders`` says, each of a class
-    of its own; what becomes linked is one class from then on, and a bucket of one class is done. Members of
-    the buckets left that have a promising partner of another class are compared pair by pair, as for counts.
-    """
-    facts = distinct.select("k", "n", "g1", "g2")
-    still = rows.select("bucket", "m", "k", F.col("k").alias("root"))
-    edges = None
-    for turn, most in enumerate(leaders):
-        classes = still.groupBy("bucket", "root").agg(F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k")).alias("l"))
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("l"))
-        heads = classes.select("bucket", F.col("root").alias("leader_root"), F.col("l.k").alias("leader"), place.alias("place")).where(F.col("place") <= most)
-        met = still.join(heads, "bucket").where("root <> leader_root").select("leader", "k").distinct()
-        other = facts.select(F.col("k").alias("leader"), *[F.col(c).alias(f"l{c}") for c in ("n", "g1", "g2")])
-        unlike = F.bit_count(F.col("g1").bitwiseXOR(F.col("lg1"))) + F.bit_count(F.col("g2").bitwiseXOR(F.col("lg2")))
-        fits = F.least("n", "ln") * 10**6 >= F.greatest("n", "ln") * round(threshold * 10**6)
-        near = met.join(facts, "k").join(other, "leader").where((unlike <= 128 - AGREE) & fits).select("leader", "k", "n")
-        linked = written(_measured(written(near, "leader-pairs"), tokens, threshold), "links")
-        edges = _edges(linked) if edges is None else edges.unionByName(_edges(linked))
-        roots = components(edges).withColumnsRenamed({"node": "k", "root": "_root"})
-        now = still.drop("root").join(roots, "k", "left").select("bucket", "m", "k", F.coalesce("_root", "k").alias("root"))
-        mixed = now.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-        still = written(now.join(mixed, "bucket", "left_semi").select("bucket", "m", "k", "root"), "open-buckets")
-    small = still.where(F.col("m") <= LEAF).join(facts, "k").select("bucket", "m", "k.k1", "k.k2", "n", "g1", "g2", F.col("root.k1").alias("r1"), F.col("root.k2").alias("r2"))
-    apart = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_promising(threshold, apart=True), "bucket long, m long, k1 long, k2 long")
-    rest = apart.select("bucket", F.struct("k1", "k2").alias("k")).unionByName(still.where(F.col("m") > LEAF).select("bucket", "k"))
-    return edges.unionByName(_edges(written(_compared(_different(rest), tokens, threshold), "links")))
-
-
-def _measured(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
-    """Which of the pairs ``leader, k`` (with the size ``n`` of ``k``) are linked: ``k1, k2, r1, r2``.
-
-    The sets that meet a leader are dealt into parts, each with one row of the leader's tokens.
-    """
-    size = written(pairs.groupBy("leader").agg(_parts_of(F.count(F.lit(1)), F.sum("n")).alias("parts")), "leaders")
-    members = pairs.join(size, "leader").join(tokens, "k").select("leader", F.pmod(F.xxhash64("k"), F.col("parts")).alias("p"), "k", "tokens", F.lit(False).alias("head"))
-    heads = size.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p")).join(tokens.withColumnRenamed("k", "leader"), "leader")
-    heads = heads.select("leader", "p", F.col("leader").alias("k"), "tokens", F.lit(True).alias("head"))
-    both = members.unionByName(heads).select(F.col("leader.k1").alias("r1"), F.col("leader.k2").alias("r2"), "p", "k.k1", "k.k2", "tokens", "head")
-
-    def scan(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        head = group.column("head").to_numpy()
-        lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("tokens").chunk(0)]
-        counts = np.array([len(x) for x in lists])
-        own = lists[int(np.flatnonzero(head)[0])]
-        shared = np.bincount(np.repeat(np.arange(len(lists)), counts), np.isin(np.concatenate(lists), own), len(lists))
-        linked = shared * 10**9 * (1 + threshold) >= np.round(threshold * 10**9) * (counts + len(own)) - 1e-3
-        return group.filter(pa.array(linked & ~head)).select(["k1", "k2", "r1", "r2"])
-
-    return both.groupBy("r1", "r2", "p").applyInArrow(scan, "k1 long, k2 long, r1 long, r2 long")
-
-
-def _compared(rows: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
+def _compared(leaves: list[DataFrame], tokens: DataFrame, threshold: float) -> DataFrame:
     """Rows of every leaf bucket that have links: their number, and an edge to a root.
 
-    A bucket of more than a block is dealt into parts by a hash of the key, and every two parts meet under a
-    key of their own.
+    Buckets with the same members are one. A bucket of more than a block is dealt into parts by a hash
+    of the key, and every two parts meet under a key of their own.
     """
+    every = leaves[0]
+    for more in leaves[1:]:
+        every = every.unionByName(more)
+    every = written(every.select("bucket", "k"), "leaves")
+    members = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("k", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+    first = written(members.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket")).where("m > 1").select("bucket", "m"), "first-buckets")
+    rows = written(every.join(first, "bucket"), "leaf-rows")
     seen = rows.groupBy("k").agg(F.array_sort(F.collect_set("bucket")).alias("seen"))
     volume = rows.join(tokens.select("k", (F.octet_length("tokens") / 8).alias("n")), "k").groupBy("bucket").agg(F.sum("n").alias("volume"))
-    parts = _parts_of(F.col("m"), F.col("volume")).cast("int")
+    parts = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("volume") / BLOCK_TOKENS)).cast("int")
     rows = rows.join(written(volume, "bucket-volumes"), "bucket")
     dealt = rows.withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("k", "bucket"), F.col("parts")).cast("int"))
     # a part meets itself and every other: (p, p), (p, later) and (earlier, p)
