@@ -16,17 +16,32 @@ from gaugeframe.operators.assignment import cheapest
 NEAR_DUPLICATE_MAX = 2.0
 
 
-def distinct_colors(bars: DataFrame, key: str, hex_col: str) -> DataFrame:
-    """Bars of one colour in one image, ranked by covered pixels."""
+def nearest_named(df: DataFrame, hex_col: str, palette: dict[str, str]) -> DataFrame:
+    """``nearest_name, nearest_hex, delta_e``: the palette colour at the least distance, ties to the earlier one.
+
+    Row-local: one distance a palette colour, then the least of them. A colour that cannot be read has none.
+    """
+    names = list(palette)
+    near = df.withColumns({f"__d{i}": delta_e_packed(packed(F.col(hex_col)), packed(F.lit(palette[n]))) for i, n in enumerate(names)})
+    best = F.least(*[F.when(F.col(f"__d{i}").isNotNull(), F.struct(F.col(f"__d{i}").alias("d"), F.lit(i).alias("i"), F.lit(n).alias("name"), F.lit(palette[n]).alias("hex"))) for i, n in enumerate(names)])
+    found = {"nearest_name": F.col("__b.name"), "nearest_hex": F.col("__b.hex"), "delta_e": rint_round(F.col("__b.d"))}
+    return near.withColumn("__b", best).withColumns(found).drop("__b", *[f"__d{i}" for i in range(len(names))])
+
+
+def distinct_colors(bars: DataFrame, key: str, hex_col: str, palette: dict[str, str]) -> DataFrame:
+    """Bars of one colour in one image with the nearest palette colour, ranked by covered pixels.
+
+    ``bars`` have ``pixels``, ``support_exact`` and ``support_near``. Distances are taken after grouping, once
+    for each distinct colour of an image.
+    """
     g = bars.groupBy(key, hex_col).agg(
         F.count(F.lit(1)).alias("n_bars"),
         F.sum("pixels").alias("pixel_sum"),
-        rint_round(F.avg("support")).alias("support_mean"),
-        rint_round(F.min("support")).alias("support_min"),
+        *[rint_round(f(f"support_{s}")).alias(f"support_{s}_{n}") for s in ("exact", "near") for f, n in ((F.avg, "mean"), (F.min, "min"))],
     )
     # the window sees distinct colours only, at most 2^24 per image
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("pixel_sum").desc(), hex_col))
-    return g.withColumn("color_rank", rank.cast("bigint"))
+    return nearest_named(g.withColumn("color_rank", rank.cast("bigint")), hex_col, palette)
 
 
 def hex_delta(df: DataFrame, first: str, second: str, out: str) -> DataFrame:
@@ -109,11 +124,15 @@ def classify_extras(pairs: DataFrame, key: str, threshold: float = NEAR_DUPLICAT
 
 
 def image_rollup(pairs: DataFrame, key: str) -> DataFrame:
-    """Counts, count status and distances of the matched colours of every image."""
+    """Counts, count status, colour lists and distances of the matched colours of every image."""
     from gaugeframe.functions.numbers import count_where, percentile
     from gaugeframe.functions.status import count_status
 
     kind, d = F.col("pair_status"), F.col("delta_e")
+
+    def hexes(cond, order: str, value: str):
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct(order, value)))), lambda s: s[value]), "|")
+
     g = pairs.groupBy(key).agg(
         count_where(F.col("expected_index").isNotNull()).alias("n_expected"),
         count_where(F.col("observed_hex").isNotNull()).alias("n_observed"),
@@ -123,9 +142,42 @@ def image_rollup(pairs: DataFrame, key: str) -> DataFrame:
         rint_round(F.avg(d)).alias("dmean"),
         rint_round(percentile(d, 0.5)).alias("dmedian"),
         rint_round(F.max(d)).alias("dmax"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(kind == "MATCHED", F.struct("expected_index", "observed_hex")))), lambda s: s["observed_hex"]), "|").alias("matched_hex"),
+        hexes(kind == "MATCHED", "expected_index", "observed_hex").alias("matched_hex"),
+        hexes(F.col("expected_hex").isNotNull(), "expected_index", "expected_hex").alias("expected_hex"),
+        hexes(F.col("observed_hex").isNotNull(), "observed_index", "observed_hex").alias("observed_hex"),
     )
     return g.withColumns({
         "count_status": count_status(F.col("n_observed"), F.col("n_extra"), F.col("n_missing")),
         "count_error_abs": F.abs(F.col("n_observed") - F.col("n_expected")),
     })
+
+
+#: columns of an extraction that the report hands on as they are
+EXTRACTED = ["canvas_width", "canvas_height", "extraction_status", "extraction_support_mean", "extraction_support_min", "n_marks_detected", "n_initial_candidates",
+             "n_solid_families", "n_variable_families", "n_insufficient_families", "legend_suspected_count", "n_overlap_derived_families", "line_derived_hex"]
+
+
+def image_report(pairs: DataFrame, extraction: DataFrame, points: DataFrame, key: str, palette: dict[str, str]) -> DataFrame:
+    """The colour row of every extracted image: its extraction, its pairs and its scattered points.
+
+    ``extraction``: key and ``EXTRACTED``, one row an image; absent family, legend and overlap counts are 0.
+    ``points``: key and ``delta_e``, the distance of a point to its expected colour, NULL where there is none.
+    ``expected_colors`` names the expected colours by ``palette``. All three inputs meet on the image key.
+    """
+    from gaugeframe.functions.numbers import flag, percentile
+
+    zero = ["n_solid_families", "n_variable_families", "n_insufficient_families", "legend_suspected_count", "n_overlap_derived_families"]
+    base = extraction.select(key, *[F.coalesce(c, F.lit(0)).alias(c) if c in zero else c for c in EXTRACTED])
+    base = base.withColumns({
+        "line_derived_hex": F.coalesce("line_derived_hex", F.lit("")),
+        "internal_variation": flag(F.col("n_variable_families") > 0),
+        **{c: rint_round(F.col(c)) for c in ("extraction_support_mean", "extraction_support_min")},
+    })
+    d = F.col("delta_e")
+    scatter = points.groupBy(key).agg(
+        *[rint_round(e).alias(f"point_{n}") for n, e in (("mean", F.avg(d)), ("median", percentile(d, 0.5)), ("p90", percentile(d, 0.9)), ("max", F.max(d)))]
+    )
+    names = F.create_map(*[F.lit(x) for n, h in palette.items() for x in (h, n)])
+    named = F.array_join(F.transform(F.split("expected_hex", r"\|"), lambda h: F.coalesce(names[h], h)), "|")
+    rolled = image_rollup(pairs, key).withColumn("expected_colors", named)
+    return base.join(rolled, key, "left").join(scatter, key, "left")

@@ -62,6 +62,42 @@ def unit_rollup(flags: DataFrame, key: str) -> DataFrame:
     return stats.join(words, key)
 
 
+def raw_unit_rollup(images: DataFrame, key: str, expected_repeats: int) -> DataFrame:
+    """Colour measures of a unit over its repeats, before any threshold.
+
+    ``images``: dmax, dmean (NULL where no colour is matched), n_expected, n_observed, n_matched, n_extra,
+    n_missing, extraction_status, internal_variation, n_overlap_derived, support, point_max and point_p90.
+    Rates are over all images of a unit, distances over those that have one.
+    """
+    d = {c: F.col(c) for c in ("dmax", "dmean")}
+    n = F.count(F.lit(1))
+
+    def rate(cond: Column) -> Column:
+        return rint_round(F.avg(flag(cond)))
+
+    return images.groupBy(key).agg(
+        n.alias("n_repeats_found"),
+        F.lit(expected_repeats).cast("bigint").alias("expected_repeats"),
+        (n == expected_repeats).cast("int").alias("repeats_complete"),
+        F.count("dmax").alias("n_color_evaluable"),
+        rint_round(F.avg(F.col("n_matched") / F.col("n_expected"))).alias("completeness"),
+        *[rint_round(f(c)).alias(f"{x}_{m}") for x, c in d.items() for m, f in (("mean", F.avg), ("median", lambda c: percentile(c, 0.5)), ("iqr", iqr))],
+        rint_round(F.max("dmax")).alias("dmax_max"),
+        rate(F.col("n_extra") > 0).alias("p_extra"),
+        rate(F.col("n_missing") > 0).alias("p_missing"),
+        rate((F.col("n_observed") > 0) & (F.col("n_extra") == 0) & (F.col("n_missing") == 0)).alias("p_exact_count"),
+        rate(F.col("n_matched") == F.col("n_expected")).alias("p_complete"),
+        rate(F.upper("extraction_status") == "NO_MARK").alias("p_no_mark"),
+        rate(F.col("internal_variation") == 1).alias("p_internal_variation"),
+        rate(F.col("n_overlap_derived") > 0).alias("p_line_overlap_derived"),
+        *[rint_round(F.avg(f"n_{c}")).alias(f"{c}_colors_mean") for c in ("observed", "extra", "missing")],
+        rint_round(F.avg("support")).alias("support_mean"),
+        rint_round(F.min("support")).alias("support_min"),
+        rint_round(F.avg("point_max")).alias("point_max_mean"),
+        rint_round(F.avg("point_p90")).alias("point_p90_mean"),
+    )
+
+
 def profile_rollup(flags: DataFrame, key: str = "profile") -> DataFrame:
     """Both denominators (all images and evaluable ones) per profile; the median is selected from ranged counts."""
     ev = F.col("color_evaluable") == 1

@@ -10,7 +10,7 @@ from gaugeframe.functions.numbers import rint_round
 from gaugeframe.operators import color_family as CF
 from gaugeframe.operators import color_match as CM
 from gaugeframe.plans.catalog import query
-from gaugeframe.plans.fixtures import hex_of, hex_sql, r6, table, with_
+from gaugeframe.plans.fixtures import Derived, hex_of, hex_sql, r6, table, with_
 
 
 # ------------------------------------------------------------------------- CIEDE2000 as SQL steps
@@ -117,11 +117,32 @@ def g06_classify_extras(spark, sf):
     return CM.classify_extras(pairs_of(spark, sf), "filename").withColumn("delta_e", rint_round(F.col("delta_e")))
 
 
-@query(with_(*ASSIGN, "k as (select filename, count(expected_index) as n_expected, count(observed_hex) as n_observed, count(*) filter (where pair_status = 'MATCHED') as n_matched, count(*) filter (where pair_status = 'EXTRA') as n_extra, count(*) filter (where pair_status = 'MISSING') as n_missing, "
-             f"{r6('avg(delta_e)')} as dmean, {r6('median(delta_e)')} as dmedian, {r6('max(delta_e)')} as dmax, coalesce(string_agg(observed_hex, '|' order by expected_index) filter (where pair_status = 'MATCHED'), '') as matched_hex from pr group by filename)",
-             select="select *, case when n_observed = 0 then 'NO_MARK' when n_extra > 0 then 'EXTRA' when n_missing > 0 then 'MISSING' else 'EXACT' end as count_status, abs(n_observed - n_expected) as count_error_abs from k"))
+# what an extraction says of an image besides its colours, and the distances of its scattered points
+EXTRACTION = Derived("ext", "orders", {
+    "filename": "o_orderkey", "canvas_width": "640 + o_orderkey % 5 * 64", "canvas_height": "480 + o_orderkey % 3 * 60",
+    "extraction_status": "case when o_orderkey % 13 = 0 then 'NO_MARK' else 'OK' end", "extraction_support_mean": "case when o_orderkey % 13 <> 0 then cast(o_orderkey % 101 as double) / 128 end",
+    "extraction_support_min": "case when o_orderkey % 13 <> 0 then cast(o_orderkey % 101 as double) / 256 end", "n_marks_detected": "case when o_orderkey % 13 <> 0 then o_orderkey % 41 end",
+    "n_initial_candidates": "case when o_orderkey % 3 <> 0 then o_orderkey % 59 end", "n_solid_families": "o_orderkey % 4", "n_variable_families": "case when o_orderkey % 6 <> 0 then o_orderkey % 3 end",
+    "n_insufficient_families": "case when o_orderkey % 2 = 0 then o_orderkey % 5 end", "legend_suspected_count": "o_orderkey % 2", "n_overlap_derived_families": "case when o_orderkey % 7 = 0 then 1 end",
+    "line_derived_hex": "case when o_orderkey % 7 = 0 then concat('#', upper(substr(md5(cast(o_orderkey as string)), 1, 6))) end",
+})
+POINTS = Derived("pt", "lineitem", {"filename": "l_orderkey", "delta_e": "case when l_linenumber <> 3 then l_discount * 37 end"}, "l_orderkey % 5 <> 0")
+COUNTED = ["n_solid_families", "n_variable_families", "n_insufficient_families", "legend_suspected_count", "n_overlap_derived_families"]
+NAMED_SQL = "pal as (select * from (values " + ", ".join(f"({i}, '{n}', '{h}')" for i, (n, h) in enumerate(PALETTE.items())) + ") v(place, color_name, color_hex))"
+
+
+@query(with_(*ASSIGN, EXTRACTION.cte.replace("as string", "as varchar"), POINTS.cte, NAMED_SQL,
+             "k as (select filename, count(expected_index) as n_expected, count(observed_hex) as n_observed, count(*) filter (where pair_status = 'MATCHED') as n_matched, count(*) filter (where pair_status = 'EXTRA') as n_extra, count(*) filter (where pair_status = 'MISSING') as n_missing, "
+             f"{r6('avg(delta_e)')} as dmean, {r6('median(delta_e)')} as dmedian, {r6('max(delta_e)')} as dmax, coalesce(string_agg(observed_hex, '|' order by expected_index) filter (where pair_status = 'MATCHED'), '') as matched_hex, "
+             "coalesce(string_agg(observed_hex, '|' order by observed_index) filter (where observed_hex is not null), '') as observed_hex from pr group by filename)",
+             "e as (select img.filename, string_agg(expected_hex, '|' order by expected_index) as expected_hex, string_agg(color_name, '|' order by expected_index) as expected_colors from img join expd using (profile) join pal on color_hex = expected_hex group by 1)",
+             f"sp as (select filename, {r6('avg(delta_e)')} as point_mean, {r6('median(delta_e)')} as point_median, {r6('quantile_cont(delta_e, 0.9)')} as point_p90, {r6('max(delta_e)')} as point_max from pt group by 1)",
+             select="select ext.* replace (" + ", ".join(f"coalesce({c}, 0) as {c}" for c in COUNTED) + f", coalesce(line_derived_hex, '') as line_derived_hex, {r6('extraction_support_mean')} as extraction_support_mean, {r6('extraction_support_min')} as extraction_support_min), "
+             "case when n_variable_families > 0 then 1 else 0 end as internal_variation, k.* exclude (filename), e.expected_hex, e.expected_colors, point_mean, point_median, point_p90, point_max, "
+             "case when n_observed = 0 then 'NO_MARK' when n_extra > 0 then 'EXTRA' when n_missing > 0 then 'MISSING' else 'EXACT' end as count_status, abs(n_observed - n_expected) as count_error_abs "
+             "from ext left join k using (filename) left join e using (filename) left join sp using (filename)"))
 def g07_color_image_rollup(spark, sf):
-    return CM.image_rollup(pairs_of(spark, sf), "filename")
+    return CM.image_report(pairs_of(spark, sf), EXTRACTION.spark(spark, sf), POINTS.spark(spark, sf), "filename", PALETTE)
 
 
 # --------------------------------------------------------------------------------------- families

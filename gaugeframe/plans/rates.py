@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeframe.functions import status as S
+from gaugeframe.functions.color import PALETTE
 from gaugeframe.functions.numbers import count_where, ratio, rint_round
+from gaugeframe.operators import color_match as CM
 from gaugeframe.operators import color_rollup as CR
 from gaugeframe.operators import integrate as I
 from gaugeframe.operators import rates as R
 from gaugeframe.plans.catalog import query
+from gaugeframe.plans.colors import NAMED_SQL, pair_sql
 from gaugeframe.plans.fixtures import IMAGES, UNIT, Derived, hex_of, hex_sql, image_facts, r6, table, units, with_
 from gaugeframe.plans.joins import INTEGRATED, integrated
 from gaugeframe.plans.rules import COLOR_IMG, FLAG_SQL, FOUR_SQL, MANUALS, STATUS_SQL, SUP_ROWS, color_flag_rows
@@ -114,28 +117,24 @@ def d08_axis_summary_automatic(spark, sf):
 
 
 # ------------------------------------------------------------------------------------------- colour
-UNIT_COLOR = Derived("c0", "lineitem", {"unit_id": "l_orderkey", "dmax": "case when l_linenumber <> 4 then l_discount * 37 end", "dmean": "l_discount * 21", "matched": "l_linenumber % 3", "expected": "2", "support": "l_tax * 10", "pts": "l_quantity"})
-
-
-@query(with_(UNIT_COLOR.cte, select=f"""select unit_id, count(*) as n_images, {r6('avg(matched / expected)')} as completeness, {r6('avg(dmax)')} as dmax_mean, {r6('median(dmax)')} as dmax_median,
-   {r6('quantile_cont(dmax,0.75) - quantile_cont(dmax,0.25)')} as dmax_iqr, {r6('max(dmax)')} as dmax_max, {r6('avg(dmean)')} as dmean_mean, {r6('median(dmean)')} as dmean_median,
-   {r6('quantile_cont(dmean,0.75) - quantile_cont(dmean,0.25)')} as dmean_iqr, {r6('count(*) filter (where matched = expected) / count(*)')} as p_complete, {r6('avg(support)')} as support_mean, {r6('min(support)')} as support_min,
-   {r6('avg(pts)')} as point_mean, {r6('quantile_cont(pts, 0.9)')} as point_p90, max(pts) as point_max from c0 group by unit_id"""))
+UNIT_COLOR = Derived("c0", "lineitem", {
+    "unit_id": "l_orderkey", "dmax": "case when l_linenumber <> 4 then l_discount * 37 end", "dmean": "case when l_linenumber <> 4 then l_discount * 21 end", "n_expected": "2",
+    "n_matched": "l_linenumber % 3", "n_extra": "l_suppkey % 3", "n_observed": "l_linenumber % 3 + l_suppkey % 3", "n_missing": "2 - l_linenumber % 3",
+    "extraction_status": "case when l_linenumber % 3 + l_suppkey % 3 = 0 then 'NO_MARK' else 'OK' end", "internal_variation": "case when l_partkey % 4 = 0 then 1 else 0 end",
+    "n_overlap_derived": "case when l_partkey % 5 <> 0 then l_partkey % 3 end", "support": "l_tax * 10", "point_max": "case when l_partkey % 2 = 0 then l_quantity end", "point_p90": "case when l_partkey % 2 = 0 then l_quantity * 0.75 end",
+})
+REPEATS = 4
+RAW_RATES = {"extra": "n_extra > 0", "missing": "n_missing > 0", "exact_count": "n_observed > 0 and n_extra = 0 and n_missing = 0", "complete": "n_matched = n_expected", "no_mark": "extraction_status = 'NO_MARK'",
+             "internal_variation": "internal_variation = 1", "line_overlap_derived": "n_overlap_derived > 0"}
+
+
+@query(with_(UNIT_COLOR.cte, select=f"select unit_id, count(*) as n_repeats_found, {REPEATS}::bigint as expected_repeats, case when count(*) = {REPEATS} then 1 else 0 end as repeats_complete, count(dmax) as n_color_evaluable, {r6('avg(n_matched / n_expected)')} as completeness, "
+             + ", ".join(f"{r6(f'avg({d})')} as {d}_mean, {r6(f'median({d})')} as {d}_median, {r6(f'quantile_cont({d}, 0.75) - quantile_cont({d}, 0.25)')} as {d}_iqr" for d in ("dmax", "dmean"))
+             + f", {r6('max(dmax)')} as dmax_max, " + ", ".join(f"{r6(f'count(*) filter (where {c}) / count(*)')} as p_{n}" for n, c in RAW_RATES.items())
+             + ", " + ", ".join(f"{r6(f'avg(n_{c})')} as {c}_colors_mean" for c in ("observed", "extra", "missing"))
+             + f", {r6('avg(support)')} as support_mean, {r6('min(support)')} as support_min, {r6('avg(point_max)')} as point_max_mean, {r6('avg(point_p90)')} as point_p90_mean from c0 group by unit_id"))
 def d09_color_units_raw(spark, sf):
-    from gaugeframe.functions.numbers import iqr, percentile
-
-    def four(name):
-        c = F.col(name)
-        return [rint_round(F.avg(c)).alias(f"{name}_mean"), rint_round(percentile(c, 0.5)).alias(f"{name}_median"), rint_round(iqr(c)).alias(f"{name}_iqr")]
-
-    return UNIT_COLOR.spark(spark, sf).groupBy("unit_id").agg(
-        F.count(F.lit(1)).alias("n_images"),
-        rint_round(F.avg(F.col("matched") / F.col("expected"))).alias("completeness"),
-        *four("dmax"), rint_round(F.max("dmax")).alias("dmax_max"), *four("dmean"),
-        ratio(count_where(F.col("matched") == F.col("expected")), F.count(F.lit(1))).alias("p_complete"),
-        rint_round(F.avg("support")).alias("support_mean"), rint_round(F.min("support")).alias("support_min"),
-        rint_round(F.avg("pts")).alias("point_mean"), rint_round(percentile(F.col("pts"), 0.9)).alias("point_p90"), F.max("pts").alias("point_max"),
-    )
+    return CR.raw_unit_rollup(UNIT_COLOR.spark(spark, sf), "unit_id", REPEATS)
 
 
 RATE_COLS = ["strict_match", "color_deviation", "missing_color", "semantic_extra", "near_duplicate", "no_mark", "internal_variation", "overlap_derived"]
@@ -244,14 +243,18 @@ def d23_zero_failure_upper_bound(spark, sf):
     return R.zero_failure_bound(table(spark, sf, "lineitem"), F.col("l_quantity") < 0)
 
 
-@query(f"""select l_orderkey as filename, hex, count(*) as n_bars, cast(sum(pixels) as bigint) as pixel_sum, {r6('avg(support)')} as support_mean, {r6('min(support)')} as support_min,
-   row_number() over (partition by l_orderkey order by sum(pixels) desc, hex) as color_rank
-   from (select l_orderkey, {hex_sql('l_partkey % 5')} as hex, cast(l_quantity as bigint) as pixels, l_discount as support from lineitem) group by l_orderkey, hex""")
-def d24_distinct_colors(spark, sf):
-    from gaugeframe.operators.color_match import distinct_colors
+BARS = {"filename": "l_orderkey", "pixels": "cast(l_quantity as bigint)", "support_exact": "l_discount", "support_near": "l_discount + l_tax"}
+
 
-    b = table(spark, sf, "lineitem").selectExpr("l_orderkey as filename", f"{hex_of('l_partkey % 5')} as hex", "cast(l_quantity as bigint) as pixels", "l_discount as support")
-    return distinct_colors(b, "filename", "hex")
+@query(with_(f"b as (select {', '.join(f'{e} as {n}' for n, e in BARS.items())}, {hex_sql('l_partkey % 5')} as hex from lineitem)", NAMED_SQL,
+             "h as (select hex, place, color_name, color_hex from (select distinct hex from b) cross join pal)", *pair_sql("h", "hex", "color_hex", "d", "hd"),
+             "nn as (select * from hd qualify row_number() over (partition by hex order by d, place) = 1)",
+             f"""g as (select filename, hex, count(*) as n_bars, cast(sum(pixels) as bigint) as pixel_sum, {r6('avg(support_exact)')} as support_exact_mean, {r6('min(support_exact)')} as support_exact_min,
+   {r6('avg(support_near)')} as support_near_mean, {r6('min(support_near)')} as support_near_min, row_number() over (partition by filename order by sum(pixels) desc, hex) as color_rank from b group by filename, hex)""",
+             select=f"select g.*, color_name as nearest_name, color_hex as nearest_hex, {r6('d')} as delta_e from g join nn using (hex)"))
+def d24_distinct_colors(spark, sf):
+    b = table(spark, sf, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in BARS.items()], f"{hex_of('l_partkey % 5')} as hex")
+    return CM.distinct_colors(b, "filename", "hex", PALETTE)
 
 
 @query("select o_custkey as unit_id, count(*) as n from orders group by 1 having count(*) <> 10")

@@ -4,9 +4,10 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.color import delta_e, lab_of
+from gaugeframe.functions.color import PALETTE, delta_e, lab_of
 from gaugeframe.operators import color_family as CF
 from gaugeframe.operators import color_match as CM
+from gaugeframe.operators.color_rollup import raw_unit_rollup
 
 # published CIEDE2000 test pairs (Sharma, Wu, Dalal 2005)
 PAIRS = [
@@ -94,3 +95,44 @@ def test_mixture_equals_full_grid(spark):
     for r, g in zip(rows, got):
         tt, aa, bb = (np.array(r[k : k + 3]) for k in (0, 3, 6))
         assert abs(g - min(np.linalg.norm(tt - (x * aa + y * bb + (1 - x - y) * 255)) for x, y in w)) < 1e-9
+
+
+def test_distinct_colors_name_the_nearest_palette_colour(spark):
+    rows = [(1, "#1F4FD8", 5, 0.5, 0.9), (1, "#1F4FD8", 7, 0.7, 0.7), (1, "#C62829", 40, 0.2, 0.3), (2, "none", 1, 0.1, 0.1), (2, None, 1, None, 0.1)]
+    bars = spark.createDataFrame(rows, "filename long, hex string, pixels long, support_exact double, support_near double")
+    got = {(r.filename, r.hex): r for r in CM.distinct_colors(bars, "filename", "hex", PALETTE).collect()}
+    blue, red = got[1, "#1F4FD8"], got[1, "#C62829"]
+    assert (blue.n_bars, blue.pixel_sum, blue.support_exact_mean, blue.support_exact_min, blue.support_near_mean, blue.support_near_min) == (2, 12, 0.6, 0.5, 0.8, 0.7)
+    assert (blue.nearest_name, blue.nearest_hex, blue.delta_e, blue.color_rank) == ("azul", PALETTE["azul"], 0.0, 2)
+    assert (red.nearest_name, red.color_rank) == ("vermelho", 1) and 0 < red.delta_e < 1
+    assert all(got[2, h].nearest_name is None and got[2, h].delta_e is None for h in ("none", None))
+
+
+def test_nearest_colour_ties_go_to_the_earlier_name(spark):
+    one = spark.createDataFrame([("#102030",)], "hex string")
+    assert CM.nearest_named(one, "hex", {"b": "#102030", "a": "#102030"}).first().nearest_name == "b"
+
+
+def test_image_report_without_marks_and_points(spark):
+    pairs = spark.createDataFrame(
+        [(1, "MATCHED", 4, "#AA0000", 2, PALETTE["azul"], 1.5), (1, "MATCHED", 3, "#00AA00", 1, PALETTE["laranja"], 0.5), (1, "EXTRA", 1, "#0000AA", None, None, None), (2, "MISSING", None, None, 1, "#123456", None)],
+        "filename long, pair_status string, observed_index long, observed_hex string, expected_index long, expected_hex string, delta_e double",
+    )
+    kinds = {c: "string" if c in ("extraction_status", "line_derived_hex") else "double" if "support" in c else "long" for c in CM.EXTRACTED}
+    some = {"canvas_width": 640, "n_variable_families": 2, "extraction_status": "OK"}
+    extraction = spark.createDataFrame([(1, *(some.get(c) for c in CM.EXTRACTED)), (2, *(None for _ in CM.EXTRACTED))], "filename long, " + ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    points = spark.createDataFrame([(1, 1.0), (1, 3.0), (1, None)], "filename long, delta_e double")
+    a, b = CM.image_report(pairs, extraction, points, "filename", PALETTE).orderBy("filename").collect()
+    assert (a.expected_colors, a.expected_hex) == ("laranja|azul", f"{PALETTE['laranja']}|{PALETTE['azul']}")
+    assert (a.observed_hex, a.matched_hex) == ("#0000AA|#00AA00|#AA0000", "#00AA00|#AA0000")
+    assert (a.point_mean, a.point_median, a.point_p90, a.point_max, a.internal_variation, a.count_status) == (2.0, 2.0, 2.8, 3.0, 1, "EXTRA")
+    assert (b.count_status, b.expected_colors, b.observed_hex, b.point_max, b.n_variable_families, b.internal_variation, b.line_derived_hex) == ("NO_MARK", "#123456", "", None, 0, 0, "")
+
+
+def test_raw_units_count_repeats_and_rates(spark):
+    names = "unit_id long, dmax double, dmean double, n_expected long, n_matched long, n_observed long, n_extra long, n_missing long, extraction_status string, internal_variation int, n_overlap_derived long, support double, point_max double, point_p90 double"
+    rows = [(1, 2.0, 1.0, 2, 2, 2, 0, 0, "OK", 0, 1, 0.5, 4.0, 3.0), (1, None, None, 2, 0, 0, 0, 2, "NO_MARK", None, None, None, None, None), (2, 1.0, 1.0, 1, 1, 3, 2, 0, "OK", 1, 0, 0.2, None, None)]
+    a, b = raw_unit_rollup(spark.createDataFrame(rows, names), "unit_id", 2).orderBy("unit_id").collect()
+    assert (a.n_repeats_found, a.expected_repeats, a.repeats_complete, a.n_color_evaluable, b.repeats_complete) == (2, 2, 1, 1, 0)
+    assert (a.completeness, a.p_missing, a.p_exact_count, a.p_complete, a.p_no_mark, a.p_line_overlap_derived, a.p_internal_variation) == (0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.0)
+    assert (a.observed_colors_mean, a.missing_colors_mean, b.extra_colors_mean, b.p_extra, a.point_max_mean, b.point_p90_mean) == (1.0, 1.0, 2.0, 1.0, 4.0, None)
