@@ -3,8 +3,10 @@
 Piece lengths are rounded up to units and counted. A linear program over patterns (how many pieces of
 each length a sequence takes) minimises the number of sequences; its columns are priced by a knapsack
 dynamic program. Patterns are rounded down, what is left is filled greedily, and the k-th piece of a
-length takes the k-th slot of that length. The histogram and the plan have at most ``capacity / unit``
-lengths, whatever the number of documents.
+length takes the k-th slot of that length. Short pieces would lose too much by rounding: they are packed
+into bundles first, in the same way but by their exact lengths, and a bundle is packed like a piece. The
+histograms and plans have at most ``capacity / unit`` and ``capacity / 32`` lengths, whatever the number of
+documents.
 """
 
 from __future__ import annotations
@@ -150,39 +152,82 @@ def slots(sizes: np.ndarray, found: list[tuple[np.ndarray, int]]) -> dict[int, t
     return {s: tuple(np.array(c, np.int64) for c in columns) for s, columns in table.items()}
 
 
+class Places:
+    """Sequences of the pieces of a histogram of exact lengths.
+
+    Pieces of up to ``capacity / 32`` ids are short: they go to bundles of a quarter of the capacity, and the
+    b-th bundle is the piece of that size which follows the b-th of the others.
+    """
+
+    def __init__(self, capacity: int, unit: int):
+        self.capacity, self.unit = capacity, unit
+        self.bundle = capacity // 4 // unit
+        self.short = capacity // 32 if self.bundle else 0
+
+    def size_of(self, length: np.ndarray) -> np.ndarray:
+        """Sizes by which pieces are counted: minus the length of short ones, units of others."""
+        return np.where(length <= self.short, -length, -(-length // self.unit))
+
+    def fit(self, histogram: list[tuple[int, int]]) -> Places:
+        counts = dict(histogram)
+        short = sorted((-s, n) for s, n in counts.items() if s < 0)
+        long = {s: n for s, n in counts.items() if s > 0}
+        self.inside, self.first_bundle = {}, long.get(self.bundle, 0)
+        if short:
+            sizes, demand = (np.array(x, np.int64) for x in zip(*short))
+            found = plan(sizes, demand, self.bundle * self.unit)
+            self.inside = slots(sizes, found)
+            long[self.bundle] = self.first_bundle + sum(n for _, n in found)
+        sizes, demand = (np.array(x, np.int64) for x in zip(*sorted(long.items()))) if long else (np.zeros(0, np.int64),) * 2
+        self.table = slots(sizes, plan(sizes, demand, self.capacity // self.unit))
+        return self
+
+    @staticmethod
+    def _slot(table: dict[int, tuple[np.ndarray, ...]], size: int, rank: np.ndarray) -> np.ndarray:
+        start, first, times = table[size]
+        k = np.searchsorted(start, rank, side="right") - 1
+        return first[k] + (rank - start[k]) // times[k]
+
+    def sequence(self, size: int, rank: np.ndarray) -> np.ndarray:
+        """Sequences of the pieces of one size with the given ranks."""
+        if size < 0:
+            size, rank = self.bundle, self.first_bundle + self._slot(self.inside, -size, rank)
+        return self._slot(self.table, size, rank)
+
+
 def pack(pieces: DataFrame, length: str = "length", capacity: int = 2048, unit: int = 16) -> DataFrame:
     """``pieces`` with ``sequence_id`` (gapless from 0) and ``offset`` (place of its first id there).
 
     Every row must have a length from 1 to ``capacity``; equal rows are packed one by one and all other
     columns are kept, except that ``sequence_id`` and ``offset`` are replaced. No rows give no rows.
     ``unit`` is the rounding of lengths in the plan: ids of a sequence may stay unused by at most
-    ``unit - 1`` a piece beyond what the plan wastes. Ranks are taken per task and then shifted, so that
-    no task sees all pieces of a length.
+    ``unit - 1`` a piece beyond what the plan wastes; pieces of up to ``capacity / 32`` ids are not rounded but
+    share bundles. Ranks are taken per task and then shifted, so that no task sees all pieces of a length.
     """
     # written first: ranks and sequences are found from lengths alone, and rows are moved once, at the end
     named = written(pieces.drop("sequence_id", "offset").withColumn("_row", F.monotonically_increasing_id()), "cut-pieces")
     narrow = "_row long, _length long, _part long, _size long, _rank long"
+    places = Places(capacity, unit)
 
     def rank(batches):
-        part, seen = TaskContext.get().partitionId(), np.zeros(-(-capacity // unit) + 1, np.int64)
+        # sizes from -short to capacity / unit
+        part, seen = TaskContext.get().partitionId(), np.zeros(places.short - (-capacity // unit) + 1, np.int64)
         for b in batches:
             n = b.column("_length").to_numpy(zero_copy_only=False)
-            size = -(-n // unit)
+            size = places.size_of(n)
             order = np.argsort(size, kind="stable")
-            ordered = size[order]
+            ordered = size[order] + places.short
             begin = np.searchsorted(ordered, ordered, side="left")
             ranks = np.empty(len(n), np.int64)
             ranks[order] = np.arange(len(n)) - begin + seen[ordered]
-            seen += np.bincount(size, minlength=len(seen))
+            seen += np.bincount(ordered, minlength=len(seen))
             columns = [pa.array(np.full(len(n), part)), pa.array(size), pa.array(ranks)]
             yield pa.RecordBatch.from_arrays([*b.columns, *columns], ["_row", "_length", "_part", "_size", "_rank"])
 
     ranked = written(named.select("_row", F.col(length).cast("long").alias("_length")).mapInArrow(rank, narrow), "pieces")
     counts = ranked.groupBy("_part", "_size").agg(F.count(F.lit(1)).alias("_n"))
-    # at most capacity / unit rows
-    histogram = sorted((r["_size"], r["n"]) for r in counts.groupBy("_size").agg(F.sum("_n").alias("n")).collect())
-    sizes, demand = (np.array(x, np.int64) for x in zip(*histogram)) if histogram else (np.zeros(0, np.int64),) * 2
-    table = slots(sizes, plan(sizes, demand, capacity // unit))
+    # at most capacity / unit + capacity / 32 rows
+    places.fit([(r["_size"], r["n"]) for r in counts.groupBy("_size").agg(F.sum("_n").alias("n")).collect()])
     before = counts.select("_part", "_size", (F.sum("_n").over(Window.partitionBy("_size").orderBy("_part")) - F.col("_n")).alias("_before"))
 
     def assign(batches):
@@ -192,9 +237,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 2048, unit:
             sequence = np.empty(len(r), np.int64)
             for s in np.unique(size):
                 at = size == s
-                start, first, times = table[int(s)]
-                k = np.searchsorted(start, r[at], side="right") - 1
-                sequence[at] = first[k] + (r[at] - start[k]) // times[k]
+                sequence[at] = places.sequence(int(s), r[at])
             yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("_length"), pa.array(size), pa.array(r), pa.array(sequence)], ["_row", "_length", "_size", "_rank", "sequence_id"])
 
     placed = ranked.join(before, ["_part", "_size"]).mapInArrow(assign, "_row long, _length long, _size long, _rank long, sequence_id long")

@@ -16,7 +16,7 @@ from gaugeframe.llm.chosen_path import components, near_duplicates
 from gaugeframe.llm.common import PieceEncoder, shared_folder
 from gaugeframe.llm.decontaminate import Matcher, find_passages, remove_passages
 from gaugeframe.llm.hilbert import curve_index, shard_documents, write_shards
-from gaugeframe.llm.packing import cut_documents, pack, plan
+from gaugeframe.llm.packing import Places, cut_documents, pack, plan
 from gaugeframe.llm.quality import estimate_prior, fit, score_quality, train
 from gaugeframe.llm.suffix_dedup import deep_shallow, merged, remove_repeats
 from gaugeframe.llm.token_counts import count_tokens
@@ -250,6 +250,28 @@ def test_packed_pieces(spark, edge, none):
     assert pack(cut_documents(none, WORDS)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["", "ok", "a b c"])
+def test_short_texts_fill_sequences(spark, text):
+    got = pack(cut_documents(spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")), WORDS)).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m")).collect()
+    assert all(r.n == r.m <= 2048 for r in got) and sum(r.n for r in got) >= 0.9 * 2048 * len(got)
+
+
+@pytest.mark.parametrize("capacity,unit", [(2048, 16), (128, 8), (32, 16), (7, 1)])
+def test_places_hold_every_piece_once(capacity, unit):
+    r = random.Random(capacity)
+    lengths = np.array([min(capacity, 1 + int(r.expovariate(8 / capacity))) for _ in range(3000)])
+    places = Places(capacity, unit)
+    size = places.size_of(lengths)
+    kinds, counts = np.unique(size, return_counts=True)
+    places.fit(list(zip(kinds.tolist(), counts.tolist())))
+    sequence = np.zeros(len(size), np.int64)
+    for s in kinds:
+        at = np.flatnonzero(size == s)
+        sequence[at] = places.sequence(int(s), np.arange(len(at)))
+    load = np.bincount(sequence, weights=lengths)
+    assert load.max() <= capacity and load.min() > 0
+
+
 # op 8
 
 
