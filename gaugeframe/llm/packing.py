@@ -25,9 +25,10 @@ from gaugeframe.llm.common import blocks, encoder, written
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False, narrow: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids: ``doc_id, start, length, ids_crc32, doc_tokens`` and, if
-    wanted, ``ids`` (little-endian unsigned 32-bit integers).
+    wanted, ``ids`` (little-endian unsigned 32-bit integers; with ``narrow`` 16-bit ones, which take half the
+    space while rows are moved and which ``widen_ids`` turns back; ids of more than 16 bits are an error then).
 
     A null or empty text gives one piece with the end id alone. Rows with a null or repeated id are cut
     one by one; other columns are ignored; an empty table gives no rows.
@@ -50,13 +51,32 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                     crc.append(zlib.crc32(piece))
                     total.append(n)
                     if keep_ids:
-                        body.append(piece)
+                        body.append(_narrow(piece) if narrow else piece)
             columns = [pa.array(x, pa.int64()) for x in (owner, start, length, crc, total)] + ([pa.array(body, pa.binary())] if keep_ids else [])
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES + ", ids binary" * keep_ids)
 
 
+def _narrow(ids: bytes) -> bytes:
+    wide = np.frombuffer(ids, "<u4")
+    if wide.max(initial=0) >= 1 << 16:
+        raise ValueError("an id does not fit into 16 bits")
+    return wide.astype("<u2").tobytes()
+
+
+def widen_ids(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with ``ids`` of 16 bits as ids of 32 bits; other columns and the order of rows stay."""
+    schema = pieces.schema
+
+    def run(batches):
+        for b in blocks(batches, 4 << 20):
+            ids = [x if x is None else np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in b.column("ids").to_pylist()]
+            yield b.set_column(b.schema.get_field_index("ids"), "ids", pa.array(ids, pa.binary()))
+
+    return pieces.mapInArrow(run, schema)
+
+
 def price(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """The pattern of most value that fits: unbounded knapsack over sizes."""
     best, took = np.zeros(room + 1), np.full(room + 1, -1)

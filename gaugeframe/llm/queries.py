@@ -14,7 +14,7 @@ from gaugeframe.llm.common import shared_folder
 from gaugeframe.llm.decontaminate import find_passages
 from gaugeframe.llm.hard_negatives import mine_negatives
 from gaugeframe.llm.hilbert import shard_documents
-from gaugeframe.llm.packing import cut_documents, pack
+from gaugeframe.llm.packing import cut_documents, pack, widen_ids
 from gaugeframe.llm.prefix_trie import KEY, digest_turns, graft, list_digests, prefix_trie
 from gaugeframe.llm.quality import score_quality, train
 from gaugeframe.llm.suffix_dedup import remove_repeats
@@ -68,8 +68,8 @@ def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     """The ids are packed; their digest is taken from the packed rows."""
-    pieces = cut_documents(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=1, keep_ids=True)
-    return pack(pieces.drop("ids_crc32")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    pieces = cut_documents(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=1, keep_ids=True, narrow=True)
+    return widen_ids(pack(pieces.drop("ids_crc32"))).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -16,7 +16,7 @@ from gaugeframe.llm.chosen_path import components, near_duplicates
 from gaugeframe.llm.common import PieceEncoder, shared_folder
 from gaugeframe.llm.decontaminate import Matcher, find_passages, remove_passages
 from gaugeframe.llm.hilbert import curve_index, shard_documents, write_shards
-from gaugeframe.llm.packing import Places, cut_documents, pack, plan
+from gaugeframe.llm.packing import Places, cut_documents, pack, plan, widen_ids
 from gaugeframe.llm.quality import estimate_prior, fit, score_quality, train
 from gaugeframe.llm.suffix_dedup import deep_shallow, merged, remove_repeats
 from gaugeframe.llm.token_counts import count_tokens
@@ -272,6 +272,16 @@ def test_places_hold_every_piece_once(capacity, unit):
     assert load.max() <= capacity and load.min() > 0
 
 
+def test_narrow_ids_are_widened_again(spark, edge):
+    wide = cut_documents(edge, WORDS, capacity=128, keep_ids=True)
+    narrow = cut_documents(edge, WORDS, capacity=128, keep_ids=True, narrow=True)
+    assert all(len(r.ids) == 2 * r.length for r in narrow.collect())
+    columns = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"]
+    assert rows(widen_ids(narrow), *columns) == rows(wide, *columns)
+    with pytest.raises(Exception, match="16 bits"):
+        cut_documents(edge, WORDS, end_id=1 << 16, keep_ids=True, narrow=True).collect()
+
+
 # op 8
 
 
