@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeframe.llm.chosen_path import near_duplicates
 from gaugeframe.llm.common import row_key, written
 from gaugeframe.llm.decontaminate import find_passages, remove_passages
-from gaugeframe.llm.packing import cut_documents, pack
+from gaugeframe.llm.packing import cut_documents, pack, widen_ids
 from gaugeframe.llm.quality import score_quality, train
 from gaugeframe.llm.queries import tokenizer_file
 from gaugeframe.llm.suffix_dedup import remove_repeats
@@ -51,7 +51,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, with their ids, in sequences of 2048 tokens."""
     ship_package(spark)
-    return pack(cut_documents(docs, tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=1, keep_ids=True))
+    return widen_ids(pack(cut_documents(docs, tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=1, keep_ids=True, narrow=True)))
 
 
 STAGES = [
