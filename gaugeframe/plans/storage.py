@@ -11,6 +11,7 @@ from gaugeframe.plans.rules import NAME_RX
 from gaugeframe.sources import catalog_scan as CS
 from gaugeframe.sources import jsonfiles as J
 from gaugeframe.sources import listing as L
+from gaugeframe.sources.filetree import list_tree
 from gaugeframe.sources import tables as W
 from gaugeframe.sources.spec import spec_axes
 from gaugeframe.streaming import incremental as INC
@@ -113,6 +114,19 @@ def a09_write_result_tables(spark, sf):
     return spark.read.parquet(f"{folder}/images")
 
 
+@query("select distinct o_orderstatus as status, strftime(o_orderdate, '%Y-%m') as month, true as has_files from orders")
+def a08_listed_result_tree(spark, sf):
+    """Folders of a result that was written by status and month, from the files that tasks find there."""
+    folder = W.scratch_folder(spark)
+    o = table(spark, sf, "orders").selectExpr("o_orderstatus as status", "date_format(o_orderdate, 'yyyy-MM') as month", "o_orderkey as filename")
+    o.repartition("status", "month").write.partitionBy("status", "month").parquet(f"{folder}/by-status")
+    part = F.split("path", "/")
+    value = lambda i: F.substring_index(F.element_at(part, i), "=", -1)
+    found = list_tree(spark, f"{folder}/by-status", pattern=r"\.parquet$")
+    t = found.select(value(-3).alias("status"), value(-2).alias("month"), (F.col("size") > 0).alias("has_files"))
+    return t.groupBy("status", "month").agg(F.bool_or("has_files").alias("has_files"))
+
+
 ERR = "case when event_type = 'error' then concat('ValueError: bad reading of ', cast(user_id as string)) when value > 80 then 'TimeoutError' end"
 
 
