@@ -13,7 +13,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.numbers import percentile, rint_round
+from gaugeframe.functions.numbers import percentile, rint_round, sorted_quantile
 from gaugeframe.operators.fold import fold_groups
 
 
@@ -260,7 +260,8 @@ def line_phrases(words: DataFrame, line: list[str]) -> DataFrame:
     starts = words.groupBy(*line, "x1").agg(F.max("x2").alias("last"))
     w = _ordered(line, "x1")
     starts = starts.withColumn("gap", F.greatest(F.lit(0.0), F.col("x1") - F.lag("last").over(w)))
-    small = starts.groupBy(*line).agg(percentile(F.when(F.col("gap") > 0.5, F.col("gap")), 0.35).alias("small"))
+    gaps = F.array_sort(F.collect_list(F.when(F.col("gap") > 0.5, F.col("gap"))))  # at most one each start pixel
+    small = starts.groupBy(*line).agg(gaps.alias("gaps")).select(*line, sorted_quantile(F.col("gaps"), 0.35).alias("small"))
     typical = words.groupBy(*line).agg(percentile(F.col("h"), 0.5).alias("typical"))
     wide = F.greatest(2.5 * F.col("small"), 1.45 * F.col("typical"))
     limit = F.when(F.col("small").isNotNull(), F.greatest(F.lit(10.0), F.least(F.lit(34.0), wide))).otherwise(
