@@ -37,10 +37,24 @@ def _base(ch: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
 
 
+def _ranges(chars) -> list[tuple[int, int]]:
+    """Runs of characters that follow one another, as code points."""
+    codes = sorted(map(ord, chars))
+    begins = [c for i, c in enumerate(codes) if i == 0 or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    return list(zip(begins, ends))
+
+
+def _class_of(ranges: list[tuple[int, int]]) -> str:
+    """Inside of a regular-expression class. Its ranges are tried in order on every character of a text."""
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+
+
 @lru_cache(maxsize=1)
-def _accent_tables() -> tuple[str, str, str, str]:
+def _accent_tables() -> tuple[str, str, str, str, str]:
     """Characters whose compatibility decomposition has one base character, with that base; and those
-    with several, as a ``str_to_map`` text and as a character class.
+    with several, as a ``str_to_map`` text and as a character class; last the characters that have a digit
+    among their base characters.
 
     Made by rule from every character that has a decomposition; Hangul syllables stay whole.
     """
@@ -55,7 +69,11 @@ def _accent_tables() -> tuple[str, str, str, str]:
         elif len(base) > 1:
             many.append((ch, base))
     pairs = "\x01".join(f"{c}\x02{b}" for c, b in many)
-    return "".join(c for c, _ in one), "".join(b for _, b in one), pairs, "[" + "".join(c for c, _ in many) + "]"
+    several = _ranges(c for c, _ in many)
+    # ASCII and the letters of Latin 1 are sent away by one range each, before the others are tried
+    common = [(0, several[0][0] - 1), (several[0][1] + 1, several[1][0] - 1)]
+    digits = "".join(c for c, b in one + many if set(b) & set("0123456789"))
+    return "".join(c for c, _ in one), "".join(b for _, b in one), pairs, f"[[^{_class_of(common)}]&&[{_class_of(several)}]]", digits
 
 
 def let(c: Column, fn) -> Column:
@@ -69,7 +87,7 @@ def strip_accents(c: Column) -> Column:
     Single characters are translated. Texts with a ligature, fraction, unit or the like are taken apart,
     and each such character is looked up.
     """
-    src, dst, pairs, several = _accent_tables()
+    src, dst, pairs, several, _ = _accent_tables()
     known = F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02"))
     spelled = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(known, ch), ch)), "")
     whole = F.when(c.rlike(several), spelled).otherwise(c)
@@ -160,7 +178,14 @@ def unit_multiplier(unit: Column) -> Column:
 
 
 def years(c: Column) -> Column:
-    return F.regexp_extract_all(upper_basic(c), F.lit(YEAR), F.lit(1))
+    """Years in a text. A blank ends a year on either side, so only words that hold a digit, or a
+    character that becomes one, are normalised."""
+    digits = _ranges("0123456789" + _accent_tables()[4])
+    ends = sorted([*digits, (9, 13), (32, 32)])
+    others = [(a + 1, b - 1) for (_, a), (b, _) in zip([(0, -1), *ends], [*ends, (0x110000, 0)]) if a + 1 < b]
+    others.sort(key=lambda r: not r[0] <= ord("a") <= r[1])  # the most common first
+    words = F.regexp_extract_all(c, F.lit(rf"(?<!\S)[{_class_of(others)}]*+[{_class_of(digits)}]\S*+"), F.lit(0))
+    return F.regexp_extract_all(let(F.array_join(words, " "), upper_basic), F.lit(YEAR), F.lit(1))
 
 
 def _token_parts(up: Column, fixed: Column, foreign: Column) -> Column:
