@@ -7,7 +7,8 @@ native expression it exceeds the size the JVM compiles and measured about twenty
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -59,11 +60,15 @@ def packed(c: Column) -> Column:
     return F.when(digits.rlike("^[0-9A-Fa-f]{6}$"), F.conv(digits, 16, 10).cast("int"))
 
 
+#: linear light of each of the 256 channel values
+_V = np.arange(256) / 255.0
+_LINEAR = np.where(_V > 0.04045, ((_V + 0.055) / 1.055) ** 2.4, _V / 12.92)
+
+
 def lab_of(colors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """CIE Lab of packed colours."""
     c = np.asarray(colors).astype(np.int64)
-    v = np.stack([(c >> 16) & 255, (c >> 8) & 255, c & 255]) / 255.0
-    lin = np.where(v > 0.04045, ((v + 0.055) / 1.055) ** 2.4, v / 12.92)
+    lin = _LINEAR[np.stack([(c >> 16) & 255, (c >> 8) & 255, c & 255])]
     xyz = np.tensordot(np.array(SRGB_XYZ), lin, axes=1) / np.array(WHITE_D65).reshape(-1, *[1] * (lin.ndim - 1))
     x, y, z = np.where(xyz > 0.008856, np.cbrt(xyz), 7.787 * xyz + 16.0 / 116.0)
     return 116.0 * y - 16.0, 500.0 * (x - y), 200.0 * (y - z)
@@ -93,10 +98,9 @@ def delta_e(p: tuple, q: tuple) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, dl**2 + dc**2 + dh**2 + rt * dc * dh))
 
 
-@F.pandas_udf(DoubleType())
-def delta_e_packed(first: pd.Series, second: pd.Series) -> pd.Series:
+@F.arrow_udf(DoubleType())
+def delta_e_packed(first: pa.Array, second: pa.Array) -> pa.Array:
     """Row-wise CIEDE2000 of packed colours; NULL where either is NULL."""
-    out = pd.Series(np.nan, index=first.index)
-    ok = (first.notna() & second.notna()).to_numpy()
-    out[ok] = delta_e(lab_of(first[ok].to_numpy()), lab_of(second[ok].to_numpy()))
-    return out.astype(object).where(ok, None)
+    p, q = (x.fill_null(0).to_numpy(zero_copy_only=False) for x in (first, second))
+    missing = pc.or_(first.is_null(), second.is_null()).to_numpy(zero_copy_only=False)
+    return pa.array(delta_e(lab_of(p), lab_of(q)), mask=missing)

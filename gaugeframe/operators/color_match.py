@@ -78,8 +78,9 @@ def assign(cost: DataFrame, key: str) -> DataFrame:
     So only those survive (a ranked top-n, cut before the shuffle), and an image brings at most n * n
     candidates together, however many colours were observed; n is the size of a profile's palette.
     """
-    w = Window.partitionBy(key, "expected_index").orderBy("cost", "observed_index")
-    top = cost.where("cost is not null").withColumn("__r", F.row_number().over(w)).where("__r <= n_expected")
+    # a filter on the distance below the window would measure every distance twice
+    w = Window.partitionBy(key, "expected_index").orderBy(F.col("cost").asc_nulls_last(), "observed_index")
+    top = cost.withColumn("__r", F.row_number().over(w)).where("__r <= n_expected and cost is not null")
     pick = F.struct(F.col("expected_index").cast("bigint").alias("expected_index"), "cost", F.col("observed_index").cast("bigint").alias("observed_index"), "observed_hex", "expected_hex")
     g = top.groupBy(key).agg(F.array_sort(F.collect_list(pick)).alias("candidates"))
     field = lambda n: F.transform("candidates", lambda c: c[n])
