@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.common import NO_ID, blocks, row_key, written
+from gaugeframe.llm.common import NO_ID, blocks, dropped, row_key, written
 from gaugeframe.llm.words import mix, words_of
 
 #: children that two sets at the threshold share on average, at every step of a path
@@ -27,7 +27,9 @@ SHARED = 4.0
 #: time than its tokens take to be shipped for a split
 LEAF = 4096
 #: sets of a bucket that are compared at once; fewer if together they have more tokens
-BLOCK, BLOCK_TOKENS = 1024, 1_000_000
+BLOCK, BLOCK_TOKENS = 512, 500_000
+#: sets of a bucket that one task holds and compares block by block, and their tokens
+HELD, HELD_TOKENS = LEAF, 4_000_000
 DEPTH = 6
 #: equal bits, of 128, that the sketches of a pair need: at the threshold 115 are expected, 64 by chance;
 #: fewer than this at the threshold have a probability of about 1e-9
@@ -165,7 +167,7 @@ def _first_met(threshold: float):
     ``seen`` holds the sorted buckets of each row. A pair stays in the first of its buckets at least, which is
     where it is counted; sets that meet in many buckets are compared in few.
     """
-    share, most = round(threshold * 10**6), 1024
+    share, most = round(threshold * 10**6), 256
 
     def keep(bucket: int, rows: pa.RecordBatch) -> np.ndarray:
         m, n = rows.num_rows, rows.column("n").to_numpy()
@@ -175,7 +177,7 @@ def _first_met(threshold: float):
         number = np.unique(np.concatenate(lists), return_inverse=True)[1]
         order = np.argsort(number, kind="stable")
         number, owner = number[order], owner[order]
-        width, good = 4096, np.zeros(m, bool)
+        width, good = 1024, np.zeros(m, bool)
         for first in range(0, m, most):
             i = slice(first, min(m, first + most))
             equal = 128 - sum(np.bitwise_count(x[i, None] ^ x[None, :]).astype(np.int16) for x in g)
@@ -247,6 +249,23 @@ def compare(tokens, counts, copies, seen, bucket: int, left: int, threshold: flo
         yield int(i), int(total[i]), int(root[i])
 
 
+def block_pairs(counts: np.ndarray, left: int):
+    """Blocks of rows to compare: each with none (within), and each two; of two parts, those across only."""
+    cuts, held = [0], 0
+    for i, n in enumerate(counts.tolist()):
+        if i > cuts[-1] and (i == left or i - cuts[-1] >= BLOCK or held + n > BLOCK_TOKENS):
+            cuts.append(i)
+            held = 0
+        held += n
+    every = [np.arange(a, b) for a, b in zip(cuts, [*cuts[1:], len(counts)])]
+    for a, one in enumerate(every):
+        if not left:
+            yield one, one[:0]
+        for other in every[a + 1 :]:
+            if not left or one[0] < left <= other[0]:
+                yield one, other
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node of ``edges (a, b)``: the smallest node that it is connected to.
 
@@ -260,11 +279,14 @@ def components(edges: DataFrame) -> DataFrame:
         least = written(around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = written(large, "edges")
+        dropped(least)
         least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         moved = large.join(least, "a")
         small = moved.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(moved.select("a", F.col("m").alias("b")))
         new = written(small.where("a <> b").distinct(), "edges")
+        dropped(large, least)
         sums = [e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for e in (edges, new)]
+        dropped(edges)
         edges = new
         if sums[0] == sums[1]:
             break
@@ -291,10 +313,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
     distinct = written(one, "distinct-sets")
 
     level = distinct.select(F.explode("paths").alias("bucket"), "k")
-    leaves, tokens = [], None
+    leaves, spent, tokens = [], [], None
     for depth in range(DEPTH):
         sizes = written(level.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "bucket-sizes")
         level = written(level.join(sizes, "bucket"), "buckets")
+        dropped(sizes)
+        spent.append(level)
         small = level.where(F.col("m") <= LEAF).join(distinct.select("k", "n", "g1", "g2"), "k").select("bucket", "m", "k.k1", "k.k2", "n", "g1", "g2")
         near = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_promising(threshold), "bucket long, m long, k1 long, k2 long")
         near = written(near.select("bucket", "m", F.struct("k1", "k2").alias("k")), "promising")
@@ -302,6 +326,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
         told = near.join(seen, "k").join(distinct.select("k", "n", "g1", "g2"), "k").select("bucket", "k.k1", "k.k2", "n", "g1", "g2", "seen")
         met = told.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_first_met(threshold), "bucket long, k1 long, k2 long")
         leaves.append(written(met.select("bucket", F.struct("k1", "k2").alias("k")), "leaves"))
+        dropped(near)
+        spent.append(leaves[-1])
         large = level.where(F.col("m") > LEAF)
         if tokens is None:
             active = leaves[0].select("k").unionByName(large.select("k")).distinct()
@@ -316,15 +342,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
         cost = below.groupBy("parent", "bucket").agg(F.count(F.lit(1)).alias("c")).groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("cost"))
         verdict = large.select(F.col("bucket").alias("parent"), "m").distinct().join(cost, "parent", "left")
         stay = written(verdict.where(F.coalesce("cost", F.lit(0)) >= F.col("m") * F.col("m")).select("parent"), "dense-buckets")
+        spent += [below, stay]
         leaves.append(large.select("bucket", "k").join(stay.select(F.col("parent").alias("bucket")), "bucket", "left_semi"))
         level = below.join(stay, "parent", "left_anti").select("bucket", F.struct("k1", "k2").alias("k"))
-    found = written(_compared(leaves, tokens, threshold), "links")
+    found = _compared(leaves, tokens, threshold)
+    dropped(*spent, tokens)
 
     links = found.groupBy("k1", "k2").agg(F.sum("n_links").alias("n_links"))
     roots = components(found.select(F.struct("k1", "k2").alias("a"), F.struct(F.col("r1").alias("k1"), F.col("r2").alias("k2")).alias("b")))
     named = distinct.select("s1", "s2", "n", "k", "copies", F.col("k.k1"), F.col("k.k2")).join(links, ["k1", "k2"], "left")
     named = named.join(roots.select(F.col("node.k1"), F.col("node.k2"), "root"), ["k1", "k2"], "left")
     table = written(named.select("s1", "s2", "n", "k", "copies", F.coalesce("n_links", F.lit(0)).alias("others"), F.coalesce("root", "k").alias("root")), "set-classes")
+    dropped(distinct, found, roots)
     ident = lambda c: F.when(F.col(f"{c}.k1") != NO_ID, F.col(f"{c}.k1"))
     with_set = sets.where("n > 0").select("k1", "k2", "s1", "s2", "n").join(table, ["s1", "s2", "n"])
     with_set = with_set.select("k1", "k2", ident("root").alias("class_id"), (F.col("others") + F.col("copies") - 1).alias("n_links"), ident("k").alias("set_id"), F.col("copies").alias("n_copies"), F.col("root"))
@@ -368,11 +397,21 @@ def _descend(threshold: float):
     return run
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``bucket, k, p, lo, hi`` of ``rows (bucket, k, m, volume)``: one row a set unless its bucket is cut into parts."""
+    parts = F.ceil(F.greatest(F.col("m") / HELD, F.col("volume") / HELD_TOKENS)).cast("int")
+    dealt = rows.withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("k", "bucket"), F.col("parts")).cast("int"))
+    # a part meets itself and every other: (p, p), (p, later) and (earlier, p)
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, "p").alias("lo"), F.greatest(q, "p").alias("hi")))
+    return dealt.withColumn("meet", F.explode(meets)).select("bucket", "k", "p", "meet.lo", "meet.hi")
+
+
 def _compared(leaves: list[DataFrame], tokens: DataFrame, threshold: float) -> DataFrame:
     """Rows of every leaf bucket that have links: their number, and an edge to a root.
 
-    Buckets with the same members are one. A bucket of more than a block is dealt into parts by a hash
-    of the key, and every two parts meet under a key of their own.
+    Buckets with the same members are one. A task compares a bucket block by block, so a set is sent to a
+    bucket once. Only a bucket of more than ``HELD`` sets, or of more tokens than a task holds, is dealt into
+    parts by a hash of the key, and every two parts meet under a key of their own.
     """
     every = leaves[0]
     for more in leaves[1:]:
@@ -383,12 +422,8 @@ def _compared(leaves: list[DataFrame], tokens: DataFrame, threshold: float) -> D
     rows = written(every.join(first, "bucket"), "leaf-rows")
     seen = rows.groupBy("k").agg(F.array_sort(F.collect_set("bucket")).alias("seen"))
     volume = rows.join(tokens.select("k", (F.octet_length("tokens") / 8).alias("n")), "k").groupBy("bucket").agg(F.sum("n").alias("volume"))
-    parts = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("volume") / BLOCK_TOKENS)).cast("int")
-    rows = rows.join(written(volume, "bucket-volumes"), "bucket")
-    dealt = rows.withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("k", "bucket"), F.col("parts")).cast("int"))
-    # a part meets itself and every other: (p, p), (p, later) and (earlier, p)
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, "p").alias("lo"), F.greatest(q, "p").alias("hi")))
-    dealt = dealt.withColumn("meet", F.explode(meets)).select("bucket", "k", "p", "meet.lo", "meet.hi")
+    volume = written(volume, "bucket-volumes")
+    dealt = _dealt(rows.join(volume, "bucket"))
 
     def scan(key, group):
         bucket, lo, hi = (x.as_py() for x in key)
@@ -401,11 +436,16 @@ def _compared(leaves: list[DataFrame], tokens: DataFrame, threshold: float) -> D
             lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in column["tokens"]]
             seen = [x.values.to_numpy() for x in column["seen"]]
             counts = np.array([len(x) for x in lists])
-            keys = [column[c].to_pylist() for c in ("k1", "k2")]
-            for i, total, root in compare(lists, counts, column["copies"].to_numpy(), seen, bucket, left, threshold):
-                for c, x in zip(out, (keys[0][i], keys[1][i], total, keys[0][root], keys[1][root])):
-                    c.append(x)
+            copies = column["copies"].to_numpy()
+            keys = [column[c].to_numpy() for c in ("k1", "k2")]
+            for one, other in block_pairs(counts, left):
+                rows = np.concatenate([one, other])
+                for i, total, root in compare([lists[r] for r in rows], counts[rows], copies[rows], [seen[r] for r in rows], bucket, len(one) if len(other) else 0, threshold):
+                    for c, x in zip(out, (keys[0][rows[i]], keys[1][rows[i]], total, keys[0][rows[root]], keys[1][rows[root]])):
+                        c.append(x)
         return pa.table([pa.array(c, pa.int64()) for c in out], ["k1", "k2", "n_links", "r1", "r2"])
 
     met = dealt.join(seen, "k").join(tokens, "k").select("bucket", "lo", "hi", "p", F.col("k.k1"), F.col("k.k2"), "seen", "tokens", "copies")
-    return met.groupBy("bucket", "lo", "hi").applyInArrow(scan, "k1 long, k2 long, n_links long, r1 long, r2 long")
+    found = written(met.groupBy("bucket", "lo", "hi").applyInArrow(scan, "k1 long, k2 long, n_links long, r1 long, r2 long"), "links")
+    dropped(every, first, rows, volume)
+    return found

@@ -36,6 +36,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that only served for other tables, which are written by now."""
+    for t in tables:
+        spark = t.sparkSession
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI.create(folder))
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def row_key(doc_id: str, text: str) -> list[Column]:
     """``(k1, k2)``: rows that agree in both have the same id and text and are interchangeable."""
     return [

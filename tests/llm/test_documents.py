@@ -445,3 +445,48 @@ def test_equal_rows_are_encoded_once(spark):
     keyed = docs.select(*row_key("doc_id", "text"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
     wanted = keyed.groupBy("digest").agg(F.min(F.struct("k1", "k2")).alias("k"))
     assert sorted(r.text for r in misses(wanted, docs, "doc_id", "text").collect()) == ["", "one text"]
+
+
+def test_a_set_is_sent_to_a_bucket_once(spark):
+    """A bucket that a task can hold is compared block by block in it, not dealt out to pairs of blocks."""
+    import gaugeframe.llm.chosen_path as c
+
+    rows = spark.range(2213).selectExpr("7L AS bucket", "struct(id AS k1, id AS k2) AS k", "2213L AS m", "900000L AS volume")
+    assert c._dealt(rows).count() == 2213
+    for left in (0, 1300):
+        met = np.zeros((2213, 2213), int)
+        for one, other in c.block_pairs(np.full(2213, 400), left):
+            assert max(len(one), len(other)) <= c.BLOCK
+            met[np.ix_(one, other if len(other) else one)] += 1
+        across = np.arange(2213) < left
+        wanted = across[:, None] & ~across[None, :] if left else np.ones_like(met, bool)
+        assert ((met | met.T) == (wanted | wanted.T)).all()
+
+
+def test_links_of_buckets_cut_into_parts(spark, monkeypatch):
+    import gaugeframe.llm.chosen_path as c
+
+    for name, size in (("LEAF", 8), ("BLOCK", 3), ("HELD", 8)):
+        monkeypatch.setattr(c, name, size)
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [r.choice(vocabulary) for _ in range(90)]
+    texts = []
+    for _ in range(40):
+        copy = list(base)
+        for _ in range(r.randint(0, 3)):
+            copy[r.randrange(90)] = r.choice(vocabulary)
+        texts.append(" ".join(copy))
+    assert [tuple(x) for x in near_duplicates(documents(spark, texts)).orderBy("doc_id").select("doc_id", "class_id", "n_links").collect()] == brute_links(texts)
+
+
+def test_spent_tables_are_dropped(spark, tmp_path, monkeypatch):
+    """What operators leave in the shared folder is what their result still reads."""
+    import gaugeframe.llm.common as common
+
+    monkeypatch.setattr(common, "shared_folder", lambda s, name: f"file://{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}-{random.random()}")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for found in (remove_repeats(docs), near_duplicates(docs)):
+        assert found.count() == docs.count()
+    left = sorted(p.name.rpartition("-")[0].rpartition("-")[0] for p in tmp_path.iterdir())
+    assert left == ["reach", "repeated-anchors", "set-classes", "sets"]
