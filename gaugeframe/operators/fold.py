@@ -5,6 +5,8 @@ tasks. What a key's part begins with is the open group of the part before it. It
 none; parts whose beginning turns out otherwise are folded again from what was handed over, until nothing
 changes. As soon as a group closes at the same row either way the rest of a part is the same, so usually
 two or three rounds are enough; a single group over many parts takes a round for each.
+
+Keys that lie whole within a batch need none of this: a fold that has ``whole`` takes them all at once.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -49,14 +52,19 @@ class _Part:
         if group is not None:
             self._put(GROUP, group=group, last=last)
 
+    def leave(self) -> None:
+        """The key has no further rows."""
+        self._close()
+        if self.key == self.first:
+            self.n_first = self.seq + 1
+        self.fold = None
+
     def add(self, key: tuple, values: tuple, facts: tuple | None, make: Callable) -> None:
         if self.key is None:
             self.key = self.first = key
         elif key != self.key:
-            self._close()
-            if self.key == self.first:
-                self.n_first = self.seq + 1
-            self.key, self.seq, self.fold = key, 0, None
+            self.leave()
+            self.key, self.seq = key, 0
         self.row += 1
         if facts is not None:
             self.fold = make(*facts)
@@ -86,6 +94,9 @@ def fold_groups(rows: DataFrame, facts: DataFrame, keys: list[str], order: list[
     ``add(*row)``, with the columns of ``rows`` other than the keys, which returns the group that the row
     closes or None; ``close()``, which returns the open group or None; ``facts``, the arguments; and can be
     pickled. Rows that tie in ``order`` come in any order. A null key is a key; a key without facts is an error.
+    ``make`` may have ``whole(first, size, values, facts)``, which folds many keys: from the first row and the
+    number of rows of each, the columns of their rows and their facts it gives the key of every group, its
+    place there and the columns of ``out``.
     """
     spark, struct = rows.sparkSession, T.StructType.fromDDL(out)
     values, own = ([c for c in d.columns if c not in keys] for d in (rows, facts))
@@ -98,10 +109,42 @@ def fold_groups(rows: DataFrame, facts: DataFrame, keys: list[str], order: list[
     def batch(found: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], schema.names)
 
+    def whole(b: pa.RecordBatch, part: int, at: np.ndarray) -> pa.RecordBatch | None:
+        """Groups of the keys whose facts are rows ``at``; the last of these only ends the one before it."""
+        size = np.diff(at) - 1
+        at, size = at[:-1][size > 0], size[size > 0]
+        if not len(at):
+            return None
+        first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        rows = pa.array(np.repeat(at + 1 - first, size) + np.arange(size.sum()))
+        at = pa.array(at)
+        of, seq, columns = make.whole(first, size, [b.column(f"_v{i}").take(rows) for i in range(widths[1])], [b.column(f"_f{i}").take(at) for i in range(len(own))])
+        n, owner = len(of), at.take(pa.array(of))
+        same = lambda x: pa.array(np.full(n, x))
+        rest = [same(GROUP), same(part), same(0), pa.array(seq), same(False), same(False), pa.nulls(n, pa.binary())]
+        found = [*(b.column(k).take(owner) for k in keys), *(pa.nulls(n, t) for t in kinds[widths[0] : widths[0] + widths[1]]), *columns, *rest]
+        return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(found, kinds)], schema.names)
+
+    def pieces(b: pa.RecordBatch, begun: bool):
+        """A batch cut before and behind the keys that lie whole in it; of those, the rows of their facts."""
+        at = np.flatnonzero(b.column("_mark").to_numpy() == 0)
+        at = at if begun else at[at > 0]  # the first key of a part may go on from the part before
+        if len(at) < 2:
+            return [(b, None)]
+        return [(b.slice(0, int(at[0])), None), (b, at), (b.slice(int(at[-1])), None)]
+
     def scan(starts: dict[int, bytes] | None) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]):
             now: _Part | None = None
-            for b in batches:
+            many = starts is None and hasattr(make, "whole")
+            for b, at in (x for b in batches for x in (pieces(b, now is not None) if many else [(b, None)])):
+                if at is not None:
+                    now.leave()
+                    now.row += int(at[-1] - at[0])
+                    groups = whole(b, now.part, at)
+                    if groups is not None:
+                        yield groups
+                    continue
                 cells = [b.column(c).to_pylist() for c in (*keys, *(f"_v{i}" for i in range(widths[1])))]
                 if starts is None:
                     marked = b.column("_mark").to_pylist()

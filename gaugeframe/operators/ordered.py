@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,6 +163,9 @@ def gap_scale_groups(df: DataFrame, key: str, pos: str, ratio_min: float = 2.2)
 class CenterGroups:
     """The open group around a running weighted mean: what to add, and when it is too far."""
 
+    #: rows of each key that are taken together with those of all other keys
+    STEPS = 64
+
     def __init__(self, tol: float):
         self.facts, self.tol, self.n = (tol,), tol, 0
 
@@ -174,6 +180,47 @@ class CenterGroups:
     def close(self):
         return (self.wx / self.w if self.w else None, self.w, self.n, "+".join(sorted(self.labels))) if self.n else None
 
+    @classmethod
+    def whole(cls, first: np.ndarray, size: np.ndarray, values: list[pa.Array], facts: list[pa.Array]):
+        """As ``add`` for every row and ``close``, for many keys: the r-th rows of all keys are one step."""
+        p, w, m = (x.to_numpy(zero_copy_only=False) for x in values[:3])
+        by = np.argsort(-size, kind="stable")
+        at, n, tol = first[by], size[by], facts[0].to_numpy(zero_copy_only=False)[by]
+        x, new = p * w, np.zeros(len(p), bool)
+        new[first] = True
+        wx, ws = x[at], w[at]
+        for r in range(1, min(int(n[0]), cls.STEPS)):
+            k = int(np.searchsorted(-n, -r))  # keys with more than r rows
+            i = at[:k] + r
+            with np.errstate(all="ignore"):
+                joins = (ws[:k] != 0) & (np.abs(p[i] - wx[:k] / ws[:k]) <= tol[:k])
+            new[i] = ~joins
+            wx[:k], ws[:k] = (np.where(joins, s[:k] + y[i], y[i]) for s, y in ((wx, x), (ws, w)))
+        for k in range(int(np.searchsorted(-n, -cls.STEPS))):  # few are so long
+            sx, s, t, a = float(wx[k]), float(ws[k]), float(tol[k]), int(at[k])
+            far = []
+            for q, y, v in zip(*(c[a + cls.STEPS : a + n[k]].tolist() for c in (p, x, w))):
+                joined = s != 0 and abs(q - sx / s) <= t
+                far.append(not joined)
+                sx, s = (sx + y, s + v) if joined else (y, v)
+            new[a + cls.STEPS : a + n[k]] = far
+        group, begins = np.cumsum(new) - 1, np.flatnonzero(new)
+        of = np.repeat(np.arange(len(first)), size)[begins]
+        strength = np.bincount(group, w)
+        with np.errstate(all="ignore"):
+            center = pa.array(np.bincount(group, x) / strength, mask=strength == 0)
+        # labels: codes in the order of names, each once a group
+        lists = values[3]
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        rank = np.argsort(sorted(range(len(names)), key=names.__getitem__))
+        kinds = max(1, len(names))
+        holder = np.repeat(group, lists.value_lengths().fill_null(0).to_numpy())
+        pairs = np.unique(holder * kinds + rank[coded.indices.to_numpy()]) if len(names) else np.zeros(0, np.int64)
+        ends = np.searchsorted(pairs // kinds, np.arange(len(begins) + 1))
+        sources = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sorted(names), pa.string()).take(pa.array(pairs % kinds)))
+        return of, np.arange(len(begins)) - group[first][of], [center, pa.array(strength), pa.array(np.add.reduceat(m, begins)), pc.binary_join(sources, "+")]
+
     def __getstate__(self):
         return self.__dict__ | ({"labels": tuple(sorted(self.labels))} if self.n else {})
 

@@ -170,3 +170,26 @@ def test_pair_gaps(spark, rng):
         assert got[k].n_pairs == len(gaps)
         if gaps:
             assert (got[k].min_gap, got[k].max_gap) == (min(gaps), max(gaps)) and abs(got[k].mean_gap - sum(gaps) / len(gaps)) < 1e-5
+
+
+def test_many_keys_fold_as_one_by_one(rng, monkeypatch):
+    """Keys that lie whole in a batch are folded together, with the groups that row after row gives."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(O.CenterGroups, "STEPS", 6)
+    size = np.array([rng.randrange(1, 12) for _ in range(300)])
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    tol = [float(rng.choice([0, 3, 10])) for _ in size]
+    rows = []
+    for n in size:
+        for p in sorted(rng.sample(range(60), n)):
+            rows.append((float(p), float(rng.choice([0, 0, 1, 2.5])), rng.randrange(1, 4), rng.sample(["b", "a", "ç", "B"], rng.randrange(0, 3))))
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.string())))]
+    of, seq, groups = O.CenterGroups.whole(first, size, columns, [pa.array(tol)])
+    got = list(zip(of.tolist(), seq.tolist(), *(c.to_pylist() for c in groups)))
+    want = []
+    for k, (a, n) in enumerate(zip(first, size)):
+        fold = O.CenterGroups(tol[k])
+        closed = [g for g in [*(fold.add(*r) for r in rows[a : a + n]), fold.close()] if g]
+        want += [(k, i, *g) for i, g in enumerate(closed)]
+    assert got == want
