@@ -5,8 +5,10 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -307,13 +309,24 @@ def general_number(v: Column) -> Column:
 
 @F.arrow_udf(StringType())
 def _typed_numbers(typ: pa.Array, value: pa.Array) -> pa.Array:
-    def shown(t: str, v: float) -> str:
-        if t != "PCT" and abs(v - round(v)) < 1e-9:
-            return str(round(v))
-        return f"{v:g}" + "%" * (t == "PCT")
+    """Each distinct number is spelled once a batch; an item without a value is left out."""
 
-    cells = [[shown(t, v) for t, v in zip(*row)] if row[0] is not None else None for row in zip(typ.to_pylist(), value.to_pylist())]
-    return pa.array([None if c is None else " | ".join(c) for c in cells], pa.string())
+    def shown(percent: bool, v: float) -> str:
+        if not percent and abs(v - np.rint(v)) < 1e-9:
+            return str(round(v))
+        return f"{v:g}" + "%" * percent
+
+    flat = value.flatten()
+    there = flat.is_valid().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(value)), value.value_lengths().fill_null(0).to_numpy())[there]
+    numbers = flat.drop_null().to_numpy().astype(float)
+    percent = pc.equal(typ.flatten(), "PCT").fill_null(False).to_numpy(zero_copy_only=False)[there]
+    bits, number = np.unique(numbers.view(np.int64), return_inverse=True)  # by bits: -0 is not 0
+    codes, item = np.unique(number * 2 + percent, return_inverse=True)
+    texts = pa.array([shown(c % 2 == 1, v) for c, v in zip(codes.tolist(), bits[codes // 2].view(float).tolist())], pa.string())
+    ends = np.searchsorted(owner, np.arange(len(value) + 1))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts.take(pa.array(item))), " | ")
+    return pc.if_else(value.is_valid(), joined, pa.scalar(None, pa.string()))
 
 
 def typed_numbers(items: Column) -> Column:

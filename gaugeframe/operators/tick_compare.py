@@ -43,8 +43,8 @@ def number_and_unit(part: Column) -> Column:
 
     def read(plain: Column) -> Column:
         number = F.regexp_extract(plain, T.NUMBER_UNIT, 1)
-        value = F.replace(number, F.lit(","), F.lit(".")).try_cast("double")
-        return F.when(value.isNotNull(), F.struct(value.alias("value"), F.regexp_extract(plain, T.NUMBER_UNIT, 2).alias("unit")))
+        found = F.replace(number, F.lit(","), F.lit(".")).try_cast("double")
+        return T.let(found, lambda value: F.when(value.isNotNull(), F.struct(value.alias("value"), F.regexp_extract(plain, T.NUMBER_UNIT, 2).alias("unit"))))
 
     return T.let(T.norm_text(part), read)
 
@@ -56,27 +56,30 @@ def _parts(c: Column) -> Column:
 
 def dominant_unit(raw: Column) -> Column:
     """Most frequent unit word of the raw reading, the first seen among equals, blank if none."""
-    seen = F.regexp_extract_all(T.norm_text(F.coalesce(raw, F.lit(""))), F.lit(T.RAW_UNIT), F.lit(1))
-    ranked = F.transform(
-        F.array_distinct(seen),
-        lambda u: F.struct(
-            F.size(F.filter(seen, lambda s: s == u)).alias("n"), (-F.array_position(seen, u)).alias("first"), u.alias("u")
-        ),
-    )
-    return F.coalesce(F.array_max(ranked)["u"], F.lit(""))
+
+    def most(seen: Column) -> Column:
+        ranked = F.transform(
+            F.array_distinct(seen),
+            lambda u: F.struct(
+                F.size(F.filter(seen, lambda s: s == u)).alias("n"), (-F.array_position(seen, u)).alias("first"), u.alias("u")
+            ),
+        )
+        return F.coalesce(F.array_max(ranked)["u"], F.lit(""))
+
+    plain = T.let(F.coalesce(raw, F.lit("")), T.norm_text)
+    return T.let(F.regexp_extract_all(plain, F.lit(T.RAW_UNIT), F.lit(1)), most)
 
 
 def canonical(pairs: Column) -> Column:
     """``ARRAY<STRUCT<value,unit>>`` to ``ARRAY<STRUCT<typ,value>>``."""
 
-    def one(p: Column) -> Column:
-        m = T.unit_multiplier(p["unit"])
+    def one(p: Column, m: Column) -> Column:
         return F.struct(
             F.when(m.isNull(), "PCT").otherwise("NUM").alias("typ"),
             F.when(m.isNull(), rint_round(p["value"], 9)).otherwise(rint_round(p["value"] * m, 6)).alias("value"),
         )
 
-    return F.transform(pairs, one)
+    return F.transform(pairs, lambda p: T.let(T.unit_multiplier(p["unit"]), lambda m: one(p, m)))
 
 
 def _with_unit(pairs: Column, unit: Column) -> Column:
