@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.llm.chosen_path import near_duplicates
-from gaugeframe.llm.common import row_key, written
+from gaugeframe.llm.common import dropped, row_key, written
 from gaugeframe.llm.decontaminate import find_passages, remove_passages
 from gaugeframe.llm.packing import cut_documents, pack, widen_ids
 from gaugeframe.llm.quality import score_quality, train
@@ -67,7 +67,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last is not None:
+            dropped(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.common import blocks, row_key, written
+from gaugeframe.llm.common import blocks, dropped, row_key, written
 from gaugeframe.llm.words import INVERSE, mix, powers, prefix_sums, range_hash, raw_bytes, words_of
 
 #: eight-byte words that the quicksort compares before tries take over
@@ -310,6 +310,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, doc_id:
     found = written(rows.mapInArrow(_anchor_rows(length, gram, view), "core long, around long, k1 long, k2 long, at long, left int, right int"), "anchors")
     twice = written(found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "repeated-grams")
     met = written(found.join(twice, "core"), "repeated-anchors")
+    dropped(found, twice)
     kinds = written(met.groupBy("core", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at", "left", "right")).alias("one")), "surroundings")
     # surroundings that occur twice are covered whole and only serve as partners for others
     whole = kinds.where("n > 1").select("core", "around", F.col("one.left").cast("long").alias("lo"), F.col("one.right").cast("long").alias("hi"))
@@ -317,9 +318,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, doc_id:
     wanted = kinds.join(mixed, "core").select("one.k1", "one.k2", F.struct("core", "around", "one.at", "one.left", "one.right", "hot").alias("w"))
     scan, schema = _surroundings(length, gram, view)
     asked = wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))
-    sides = written(rows.join(asked, ["k1", "k2"]).select("text", "wanted").mapInArrow(scan, schema), "sides")
+    found = written(rows.join(asked, ["k1", "k2"]).select("text", "wanted").mapInArrow(scan, schema), "sides")
     # of equal rows each brings the surroundings that stand for both
-    sides = sides.dropDuplicates(["core", "around"])
+    sides = found.dropDuplicates(["core", "around"])
     plain = sides.where("hashes IS NULL").select("core", "around", "before", "after")
     reached = plain.repartition("core").sortWithinPartitions("core").mapInArrow(_compared(room), "core long, around long, lo long, hi long")
     # equal strings hold a gram at the same distance, and one anchor's strings have one each
@@ -328,6 +329,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, doc_id:
     often = written(strings.groupBy("core", "d", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "hot-strings")
     counted = strings.join(often, ["core", "d", "h"]).groupBy("core", "around").agg(F.max("d").alias("lo"), (F.lit(room) - F.min("d")).alias("hi"))
     reach = written(whole.unionByName(reached).unionByName(counted).groupBy("core", "around").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi")), "reach")
+    dropped(kinds, mixed, found, often)
     spans = met.join(reach, ["core", "around"]).select("k1", "k2", F.struct((F.col("at") - F.col("lo")).alias("first"), (F.col("at") + gram + F.col("hi")).alias("last")).alias("s"))
     return spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
 
