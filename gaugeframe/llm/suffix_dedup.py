@@ -76,9 +76,17 @@ def anchors(data: np.ndarray, begins: np.ndarray, sums: np.ndarray, length: int,
     return at, x[at]
 
 
+ANCHOR = "core long, around long, k1 long, k2 long, at long, left int, right int, on int, times long"
+
+
 def _anchor_rows(length: int, gram: int, view):
-    """Anchor rows of documents: gram hash, hash of the surroundings, place, bytes there on each side."""
-    room = length - gram
+    """Anchor rows of documents: gram hash, hash of the surroundings, place, bytes there on each side.
+
+    Anchors of a text that are equal in gram and surroundings share their strings. Where they follow each
+    other so closely that their grams overlap by two words, as in a run of one word, these strings cover one
+    span whatever their reach: they are one row, with the way ``on`` to the last and their number.
+    """
+    room, near = length - gram, gram - 2 * CODE
 
     def run(batches):
         for b in blocks(batches, 1 << 20):
@@ -88,9 +96,18 @@ def _anchor_rows(length: int, gram: int, view):
             text = np.searchsorted(begins, at, side="right") - 1
             left, right = np.minimum(at - begins[text], room), np.minimum(begins[text + 1] - at - gram, room)
             around = mix(range_hash(sums, at - left, at + gram + right) + (left * 65536 + right).astype(np.uint64))
-            own = [b.column(c).take(pa.array(text)) for c in ("k1", "k2")]
-            cols = [pa.array(core.view(np.int64)), pa.array(around.view(np.int64)), *own, pa.array(at - begins[text]), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, ["core", "around", "k1", "k2", "at", "left", "right"])
+            order = np.lexsort((around, core, text))  # stable: places ascend among equal ones
+            x, y = order[1:], order[:-1]
+            apart = (text[x] != text[y]) | (core[x] != core[y]) | (around[x] != around[y]) | (at[x] - at[y] > near)
+            first = np.flatnonzero(np.concatenate([[True], apart]))[: len(at)]
+            times = np.diff(np.append(first, len(at)))
+            one, last = order[first], order[first + times - 1]
+            own = [b.column(c).take(pa.array(text[one])) for c in ("k1", "k2")]
+            cols = [
+                pa.array(core[one].view(np.int64)), pa.array(around[one].view(np.int64)), *own, pa.array(at[one] - begins[text[one]]),
+                pa.array(left[one].astype(np.int32)), pa.array(right[one].astype(np.int32)), pa.array((at[last] - at[one]).astype(np.int32)), pa.array(times),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in ANCHOR.split(", ")])
 
     return run
 
@@ -307,11 +324,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, doc_id:
     """
     room = length - gram
     rows = docs.select(*row_key(doc_id, text), F.col(text).alias("text"))
-    found = written(rows.mapInArrow(_anchor_rows(length, gram, view), "core long, around long, k1 long, k2 long, at long, left int, right int"), "anchors")
-    twice = written(found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "repeated-grams")
+    found = written(rows.mapInArrow(_anchor_rows(length, gram, view), ANCHOR), "anchors")
+    twice = written(found.groupBy("core").agg(F.sum("times").alias("n")).where("n > 1").select("core"), "repeated-grams")
     met = written(found.join(twice, "core"), "repeated-anchors")
     dropped(found, twice)
-    kinds = written(met.groupBy("core", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at", "left", "right")).alias("one")), "surroundings")
+    kinds = written(met.groupBy("core", "around").agg(F.sum("times").alias("n"), F.min(F.struct("k1", "k2", "at", "left", "right")).alias("one")), "surroundings")
     # surroundings that occur twice are covered whole and only serve as partners for others
     whole = kinds.where("n > 1").select("core", "around", F.col("one.left").cast("long").alias("lo"), F.col("one.right").cast("long").alias("hi"))
     mixed = written(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("core", (F.col("m") > hot).alias("hot")), "mixed-grams")
@@ -330,7 +347,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, doc_id:
     counted = strings.join(often, ["core", "d", "h"]).groupBy("core", "around").agg(F.max("d").alias("lo"), (F.lit(room) - F.min("d")).alias("hi"))
     reach = written(whole.unionByName(reached).unionByName(counted).groupBy("core", "around").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi")), "reach")
     dropped(kinds, mixed, found, often)
-    spans = met.join(reach, ["core", "around"]).select("k1", "k2", F.struct((F.col("at") - F.col("lo")).alias("first"), (F.col("at") + gram + F.col("hi")).alias("last")).alias("s"))
+    spans = met.join(reach, ["core", "around"]).select("k1", "k2", F.struct((F.col("at") - F.col("lo")).alias("first"), (F.col("at") + F.col("on") + gram + F.col("hi")).alias("last")).alias("s"))
     return spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
 
 

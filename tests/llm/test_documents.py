@@ -18,9 +18,10 @@ from gaugeframe.llm.decontaminate import Matcher, find_passages, remove_passages
 from gaugeframe.llm.hilbert import curve_index, shard_documents, write_shards
 from gaugeframe.llm.packing import Places, cut_documents, pack, plan, widen_ids
 from gaugeframe.llm.quality import estimate_prior, fit, score_quality, train
-from gaugeframe.llm.suffix_dedup import deep_shallow, merged, remove_repeats
+from gaugeframe.llm.suffix_dedup import _anchor_rows, deep_shallow, merged, remove_repeats
 from gaugeframe.llm.token_counts import count_tokens
 from gaugeframe.llm.token_files import TokenFile, read_digests, write_token_files
+from gaugeframe.llm.words import raw_bytes
 
 BYTES, WORDS, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -92,6 +93,24 @@ def test_repeats_against_all_windows(spark, seed, hot):
     assert [tuple(x) for x in got.collect()] == brute_repeats(texts, 40)
 
 
+def test_a_run_of_one_word_is_few_anchor_rows():
+    r = random.Random(3)
+    texts = ["ding " * 4000, "".join(r.choice("abcdefgh") for _ in range(5000)), "", "x" * 399]
+    batch = pa.record_batch({"k1": pa.array(range(4), pa.int64()), "k2": pa.array([0] * 4, pa.int64()), "text": texts})
+    (got,) = _anchor_rows(400, 200, raw_bytes)([batch])
+    run = got.filter(pa.array([k == 0 for k in got.column("k1").to_pylist()])).to_pylist()
+    # one row for each distance to either end of the text, and one for all places between
+    assert len(run) <= 2 * 200 // 5 + 2 and sum(x["times"] for x in run) > 3900
+    assert max(x["on"] for x in run) > 19_000 and set(got.column("k1").to_pylist()) == {0, 1}
+
+
+def test_repeats_of_runs_against_all_windows(spark):
+    r = random.Random(5)
+    texts = [r.choice(["", "p", "qr"]) + "ding " * r.randint(1, 40) + r.choice(["", "z"]) + "é" * r.randint(0, 60) + "ding" * r.randint(0, 20) for _ in range(40)]
+    got = remove_repeats(documents(spark, texts), 60, 30).orderBy("doc_id").select("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert [tuple(x) for x in got.collect()] == brute_repeats(texts, 60)
+
+
 def test_repeats_of_edge_rows(edge, none):
     got = remove_repeats(edge, 400, carry=("lang",))
     found = {(r.doc_id, r.n_bytes): r for r in got.collect()}
