@@ -20,6 +20,8 @@ BASE_SUPPORT, BASE_SEPARATION, BASE_PIXELS = 0.70, 45.0, 0.35
 MIX_RESIDUAL, NEAR_BOTH, BIN_SHARE, BASE_GAP_PX = 12.0, 0.20, 0.25, 14
 # ------------------------------------------------------------------------------------------------
 TILE = 512
+#: most colours whose distances a task keeps (32 MB)
+TABLE = 2048
 
 
 # ---------------------------------------------------------------------------------------- medoid
@@ -28,22 +30,65 @@ def marker_colors(markers: DataFrame, keys: list[str]) -> DataFrame:
     return markers.groupBy(*keys, "observed_hex").agg(F.count(F.lit(1)).alias("n"), F.min("marker_id").alias("first"))
 
 
+class Distances:
+    """Distances of colours in a task. ``of`` gives none while measuring each pair as it comes costs less.
+
+    Pairs of all colours seen are measured into one table, of up to ``side`` colours, once the pairs asked for
+    are as many; later ones are looked up. So no more than twice the pairs asked for are ever measured.
+    """
+
+    def __init__(self, side: int):
+        self.side, self.asked, self.colors, self.table = side, 0, np.zeros(0, np.int64), np.zeros((0, 0))
+
+    def of(self, colors: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """The table, and the places in it of ``colors``, which are distinct and ascend."""
+        self.asked += pairs
+        every = np.union1d(self.colors, colors)
+        if len(every) > self.side:
+            return None
+        if len(every) > len(self.colors):
+            new = ~np.isin(every, self.colors)
+            cost = len(every) * (len(every) - 1) // 2 - len(self.colors) * (len(self.colors) - 1) // 2
+            if cost > self.asked:
+                return None
+            self.asked -= cost
+            table, old = np.zeros((len(every),) * 2), np.flatnonzero(~new)
+            table[np.ix_(old, old)] = self.table
+            x, y = np.triu_indices(len(every), 1)
+            x, y = (i[new[x] | new[y]] for i in (x, y))
+            lab = lab_of(every)
+            table[x, y] = table[y, x] = delta_e(tuple(v[x] for v in lab), tuple(v[y] for v in lab))
+            self.colors, self.table = every, table
+        return self.table, np.searchsorted(self.colors, colors)
+
+
+def _pairs(column: dict[str, np.ndarray], starts: np.ndarray) -> int:
+    """About the number of pairs that the tiles hold."""
+    sizes = np.diff(np.append(starts, len(column["c"]))).astype(np.int64)
+    return int((sizes * (sizes - 1) // 2).sum())
+
+
 def _tile_sums(keys: list[str], names: list[str], most: int = 1 << 18):
     """Rows, sorted by family and tile, with their part of the summed distance in place of the colour.
 
     A tile holds one block of colours or two. Each pair of colours is measured once and adds to the sums of
-    both; pairs of many small tiles are measured together, at most about ``most`` at a time.
+    both; pairs of many small tiles are measured together, at most about ``most`` at a time. Colours
+    that families share are measured once a task where that is less, see ``Distances``.
     """
     within: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    known = Distances(TABLE)
 
     def sums_of(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
         column = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("c", "n", "block", "lo", "hi")}
-        lab, n, total = lab_of(column["c"]), column["n"].astype(float), np.zeros(rows.num_rows)
+        n, total = column["n"].astype(float), np.zeros(rows.num_rows)
+        colors, own = np.unique(column["c"].astype(np.int64), return_inverse=True)
+        lab, found = lab_of(colors), known.of(colors, _pairs(column, starts))
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def measure() -> None:
             a, b = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            d = delta_e(tuple(x[a] for x in lab), tuple(x[b] for x in lab))
+            p, q = own[a], own[b]
+            d = delta_e(tuple(x[p] for x in lab), tuple(x[q] for x in lab)) if found is None else found[0][found[1][p], found[1][q]]
             total[:] += np.bincount(a, d * n[b], len(total)) + np.bincount(b, d * n[a], len(total))
             held.clear()
 

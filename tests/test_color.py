@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.color import PALETTE, delta_e, lab_of
@@ -84,6 +85,35 @@ def test_medoid_leaves_out_what_is_no_colour_and_takes_the_first_of_ties(spark):
     assert CF.family_medoid(df.where("false"), ["family"]).count() == 0
 
 
+def test_colours_that_families_share_are_measured_once(monkeypatch):
+    rng, measured = np.random.default_rng(2), []
+    monkeypatch.setattr(CF, "delta_e", lambda p, q: measured.append(len(p[0])) or delta_e(p, q))
+    colors, families = rng.choice(1 << 24, 60, replace=False), 200
+    rows = [(k, int(c), int(rng.integers(1, 5))) for k in range(families) for c in rng.choice(colors, 30, replace=False)]
+    def column(i):
+        return pa.array([r[i] for r in rows], pa.int64())
+    none = pa.array([0] * len(rows), pa.int64())
+    batch = pa.RecordBatch.from_arrays([column(0), column(1), column(2), none, none, none], ["k", "c", "n", "block", "lo", "hi"])
+    got = [r for b in CF._tile_sums(["k"], ["k"])(batch.slice(i, 700) for i in range(0, len(rows), 700)) for r in b.to_pylist()]
+    assert sum(measured) <= 2 * 60 * 59 // 2  # before: families * 30 * 29 / 2
+    for k in (0, 77, families - 1):
+        mine = [r for r in rows if r[0] == k]
+        lab = lab_of(np.array([r[1] for r in mine]))
+        want = delta_e(tuple(x[:, None] for x in lab), tuple(x[None, :] for x in lab)) @ np.array([r[2] for r in mine])
+        assert np.allclose([r["s"] for r in got if r["k"] == k], want, rtol=1e-12)
+
+
+def test_colours_are_measured_as_they_come_where_a_table_costs_more():
+    known = CF.Distances(8)
+    assert known.of(np.arange(4), 5) is None and known.of(np.arange(9), 1000) is None
+    table, at = known.of(np.array([3, 7]), 1)
+    assert table.shape == (2, 2) and list(at) == [0, 1]
+    table, at = known.of(np.array([1, 7, 9]), 100)
+    lab = lab_of(np.array([1, 3, 7, 9]))
+    want = delta_e(tuple(x[:, None] for x in lab), tuple(x[None, :] for x in lab))
+    assert list(at) == [0, 2, 3] and np.allclose(table, want, atol=1e-12)
+
+
 def test_mixture_equals_full_grid(spark):
     rng = np.random.default_rng(1)
     rows = [tuple(float(x) for x in rng.integers(0, 256, 9)) for _ in range(30)] + [(10.0, 20.0, 30.0) + (255.0,) * 6]
