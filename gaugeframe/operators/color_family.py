@@ -73,13 +73,14 @@ def _tile_sums(keys: list[str], names: list[str], most: int = 1 << 18):
 
     A tile holds one block of colours or two. Each pair of colours is measured once and adds to the sums of
     both; pairs of many small tiles are measured together, at most about ``most`` at a time. Colours
-    that families share are measured once a task where that is less, see ``Distances``.
+    that families share are measured once a task where that is less, see ``Distances``. Of a family of one block,
+    whose sums are whole, only colours with the least mean go on, and those that rounding may make equal to it.
     """
     within: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     known = Distances(TABLE)
 
     def sums_of(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
-        column = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("c", "n", "block", "lo", "hi")}
+        column = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("c", "n", "n_points", "blocks", "block", "lo", "hi")}
         n, total = column["n"].astype(float), np.zeros(rows.num_rows)
         colors, own = np.unique(column["c"].astype(np.int64), return_inverse=True)
         lab, found = lab_of(colors), known.of(colors, _pairs(column, starts))
@@ -109,7 +110,10 @@ def _tile_sums(keys: list[str], names: list[str], most: int = 1 << 18):
                 waiting = 0
         if held:
             measure()
-        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(total)], [*names, "s"])
+        mean = total / column["n_points"]
+        least = np.repeat(np.minimum.reduceat(mean, starts), np.diff(np.append(starts, rows.num_rows)))
+        keep = pa.array((column["blocks"] > 1) | (mean <= least + 2e-9))
+        return pa.RecordBatch.from_arrays([*(rows.column(c).filter(keep) for c in names), pa.array(total).filter(keep)], [*names, "s"])
 
     def run(batches):
         held = None
@@ -144,7 +148,7 @@ def family_medoid(markers: DataFrame, keys: list[str], tile: int = TILE) -> Data
     d = d.withColumns({"blocks": F.ceil(F.count(F.lit(1)).over(family) / tile), "n_points": F.sum("n").over(family)})
     d = d.withColumn("block", F.pmod(F.xxhash64("observed_hex"), F.col("blocks")))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda q: F.struct(F.least(q, "block").alias("lo"), F.greatest(q, "block").alias("hi")))
-    dealt = d.withColumn("meet", F.explode(meets)).select(*keys, "n_points", "first", "observed_hex", "n", "c", "block", "meet.lo", "meet.hi")
+    dealt = d.withColumn("meet", F.explode(meets)).select(*keys, "n_points", "first", "observed_hex", "n", "c", "blocks", "block", "meet.lo", "meet.hi")
     tiles = dealt.repartition(*keys, "lo", "hi").sortWithinPartitions(*keys, "lo", "hi", "block")
     names = [*keys, "n_points", "first", "observed_hex"]
     schema = T.StructType([*(dealt.schema[c] for c in names), T.StructField("s", T.DoubleType())])

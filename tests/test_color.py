@@ -92,15 +92,22 @@ def test_colours_that_families_share_are_measured_once(monkeypatch):
     rows = [(k, int(c), int(rng.integers(1, 5))) for k in range(families) for c in rng.choice(colors, 30, replace=False)]
     def column(i):
         return pa.array([r[i] for r in rows], pa.int64())
-    none = pa.array([0] * len(rows), pa.int64())
-    batch = pa.RecordBatch.from_arrays([column(0), column(1), column(2), none, none, none], ["k", "c", "n", "block", "lo", "hi"])
-    got = [r for b in CF._tile_sums(["k"], ["k"])(batch.slice(i, 700) for i in range(0, len(rows), 700)) for r in b.to_pylist()]
-    assert sum(measured) <= 2 * 60 * 59 // 2  # before: families * 30 * 29 / 2
+    none, one, two = (pa.array([i] * len(rows), pa.int64()) for i in (0, 1, 2))
+    found = {}
+    for blocks in (one, two):
+        batch = pa.RecordBatch.from_arrays([column(0), column(1), column(2), one, blocks, none, none, none], ["k", "c", "n", "n_points", "blocks", "block", "lo", "hi"])
+        measured.clear()
+        got = [r for b in CF._tile_sums(["k"], ["k", "c"])(batch.slice(i, 700) for i in range(0, len(rows), 700)) for r in b.to_pylist()]
+        assert sum(measured) <= 2 * 60 * 59 // 2  # before: families * 30 * 29 / 2
+        found[blocks[0].as_py()] = got
+    assert len(found[1]) == families and len(found[2]) == len(rows)  # before: every colour of either
     for k in (0, 77, families - 1):
         mine = [r for r in rows if r[0] == k]
         lab = lab_of(np.array([r[1] for r in mine]))
         want = delta_e(tuple(x[:, None] for x in lab), tuple(x[None, :] for x in lab)) @ np.array([r[2] for r in mine])
-        assert np.allclose([r["s"] for r in got if r["k"] == k], want, rtol=1e-12)
+        assert np.allclose([r["s"] for r in found[2] if r["k"] == k], want, rtol=1e-12)
+        (best,) = (r for r in found[1] if r["k"] == k)
+        assert best["c"] == mine[int(want.argmin())][1] and abs(best["s"] - want.min()) < 1e-9
 
 
 def test_colours_are_measured_as_they_come_where_a_table_costs_more():
