@@ -162,7 +162,7 @@ def op8_chosen_path_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return remove_repeats(table(spark, sf, "documents"), length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(table(spark, sf, "documents"), length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept").alias("text"))
 
 
 @query("""

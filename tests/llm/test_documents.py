@@ -18,6 +18,7 @@ from gaugeframe.llm.decontaminate import Matcher, find_passages, remove_passages
 from gaugeframe.llm.hilbert import curve_index, shard_documents, write_shards
 from gaugeframe.llm.packing import Places, cut_documents, pack, plan, widen_ids
 from gaugeframe.llm.quality import estimate_prior, fit, score_quality, train
+from gaugeframe.llm.queries import QUERIES
 from gaugeframe.llm.suffix_dedup import _anchor_rows, deep_shallow, merged, remove_repeats
 from gaugeframe.llm.token_counts import count_tokens
 from gaugeframe.llm.token_files import TokenFile, read_digests, write_token_files
@@ -118,6 +119,12 @@ def test_repeats_of_edge_rows(edge, none):
     assert found[(2, 14)].n_removed == 0 and remove_repeats(none).count() == 0
 
 
+def test_op1_returns_the_text_that_is_left(spark):
+    got = QUERIES["op1_suffix_dedup"](spark, "/root/testdata/sf0.001").collect()
+    assert got and all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in got if r.text.isascii())
+    assert all(len(r.text.encode()) == r.n_bytes - r.n_removed for r in got if r.text.isascii())
+
+
 def test_kept_text_has_whole_characters(spark):
     texts = ["é" * 30 + "a", "b" + "é" * 30]
     got = remove_repeats(documents(spark, texts), 41, 20).orderBy("doc_id").collect()
