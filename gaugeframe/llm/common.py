@@ -131,7 +131,9 @@ class PieceEncoder:
             else:
                 groups[2 if not p or p[:1].isspace() or p[-1:].isspace() else 0].append(p)
         odd = groups[2]
-        for group, edge in zip(groups, (self.edge, self.line)):
+        # the library's results of few pieces are in memory at a time
+        some = lambda group: (group[i : i + 8000] for i in range(0, len(group), 8000))
+        for group, edge in ((part, edge) for group, edge in zip(groups, (self.edge, self.line)) for part in some(group)):
             cut = [group[i : i + 400] for i in range(0, len(group), 400)]
             joined = [" ".join(b) if self.words else "".join(map(self._spelled, b)) for b in cut]
             for block, enc in zip(cut, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
@@ -144,8 +146,9 @@ class PieceEncoder:
                 raw, ends = raw.tobytes(), (ends * 4).tolist()
                 for p, a, b in zip(block, ends, ends[1:]):
                     self.known[p] = raw[a:b]
-        for p, enc in zip(odd, self.tokenizer.encode_batch_fast(list(map(self._spelled, odd)), add_special_tokens=False)):
-            self.known[p] = np.array(enc.ids, dtype="<u4").tobytes()
+        for part in some(odd):
+            for p, enc in zip(part, self.tokenizer.encode_batch_fast(list(map(self._spelled, part)), add_special_tokens=False)):
+                self.known[p] = np.array(enc.ids, dtype="<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [self._pieces(t) for t in texts]
@@ -175,8 +178,13 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def blocks(batches, most: int = 8 << 20):
-    """Arrow batches cut so that the string columns of each hold about ``most`` bytes."""
+def blocks(batches, most: int = 1 << 20, keep: str | None = None):
+    """Arrow batches cut so that the string columns of each hold about ``most`` bytes.
+
+    Encoders of other tokenizers than ``keep`` are let go: the worker process may have served another operator before.
+    """
+    for path in set(_ENCODERS) - {keep}:
+        del _ENCODERS[path]
     for b in batches:
         rows = b.num_rows
         step = max(1, rows * most // max(b.nbytes, 1)) if rows else 1

@@ -37,7 +37,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for b in blocks(batches, 4 << 20):
+        for b in blocks(batches, keep=tokenizer):
             owner, start, length, crc, total, body = [], [], [], [], [], []
             texts = ["" if t is None else t for t in b.column("text").to_pylist()]
             for i, (d, raw) in enumerate(zip(b.column("doc_id").to_pylist(), encode(texts))):

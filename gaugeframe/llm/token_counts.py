@@ -43,7 +43,7 @@ def counter(path: str):
 def _encode(path: str, version: str):
     def run(batches):
         count = counter(path)
-        for b in blocks(batches, 4 << 20):
+        for b in blocks(batches, 4 << 20, path):
             n = count(["" if t is None else t for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([version] * b.num_rows, pa.string()), b.column("digest").cast(pa.binary()), pa.array(n, pa.int64())], ["version", "digest", "n_tokens"]

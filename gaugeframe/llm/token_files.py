@@ -80,7 +80,7 @@ def _write(tokenizer: str, folder: str, length: int, end_id: int):
         # an attempt has a file of its own: only the attempt whose rows Spark keeps is ever read
         name = f"part-{part:06d}-{uuid.uuid4().hex}.arrow"
         writer, end = None, np.array([end_id], "<u4").tobytes()
-        for b in blocks(batches, 4 << 20):
+        for b in blocks(batches, 4 << 20, tokenizer):
             if writer is None:
                 sink = fs.open_output_stream(f"{base}/{name}")
                 writer = SequenceWriter(sink, schema)

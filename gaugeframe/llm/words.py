@@ -29,16 +29,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 _POWERS: dict[int, np.ndarray] = {}
+#: powers of a base that a worker process keeps at most
+KEPT = 1 << 21
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """``base ** 0 … base ** (n - 1)``, kept for the largest ``n`` asked for."""
+    """``base ** 0 … base ** (n - 1)``, kept for the largest ``n`` up to ``KEPT`` asked for."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (max(n, 2) - 1).bit_length())
+        size = max(1 << 16, 1 << (max(n, 2) - 1).bit_length()) if n <= KEPT else n
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(steps)
+        have = np.multiply.accumulate(steps)
+        if size <= KEPT:
+            _POWERS[base] = have
     return have[:n]
 
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeframe.llm.chosen_path import components, near_duplicates
-from gaugeframe.llm.common import PieceEncoder, shared_folder
+from gaugeframe.llm.common import PieceEncoder, blocks, encoder, shared_folder
 from gaugeframe.llm.decontaminate import Matcher, find_passages, remove_passages
 from gaugeframe.llm.hilbert import curve_index, shard_documents, write_shards
 from gaugeframe.llm.packing import Places, cut_documents, pack, plan, widen_ids
@@ -22,7 +22,7 @@ from gaugeframe.llm.queries import QUERIES
 from gaugeframe.llm.suffix_dedup import _anchor_rows, deep_shallow, merged, remove_repeats
 from gaugeframe.llm.token_counts import count_tokens
 from gaugeframe.llm.token_files import TokenFile, read_digests, write_token_files
-from gaugeframe.llm.words import raw_bytes
+from gaugeframe.llm.words import BASE, KEPT, powers, raw_bytes
 
 BYTES, WORDS, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -516,3 +516,18 @@ def test_spent_tables_are_dropped(spark, tmp_path, monkeypatch):
         assert found.count() == docs.count()
     left = sorted(p.name.rpartition("-")[0].rpartition("-")[0] for p in tmp_path.iterdir())
     assert left == ["reach", "repeated-anchors", "set-classes", "sets"]
+
+
+def test_workers_keep_little_of_what_other_operators_needed():
+    import gaugeframe.llm.common as common
+    import gaugeframe.llm.words as kept
+
+    n = KEPT + 5
+    assert int(powers(BASE, n)[-1]) == pow(BASE, n - 1, 1 << 64) and len(powers(BASE, 1000)) == 1000
+    assert sum(len(x) for x in kept._POWERS.values()) <= 2 * KEPT
+    batch = pa.record_batch({"text": ["x" * 3000] * 4000})
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    mine = encoder(path)
+    assert sum(b.num_rows for b in blocks([batch], keep=path)) == 4000 and encoder(path) is mine
+    # for blocks of 8 MB a worker kept 268 MB of powers
+    assert max(b.nbytes for b in blocks([batch])) <= 1.1 * (1 << 20) and not common._ENCODERS
