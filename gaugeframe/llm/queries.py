@@ -162,7 +162,9 @@ def op8_chosen_path_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return remove_repeats(table(spark, sf, "documents"), length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept").alias("text"))
+    # passages of over 50 words are only counted: what is removed are strings of 400 bytes
+    cut = remove_repeats(table(spark, sf, "documents"), length=400, words=51, cut_passages=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept").alias("text"), "n_passages")
 
 
 @query("""

@@ -362,20 +362,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _places(text: str, passages: list[dict]) -> list[tuple[int, int]]:
-    """Bytes of the whole words in spans of coded text."""
+def _places(text: str, passages: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Bytes of the words in runs of words."""
     w = words_of(pa.array([text]))
-    found = [(-(-s["first"] // CODE), s["last"] // CODE) for s in passages]
-    return [(int(w.start[a]), int(w.end[b - 1])) for a, b in found]
+    return [(int(w.start[a]), int(w.end[b - 1])) for a, b in passages]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), hot: int = 20_000, words: int = 0) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept`` and the columns in ``carry``.
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), hot: int = 20_000, words: int = 0, cut_passages: bool = True) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept, n_passages`` and the columns in ``carry``.
 
     Every byte is removed that a string of ``length`` bytes covers which also starts anywhere else, in
     the same or another row; strings never cross rows and are judged on the input. With ``words``, so are
     passages of that many words (those of ``words_of``: case and what stands between words do not count)
-    that also start anywhere else, however few bytes they have. ``kept`` is the text
+    that also start anywhere else, however few bytes they have; without ``cut_passages`` these stay in the text.
+    ``n_passages`` counts their maximal runs (0 without ``words``). ``kept`` is the text
     without the spans, from which characters that a span cuts are left in whole. A null text is empty.
     Rows with null or repeated ids are judged one by one; of rows with equal id and text each is the
     other's copy. Other columns are ignored; an empty table gives no rows. ``docs`` is read three times
@@ -393,10 +393,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200, doc_id:
 
     def run(batches):
         for b in blocks(batches):
-            out = [[] for _ in range(6)]
+            out = [[] for _ in range(7)]
             for t, spans, passages in zip(*(b.column(c).to_pylist() for c in ("text", "spans", "passages"))):
                 raw = t.encode()
-                runs = merged([(s["first"], s["last"]) for s in spans or ()] + (_places(t, passages) if passages else []))
+                word_runs = [(-(-s["first"] // CODE), s["last"] // CODE) for s in passages or ()]
+                runs = merged([(s["first"], s["last"]) for s in spans or ()] + (_places(t, word_runs) if word_runs and cut_passages else []))
                 rest, safe, at, safe_at = [], [], 0, 0
                 for x, y in runs:
                     rest.append(raw[at:x])
@@ -411,12 +412,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200, doc_id:
                 safe.append(raw[safe_at:])
                 removed = sum(y - x for x, y in runs)
                 spans = [{"first": x, "last": y} for x, y in runs]
-                for column, x in zip(out, (len(raw), removed, len(runs), hashlib.sha256(b"".join(rest)).hexdigest(), spans, b"".join(safe).decode())):
+                for column, x in zip(out, (len(raw), removed, len(runs), hashlib.sha256(b"".join(rest)).hexdigest(), spans, b"".join(safe).decode(), len(merged(word_runs)))):
                     column.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.string()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.string(), pa.int64()]
             columns = [pa.array(c, k) for c, k in zip(out, kinds)]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *columns], [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *columns], [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "n_passages"])
 
-    schema = f"{kept}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {SPAN}, kept string"
+    schema = f"{kept}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {SPAN}, kept string, n_passages long"
     done = rows.join(found, ["k1", "k2"], "left").select(*names, "text", "spans", "passages").mapInArrow(run, schema)
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", *(F.col(f"_carry_{c}").alias(c) for c in carry))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "n_passages", *(F.col(f"_carry_{c}").alias(c) for c in carry))

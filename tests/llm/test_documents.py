@@ -125,6 +125,18 @@ def test_op1_returns_the_text_that_is_left(spark):
     assert all(len(r.text.encode()) == r.n_bytes - r.n_removed for r in got if r.text.isascii())
 
 
+def test_op1_counts_passages_of_over_50_words_that_repeat(spark, tmp_path):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 6)))
+    passage, short, own = [[word() for _ in range(n)] for n in (55, 50, 120)]
+    texts = [own[:60] + passage + own[60:], [word() for _ in range(80)] + passage, own[:20] + short, [word() for _ in range(9)] + short, [word() for _ in range(200)]]
+    docs = documents(spark, [" ".join(t) for t in texts] + ["", None])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in QUERIES["op1_suffix_dedup"](spark, str(tmp_path)).collect()}
+    # the passage has fewer than 400 bytes: it stays in the text, by contract
+    assert [got[i].n_passages for i in range(7)] == [1, 1, 0, 0, 0, 0, 0] and not any(x.n_removed for x in got.values())
+
+
 def test_kept_text_has_whole_characters(spark):
     texts = ["é" * 30 + "a", "b" + "é" * 30]
     got = remove_repeats(documents(spark, texts), 41, 20).orderBy("doc_id").collect()
