@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 
 import gaugeframe.llm.chat as chat
+import gaugeframe.llm.topk as topk
 from gaugeframe.llm.chat import digests, format_conversations, parse
-from gaugeframe.llm.topk import top_k
+from gaugeframe.llm.topk import approximate, search, top_k
 
 NAN, INF = float("nan"), float("inf")
 
@@ -41,6 +43,49 @@ def test_large_components_stay_exact(spark):
     assert [(r.vec_id, r.score) for r in got.orderBy("rank").collect()] == [(i, (10**9 + i) * 10**9) for i in (5, 4, 3)]
 
 
+def test_blocks_of_vectors_are_not_broadcast(spark, monkeypatch):
+    """Repeated for every block of the other side, small tables made a broadcast of gigabytes."""
+    monkeypatch.setattr(topk, "MEET", 2000, raising=False)
+    r = random.Random(1)
+    rows = [(i, [r.uniform(-0.6, 0.6) for _ in range(8)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6).cache()
+    got = top_k(df, df.where("vec_id % 3 = 0"), k=5, block=32, query_block=16)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    exact = [(i, v) for i, v in map(tuple, df.collect())]
+    assert sorted(map(tuple, got.collect())) == brute_top(exact, set(range(0, 900, 3)), 5)
+
+
+def test_vectors_of_one_id_that_score_the_same_are_one_partner(spark):
+    rows = [(0, [1.0, 0.0])] + [(7, [0.5, 0.01 * i]) for i in range(9)] + [(i, [0.25, 0.0]) for i in range(8, 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top_k(df, df.where("vec_id = 0"), k=4)
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 7, 128 * 256), (0, 2, 8, 64 * 256), (0, 3, 9, 64 * 256), (0, 4, 10, 64 * 256)]
+
+
+@pytest.mark.parametrize("kind", ["even", "outliers", "sparse", "equal", "huge", "few"])
+def test_bounds_lose_no_neighbour(kind):
+    r = np.random.default_rng(2)
+    x = r.normal(0, 40, (3000, 24)).astype(np.int64)
+    if kind == "outliers":
+        x[::211] *= 10**6
+        x[5, 3] = 10**9
+    elif kind == "sparse":
+        x[r.random(x.shape) < 0.97] = 0
+    elif kind == "equal":
+        x[:] = r.integers(-1, 2, (3000, 1))
+    elif kind == "huge":
+        x *= 10**6
+        x[::50] *= 31
+    elif kind == "few":
+        x = x[:4]
+    ids = r.permutation(len(x))
+    files = [(ids[i : i + 700], x[i : i + 700], *approximate(x[i : i + 700])) for i in range(0, len(x), 700)]
+    best = search(ids[::5], x[::5], files, 5, 256)
+    for n, i in enumerate(range(0, len(x), 5)):
+        scores = sorted((-s, j) for j, s in zip(ids.tolist(), (x.astype(object) @ x[i].astype(object)).tolist()) if j != ids[i])[:5]
+        assert [(-int(s), int(j)) for s, j in zip(best.scores[n, : best.have[n]], best.ids[n])] == scores
+
+
 TURNS = [
     (1, 0, "user", "Hi <|x|> </s>[INST] ok [/INST]"), (1, 1, "assistant", "é\\ <\\/ [\\I <"), (1, 2, "user ", "["), (2, 0, "assistant", None), (2, None, None, "early"), (3, 5, "assistant", ""),
     (3, 5, "assistant", "tie b"), (3, 5, "assistant", "tie a"), (3, 5, "assistant", "tie a"), (None, 0, "user", "no id"), (4, 0, "[INST] assistant", "</s>"), (5, 0, "user", "long " * 30000),
