@@ -45,6 +45,31 @@ def dropped(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: components, with some more for each row, of the blocks of either side that meet in one task
+MEET = 1 << 23
+
+
+def groups_of(blocks: DataFrame, weight: Column, most: int) -> tuple[int, int]:
+    """Number of blocks, and of groups of them that weigh about ``most`` each."""
+    n, total = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0))).first()
+    return n, max(1, -(-total // most))
+
+
+def meeting(files: DataFrame, asked: DataFrame, groups: int, askers: int, *by: str):
+    """Each of ``groups`` groups of files with each of ``askers`` groups of queries of its ``dim``, in one task each.
+
+    Groups are dealt by a hash of the columns ``by``. The two sides are grouped together and not joined: a join
+    may broadcast one side by its size before it was repeated for the groups of the other.
+    """
+
+    def dealt(df: DataFrame, own: str, n: int, other: str, n_other: int):
+        df = df.withColumn(own, F.pmod(F.xxhash64(*by), F.lit(n)).cast("int"))
+        df = df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+        return df.repartition(groups * askers, "group", "asker", "dim").groupBy("group", "asker", "dim")
+
+    return dealt(files, "group", groups, "asker", askers).cogroup(dealt(asked, "asker", askers, "group", groups))
+
+
 def row_key(doc_id: str, text: str) -> list[Column]:
     """``(k1, k2)``: rows that agree in both have the same id and text and are interchangeable."""
     return [

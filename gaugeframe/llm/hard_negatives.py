@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.common import written
+from gaugeframe.llm.common import MEET, groups_of, meeting, written
 
 #: whole numbers up to two to this power are exact in a double
 EXACT_BITS = 53
@@ -80,34 +80,52 @@ def _blocks(rows: DataFrame, size: int, extra: str = "") -> DataFrame:
                 kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * (len(values) - 6)]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds)], [c.split()[0] for c in schema.split(", ")])
 
-    return written(grouped.mapInArrow(build, schema).withColumn("blocks", F.lit(n)), "vector-blocks")
+    return written(grouped.mapInArrow(build, schema), "vector-blocks")
 
 
-def _meet(anchors: DataFrame, files: DataFrame, n_anchors: int, n_files: int, work, schema: str) -> DataFrame:
-    """``work`` over every anchor block and every vector block of its dimension, each pair once."""
-    grid = lambda df, n, c: df.withColumn(c, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    left = grid(files.withColumnRenamed("block", "file").drop("blocks"), n_anchors, "asker")
-    right = grid(anchors.withColumnRenamed("block", "asker").drop("blocks"), n_files, "file")
-    right = right.select("asker", "file", *(F.col(c).alias(c if c == "dim" else f"a_{c}") for c in right.columns if c not in ("asker", "file")))
-    pairs = left.join(right, ["asker", "file", "dim"])
+def _meet(anchors: DataFrame, files: DataFrame, work, schema: str, k: int) -> DataFrame:
+    """``work`` over every anchor block and every vector block of its dimension, each pair once.
 
-    def unpack(b, i, p=""):
-        n, bits, dim = (b.column(c)[i].as_py() for c in (f"{p}n", f"{p}bits", "dim"))
-        one = lambda c, t: np.frombuffer(b.column(p + c)[i].as_buffer(), t)
+    Groups of blocks of bounded size meet in a task. Of what ``work`` gives, whose last columns are id, key and
+    score, the task passes on the ``k`` best for each value of the columns before them.
+    """
+    weight = F.col("n") * (F.col("dim") + 8)
+    _, askers = groups_of(anchors, weight, MEET // 4)
+    n_files, groups = groups_of(files, weight, MEET)
+    groups = max(groups, min(n_files, -(-4 * files.sparkSession.sparkContext.defaultParallelism // askers)))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def unpack(t, i):
+        n, bits, dim = (t.column(c)[i].as_py() for c in ("n", "bits", "dim"))
+        one = lambda c, kind: np.frombuffer(t.column(c)[i].as_buffer(), kind)
         return one("ids", "<i8"), one("keys", "<i8"), one("labels", "<i8"), one("vectors", f"<i{bits // 8}").reshape(n, dim)
 
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                ids, keys, labels, vectors = unpack(b, i)
-                a_ids, a_keys, a_labels, a_vectors = unpack(b, i, "a_")
-                packed = Packed(vectors, b.column("a_low")[i].as_py(), b.column("a_high")[i].as_py())
-                floors = np.frombuffer(b.column("a_floors")[i].as_buffer(), "<i8") if "a_floors" in b.schema.names else None
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [np.zeros((len(names), 0), np.int64)]
+        if left.num_rows and right.num_rows:
+            low, high = min(right.column("low").to_pylist()), max(right.column("high").to_pylist())
+            opened = [unpack(left, i) for i in range(left.num_rows)]
+            packed = [(Packed(vectors, low, high), *facts) for *facts, vectors in opened]
+            for i in range(right.num_rows):
+                a_ids, a_keys, a_labels, a_vectors = unpack(right, i)
+                floors = np.frombuffer(right.column("floors")[i].as_buffer(), "<i8").reshape(len(a_ids), -1) if "floors" in right.schema.names else None
                 for at in range(0, len(a_ids), 128):  # bounds the matrix of scores
                     part = slice(at, at + 128)
-                    yield work(packed.scores(a_vectors[part]), ids, keys, labels, a_ids[part], a_keys[part], a_labels[part], None if floors is None else floors.reshape(len(a_ids), -1)[part])
+                    asked = a_ids[part], a_keys[part], a_labels[part], None if floors is None else floors[part]
+                    parts = [work(p.scores(a_vectors[part]), *facts, *asked) for p, *facts in packed]
+                    found.append(_cut(np.concatenate(parts, axis=1), k))
+        return pa.table([pa.array(c) for c in np.concatenate(found, axis=1)], names)
+
+    return meeting(files, anchors, groups, askers, "ids", "keys").applyInArrow(run, schema)
+
 
-    return pairs.mapInArrow(run, schema)
+def _cut(rows: np.ndarray, k: int) -> np.ndarray:
+    """Columns of ``rows`` (last id, key, score) that are among the k best of those that agree in what stands before."""
+    rows = rows[:, np.lexsort((rows[-2], rows[-3], ~rows[-1], *rows[:-3]))]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[:-3, 1:] != rows[:-3, :-1]).any(axis=0)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return rows[:, np.arange(len(new)) - first < k]
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
@@ -142,8 +160,6 @@ def mine_negatives(
     rows = written(rows.distinct().withColumn("key", F.xxhash64("label", "v")), "vectors")
     asked = rows.where(F.col("id") % every == 0)
     files, askers = _blocks(rows, block), _blocks(asked, anchor_block)
-    count = lambda df: df.select("blocks").first()
-    n_files, n_askers = ((count(df) or [1])[0] for df in (files, askers))
 
     def positives(scores, ids, keys, labels, a_ids, a_keys, a_labels, _):
         out = []
@@ -151,9 +167,9 @@ def mine_negatives(
             at = np.flatnonzero((labels == a_labels[i]) & (ids != a_ids[i]))
             at = at[_best(scores[i, at], ids[at], keys[at], k_positives)]
             out.append(np.stack([np.full(len(at), a_ids[i]), np.full(len(at), a_keys[i]), ids[at], keys[at], scores[i, at].astype(np.int64)]))
-        return pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(out, axis=1).astype(np.int64))), ["anchor", "akey", "id", "key", "score"])
+        return np.concatenate(out, axis=1).astype(np.int64)
 
-    found = _meet(askers, files, n_askers, n_files, positives, "anchor long, akey long, id long, key long, score long")
+    found = _meet(askers, files, positives, "anchor long, akey long, id long, key long, score long", k_positives)
     w = Window.partitionBy("anchor", "akey").orderBy(F.desc("score"), "id", "key")
     best = written(found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k_positives), "positives")
 
@@ -162,7 +178,6 @@ def mine_negatives(
     none = -(2**63)
     floors = F.transform(F.sequence(F.lit(0), F.lit(k_positives - 1)), lambda i: F.coalesce(F.get("p", i)["score"], F.lit(none)))
     again = _blocks(written(asked.join(lists, ["id", "key"]).withColumn("floors", floors).drop("p"), "anchors"), anchor_block, "floors")
-    n_again = (count(again) or [1])[0]
 
     def negatives(scores, ids, keys, labels, a_ids, a_keys, a_labels, tops):
         out = []
@@ -176,10 +191,9 @@ def mine_negatives(
                 at = at[_best(s[at], ids[others[at]], keys[others[at]], k_negatives)]
                 m = others[at]
                 out.append(np.stack([np.full(len(m), a_ids[i]), np.full(len(m), a_keys[i]), np.full(len(m), n + 1), ids[m], keys[m], s[at].astype(np.int64)]))
-        columns = np.concatenate(out, axis=1).astype(np.int64) if out else np.zeros((6, 0), np.int64)
-        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["anchor", "akey", "n", "negative_id", "nkey", "negative_score"])
+        return np.concatenate(out, axis=1).astype(np.int64) if out else np.zeros((6, 0), np.int64)
 
-    hard = _meet(again, files, n_again, n_files, negatives, "anchor long, akey long, n long, negative_id long, nkey long, negative_score long")
+    hard = _meet(again, files, negatives, "anchor long, akey long, n long, negative_id long, nkey long, negative_score long", k_negatives)
     w = Window.partitionBy("anchor", "akey", "n").orderBy(F.desc("negative_score"), "negative_id", "nkey")
     ranked = hard.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k_negatives)
     named = best.select("anchor", "akey", F.col("n").cast("long").alias("n"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))

@@ -13,11 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.common import written
+from gaugeframe.llm.common import MEET, groups_of, meeting, written
 
 CELLS = 256
-#: components, with some more for each row, of the files and of the queries that meet in one task
-MEET = 1 << 23
 ROW = 8
 #: components of one file
 FILE = 1 << 20
@@ -211,14 +209,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     copies = Window.partitionBy("v").orderBy("id")
     files = _filed(whole(vectors).withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1).drop("_n"), block, True, "approximation-files")
     asked = _filed(whole(queries), block, False, "queries")
-    (n_files, weight), (_, asked_weight) = (t.agg(F.count(F.lit(1)), F.coalesce(F.sum("weight"), F.lit(0))).first() for t in (files, asked))
-    askers = max(1, -(-asked_weight // MEET))
-    groups = max(1, -(-weight // MEET), min(n_files, -(-4 * vectors.sparkSession.sparkContext.defaultParallelism // askers)))
-
-    def dealt(df: DataFrame, own: str, n: int, other: str, n_other: int) -> DataFrame:
-        df = df.withColumn(own, F.pmod(F.xxhash64("ids", "exact"), F.lit(n)).cast("int"))
-        df = df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-        return df.repartition(groups * askers, "group", "asker", "dim").groupBy("group", "asker", "dim")
+    (n_files, groups), (_, askers) = (groups_of(t, F.col("weight"), MEET) for t in (files, asked))
+    groups = max(groups, min(n_files, -(-4 * vectors.sparkSession.sparkContext.defaultParallelism // askers)))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -237,7 +229,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
         columns = np.repeat(ids, best.have), best.ids[kept], best.scores[kept]
         return pa.table([pa.array(c.tolist() if c.dtype == object else c, pa.int64()) for c in columns], names)
 
-    pairs = dealt(files, "group", groups, "asker", askers).cogroup(dealt(asked, "asker", askers, "group", groups))
+    pairs = meeting(files, asked, groups, askers, "ids", "exact")
     best = pairs.applyInArrow(meet, "query_id long, vec_id long, score long").repartition("query_id").distinct()
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -173,6 +173,17 @@ def test_negatives(spark):
     assert mine_negatives(df.where("label = 1")).count() == 0
 
 
+def test_blocks_of_anchors_are_not_broadcast(spark, monkeypatch):
+    """Repeated for every block of vectors, small tables of anchors made a broadcast of gigabytes."""
+    monkeypatch.setattr(hard, "MEET", 3000, raising=False)
+    r = random.Random(3)
+    rows = [(100 * i if i < 40 else 10**4 + 7 * i + 1, r.randrange(3), [r.uniform(-0.6, 0.6) for _ in range(5)]) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").cache()
+    got = mine_negatives(df, block=32, anchor_block=8)
+    assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") < 2  # one is that of the positives' scores
+    assert sorted(map(tuple, got.collect())) == brute_negatives([tuple(x) for x in df.collect()])
+
+
 def test_wide_integers_give_the_same(monkeypatch):
     monkeypatch.setattr(hard, "EXACT_BITS", 0)
     a, b = np.array([[5, -3]]), np.array([[1, 2], [-9, 4]])
